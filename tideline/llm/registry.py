@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from tideline.llm import exact_dedup, line_dedup
+from tideline.llm import byte_bpe, chat_format, exact_dedup, line_dedup, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_chat_format": chat_format.op4_chat_format,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op8_line_dedup": line_dedup.op8_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_chat_format": chat_format.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
     }
