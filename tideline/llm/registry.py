@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tideline.llm import byte_bpe, chat_format, exact_dedup, line_dedup, quality_rules
+from tideline.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality_rules, warc
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_warc": warc.op9_warc,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat_format.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
     }
