@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tideline.llm import byte_bpe, chat_format, exact_dedup, line_dedup, packing, quality_rules, warc
+from tideline.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, line_dedup, packing, quality_rules, warc
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_chat_format": chat_format.op4_chat_format,
