@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, line_dedup, packing, quality_rules, warc
+from tideline.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, packing, quality_rules, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+        "op7_language_id": language_id.op7_language_id,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_warc": warc.op9_warc,
+        "op10_lm_score": lm_score.op10_lm_score,
     }
 
 
