@@ -1,11 +1,8 @@
-"""Queries over the driver tables, one for each operator, with the SQL that gives the same rows."""
+"""All queries outside the training-data subpackage."""
 
 from __future__ import annotations
 
+from tideline.plans import catalog, q_aggregates, q_expressions, q_joins, q_lists, q_models, q_quality, q_sources, q_windows  # noqa: F401  (they register their queries)
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+queries = catalog.queries
+oracle_sql = catalog.oracle_sql
