@@ -1 +1,202 @@
-"""Queries."""
+"""Queries of projection, depth, strength, calendars and deadlines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideline.operators import basics, windows
+from tideline.plans import field, projection
+from tideline.plans.catalog import query
+from tideline.plans.q_aggregates import r6
+from tideline.plans.q_expressions import HAV, RANK
+from tideline.plans.q_joins import PLACED
+
+OBS = "o AS (SELECT ed_id, ent, yr, wk, level, lat, lon, cut, CASE WHEN level LIKE 'ATP%' THEN 'tour' ELSE 'challenger' END AS grp FROM v_obs WHERE ev = 'singles' AND dr = 'main' AND cut >= 3 AND level NOT LIKE 'ITF%')"
+RATIO = "r AS (SELECT a.*, b.cut AS prev, a.cut / b.cut AS ratio FROM o a JOIN o b ON a.ent = b.ent AND b.yr = a.yr - 1)"
+CL = "least(greatest({x}, {a}), {b})"
+
+
+def obs(t):
+    return projection.with_group(basics.valid_observations(t.v_obs.where("ev = 'singles' and dr = 'main'"))).select("ed_id", "ent", "yr", "wk", "level", "lat", "lon", "cut", "grp")
+
+
+LM = "lm AS (SELECT level, y AS yr, median(cut) AS med FROM o JOIN (SELECT DISTINCT yr AS y FROM o) ON yr < y GROUP BY 1, 2 HAVING count(*) >= 8)"
+TIER = f"tf AS (SELECT t.ed_id, CASE WHEN p.level IS NULL OR p.level = t.level OR a.med IS NULL OR b.med IS NULL THEN 1e0 ELSE {CL.format(x='b.med / a.med', a='0.55', b='1.8')} END AS tier_factor FROM o t LEFT JOIN o p ON p.ent = t.ent AND p.yr = t.yr - 1 LEFT JOIN lm a ON a.level = p.level AND a.yr = t.yr LEFT JOIN lm b ON b.level = t.level AND b.yr = t.yr)"
+
+
+@query("j01_tier_change", f"WITH {OBS}, {LM}, {TIER} SELECT ed_id, round(tier_factor, 6) AS tier_factor FROM tf")
+def j01(t):
+    o = obs(t)
+    last = o.select("ent", (F.col("yr") + 1).alias("yr"), F.col("level").alias("last_level"))
+    return r6(projection.tier_change_factor(o.join(last, ["ent", "yr"], "left"), o).select("ed_id", "tier_factor"), "tier_factor")
+
+
+DRIFT = f"d AS (SELECT k.grp, k.yr, k.wk, CASE WHEN count(r.ratio) >= 8 THEN {CL.format(x='median(r.ratio)', a='0.6', b='1.6')} ELSE 1e0 END AS drift FROM (SELECT DISTINCT grp, yr, wk FROM o) k LEFT JOIN r ON r.grp = k.grp AND r.yr = k.yr AND r.wk < k.wk GROUP BY 1, 2, 3)"
+
+
+@query("j02_season_drift", f"WITH {OBS}, {RATIO}, {DRIFT} SELECT grp, yr, wk, round(drift, 6) AS drift FROM d")
+def j02(t):
+    return r6(projection.season_drift(obs(t)), "drift")
+
+
+REGION = f"g AS (SELECT t.ed_id, CASE WHEN count(r.ratio) >= 3 THEN {CL.format(x='median(r.ratio)', a='0.6', b='1.6')} ELSE 1e0 END AS regional FROM o t LEFT JOIN r ON r.grp = t.grp AND r.yr = t.yr AND r.wk BETWEEN t.wk - 3 AND t.wk - 1 AND {HAV.format(a='t', b='r')} <= 3000 GROUP BY 1)"
+
+
+@query("j03_regional_drift", f"WITH {OBS}, {RATIO}, {REGION} SELECT ed_id, round(regional, 6) AS regional FROM g")
+def j03(t):
+    return r6(projection.regional_drift(obs(t)), "regional")
+
+
+COHORT = f"c AS (SELECT ed_id, CASE WHEN count(*) FILTER (WHERE km <= 3000) >= 3 THEN median(cut) FILTER (WHERE km <= 3000) ELSE median(cut) END AS cohort FROM (SELECT t.ed_id, b.cut, {HAV.format(a='t', b='b')} AS km FROM o t JOIN o b ON b.grp = t.grp AND b.yr = t.yr - 1 AND abs(b.wk - t.wk) <= 2) GROUP BY ed_id HAVING count(*) >= 3)"
+
+
+@query("j04_cohort_base", f"WITH {OBS}, {COHORT} SELECT ed_id, cohort FROM c")
+def j04(t):
+    return projection.cohort_base(obs(t))
+
+
+WEIGHT = "CASE WHEN level LIKE 'ATP%' THEN 2e0 WHEN level LIKE 'Ch%' THEN 1e0 ELSE 0.5e0 END"
+
+
+@query("j05_supply", f"WITH e AS (SELECT *, {WEIGHT} AS w FROM {PLACED}), n AS (SELECT a.ed_id, sum(b.w) AS now FROM e a JOIN e b ON b.yr = a.yr AND abs(b.wk - a.wk) <= 1 AND {HAV.format(a='a', b='b')} <= 3000 GROUP BY 1), p AS (SELECT a.ed_id, sum(b.w) AS was FROM e a JOIN e b ON b.yr = a.yr - 1 AND abs(b.wk - a.wk) <= 1 AND {HAV.format(a='a', b='b')} <= 3000 GROUP BY 1) SELECT e.ed_id, round((coalesce(now, 0) + 1) / (coalesce(was, 0) + 1), 6) AS supply FROM e LEFT JOIN n USING (ed_id) LEFT JOIN p USING (ed_id)")
+def j05(t):
+    return r6(projection.supply(t.v_ed.join(t.v_ent, "ent")), "supply")
+
+
+PREDICT = f"""{OBS}, {RATIO}, {LM}, {TIER}, {DRIFT}, {REGION}, {COHORT},
+h AS (SELECT a.ed_id, count(b.cut) AS n, median(b.cut) AS med FROM o a LEFT JOIN o b ON b.ent = a.ent AND b.yr < a.yr - 1 GROUP BY 1),
+w AS (SELECT t.*, p.cut AS last, q.cut AS before, CASE WHEN h.n >= 2 THEN least(greatest(cast(p.cut AS DOUBLE), h.med / 1.75), h.med * 1.75) ELSE p.cut END AS win, tier_factor, drift, regional, cohort
+  FROM o t LEFT JOIN o p ON p.ent = t.ent AND p.yr = t.yr - 1 LEFT JOIN o q ON q.ent = t.ent AND q.yr = t.yr - 2 JOIN h ON h.ed_id = t.ed_id JOIN tf ON tf.ed_id = t.ed_id JOIN d ON d.grp = t.grp AND d.yr = t.yr AND d.wk = t.wk JOIN g ON g.ed_id = t.ed_id LEFT JOIN c ON c.ed_id = t.ed_id),
+x AS (SELECT *, CASE WHEN before IS NOT NULL THEN 0.7 * win + 0.3 * before ELSE win END * tier_factor * pow(drift, 0.25) * pow(regional, 0.2) AS own FROM w),
+y AS (SELECT *, CASE WHEN own IS NULL THEN cohort WHEN cohort IS NULL THEN own ELSE 0.75 * own + 0.25 * cohort END AS base FROM x),
+z AS (SELECT *, cast(CASE WHEN base IS NOT NULL THEN greatest(3, floor(base + 0.5)) END AS INTEGER) AS pred, CASE WHEN grp = 'tour' THEN 0.23e0 ELSE 0.25e0 END * CASE WHEN own IS NULL THEN 1.3e0 ELSE 1e0 END AS wd FROM y),
+preds AS (SELECT ed_id, grp, yr, cut AS actual, last, pred, cast(CASE WHEN pred IS NOT NULL THEN greatest(1, floor(pred * (1 - wd) + 0.5)) ELSE 1 END AS INTEGER) AS low, cast(floor(pred * (1 + wd) + 0.5) AS INTEGER) AS high, CASE WHEN base IS NULL THEN NULL WHEN own IS NULL THEN 'cohort' ELSE 'history' END AS method FROM z)"""
+
+
+@query("j06_predict", f"WITH {PREDICT} SELECT * FROM preds")
+def j06(t):
+    return projection.predict(obs(t))
+
+
+METRICS = "count(abs(pred - actual)) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(avg(abs(last - actual)), 6) AS base_mae, round(avg(pred - actual), 6) AS bias, round(avg(CASE WHEN abs(pred - actual) < abs(last - actual) THEN 1 WHEN abs(pred - actual) = abs(last - actual) THEN 0.5 WHEN abs(pred - actual) > abs(last - actual) THEN 0 END), 6) AS win_rate"
+
+
+@query("j09_backtest", f"WITH {PREDICT} SELECT grp, 0 AS horizon, cast(grouping_id(grp) * 2 AS BIGINT) AS slice, {METRICS}, round(avg(CASE WHEN actual BETWEEN low AND high THEN 1 ELSE 0 END), 6) AS coverage FROM preds WHERE pred IS NOT NULL GROUP BY GROUPING SETS ((), (grp))")
+def j09(t):
+    return r6(projection.backtest(obs(t), "ms", [0]), "mae", "base_mae", "bias", "win_rate", "coverage")
+
+
+@query("j09_backtest_horizons")
+def j09h(t):
+    return r6(projection.backtest(obs(t), "ms", [0, 4, 12]), "mae", "base_mae", "bias", "win_rate", "coverage")
+
+
+@query("j10_grid_search", f"WITH {PREDICT}, f AS (SELECT ed_id, drift AS a, regional AS b FROM w), s AS (SELECT p.x, q.y, avg(abs(actual - pred * pow(a, p.x) * pow(b, q.y))) AS mae FROM preds JOIN f USING (ed_id), (VALUES (-0.5e0), (0e0), (0.5e0)) p(x), (VALUES (-0.5e0), (0e0), (0.5e0)) q(y) WHERE pred IS NOT NULL GROUP BY 1, 2) SELECT x, y, round(mae, 6) AS mae FROM s")
+def j10(t):
+    o = obs(t)
+    f = o.join(projection.season_drift(o), ["grp", "yr", "wk"]).join(projection.regional_drift(o), "ed_id").select("ed_id", F.col("drift").alias("a"), F.col("regional").alias("b"))
+    return r6(projection.grid_search(projection.predict(o).where("pred is not null"), f, [-0.5, 0.0, 0.5]), "mae")
+
+
+@query("j11_report", f"WITH {PREDICT} SELECT grp, yr, cast(grouping_id(grp, yr) AS BIGINT) AS slice, {METRICS} FROM preds WHERE pred IS NOT NULL AND last IS NOT NULL GROUP BY GROUPING SETS ((), (grp), (yr))")
+def j11(t):
+    return r6(projection.report(projection.predict(obs(t)), [[], ["grp"], ["yr"]]), "mae", "base_mae", "bias", "win_rate")
+
+
+@query("j07_prediction_job", "SELECT ed_id, cast(ceil((start_date - DATE '1997-03-03') / 7) AS INTEGER) AS horizon FROM v_ed WHERE start_date BETWEEN DATE '1997-03-03' AND DATE '1997-03-03' + 28")
+def j07(t):
+    return projection.job(t.v_ed, F.to_date(F.lit("1997-03-03")), 4).select("ed_id", "horizon")
+
+
+@query("j08_score", "SELECT e.ed_id, coalesce(CASE WHEN e.ed_id % 2 = 0 THEN 100 END, s.cut) AS actual, e.ed_id % 2 <> 0 AND s.cut IS NOT NULL AS scored FROM v_ed e LEFT JOIN (SELECT ed_id, cut FROM v_obs WHERE ev = 'singles' AND dr = 'main') s ON s.ed_id = e.ed_id")
+def j08(t):
+    preds = t.v_ed.select("ed_id", F.when(F.col("ed_id") % 2 == 0, 100).alias("actual"))
+    return projection.score(preds, t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", "cut")).select("ed_id", "actual", "scored")
+
+
+SLOT = f"CASE WHEN {RANK} >= 35 AND {RANK} < 70 THEN 25 ELSE 24 END"
+
+
+@query("j12_depth", f"WITH e AS (SELECT e.ed_id, yr, wk, lat, lon, surface, {RANK} AS rnk, {SLOT} AS slots FROM v_ed e JOIN v_ent n ON n.ent = e.ent), s AS (SELECT a.ed_id, sum(b.slots * greatest(0.03, exp(-({HAV.format(a='a', b='b')}) / 1200)) * CASE WHEN a.surface = b.surface THEN 1 WHEN a.surface = 'Hard' OR b.surface = 'Hard' THEN 0.55 ELSE 0.3 END) AS others FROM e a JOIN e b ON a.yr = b.yr AND a.wk = b.wk AND a.ed_id <> b.ed_id AND b.rnk >= a.rnk GROUP BY 1) SELECT e.ed_id, cast(slots AS INTEGER) AS own, round(coalesce(others, 0), 5) AS others, round(slots + coalesce(others, 0), 5) AS depth FROM e LEFT JOIN s USING (ed_id)")
+def j12(t):
+    return field.depth(t.v_ed.join(t.v_ent, "ent")).select("ed_id", "own", F.round("others", 5).alias("others"), F.round("depth", 5).alias("depth"))
+
+
+@query("j15_strength", "WITH s AS (SELECT ed_id, ent, yr, level, cut FROM v_obs WHERE ev = 'singles' AND dr = 'main' AND cut IS NOT NULL), k AS (SELECT *, 100 * (count(*) OVER (PARTITION BY level) - (rank() OVER (PARTITION BY level ORDER BY cut) - 1) - count(*) OVER (PARTITION BY level, cut) / 2) / count(*) OVER (PARTITION BY level) AS score FROM s) SELECT a.ed_id, round(a.score, 6) AS score, round(a.score - b.score, 6) AS delta, CASE WHEN b.score IS NULL THEN NULL WHEN abs(a.score - b.score) <= 12 THEN 'same' WHEN abs(a.score - b.score) <= 30 THEN 'moved' ELSE 'far' END AS band FROM k a LEFT JOIN k b ON a.ent = b.ent AND b.yr = a.yr - 1")
+def j15(t):
+    s = windows.cohort_score(t.v_obs.where("ev = 'singles' and dr = 'main' and cut is not null"), "level", "cut")
+    return r6(field.strength(s).select("ed_id", "score", "delta", "band"), "score", "delta")
+
+
+@query("j16_drain", f"SELECT a.ed_id, count(b.ed_id) AS nearby, count(b.ed_id) * 24 AS places, CASE WHEN {RANK.replace('level', 'a.level')} <= 45 THEN 'high' WHEN {RANK.replace('level', 'a.level')} <= 60 THEN 'low' ELSE 'none' END AS exposure FROM {PLACED} a LEFT JOIN {PLACED} b ON b.level LIKE 'ITF%' AND a.yr = b.yr AND a.wk = b.wk AND {HAV.format(a='a', b='b')} <= 1500 WHERE a.level NOT LIKE 'ITF%' GROUP BY a.ed_id, a.level")
+def j16(t):
+    return field.drain(t.v_ed.join(t.v_ent, "ent"))
+
+
+@query("j18_verdict", "SELECT a.ed_id, CASE WHEN b.cut IS NULL OR a.ed_id % 50 > 40 THEN NULL WHEN abs(a.cut - b.cut) / b.cut < 0.1 THEN 'about the same' ELSE concat(CASE WHEN abs(a.cut - b.cut) / b.cut >= 0.25 THEN 'much ' ELSE '' END, CASE WHEN a.cut < b.cut THEN 'stronger' ELSE 'weaker' END) END AS verdict FROM v_obs a LEFT JOIN v_obs b ON a.ent = b.ent AND b.yr = a.yr - 1 AND b.ev = 'singles' AND b.dr = 'main' WHERE a.ev = 'singles' AND a.dr = 'main' AND a.cut IS NOT NULL")
+def j18(t):
+    from tideline.operators import joins
+
+    o = joins.prior_period(t.v_obs.where("ev = 'singles' and dr = 'main'"), ["ent"], "yr", "cut", "prev").where("cut is not null")
+    return o.select("ed_id", field.verdict(F.col("prev"), F.col("cut") - F.col("prev"), F.col("ed_id") % 50).alias("verdict"))
+
+
+@query("j19_reference_cuts", "WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ent, ev, dr ORDER BY yr DESC, ed_id) AS rn FROM v_obs WHERE cut IS NOT NULL) WHERE rn = 1) SELECT ent, max(direct_rank) FILTER (WHERE ev = 'singles' AND dr = 'main') AS main_cut, max(alt_rank) FILTER (WHERE ev = 'singles' AND dr = 'main') AS main_alt, max(direct_rank) FILTER (WHERE dr = 'qualifying') AS qual_cut, max(cut) FILTER (WHERE ev = 'doubles') AS doubles_cut, max(yr) AS from_year FROM l GROUP BY ent")
+def j19(t):
+    return field.reference_cuts(windows.latest_per_key(t.v_obs.where("cut is not null"), ["ent", "ev", "dr"], [F.col("yr").desc(), F.col("ed_id")]))
+
+
+@query("j20_entry_status", "WITH p AS (SELECT ed_id, max(direct_rank) FILTER (WHERE ev = 'singles' AND dr = 'main') AS m, max(alt_rank) FILTER (WHERE ev = 'singles' AND dr = 'main') AS a, max(direct_rank) FILTER (WHERE dr = 'qualifying') AS q FROM v_snap GROUP BY ed_id) SELECT ed_id, CASE WHEN greatest(m, a) IS NOT NULL AND 200 <= greatest(m, a) THEN 'main' WHEN q IS NOT NULL AND 200 <= q THEN 'qualifying' WHEN greatest(m, a) IS NULL AND q IS NULL THEN 'unknown' ELSE 'out' END AS status FROM p")
+def j20(t):
+    pick = lambda e, d, c: F.max(F.when((F.col("ev") == e) & (F.col("dr") == d), F.col(c)))
+    p = t.v_snap.groupBy("ed_id").agg(pick("singles", "main", "direct_rank").alias("m"), pick("singles", "main", "alt_rank").alias("a"), pick("singles", "qualifying", "direct_rank").alias("q"))
+    no = F.lit(False)
+    return p.select("ed_id", field.entry_status(F.lit(200), F.col("m"), F.col("a"), F.col("q"), no, no).alias("status"))
+
+
+@query("j22_week_calendar", "WITH e AS (SELECT ed_id, yr, wk, start_date, CASE WHEN level = 'ATP 500' THEN 2 ELSE 1 END AS span FROM v_ed), x AS (SELECT ed_id, yr, cast(wk + k AS INTEGER) AS at_w, k = 0 AS prim, start_date FROM e, range(0, 2) r(k) WHERE k < span) SELECT ed_id, at_w AS at_wk, prim AS is_primary, min(CASE WHEN prim THEN start_date END) OVER (PARTITION BY yr, at_w) AS week_start FROM x")
+def j22(t):
+    e = t.v_ed.withColumn("span", F.when(F.col("level") == "ATP 500", 2).otherwise(1))
+    return field.week_calendar(e).select("ed_id", F.col("at").alias("at_wk"), F.col("primary").alias("is_primary"), "week_start")
+
+
+@query("j23_resolve_stop", "WITH o AS (SELECT * FROM v_obs WHERE ev = 'singles' AND dr = 'main'), h AS (SELECT a.ed_id, arg_max(b.cut, b.yr) AS cut FROM o a JOIN o b ON b.ent = a.ent AND b.yr < a.yr AND b.cut IS NOT NULL WHERE a.cut IS NULL GROUP BY 1), p AS (SELECT a.ed_id, b.cut AS ref_cut, row_number() OVER (PARTITION BY a.ed_id ORDER BY abs(b.wk - a.wk), b.yr DESC, b.ed_id) AS rn FROM o a JOIN o b ON a.country = b.country AND a.level = b.level AND b.yr < a.yr AND abs(b.wk - a.wk) <= 2 AND b.cut IS NOT NULL) SELECT o.ed_id, coalesce(o.cut, h.cut, p.ref_cut) AS cut, CASE WHEN o.cut IS NOT NULL THEN 'own' WHEN h.cut IS NOT NULL THEN 'history' WHEN p.ref_cut IS NOT NULL THEN 'reference' ELSE 'none' END AS src FROM o LEFT JOIN h USING (ed_id) LEFT JOIN p ON p.ed_id = o.ed_id AND p.rn = 1")
+def j23(t):
+    from tideline.operators import joins
+
+    o = t.v_obs.where("ev = 'singles' and dr = 'main'")
+    w = o.select("ed_id", "ent", "yr", "cut").withColumn("_last", F.expr("last_value(cut) ignore nulls over (partition by ent order by yr rows between unbounded preceding and 1 preceding)"))
+    refs = o.select("country", "level", F.col("ed_id").alias("ref_id"), F.col("yr").alias("ref_yr"), F.col("wk").alias("ref_wk"), F.col("cut").alias("ref_cut"))
+    prior = joins.prior_reference(o, refs, ["country", "level"], "ed_id")
+    return field.resolve_stop(o.select("ed_id", "cut"), w.select("ed_id", F.col("_last").alias("cut")), prior)
+
+
+RULES = "(VALUES ('tour','main',28),('tour','qualifying',21),('tour','doubles',14),('challenger','main',21),('challenger','qualifying',19),('challenger','doubles',7),('itf','single',18)) AS r(category, kind, days)"
+DUE = f"due AS (SELECT ed_id, kind, cast(date_trunc('week', start_date) AS DATE) - days AS due FROM (SELECT *, CASE WHEN level LIKE 'ATP%' THEN 'tour' WHEN level LIKE 'Ch%' THEN 'challenger' ELSE 'itf' END AS category FROM v_ed) e JOIN {RULES} ON r.category = e.category)"
+
+
+@query("j24_deadlines", f"WITH {DUE} SELECT ed_id, kind, CASE WHEN ed_id % 100 = 0 AND kind = 'main' THEN DATE '1999-01-01' ELSE due END AS due FROM due")
+def j24(t):
+    o = t.v_ed.where("ed_id % 100 = 0").select("ed_id", F.lit("main").alias("kind"), F.to_date(F.lit("1999-01-01")).alias("due"))
+    return field.deadlines(t.v_ed, o)
+
+
+@query("j25_due_reminders", f"WITH {DUE}, h AS (SELECT *, date_diff('hour', TIMESTAMP '1997-03-01 06:00:00', cast(due AS TIMESTAMP)) AS left_h FROM due) SELECT ed_id, kind, cast(left_h AS DOUBLE) AS hours_left, concat_ws(',', CASE WHEN left_h <= 96 THEN '96' END, CASE WHEN left_h <= 48 THEN '48' END, CASE WHEN left_h <= 24 THEN '24' END) AS windows FROM h WHERE left_h > 0 AND left_h <= 96")
+def j25(t):
+    return field.due_reminders(field.deadlines(t.v_ed), F.to_timestamp(F.lit("1997-03-01 06:00:00")), [24, 48, 96]).select("ed_id", "kind", F.col("hours_left").cast("double").alias("hours_left"), "windows")
+
+
+@query("j26_j31_missing_report", "WITH x AS (SELECT ed_id, d.ev, d.dr FROM v_ed JOIN (VALUES ('singles','main'),('singles','qualifying'),('doubles','main'),('doubles','qualifying')) AS d(ev, dr) ON (level NOT LIKE 'ITF%' OR ev = 'singles') AND (d.ev <> 'doubles' OR d.dr = 'main' OR level = 'ATP 500')), p AS (SELECT DISTINCT ed_id, ev, dr, true AS p FROM v_snap WHERE direct_rank IS NOT NULL) SELECT x.ed_id, count(*) AS expected, count(p) AS present, coalesce(string_agg(CASE WHEN p IS NULL THEN concat(x.ev, '-', x.dr) END, ',' ORDER BY concat(x.ev, '-', x.dr)), '') AS missing FROM x LEFT JOIN p ON p.ed_id = x.ed_id AND p.ev = x.ev AND p.dr = x.dr GROUP BY x.ed_id")
+def j26(t):
+    return field.missing_report(basics.expected_draws(t.v_ed), t.v_snap.where("direct_rank is not null"))
+
+
+@query("j33_fill_from_siblings", "WITH b AS (SELECT ent, city, CASE WHEN ent % 3 > 0 THEN country END AS country FROM v_ent), s AS (SELECT city, arg_min(country, ent) FILTER (WHERE country IS NOT NULL) AS c FROM b GROUP BY city) SELECT ent, CASE WHEN ent % 97 = 0 THEN 'SET' ELSE coalesce(b.country, s.c) END AS country, CASE WHEN ent % 97 = 0 THEN 'override' WHEN b.country IS NOT NULL THEN 'own' WHEN s.c IS NOT NULL THEN 'sibling' ELSE 'none' END AS src FROM b LEFT JOIN s USING (city)")
+def j33(t):
+    b = t.v_ent.select("ent", "city", F.when(F.col("ent") % 3 > 0, F.col("country")).alias("country"))
+    return field.fill_from_siblings(b, "city", "ent", "country", t.v_ent.where("ent % 97 = 0").select("ent", F.lit("SET").alias("country")))
+
+
+@query("j35_phase_and_label", "WITH d AS (SELECT ed_id, start_date, abs(start_date - DATE '1998-06-15') AS n FROM v_ed) SELECT ed_id, CASE WHEN start_date + 6 < DATE '1998-06-15' THEN 'past' WHEN start_date <= DATE '1998-06-15' THEN 'current' ELSE 'upcoming' END AS phase, CASE WHEN n < 7 THEN concat(n, ' d') WHEN n < 56 THEN concat(n // 7, ' w') WHEN n < 730 THEN concat(n // 30, ' mo') ELSE concat(n // 365, ' y') END AS label FROM d")
+def j35(t):
+    return field.phase_and_label(t.v_ed.withColumn("end_date", F.lit(None).cast("date")), F.to_date(F.lit("1998-06-15"))).select("ed_id", "phase", "label")
