@@ -1 +1,305 @@
-"""Queries."""
+"""Queries of graphs, audits, the ledger and merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideline.operators import chains, joins, merge, quality, sets
+from tideline.operators.graph import connected_components
+from tideline.plans.catalog import query
+from tideline.plans.q_expressions import HAV, MINP
+from tideline.plans.q_joins import CHAIN, EDGES, PLACED, chain_events, country_pairs
+
+REACH = "both_ AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach(node, root) AS (SELECT DISTINCT src, src FROM both_ UNION SELECT b.dst, r.root FROM reach r JOIN both_ b ON b.src = r.node), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"
+
+
+@query("k00_connected_components", f"WITH RECURSIVE e AS ({EDGES}), {REACH} SELECT node, component FROM comp")
+def k00(t):
+    return connected_components(joins.adjacency_edges(chain_events(t), country_pairs(t)))
+
+
+@query("k01_chains", f"""WITH RECURSIVE e AS ({EDGES}), {REACH}, m AS (SELECT c.component AS chain, v.* FROM comp c JOIN {CHAIN} v ON v.ed_id = c.node),
+f AS (SELECT chain, count(DISTINCT wk) AS weeks, count(DISTINCT concat(lat, '/', lon)) AS places FROM m GROUP BY chain HAVING count(DISTINCT wk) >= 2)
+SELECT chain, ed_id, CASE WHEN places = 1 AND weeks > 3 THEN 'series' ELSE 'swing' END AS kind FROM m JOIN f USING (chain)""")
+def k01(t):
+    return chains.chains(chain_events(t), country_pairs(t)).select("chain", "ed_id", "kind")
+
+
+@query("k01_chain_parts")
+def k01p(t):
+    return chains.chains(chain_events(t), country_pairs(t), max_weeks=4)
+
+
+@query("d22_chain_summary", f"""WITH RECURSIVE e AS ({EDGES}), {REACH}, m AS (SELECT c.component AS chain, v.* FROM comp c JOIN {CHAIN} v ON v.ed_id = c.node),
+h AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM m WINDOW w AS (PARTITION BY chain ORDER BY wk, ed_id)), p AS (SELECT chain, wk, {HAV.format(a='h', b='g').replace('g.lat', 'h.la').replace('g.lon', 'h.lo')} AS km FROM h),
+c AS (SELECT chain, country, min(wk * 1000000000::BIGINT + ed_id) AS k FROM m GROUP BY 1, 2), cc AS (SELECT chain, string_agg(country, ',' ORDER BY k) AS countries FROM c GROUP BY chain)
+SELECT chain, cast(max(wk) - min(wk) + 1 AS INTEGER) AS weeks, count(*) AS stops, countries, round(max(km), 5) AS max_hop FROM p JOIN cc USING (chain) GROUP BY chain, countries""")
+def d22(t):
+    e = chain_events(t)
+    members = e.join(connected_components(joins.adjacency_edges(e, country_pairs(t))).select(F.col("node").alias("ed_id"), F.col("component").alias("chain")), "ed_id")
+    return chains.chain_summary(members, ["chain"]).withColumn("max_hop", F.round("max_hop", 5))
+
+
+@query("k02_cluster_within", f"WITH RECURSIVE e AS (SELECT a.ed_id AS src, b.ed_id AS dst FROM {PLACED} a JOIN {PLACED} b ON a.yr = b.yr AND a.wk = b.wk AND a.ed_id < b.ed_id WHERE {HAV.format(a='a', b='b')} <= 900), {REACH} SELECT v.ed_id, coalesce(component, v.ed_id) AS cluster FROM v_ed v LEFT JOIN comp ON node = v.ed_id")
+def k02(t):
+    return chains.cluster_within(t.v_ed.join(t.v_ent, "ent"), ["yr"], "wk", 900)
+
+
+@query("k03_k04_splits", """WITH RECURSIVE r AS (SELECT n.city AS place, e.ent, e.yr, e.wk FROM v_ed e JOIN v_ent n ON n.ent = e.ent),
+p AS (SELECT a.ent AS src, b.ent AS dst, bool_or(a.yr = b.yr AND a.wk = b.wk) AS same, bool_or(a.yr = b.yr) AS overlap, max(abs(a.wk - b.wk)) AS gap FROM r a JOIN r b ON a.place = b.place AND a.ent < b.ent GROUP BY 1, 2), e AS (SELECT src, dst FROM p WHERE same OR (NOT overlap AND gap <= 1)), """ + REACH + """,
+f AS (SELECT node AS ent, component AS cluster, (SELECT count(cut) FROM v_obs o WHERE o.ent = node) AS cuts, (SELECT count(*) FROM v_ed d WHERE d.ent = node) AS editions, (SELECT length(slug) FROM v_ent n WHERE n.ent = node) AS len FROM comp)
+SELECT cluster, ent AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cuts DESC, editions DESC, len DESC, ent) AS rn FROM f) WHERE rn = 1""")
+def k03(t):
+    r = t.v_ed.join(t.v_ent, "ent").select(F.col("city").alias("place"), "ent", F.lit(1).alias("number"), "yr", "wk")
+    facts = t.v_ent.select("ent", "slug").join(t.v_obs.groupBy("ent").agg(F.count("cut").alias("cuts"), F.count_distinct("ed_id").alias("editions")), "ent")
+    return chains.suggest_canonical(chains.cluster_splits(r), facts)
+
+
+@query("k05_scope_fanout")
+def k05(t):
+    from tideline.functions import levels
+
+    e = t.v_ed.join(t.v_ent, "ent").withColumn("grp", levels.level_group(F.col("level"))).select("ed_id", "yr", "wk", "country", "region", "surface", "lat", "lon", "grp")
+    return chains.chains_by_scope(e, country_pairs(t), "grp", ["atp", "challenger", "itf"])
+
+
+@query("l01_same_week_duplicates", "WITH k AS (SELECT ed_id, yr, wk, level, lower(city) AS place FROM v_ed e JOIN v_ent n ON n.ent = e.ent UNION SELECT ed_id, yr, wk, level, lower(country) FROM v_ed e JOIN v_ent n ON n.ent = e.ent), g AS (SELECT yr, wk, level, place, string_agg(cast(ed_id AS VARCHAR), ',' ORDER BY ed_id) AS members FROM k GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2) SELECT yr, wk, level, members, min(place) AS place FROM g GROUP BY 1, 2, 3, 4")
+def l01(t):
+    e = t.v_ed.join(t.v_ent, "ent").select("ed_id", "yr", "wk", "level", F.lower("city").alias("a"), F.lower("country").alias("b"))
+    return quality.same_week_duplicates(e, ["yr", "wk", "level"], ["a", "b"])
+
+
+@query("l02_duplicate_pairs", "SELECT a.ed_id AS a, b.ed_id AS b FROM (SELECT ed_id, yr, wk, country, city, slug FROM v_ed e JOIN v_ent n ON n.ent = e.ent) a JOIN (SELECT ed_id, yr, wk, country, city, slug FROM v_ed e JOIN v_ent n ON n.ent = e.ent) b ON a.yr = b.yr AND a.wk = b.wk AND a.country = b.country AND a.ed_id < b.ed_id WHERE contains(a.slug, b.slug) OR contains(b.slug, a.slug) OR a.city = b.city")
+def l02(t):
+    return quality.duplicate_pairs(t.v_ed.join(t.v_ent, "ent"), ["yr", "wk"], "slug", "city")
+
+
+@query("l03_code_winners", "WITH e AS (SELECT ent, city AS code, slug, ent % 10 = 0 AS canonical FROM v_ent), n AS (SELECT code, count(DISTINCT ent) AS n FROM e GROUP BY 1 HAVING count(DISTINCT ent) >= 2) SELECT code, n, ent AS winner FROM (SELECT e.*, n, row_number() OVER (PARTITION BY e.code ORDER BY CASE WHEN canonical THEN 1000 ELSE 0 END + CASE WHEN contains(slug, 'ch') THEN 0 ELSE 50 END - length(slug) DESC, ent) AS rn FROM e JOIN n ON n.code = e.code) WHERE rn = 1")
+def l03(t):
+    return quality.code_winners(t.v_ent.select("ent", F.col("city").alias("code"), "slug", (F.col("ent") % 10 == 0).alias("canonical")), "code")
+
+
+@query("l04_blocked_merges", "SELECT a.ed_id AS a, b.ed_id AS b, CASE WHEN a.country <> b.country THEN 'country' WHEN a.level <> b.level THEN 'level' WHEN abs(a.start_date - b.start_date) >= 14 THEN 'dates' END AS blocked FROM (SELECT e.*, n.city, n.country FROM v_ed e JOIN v_ent n ON n.ent = e.ent) a JOIN (SELECT e.*, n.city, n.country FROM v_ed e JOIN v_ent n ON n.ent = e.ent) b ON a.city = b.city AND a.yr = b.yr AND a.ed_id < b.ed_id")
+def l04(t):
+    e = t.v_ed.join(t.v_ent, "ent")
+    side = lambda s: e.select("city", "yr", F.col("ed_id").alias(s), F.col("country").alias(f"country_{s}"), F.col("level").alias(f"level_{s}"), F.col("start_date").alias(f"date_{s}"))
+    return quality.blocked_merges(side("a").join(side("b"), ["city", "yr"]).where("a < b")).select("a", "b", "blocked")
+
+
+AUDIT = f"""s AS (SELECT s.*, level FROM v_snap s JOIN v_ed e ON e.ed_id = s.ed_id), p AS (SELECT * FROM v_snap WHERE direct_rank IS NOT NULL OR alt_rank IS NOT NULL),
+a1 AS (SELECT ed_id FROM v_ed e WHERE start_date < DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM p WHERE p.ed_id = e.ed_id)),
+findings AS (SELECT DISTINCT 'C1' AS rule, 'critical' AS severity, ed_id FROM s WHERE direct_rank < {MINP} OR direct_rank > 2500
+UNION ALL SELECT 'C2', 'warn', ed_id FROM v_snap GROUP BY ed_id HAVING max(direct_rank) FILTER (WHERE dr = 'qualifying') < max(direct_rank) FILTER (WHERE ev = 'singles' AND dr = 'main')
+UNION ALL SELECT 'C12', 'warn', ed_id FROM v_ed WHERE isodow(start_date) >= 3
+UNION ALL SELECT 'A1', 'critical', ed_id FROM a1
+UNION ALL SELECT 'A2', 'warn', ed_id FROM v_ed e WHERE start_date < DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM p WHERE p.ed_id = e.ed_id AND ev = 'singles' AND dr = 'main') AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.ed_id = e.ed_id))"""
+
+
+def findings(t):
+    return quality.audit(t.v_ed, t.v_snap, F.to_date(F.lit("2000-01-01")))
+
+
+@query("l05_l07_audit", f"WITH {AUDIT} SELECT * FROM findings")
+def l05(t):
+    return findings(t)
+
+
+@query("l11_severity", f"WITH {AUDIT} SELECT ed_id, max(CASE WHEN severity = 'critical' THEN 2 ELSE 1 END) AS worst, count(*) AS n FROM findings WHERE NOT (rule = 'C12' AND ed_id % 2 = 0) GROUP BY ed_id")
+def l11(t):
+    ack = t.v_ed.where("ed_id % 2 = 0").select(F.lit("C12").alias("rule"), "ed_id", F.to_date(F.lit("2000-06-01")).alias("until"))
+    return quality.reduce_severity(findings(t), ack, ["ed_id"], F.to_date(F.lit("2000-01-01")))
+
+
+@query("l08_liveness", "SELECT event_type, count(*) FILTER (WHERE DATE '2024-01-31' - cast(ts AS DATE) < 7) AS week, count(*) FILTER (WHERE DATE '2024-01-31' - cast(ts AS DATE) < 30) AS month, cast(min(DATE '2024-01-31' - cast(ts AS DATE)) AS INTEGER) AS age FROM events GROUP BY 1")
+def l08(t):
+    return quality.liveness(t.events, "event_type", "ts", F.to_date(F.lit("2024-01-31")))
+
+
+@query("l08_forward_gaps", "SELECT w AS week, count(ed_id) AS n, CASE WHEN count(ed_id) = 0 THEN 'critical' WHEN count(ed_id) < 25 THEN 'warn' ELSE 'ok' END AS severity FROM (SELECT cast(DATE '2001-06-25' + cast(7 * k AS INTEGER) AS DATE) AS w FROM range(0, 8) r(k)) LEFT JOIN v_ed ON cast(date_trunc('week', start_date) AS DATE) = w GROUP BY 1")
+def l08g(t):
+    return quality.forward_gaps(t.v_ed, F.to_date(F.lit("2001-06-27")), 8, 25)
+
+
+CASES = "cases AS (SELECT user_id AS key, event_type AS rule, CASE WHEN user_id % 3 = 0 THEN 'fixed' ELSE 'open' END AS status, user_id % 4 AS times_seen, user_id % 3 AS attempts FROM (SELECT user_id, min(event_type) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY 1) x WHERE user_id % 5 > 0), f AS (SELECT DISTINCT user_id AS key, (SELECT min(event_type) FROM events b WHERE b.user_id = a.user_id AND b.event_id % 2 = 0) AS rule FROM events a WHERE user_id % 7 < 4)"
+
+
+def ledger(t):
+    own = t.events.where("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_type").alias("rule"))
+    u = F.col("user_id")
+    cases = own.where("user_id % 5 > 0").select(u.alias("key"), "rule", F.when(u % 3 == 0, "fixed").otherwise("open").alias("status"), (u % 4).alias("times_seen"), (u % 3).alias("attempts"))
+    f = t.events.where("user_id % 7 < 4").select("user_id").distinct().join(own, "user_id", "left").select(u.alias("key"), "rule")
+    return quality.sync_ledger(cases, f, ["click", "purchase"], F.to_timestamp(F.lit("2024-02-01")))
+
+
+EVENT = "CASE WHEN c.key IS NULL THEN 'opened' WHEN f.key IS NOT NULL AND status = 'fixed' THEN 'reopened' WHEN f.key IS NOT NULL THEN 'seen' WHEN status <> 'fixed' AND c.rule IN ('click', 'purchase') THEN 'fixed' END"
+
+
+@query("l12_ledger_state", f"WITH {CASES}, x AS (SELECT coalesce(c.key, f.key) AS key, coalesce(c.rule, f.rule) AS rule, status, times_seen, attempts, f.key IS NOT NULL AS seen, {EVENT} AS event FROM cases c FULL JOIN f ON c.key = f.key) SELECT key, rule, CASE WHEN event IN ('opened', 'reopened') THEN 'open' WHEN event = 'fixed' THEN 'fixed' ELSE status END AS status, coalesce(times_seen, 0) + CASE WHEN seen THEN 1 ELSE 0 END AS times_seen, CASE WHEN event IN ('opened', 'reopened') THEN 0 ELSE attempts END AS attempts FROM x")
+def l12(t):
+    return ledger(t)[0]
+
+
+@query("l12_ledger_log", f"WITH {CASES} SELECT coalesce(c.key, f.key) AS key, coalesce(c.rule, f.rule) AS rule, {EVENT} AS event FROM cases c FULL JOIN f ON c.key = f.key WHERE {EVENT} IS NOT NULL")
+def l12l(t):
+    return ledger(t)[1].select("key", "rule", "event")
+
+
+@query("l13_ledger_counts", f"WITH {CASES} SELECT status, count(*) AS n, count(*) FILTER (WHERE attempts >= 2) AS exhausted FROM cases GROUP BY status")
+def l13(t):
+    own = t.events.where("event_id % 2 = 0 and user_id % 5 > 0").select("user_id").distinct()
+    u = F.col("user_id")
+    return quality.ledger_counts(own.select(F.when(u % 3 == 0, "fixed").otherwise("open").alias("status"), (u % 3).alias("attempts")))
+
+
+@query("g04_finding_diff", "WITH a AS (SELECT DISTINCT user_id AS key, event_type AS rule FROM events WHERE day(ts) = 3), b AS (SELECT DISTINCT user_id AS key, event_type AS rule FROM events WHERE day(ts) = 4) SELECT coalesce(a.key, b.key) AS key, coalesce(a.rule, b.rule) AS rule, CASE WHEN a.key IS NULL THEN 'fresh' WHEN b.key IS NOT NULL THEN 'kept' WHEN a.rule IN ('click', 'view') THEN 'resolved' ELSE 'unknown' END AS state FROM a FULL JOIN b ON a.key = b.key AND a.rule = b.rule")
+def g04(t):
+    day = lambda n: t.events.where(F.dayofmonth("ts") == n).select(F.col("user_id").alias("key"), F.col("event_type").alias("rule")).distinct()
+    return sets.finding_diff(day(3), day(4), ["click", "view"])
+
+
+@query("l14_l16_checks", "SELECT ed_id, coalesce(direct_rank, 0) + coalesce(alt_rank, 0) = adv_rank AS adds_up, ev = 'doubles' AND dr = 'qualifying' AS invalid FROM v_snap")
+def l14(t):
+    return t.v_snap.select("ed_id", quality.adds_up(t.v_snap, ["direct_rank", "alt_rank"], "adv_rank").alias("adds_up"), ((F.col("ev") == "doubles") & (F.col("dr") == "qualifying")).alias("invalid"))
+
+
+@query("l17_wrong_source_year", "SELECT a.ed_id, CASE WHEN a.ed_id % 2 = 0 AND b.ed_id % 2 = 0 THEN 'keep both' WHEN b.ed_id % 2 = 0 THEN 'drop new' WHEN a.ed_id % 2 = 0 THEN 'drop old' ELSE 'drop both' END AS verdict FROM v_ed a JOIN v_ed b ON a.ent = b.ent AND b.yr = a.yr - 1 AND a.level = b.level")
+def l17(t):
+    b = t.v_ed.select("ent", (F.col("yr") + 1).alias("yr"), "level", (F.col("ed_id") % 2 == 0).alias("ok_old"))
+    pairs = t.v_ed.join(b, ["ent", "yr", "level"]).withColumn("ok_new", F.col("ed_id") % 2 == 0)
+    return quality.wrong_source_year(pairs).select("ed_id", "verdict")
+
+
+@query("l18_reread_text", r"SELECT event_id, cast(nullif(regexp_extract(props, '\"k\": ([0-9]+)', 1), '') AS INTEGER) AS reread FROM events WHERE coalesce(cast(nullif(regexp_extract(props, '\"k\": ([0-9]+)', 1), '') AS INTEGER), -1) <> user_id % 10".replace('\\"', '"'))
+def l18(t):
+    got = F.nullif(F.regexp_extract("props", '"k": ([0-9]+)', 1), F.lit("")).cast("int")
+    return t.events.select("event_id", got.alias("reread"), "user_id").where(F.coalesce("reread", F.lit(-1)) != F.col("user_id") % 10).select("event_id", "reread")
+
+
+@query("l19_sweep_status", "SELECT e.ed_id, CASE WHEN EXISTS (SELECT 1 FROM v_snap s WHERE s.ed_id = e.ed_id AND s.adv_rank IS NOT NULL) THEN 'held' WHEN (yr = 1996 AND slug LIKE '%-1%') OR (yr = 1997 AND slug LIKE '%-2%') THEN 'not_held' ELSE 'held?' END AS status FROM v_ed e JOIN v_ent n ON n.ent = e.ent")
+def l19(t):
+    rules = t.spark.createDataFrame([(1996, "%-1%"), (1997, "%-2%")], "year int, pattern string")
+    e = t.v_ed.join(t.v_ent.select("ent", "slug"), "ent").withColumn("status", F.lit("held?"))
+    return quality.sweep_status(e, rules, t.v_snap.where("adv_rank is not null").select("ed_id"))
+
+
+@query("l20_audit_levels", "WITH h AS (SELECT ent AS code, max(yr) AS season, arg_max(level, yr) AS level, ent % 4 = 0 AS heuristic FROM v_ed WHERE ent % 5 > 0 GROUP BY ent) SELECT e.ed_id, CASE WHEN e.ent % 11 = 0 THEN 'missing code' WHEN h.season IS NULL OR h.season <> e.yr THEN 'unverifiable' WHEN h.heuristic THEN CASE WHEN e.level LIKE 'ATP%' THEN 'confirmed' ELSE 'mismatch' END WHEN h.level = e.level THEN 'confirmed' ELSE 'mismatch' END AS verdict FROM v_ed e LEFT JOIN h ON h.code = CASE WHEN e.ent % 11 > 0 THEN e.ent END")
+def l20(t):
+    h = t.v_ed.where("ent % 5 > 0").groupBy(F.col("ent").alias("code")).agg(F.max("yr").alias("season"), F.max_by("level", "yr").alias("level")).withColumn("heuristic", F.col("code") % 4 == 0)
+    return quality.audit_levels(t.v_ed.withColumn("code", F.when(F.col("ent") % 11 > 0, F.col("ent"))), h)
+
+
+@query("l21_completeness_gate", "SELECT event_id FROM events WHERE cast(ts AS DATE) IN (SELECT cast(ts AS DATE) FROM events WHERE value > 90 GROUP BY 1 HAVING count(DISTINCT event_type) >= 5) AND value > 90")
+def l21(t):
+    return quality.completeness_gate(t.events.where("value > 90").withColumn("day", F.to_date("ts")), "day", "event_type", 5).select("event_id")
+
+
+def two_snaps(t):
+    a = t.v_snap.where("ev = 'singles' and dr = 'main' and ed_id % 3 > 0").select("ed_id", "direct_rank", "alt_rank")
+    b = t.v_snap.where("ev = 'singles' and dr = 'qualifying' and ed_id % 4 > 0").select("ed_id", "direct_rank", "alt_rank")
+    return a, b
+
+
+TWO = "a AS (SELECT ed_id, direct_rank, alt_rank FROM v_snap WHERE ev = 'singles' AND dr = 'main' AND ed_id % 3 > 0), b AS (SELECT ed_id, direct_rank, alt_rank FROM v_snap WHERE ev = 'singles' AND dr = 'qualifying' AND ed_id % 4 > 0)"
+for _policy, _sql in {
+    "incoming_wins": "CASE WHEN b.ed_id IS NOT NULL THEN b.{c} ELSE a.{c} END",
+    "existing_wins": "CASE WHEN a.ed_id IS NOT NULL THEN a.{c} ELSE b.{c} END",
+    "coalesce_existing": "coalesce(a.{c}, b.{c})",
+    "coalesce_incoming": "coalesce(b.{c}, a.{c})",
+}.items():
+    query(f"m01_upsert_{_policy}", f"WITH {TWO} SELECT coalesce(a.ed_id, b.ed_id) AS ed_id, {_sql.format(c='direct_rank')} AS direct_rank, {_sql.format(c='alt_rank')} AS alt_rank FROM a FULL JOIN b ON a.ed_id = b.ed_id")(
+        lambda t, p=_policy: merge.upsert(*two_snaps(t), ["ed_id"], p)
+    )
+
+
+@query("m02_block_preserve", f"WITH {TWO} SELECT a.ed_id, CASE WHEN b.direct_rank IS NOT NULL THEN b.direct_rank ELSE a.direct_rank END AS direct_rank, coalesce(b.alt_rank, a.alt_rank) AS alt_rank FROM a LEFT JOIN b ON a.ed_id = b.ed_id")
+def m02(t):
+    return merge.block_preserve(*two_snaps(t), ["ed_id"], ["direct_rank"], ["alt_rank"])
+
+
+@query("m03_source_precedence", f"WITH {TWO} SELECT a.ed_id, CASE WHEN a.ed_id % 2 = 0 THEN 'official' ELSE 'feed' END AS source, CASE WHEN a.ed_id % 2 = 0 THEN a.direct_rank ELSE coalesce(b.direct_rank, a.direct_rank) END AS direct_rank FROM a LEFT JOIN b ON a.ed_id = b.ed_id")
+def m03(t):
+    a, b = two_snaps(t)
+    return merge.source_precedence(a.withColumn("source", F.when(F.col("ed_id") % 2 == 0, "official").otherwise("feed")), b, ["ed_id"], ["direct_rank"], "official")
+
+
+@query("m04_tombstones", f"WITH {TWO} SELECT ed_id, CASE WHEN alt_rank IS NULL AND ed_id % 2 = 0 AND ed_id % 10 > 2 THEN 'NOT_FOUND' END AS note FROM a")
+def m04(t):
+    a, _ = two_snaps(t)
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    a = a.withColumn("note", F.lit(None).cast("string")).withColumn("looked_at", F.when(F.col("ed_id") % 10 <= 2, F.to_timestamp(F.lit("2024-01-01 20:00:00"))))
+    return merge.tombstones(a, a.where("ed_id % 2 = 0").select("ed_id"), ["ed_id"], "alt_rank", now).select("ed_id", "note")
+
+
+@query("m05_fill_only", f"WITH {TWO} SELECT coalesce(a.ed_id, b.ed_id) AS ed_id, coalesce(a.alt_rank, b.alt_rank) AS alt_rank FROM a FULL JOIN b ON a.ed_id = b.ed_id")
+def m05(t):
+    return merge.fill_only(*two_snaps(t), ["ed_id"], "alt_rank")
+
+
+@query("m06_merge_entities", "WITH m AS (SELECT ed_id, CASE WHEN ent IN (1, 2, 3) THEN 1 WHEN ent % 40 < 4 THEN ent - ent % 40 ELSE ent END AS ent, yr, cut FROM v_obs WHERE ev = 'singles' AND dr = 'main'), g AS (SELECT *, CASE WHEN start_date - lag(start_date) OVER w < 14 THEN 0 ELSE 1 END AS n FROM (SELECT m.ed_id, m.ent, m.yr, e.start_date, m.cut FROM m JOIN v_ed e ON e.ed_id = m.ed_id) WINDOW w AS (PARTITION BY ent, yr ORDER BY start_date, ed_id)), k AS (SELECT *, sum(n) OVER (PARTITION BY ent, yr ORDER BY start_date, ed_id) AS ev FROM g) SELECT ent, yr, arg_min(ed_id, (start_date, ed_id)) AS ed_id, min(start_date) AS start_date, arg_min(cut, (start_date, ed_id)) FILTER (WHERE cut IS NOT NULL) AS cut, count(*) AS folded FROM k GROUP BY ent, yr, ev")
+def m06(t):
+    e = t.v_ed.join(t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", "cut"), "ed_id").select("ed_id", "ent", "yr", "start_date", "cut")
+    mapping = t.v_ent.where("ent % 40 between 1 and 3 and ent > 1").select(F.col("ent").alias("loser"), (F.col("ent") - 1).alias("winner")).where("winner > 0")
+    return merge.merge_entities(e, mapping)
+
+
+@query("m06_repoint", "SELECT DISTINCT o_custkey % 100 AS usr, CASE WHEN o_custkey % 40 IN (1, 2, 3) AND o_custkey > 3 THEN o_custkey - o_custkey % 40 WHEN o_custkey BETWEEN 1 AND 3 THEN 1 ELSE o_custkey END AS ent FROM orders")
+def m06r(t):
+    mapping = t.v_ent.where("ent % 40 between 1 and 3 and ent > 1").select(F.col("ent").alias("loser"), (F.col("ent") - 1).alias("winner")).where("winner > 0")
+    return merge.repoint(t.orders.select((F.col("o_custkey") % 100).alias("usr"), F.col("o_custkey").alias("ent")), mapping, "usr")
+
+
+@query("m07_refile_seasons", "WITH w AS (SELECT *, yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END AS season FROM v_ed) SELECT w.ed_id, w.season, CASE WHEN r.ed_id IS NULL THEN 'move' WHEN abs(w.start_date - r.start_date) < 14 THEN 'fold' ELSE 'split' END AS action, CASE WHEN abs(w.start_date - r.start_date) < 14 THEN r.ed_id END AS into_id FROM w LEFT JOIN v_ed r ON r.ent = w.ent AND r.yr = w.season WHERE w.season <> w.yr")
+def m07(t):
+    from tideline.functions import dates
+
+    return merge.refile_seasons(t.v_ed, dates.season_of(F.col("start_date"))).withColumnRenamed("into", "into_id")
+
+
+@query("m08_distinct_slugs", "WITH o AS (SELECT o_orderkey AS ed_id, cast(year(o_orderdate) AS INTEGER) AS yr, cast(o_orderdate AS DATE) AS start_date, cast(o_custkey AS VARCHAR) AS slug FROM orders), g AS (SELECT *, CASE WHEN start_date - lag(start_date) OVER w >= 14 THEN 1 ELSE 0 END AS n FROM o WINDOW w AS (PARTITION BY slug, yr ORDER BY start_date, ed_id)), k AS (SELECT *, sum(n) OVER (PARTITION BY slug, yr ORDER BY start_date, ed_id) + 1 AS n2 FROM g) SELECT ed_id, CASE WHEN n2 = 1 THEN slug ELSE concat(slug, '-', n2) END AS new_slug FROM k")
+def m08(t):
+    o = t.orders.select(F.col("o_orderkey").alias("ed_id"), F.year("o_orderdate").alias("yr"), F.col("o_orderdate").cast("date").alias("start_date"), F.col("o_custkey").cast("string").alias("slug"))
+    return merge.distinct_slugs(o, "slug").select("ed_id", "new_slug")
+
+
+@query("m09_copy_facts", "WITH p AS (SELECT a.ed_id AS src, b.ed_id AS dst FROM v_ed a JOIN v_ed b ON a.ent = b.ent AND a.yr = 1996 AND b.yr = 1997) SELECT s.ed_id, s.ev, s.dr, CASE WHEN p.src IS NOT NULL THEN x.direct_rank ELSE s.direct_rank END AS direct_rank FROM v_snap s LEFT JOIN p ON p.dst = s.ed_id LEFT JOIN v_snap x ON x.ed_id = p.src AND x.ev = s.ev AND x.dr = s.dr")
+def m09(t):
+    a, b = t.v_ed.where("yr = 1996").select("ent", F.col("ed_id").alias("src")), t.v_ed.where("yr = 1997").select("ent", F.col("ed_id").alias("dst"))
+    return merge.copy_facts(t.v_snap, a.join(b, "ent").select("src", "dst"))
+
+
+@query("m11_recompute_weeks", "SELECT ed_id, greatest(1, cast(floor((start_date - cast(date_trunc('week', make_date(yr, 1, 5)) AS DATE)) / 7) AS INTEGER) + 1) AS wk FROM v_ed")
+def m11(t):
+    from tideline.functions import dates
+
+    return t.v_ed.select("ed_id", dates.season_week(F.col("start_date"), F.col("yr")).alias("wk"))
+
+
+@query("m12_announce_new", "SELECT DISTINCT o_custkey AS ent, false AS baseline FROM orders WHERE year(o_orderdate) = 1997 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) < 1997)")
+def m12(t):
+    at = lambda c: t.orders.where(c).select(F.col("o_custkey").alias("ent")).distinct()
+    return merge.announce_new(at(F.year("o_orderdate") == 1997), at(F.year("o_orderdate") < 1997), "ent")
+
+
+@query("m13_apply_aliases", "SELECT ent, CASE WHEN country = 'NATION_1' THEN 'NATION_2' ELSE country END AS country FROM v_ent")
+def m13(t):
+    al = t.spark.createDataFrame([("NATION_1", "NATION_2"), ("NATION_3", "NOWHERE")], "alias string, canonical string")
+    return merge.apply_aliases(t.v_ent.select("ent", "country"), al, "country")
+
+
+@query("m14_clone_to_year", "SELECT ent, 2001 AS yr, cast(arg_max(start_date, yr) + cast((2001 - max(yr)) * 364 AS INTEGER) AS DATE) AS start_date, arg_max(level, yr) AS level, arg_max(ed_id, yr) AS template FROM v_ed WHERE yr < 2001 AND ent NOT IN (SELECT ent FROM v_ed WHERE yr = 2001) GROUP BY ent")
+def m14(t):
+    return merge.clone_to_year(t.v_ed, 2001)
+
+
+@query("m15_upgrade_identity", "WITH r AS (SELECT ent AS code, arg_max(cast(ed_id AS VARCHAR), yr) AS name, arg_max(level, yr) AS level FROM v_ed GROUP BY ent) SELECT e.ed_id, coalesce(r.name, '-') AS name, CASE WHEN e.ed_id % 2 = 0 AND r.level LIKE 'ATP%' THEN r.level ELSE e.level END AS level FROM v_ed e LEFT JOIN r ON r.code = e.ent")
+def m15(t):
+    reg = t.v_ed.select(F.col("ent").alias("code"), F.col("ed_id").cast("string").alias("name"), "level", "yr")
+    rows = t.v_ed.select("ed_id", F.col("ent").alias("code"), F.lit("-").alias("name"), "level", (F.col("ed_id") % 2 == 0).alias("heuristic"))
+    return merge.upgrade_identity(rows, reg, "code").select("ed_id", "name", "level")
+
+
+@query("a10_change_set", f"WITH {TWO} SELECT coalesce(a.ed_id, b.ed_id) AS ed_id, CASE WHEN a.ed_id IS NULL THEN 'insert' WHEN b.ed_id IS NULL THEN 'delete' ELSE 'update' END AS op FROM a FULL JOIN b ON a.ed_id = b.ed_id WHERE a.ed_id IS NULL OR b.ed_id IS NULL OR a.direct_rank IS DISTINCT FROM b.direct_rank OR a.alt_rank IS DISTINCT FROM b.alt_rank")
+def a10(t):
+    return merge.change_set(*two_snaps(t), ["ed_id"])
+
+
