@@ -1 +1,95 @@
-"""Queries."""
+"""Queries of entry lists, movements and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideline.operators import lists
+from tideline.plans.catalog import query
+from tideline.streaming import jobs
+
+CHANGES = "SELECT src, seq FROM (SELECT *, lag(content) OVER (PARTITION BY src ORDER BY seq) AS p FROM v_hash) WHERE p IS DISTINCT FROM content"
+
+
+@query("n01_snapshot_changes", CHANGES)
+def n01(t):
+    return lists.snapshot_changes(t.v_hash, "src", "content", ["seq"]).select("src", "seq")
+
+
+def hash_stream(t):
+    content = F.concat("event_type", F.lit("|"), F.floor(F.col("value") / 50).cast("int").cast("string"))
+    return jobs.read_stream(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("src"), F.col("event_id").alias("seq"), "ts", content.alias("content"))
+
+
+@query("n01_stream_changes", CHANGES)
+def n01s(t):
+    return jobs.run_to_table(jobs.snapshot_changes(hash_stream(t), "src", "content", "seq"), "changes").select("src", "seq")
+
+
+@query("n02_unique_snapshots", "SELECT src, min(seq) AS seq FROM v_hash GROUP BY src, content")
+def n02(t):
+    return lists.unique_snapshots(t.v_hash, "src", "content", ["seq"]).select("src", "seq")
+
+
+@query("n02_stream_unique", "SELECT DISTINCT src, content FROM v_hash")
+def n02s(t):
+    return jobs.run_to_table(jobs.unique_snapshots(hash_stream(t), "src", "content", "ts"), "unique")
+
+
+@query("n03_stream_ledger", "SELECT list, player, kind, count(*) AS n FROM (SELECT DISTINCT user_id % 20 AS list, user_id AS player, event_type AS kind, cast(ts AS DATE) AS d FROM events) GROUP BY 1, 2, 3")
+def n03(t):
+    m = jobs.read_stream(t.spark, t.sf_dir, "events").select((F.col("user_id") % 20).alias("list"), F.col("user_id").alias("player"), F.col("event_type").alias("kind"), "ts", F.to_date("ts").alias("d"))
+    got = jobs.run_to_table(jobs.movement_ledger(m, ["list", "player", "kind", "d"], "ts"), "ledger")
+    return got.groupBy("list", "player", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n04_derive_state", "WITH l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2), s AS (SELECT *, CASE kind WHEN 'withdrawal' THEN 'out' WHEN 'promotion' THEN 'in' WHEN 'alternate-withdrawal' THEN 'alternate out' ELSE 'alternate' END AS state FROM l) SELECT list, player, kind, state, CASE WHEN state = 'alternate' THEN cast(sum(CASE WHEN state = 'alternate' THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY player ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS queue FROM s")
+def n04(t):
+    return lists.derive_state(t.v_moves, ["list"])
+
+
+@query("n05_trajectory", "WITH d AS (SELECT *, CASE WHEN kind = 'withdrawal' THEN 1 ELSE 0 END AS o FROM v_moves), x AS (SELECT *, o - coalesce(lag(o) OVER (PARTITION BY list, player ORDER BY ts, seq), 0) AS dlt FROM d), r AS (SELECT *, sum(dlt) OVER (PARTITION BY list ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS out FROM x), p AS (SELECT *, lag(out) OVER (PARTITION BY list ORDER BY ts, seq) AS p FROM r) SELECT list, seq, cast(out AS BIGINT) AS out FROM p WHERE p IS DISTINCT FROM out")
+def n05(t):
+    return lists.trajectory(t.v_moves, ["list"])
+
+
+@query("n06_inherit_departures", "WITH l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2), q AS (SELECT list, player FROM l WHERE player % 3 = 0) SELECT q.list, q.player, coalesce(l.kind = 'alternate-withdrawal', false) AS departed, 'qualifying' AS origin FROM q LEFT JOIN l ON l.list = q.list AND l.player = q.player UNION ALL SELECT list, player, false, 'promoted' FROM l WHERE kind = 'promotion' AND player % 3 > 0")
+def n06(t):
+    s = lists.derive_state(t.v_moves, ["list"])
+    return lists.inherit_departures(s.where("player % 3 = 0").select("list", "player"), s, ["list", "player"])
+
+
+@query("n07_due_sources", "WITH s AS (SELECT user_id AS src, max(ts) AS checked_at, count(*) FILTER (WHERE event_type = 'error') % 9 AS failures FROM events GROUP BY 1) SELECT src, failures FROM s WHERE checked_at + to_hours(cast(pow(2, least(failures, 6)) AS INTEGER)) <= TIMESTAMP '2024-01-30 18:00:00'")
+def n07(t):
+    s = t.events.groupBy(F.col("user_id").alias("src")).agg(F.max("ts").alias("checked_at"), (F.count(F.when(F.col("event_type") == "error", 1)) % 9).alias("failures"))
+    return lists.due_sources(s, F.to_timestamp(F.lit("2024-01-30 18:00:00"))).select("src", "failures")
+
+
+@query("n08_claim_reminders", "SELECT DISTINCT user_id AS subscriber, concat(event_type, cast(cast(floor(value) AS INTEGER) AS VARCHAR)) AS deadline FROM events WHERE day(ts) > 20 EXCEPT SELECT user_id, concat(event_type, cast(cast(floor(value) AS INTEGER) AS VARCHAR)) FROM events WHERE day(ts) <= 20")
+def n08(t):
+    k = [F.col("user_id").alias("subscriber"), F.concat("event_type", F.floor("value").cast("int").cast("string")).alias("deadline")]
+    day = F.dayofmonth("ts")
+    return lists.claim_reminders(t.events.where(day > 20).select(*k), t.events.where(day <= 20).select(*k), ["subscriber", "deadline"])
+
+
+@query("n09_weekly_coverage", "SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+def n09(t):
+    return lists.weekly_coverage(t.events, "ts").withColumn("week", F.col("week").cast("timestamp_ntz"))
+
+
+@query("n09_stream_coverage", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, min(ts), TIMESTAMP '1970-01-01') + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
+def n09s(t):
+    got = jobs.run_to_table(jobs.weekly_coverage(jobs.read_stream(t.spark, t.sf_dir, "events"), "ts", "1 day", "2 days"), "coverage")
+    return got.withColumn("week", F.col("week").cast("timestamp_ntz"))
+
+
+@query("n10_position_moves", "WITH s AS (SELECT cast(ts AS DATE) AS d, user_id, min(event_id) AS pos FROM events GROUP BY 1, 2), k AS (SELECT d, row_number() OVER (ORDER BY d DESC) AS k FROM (SELECT DISTINCT d FROM s)), b AS (SELECT user_id, max(pos) FILTER (WHERE k = 2) AS old, max(pos) FILTER (WHERE k = 1) AS new FROM s JOIN k USING (d) WHERE k <= 2 GROUP BY 1) SELECT user_id, old, new, CASE WHEN old IS NULL THEN 'entered' WHEN new IS NULL THEN 'left' ELSE cast(old - new AS VARCHAR) END AS move FROM b")
+def n10(t):
+    s = t.events.groupBy(F.to_date("ts").alias("d"), "user_id").agg(F.min("event_id").alias("pos"))
+    return lists.position_moves(s, "user_id", "d", "pos")
+
+
+@query("n12_classify_notes", "SELECT event_id, CASE event_type WHEN 'click' THEN 'q_alt_to_q' WHEN 'view' THEN 'q_to_md' ELSE 'q_withdrawal' END AS kind, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS q_spots_delta FROM events")
+def n12(t):
+    note = F.when(F.col("event_type") == "click", "Alternate used").when(F.col("event_type") == "view", "moved to Main Draw").otherwise("injury")
+    return lists.classify_notes(t.events, note).select("event_id", "kind", "q_spots_delta")
