@@ -37,7 +37,7 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     Texts are lower-cased; what isn't a letter counts as a space. A space stands before each text, so that
     n-grams never cross texts; it is part of the text's features, as is a word's start.
     """
-    joined = " " + " ".join(t.lower() for t in texts)
+    joined = " " + " ".join(t.lower() for t in texts) + " "
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(t.lower()) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes + 1) - sizes  # the first character after each separator
@@ -201,6 +201,8 @@ def learn(docs: DataFrame, max_train: int = 4_000) -> Model:
         )
 
     got = sample.repartition(1).mapInArrow(fit, "languages array<string>, weights binary, bias array<double>, temperature double").first()
+    if got is None:
+        return Model(["und"], np.zeros((1 << FEATURE_BITS, 1), np.float32), np.zeros(1), 1.0)
     names = list(got["languages"])
     return Model(names, np.frombuffer(got["weights"], np.float32).reshape(-1, len(names)).copy(order="F"), np.array(got["bias"]), got["temperature"])
 

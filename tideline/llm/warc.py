@@ -115,7 +115,7 @@ def _opened(path: str) -> Iterator[bytes]:
     from pyarrow import fs
 
     store, inside = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(inside) as f:
+    with store.open_input_stream(inside, compression=None) as f:
         while block := f.read(BLOCK):
             yield block
 
@@ -176,7 +176,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, archive_bytes
             for r in batch.to_pylist():
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
-                    out, size, count = store.open_output_stream(f"{inside}/{name}"), 0, 0
+                    out, size, count = store.open_output_stream(f"{inside}/{name}", compression=None), 0, 0
                 press = zlib.compressobj(level, zlib.DEFLATED, 31)
                 data = press.compress(record(r["page_id"], r["url"], r["payload"], r["refers_to"], r["revisit"], date)) + press.flush()
                 out.write(data)
