@@ -129,3 +129,95 @@ def fill_from_siblings(df: DataFrame, key: str, id: str, column: str, overrides:
 
 def season_monday(year: Column) -> Column:
     return dates.season_start(year)
+
+
+def schedule(exact: DataFrame, generic: DataFrame, year: int) -> DataFrame:
+    """The season's editions: generic rows overlay the date of their best exact match (same entity and year, nearest date)
+    and one row is kept for an entity and week."""
+    best = joins.nearest_within(generic, exact.select("ed_id", "ent", "yr", "start_date"), ["ent", "yr"], "gid", "ed_id", F.abs(F.datediff("gd", "start_date")), 120)
+    over = best.groupBy("ed_id").agg(F.count(F.lit(1)).alias("generics"))
+    live = exact.where(dates.in_season(F.col("start_date"), F.lit(year), F.col("level")))
+    kept = joins.pick(live, ["ent", "wk"], [F.col("start_date").desc_nulls_last(), F.col("ed_id")])
+    return kept.join(over, "ed_id", "left").select("ed_id", "wk", F.coalesce("generics", F.lit(0)).alias("generics"))
+
+
+def week_view(events: DataFrame, last_cut: DataFrame, km: float = 1500) -> DataFrame:
+    """Events of each week with depth, cluster, rank inside the cluster by rounded depth, and last season's cut."""
+    from tideline.operators.chains import cluster_within
+
+    d = depth(events).join(cluster_within(events, ["yr"], "wk", km), "ed_id").join(events.select("ed_id", "yr", "wk"), "ed_id")
+    place = F.rank().over(W.partitionBy("cluster").orderBy(F.floor(F.col("depth") + 0.5).desc()))
+    return d.withColumn("place", place).join(last_cut, "ed_id", "left")
+
+
+def depth_validation(scored: DataFrame) -> dict[str, DataFrame]:
+    """Validation of depth against cuts: coverage, order inside clusters, binned curve, changes and held-out slopes.
+
+    ``scored`` has ed_id, ent, yr, wk, cluster, depth, cut.
+    """
+    from tideline.operators import aggregates as ag
+
+    both = scored.where("cut is not null")
+    moved = joins.prior_period(joins.prior_period(both, ["ent"], "yr", "depth", "depth0"), ["ent"], "yr", "cut", "cut0").where("cut0 is not null")
+    moved = moved.withColumn("d_depth", F.col("depth") - F.col("depth0")).withColumn("d_cut", (F.col("cut") - F.col("cut0")).cast("double"))
+    return {
+        "coverage": scored.groupBy("yr").agg(F.count(F.lit(1)).alias("n"), F.count("cut").alias("with_cut")),
+        "order": ag.concordance(both, ["yr", "wk"], "ed_id", "depth", "cut"),
+        "rank": ag.correlation(both, ["yr"], "depth", "cut", "spearman"),
+        "curve": ag.binned(both, "depth", "cut", 10, 20),
+        "changes": moved.groupBy("yr").agg(F.count(F.when(F.abs("d_depth") >= 3, 1)).alias("moved3"), F.count(F.when(F.abs("d_depth") >= 7, 1)).alias("moved7")),
+        "held_out": ag.leave_one_out(moved, "yr", "d_depth", "d_cut"),
+    }
+
+
+def drain_validation(drained: DataFrame, obs: DataFrame) -> DataFrame:
+    """Held-out slope of the log cut ratio on the change of drained places, by season."""
+    from tideline.operators import aggregates as ag
+
+    x = obs.join(drained.select("ed_id", "places"), "ed_id")
+    m = joins.prior_period(joins.prior_period(x, ["ent"], "yr", "places", "p0"), ["ent"], "yr", "cut", "c0").where("c0 is not null and p0 is not null")
+    m = m.withColumn("dx", (F.col("places") - F.col("p0")).cast("double")).withColumn("dy", F.log(F.col("cut") / F.col("c0")))
+    return ag.leave_one_out(m, "yr", "dx", "dy")
+
+
+def compute_cut(entrants: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Worst rank of the direct entrants of each draw; confidence is high only if every name was matched.
+
+    Entrants have draw, player, route; of a player's several rows the strongest route marker counts.
+    """
+    strongest = entrants.groupBy("draw", "player").agg(F.max("route").alias("route"))
+    direct = strongest.where("route = ''").join(ranks, "player", "left")
+    return direct.groupBy("draw").agg(F.max("rank").alias("cut"), F.count(F.lit(1)).alias("direct"), F.count(F.when(F.col("rank").isNull(), 1)).alias("unmatched")).withColumn("confidence", F.when(F.col("unmatched") == 0, "high").otherwise("low"))
+
+
+def code_audit(missing: DataFrame, own: DataFrame, by_city: DataFrame) -> DataFrame:
+    """For editions without a cut: own code, recoverable from the city's newest code, or to be discovered."""
+    a, b = own.select("ent", F.col("code").alias("_a")), by_city.select("city", F.col("code").alias("_b"))
+    kind = F.when(F.col("_a").isNotNull(), "own").when(F.col("_b").isNotNull(), "city").otherwise("discover")
+    return missing.join(a, "ent", "left").join(b, "city", "left").select("ed_id", kind.alias("kind"), F.coalesce("_a", "_b").alias("code"))
+
+
+def match_evidence(pairs: DataFrame) -> DataFrame:
+    """Points for a shared token, city, month and week: high from 4, medium 3, low 2, else none."""
+    points = sum((F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("token", "same_city", "same_month", "same_week")), F.lit(0))
+    return pairs.withColumn("points", points).withColumn("evidence", F.when(points >= 4, "high").when(points == 3, "medium").when(points == 2, "low").otherwise("none"))
+
+
+def health(freshness: DataFrame, coverage: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One row for each check: source freshness, recent coverage (70 %), weeks ahead without events."""
+    a = freshness.select(F.concat(F.lit("fresh:"), F.col("source")).alias("check"), (~F.col("stale")).alias("ok"))
+    b = coverage.select(F.concat(F.lit("coverage:"), F.col("category")).alias("check"), (F.col("share") >= 0.7).alias("ok"))
+    c = gaps.select(F.concat(F.lit("week:"), F.col("week").cast("string")).alias("check"), (F.col("severity") != "critical").alias("ok"))
+    return a.unionByName(b).unionByName(c)
+
+
+def sheet_index(editions: DataFrame, codes: DataFrame, as_of: Column, lead_days: int) -> DataFrame:
+    """Editions that start within the lead window, with the entity's code of any season."""
+    return editions.where(F.datediff("start_date", as_of).between(0, lead_days)).join(codes, "ent").select("ed_id", "code")
+
+
+def missing_codes(editions: DataFrame, codes: DataFrame, as_of: Column) -> DataFrame:
+    """Editions of the next six weeks without a code: critical within two weeks."""
+    days = F.datediff("start_date", as_of)
+    near = editions.where(days.between(0, 42)).join(codes.select("ent"), "ent", "left_anti")
+    return near.select("ed_id", F.when(days <= 14, "critical").otherwise("warn").alias("severity"))

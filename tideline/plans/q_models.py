@@ -200,3 +200,109 @@ def j33(t):
 @query("j35_phase_and_label", "WITH d AS (SELECT ed_id, start_date, abs(start_date - DATE '1998-06-15') AS n FROM v_ed) SELECT ed_id, CASE WHEN start_date + 6 < DATE '1998-06-15' THEN 'past' WHEN start_date <= DATE '1998-06-15' THEN 'current' ELSE 'upcoming' END AS phase, CASE WHEN n < 7 THEN concat(n, ' d') WHEN n < 56 THEN concat(n // 7, ' w') WHEN n < 730 THEN concat(n // 30, ' mo') ELSE concat(n // 365, ' y') END AS label FROM d")
 def j35(t):
     return field.phase_and_label(t.v_ed.withColumn("end_date", F.lit(None).cast("date")), F.to_date(F.lit("1998-06-15"))).select("ed_id", "phase", "label")
+
+
+GEN2 = "(SELECT o_orderkey AS gid, o_custkey AS ent, cast(o_orderdate AS DATE) AS gd, cast(year(o_orderdate) AS INTEGER) AS yr FROM orders WHERE o_orderkey % 7 = 0)"
+
+
+@query("j21_schedule", f"WITH b AS (SELECT gid, ed_id FROM (SELECT gid, ed_id, row_number() OVER (PARTITION BY gid ORDER BY abs(gd - start_date), ed_id) AS rn FROM {GEN2} g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr WHERE abs(gd - start_date) <= 120) WHERE rn = 1), o AS (SELECT ed_id, count(*) AS generics FROM b GROUP BY 1) SELECT e.ed_id, wk, coalesce(generics, 0) AS generics FROM v_ed e LEFT JOIN o USING (ed_id) WHERE yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END = 1997 OR (level LIKE 'ITF%' AND yr = 1997) QUALIFY row_number() OVER (PARTITION BY ent, wk ORDER BY start_date DESC NULLS LAST, ed_id) = 1")
+def j21(t):
+    from tideline.plans.q_joins import generics
+
+    return field.schedule(t.v_ed, generics(t), 1997)
+
+
+def placed(t):
+    return t.v_ed.join(t.v_ent, "ent").select("ed_id", "ent", "yr", "wk", "level", "surface", "lat", "lon")
+
+
+def last_cut(t):
+    from tideline.operators import joins
+
+    o = t.v_obs.where("ev = 'singles' and dr = 'main'")
+    return joins.prior_period(o, ["ent"], "yr", "cut", "last_cut").select("ed_id", "last_cut")
+
+
+@query("j13_week_view")
+def j13(t):
+    return r6(field.week_view(placed(t), last_cut(t), 900), "others", "depth")
+
+
+def scored(t):
+    cut = t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", "cut")
+    return field.depth(placed(t)).join(placed(t), "ed_id").join(cut, "ed_id").withColumn("depth", F.round("depth", 5))
+
+
+DEPTH = f"e AS (SELECT e.ed_id, e.ent, yr, wk, lat, lon, surface, {RANK} AS rnk, {SLOT} AS slots FROM v_ed e JOIN v_ent n ON n.ent = e.ent), s0 AS (SELECT a.ed_id, sum(b.slots * greatest(0.03, exp(-({HAV.format(a='a', b='b')}) / 1200)) * CASE WHEN a.surface = b.surface THEN 1 WHEN a.surface = 'Hard' OR b.surface = 'Hard' THEN 0.55 ELSE 0.3 END) AS others FROM e a JOIN e b ON a.yr = b.yr AND a.wk = b.wk AND a.ed_id <> b.ed_id AND b.rnk >= a.rnk GROUP BY 1), s AS (SELECT e.ed_id, e.ent, e.yr, e.wk, round(slots + coalesce(others, 0), 5) AS depth, cut FROM e LEFT JOIN s0 USING (ed_id) JOIN v_obs o ON o.ed_id = e.ed_id AND o.ev = 'singles' AND o.dr = 'main')"
+
+
+@query("j14_validation_coverage", "SELECT yr, count(*) AS n, count(cut) AS with_cut FROM v_obs WHERE ev = 'singles' AND dr = 'main' GROUP BY yr")
+def j14c(t):
+    return field.depth_validation(scored(t))["coverage"]
+
+
+@query("j14_validation_changes", f"WITH {DEPTH}, m AS (SELECT a.yr, a.depth - b.depth AS d FROM s a JOIN s b ON a.ent = b.ent AND b.yr = a.yr - 1 WHERE a.cut IS NOT NULL AND b.cut IS NOT NULL) SELECT yr, count(*) FILTER (WHERE abs(d) >= 3) AS moved3, count(*) FILTER (WHERE abs(d) >= 7) AS moved7 FROM m GROUP BY yr")
+def j14m(t):
+    return field.depth_validation(scored(t))["changes"]
+
+
+@query("j14_validation_rank")
+def j14r(t):
+    return r6(field.depth_validation(scored(t))["rank"], "r")
+
+
+@query("j14_validation_held_out")
+def j14h(t):
+    return r6(field.depth_validation(scored(t))["held_out"], "slope", "mae")
+
+
+@query("j17_drain_validation", f"WITH d AS (SELECT a.ed_id, a.ent, a.yr, count(b.ed_id) * 24 AS places FROM {PLACED} a LEFT JOIN {PLACED} b ON b.level LIKE 'ITF%' AND a.yr = b.yr AND a.wk = b.wk AND {HAV.format(a='a', b='b')} <= 1500 WHERE a.level NOT LIKE 'ITF%' GROUP BY 1, 2, 3), x AS (SELECT d.*, o.cut FROM d JOIN v_obs o ON o.ed_id = d.ed_id AND o.ev = 'singles' AND o.dr = 'main' AND o.cut IS NOT NULL), m AS (SELECT a.yr, cast(a.places - b.places AS DOUBLE) AS dx, ln(a.cut / b.cut) AS dy FROM x a JOIN x b ON a.ent = b.ent AND b.yr = a.yr - 1), s AS (SELECT yr, count(*) AS n, sum(dx * dx) AS xx, sum(dx * dy) AS xy FROM m GROUP BY yr), f AS (SELECT yr, sum(n) OVER () - n AS train_n, (sum(xy) OVER () - xy) / (sum(xx) OVER () - xx) AS slope FROM s) SELECT f.yr, cast(train_n AS BIGINT) AS train_n, round(slope, 6) AS slope, round(avg(abs(dy - slope * dx)), 6) AS mae FROM m JOIN f ON m.yr = f.yr WHERE train_n >= 30 GROUP BY f.yr, train_n, slope")
+def j17(t):
+    o = t.v_obs.where("ev = 'singles' and dr = 'main' and cut is not null").select("ed_id", "ent", "yr", "cut")
+    return r6(field.drain_validation(field.drain(t.v_ed.join(t.v_ent, "ent")), o), "slope", "mae")
+
+
+@query("j27_compute_cut", "WITH e AS (SELECT o_custkey % 50 AS draw, o_orderkey % 997 AS player, max(CASE WHEN o_orderpriority LIKE '1%' THEN 'WC' ELSE '' END) AS route FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2), r AS (SELECT s_suppkey AS player, cast(s_suppkey % 300 + 1 AS INTEGER) AS rank FROM supplier) SELECT draw, max(rank) AS cut, count(*) AS direct, count(*) FILTER (WHERE rank IS NULL) AS unmatched, CASE WHEN count(*) FILTER (WHERE rank IS NULL) = 0 THEN 'high' ELSE 'low' END AS confidence FROM e LEFT JOIN r USING (player) WHERE route = '' GROUP BY draw")
+def j27(t):
+    e = t.orders.where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 50).alias("draw"), (F.col("o_orderkey") % 997).alias("player"), F.when(F.col("o_orderpriority").startswith("1"), "WC").otherwise("").alias("route"))
+    return field.compute_cut(e, t.supplier.select(F.col("s_suppkey").alias("player"), (F.col("s_suppkey") % 300 + 1).cast("int").alias("rank")))
+
+
+CODES = "own AS (SELECT ent, cast(max(ed_id) AS VARCHAR) AS code FROM v_ed WHERE ent % 3 = 0 GROUP BY ent), byc AS (SELECT city, max(cast(ent AS VARCHAR)) AS code FROM v_ent WHERE ent % 7 = 0 GROUP BY city)"
+
+
+@query("j28_code_audit", f"WITH {CODES} SELECT e.ed_id, CASE WHEN own.code IS NOT NULL THEN 'own' WHEN byc.code IS NOT NULL THEN 'city' ELSE 'discover' END AS kind, coalesce(own.code, byc.code) AS code FROM v_obs e JOIN v_ent n ON n.ent = e.ent LEFT JOIN own ON own.ent = e.ent LEFT JOIN byc ON byc.city = n.city WHERE e.ev = 'singles' AND e.dr = 'main' AND e.cut IS NULL")
+def j28(t):
+    miss = t.v_obs.where("ev = 'singles' and dr = 'main' and cut is null").select("ed_id", "ent").join(t.v_ent.select("ent", "city"), "ent")
+    own = t.v_ed.where("ent % 3 = 0").groupBy("ent").agg(F.max("ed_id").cast("string").alias("code"))
+    return field.code_audit(miss, own, t.v_ent.where("ent % 7 = 0").groupBy("city").agg(F.max(F.col("ent").cast("string")).alias("code")))
+
+
+@query("j29_match_evidence", f"SELECT gid, ed_id, p AS points, CASE WHEN p >= 4 THEN 'high' WHEN p = 3 THEN 'medium' WHEN p = 2 THEN 'low' ELSE 'none' END AS evidence FROM (SELECT gid, ed_id, cast(gid % 2 = 0 AS INTEGER) + 1 + cast(month(gd) = month(start_date) AS INTEGER) + cast(abs(gd - start_date) < 7 AS INTEGER) AS p FROM {GEN2} g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr)")
+def j29(t):
+    from tideline.plans.q_joins import generics
+
+    p = generics(t).join(t.v_ed.select("ent", "yr", "ed_id", "start_date"), ["ent", "yr"])
+    p = p.withColumn("token", F.col("gid") % 2 == 0).withColumn("same_city", F.lit(True)).withColumn("same_month", F.month("gd") == F.month("start_date")).withColumn("same_week", F.abs(F.datediff("gd", "start_date")) < 7)
+    return field.match_evidence(p).select("gid", "ed_id", "points", "evidence")
+
+
+@query("j30_health", "SELECT concat('fresh:', event_type) AS \"check\", NOT (DATE '2024-01-31' - cast(max(ts) AS DATE) > 7) AS ok FROM events GROUP BY event_type UNION ALL SELECT concat('coverage:', level), count(cut) / count(*) >= 0.7 FROM v_obs WHERE ev = 'singles' AND dr = 'main' GROUP BY level UNION ALL SELECT concat('week:', cast(w AS VARCHAR)), count(ed_id) > 0 FROM (SELECT cast(DATE '2001-06-25' + cast(7 * k AS INTEGER) AS DATE) AS w FROM range(0, 8) r(k)) LEFT JOIN v_ed ON cast(date_trunc('week', start_date) AS DATE) = w GROUP BY w")
+def j30(t):
+    from tideline.operators import aggregates, quality
+
+    fresh = aggregates.freshness(t.events, "event_type", "ts", F.to_date(F.lit("2024-01-31")), t.spark.createDataFrame([], "event_type string, max_age int")).withColumnRenamed("event_type", "source")
+    cov = t.v_obs.where("ev = 'singles' and dr = 'main'").groupBy(F.col("level").alias("category")).agg((F.count("cut") / F.count(F.lit(1))).alias("share"))
+    return field.health(fresh, cov, quality.forward_gaps(t.v_ed, F.to_date(F.lit("2001-06-27"))))
+
+
+@query("j32_sheet_index", f"WITH {CODES} SELECT ed_id, code FROM v_ed JOIN own USING (ent) WHERE start_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-22'")
+def j32(t):
+    own = t.v_ed.where("ent % 3 = 0").groupBy("ent").agg(F.max("ed_id").cast("string").alias("code"))
+    return field.sheet_index(t.v_ed, own, F.to_date(F.lit("1998-03-01")), 21)
+
+
+@query("l10_missing_codes", "SELECT ed_id, CASE WHEN start_date <= DATE '1998-03-15' THEN 'critical' ELSE 'warn' END AS severity FROM v_ed WHERE start_date BETWEEN DATE '1998-03-01' AND DATE '1998-04-12' AND ent % 3 <> 0")
+def l10(t):
+    own = t.v_ed.where("ent % 3 = 0").select("ent").distinct()
+    return field.missing_codes(t.v_ed, own, F.to_date(F.lit("1998-03-01")))
