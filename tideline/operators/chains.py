@@ -83,3 +83,16 @@ def chains_by_scope(events: DataFrame, neighbours: DataFrame, group: str, groups
 
     fan = scope_fanout(events, group, groups).withColumn("ed_id", F.struct("scope", "ed_id")).withColumn("region", F.concat_ws("|", "scope", "region"))
     return connected_components(joins.adjacency_edges(fan, neighbours, radius_km)).select(F.col("node.scope").alias("scope"), F.col("node.ed_id").alias("ed_id"), F.col("component.ed_id").alias("chain"))
+
+
+def chain_labels(members: DataFrame) -> DataFrame:
+    """``chain, label``: the first country and the month of the first event; labels that repeat in a season get the first week's
+    number, and those that still repeat a running number. Members have chain, yr, wk, ed_id, country, start_date."""
+    first = members.groupBy("chain").agg(F.min_by(F.struct("yr", "wk", "country", "start_date"), F.struct("wk", "ed_id")).alias("f"))
+    label = F.concat("f.country", F.lit(" "), F.date_format("f.start_date", "MMM"))
+    rows = first.select("chain", "f.yr", "f.wk", label.alias("label"))
+    same = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("yr", "label")))
+    week = same.withColumn("label", F.when(F.col("n") > 1, F.concat("label", F.lit(" W"), F.col("wk").cast("string"))).otherwise(F.col("label")))
+    w = W.partitionBy("yr", "label").orderBy("chain")
+    again = week.withColumn("k", F.row_number().over(w))
+    return again.select("chain", F.when(F.col("k") > 1, F.concat("label", F.lit(" #"), F.col("k").cast("string"))).otherwise(F.col("label")).alias("label"))

@@ -137,3 +137,12 @@ def completeness_gate(df: DataFrame, batch: str, group: str, least: int) -> Data
     """Rows of batches with at least ``least`` groups; smaller batches are refused whole."""
     good = df.groupBy(batch).agg(F.count_distinct(group).alias("_n")).where(F.col("_n") >= least).select(batch)
     return df.join(good, batch, "left_semi")
+
+
+def alert_liveness(subscribers: DataFrame, deadlines: DataFrame, sends: DataFrame, as_of: Column) -> DataFrame:
+    """Categories with subscribers and passed deadlines but no send at all are critical."""
+    subs = subscribers.groupBy("category").agg(F.count(F.lit(1)).alias("subscribers"))
+    passed = deadlines.where(F.col("due") < as_of).groupBy("category").agg(F.count(F.lit(1)).alias("passed"))
+    sent = sends.groupBy("category").agg(F.count(F.lit(1)).alias("sent"))
+    both = subs.join(passed, "category").join(sent, "category", "left").withColumn("sent", F.coalesce("sent", F.lit(0)))
+    return both.withColumn("severity", F.when(F.col("sent") == 0, "critical").otherwise("ok"))

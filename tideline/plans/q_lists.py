@@ -93,3 +93,21 @@ def n10(t):
 def n12(t):
     note = F.when(F.col("event_type") == "click", "Alternate used").when(F.col("event_type") == "view", "moved to Main Draw").otherwise("injury")
     return lists.classify_notes(t.events, note).select("event_id", "kind", "q_spots_delta")
+
+
+@query("n08_stream_claims", "SELECT DISTINCT user_id AS subscriber, event_type AS deadline FROM events")
+def n08s(t):
+    from tideline.storage import new_path
+
+    due = jobs.read_stream(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("subscriber"), F.col("event_type").alias("deadline"))
+    claims = new_path(t.spark, "claims")
+    for _ in range(2):  # a second run, with a new checkpoint, claims nothing again
+        jobs.claim_stream(due, claims, ["subscriber", "deadline"], new_path(t.spark, "ckpt-claims")).awaitTermination()
+    return t.spark.read.parquet(claims)
+
+
+@query("n11_late_movements", "SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2")
+def n11(t):
+    """Arrival order does not matter: the rows are dealt out of order first, event time decides."""
+    late = t.v_moves.repartition(7, "seq").orderBy(F.xxhash64("seq"))
+    return lists.derive_state(late, ["list"]).select("list", "player", "kind")

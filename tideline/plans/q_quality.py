@@ -303,3 +303,27 @@ def a10(t):
     return merge.change_set(*two_snaps(t), ["ed_id"])
 
 
+
+
+@query("l09_alert_liveness", "WITH s AS (SELECT level AS category, count(*) AS subscribers FROM v_ed WHERE yr = 1996 GROUP BY 1), p AS (SELECT level AS category, count(*) AS passed FROM v_ed WHERE start_date < DATE '1999-01-01' GROUP BY 1), n AS (SELECT level AS category, count(*) AS sent FROM v_ed WHERE level NOT LIKE 'ITF%' GROUP BY 1) SELECT category, subscribers, passed, coalesce(sent, 0) AS sent, CASE WHEN coalesce(sent, 0) = 0 THEN 'critical' ELSE 'ok' END AS severity FROM s JOIN p USING (category) LEFT JOIN n USING (category)")
+def l09(t):
+    e = t.v_ed.withColumnRenamed("level", "category")
+    return quality.alert_liveness(e.where("yr = 1996"), e.withColumnRenamed("start_date", "due"), e.where("category not like 'ITF%'"), F.to_date(F.lit("1999-01-01")))
+
+
+@query("m10_promote_metadata", "WITH g AS (SELECT o_orderkey AS gid, o_custkey AS ent, cast(o_orderdate AS DATE) AS gd, cast(year(o_orderdate) AS INTEGER) AS yr, 'generic' AS level FROM orders WHERE o_orderkey % 7 = 0), s AS (SELECT gid, ed_id AS xid, e.level AS lv, CASE WHEN abs(gd - start_date) <= 7 THEN 100 WHEN abs(gd - start_date) <= 60 THEN 80 WHEN abs(gd - start_date) <= 120 THEN 60 END AS score FROM g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr), a AS (SELECT *, row_number() OVER (PARTITION BY xid ORDER BY score DESC, gid) AS r1 FROM s WHERE score IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, xid) AS r2 FROM a WHERE r1 = 1) SELECT g.gid, b.xid, coalesce(b.lv, g.level) AS level FROM g LEFT JOIN b ON b.gid = g.gid AND b.r2 = 1")
+def m10(t):
+    from tideline.plans.q_joins import generics, score
+
+    exact = t.v_ed.select(F.col("ed_id").alias("xid"), "ent", "yr", "start_date", F.col("level").alias("x_level"))
+    return merge.promote_metadata(exact, generics(t).withColumn("level", F.lit("generic")), ["ent", "yr"], score(), ["level"])
+
+
+@query("k01_chain_labels", f"""WITH RECURSIVE e AS ({EDGES}), {REACH}, m AS (SELECT c.component AS chain, v.yr, v.wk, v.ed_id, v.country, d.start_date FROM comp c JOIN {CHAIN} v ON v.ed_id = c.node JOIN v_ed d ON d.ed_id = v.ed_id),
+f AS (SELECT chain, arg_min(yr, (wk, ed_id)) AS yr, arg_min(wk, (wk, ed_id)) AS wk, concat(arg_min(country, (wk, ed_id)), ' ', strftime(arg_min(start_date, (wk, ed_id)), '%b')) AS label FROM m GROUP BY chain),
+g AS (SELECT chain, yr, CASE WHEN count(*) OVER (PARTITION BY yr, label) > 1 THEN concat(label, ' W', wk) ELSE label END AS label FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY yr, label ORDER BY chain) AS k FROM g)
+SELECT chain, CASE WHEN k > 1 THEN concat(label, ' #', k) ELSE label END AS label FROM h""")
+def k01l(t):
+    e = t.v_ed.join(t.v_ent, "ent").select("ed_id", "yr", "wk", "country", "region", "surface", "lat", "lon", "start_date")
+    comp = connected_components(joins.adjacency_edges(e.drop("start_date"), country_pairs(t))).select(F.col("node").alias("ed_id"), F.col("component").alias("chain"))
+    return chains.chain_labels(e.join(comp, "ed_id"))
