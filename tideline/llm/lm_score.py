@@ -111,16 +111,21 @@ def _shard(heavy: np.ndarray, heavy_counts: np.ndarray, total: float, distinct:
             keep = table.select(["part", "bucket", "ids", "sizes", "train"]).to_pylist()
             return pa.Table.from_pylist(keep, _SUMS)
         cols = table.to_pydict()
-        join = lambda f, c: np.concatenate([f(x) for x in cols[c]])
-        prev, cur, ords, mult = join(nt.unpack_sorted, "prev"), join(nt.unpack_planes, "cur"), join(nt.unpack_planes, "ords").astype(np.int64), join(nt.unpack_planes, "mult").astype(np.int64)
+        join = lambda f, c, kind: np.concatenate([f(x).astype(kind, copy=False) for x in cols[c]])
+        prev, cur, ords, mult = join(nt.unpack_sorted, "prev", U64), join(nt.unpack_planes, "cur", U64), join(nt.unpack_planes, "ords", np.uint16), join(nt.unpack_planes, "mult", np.int32)
         sizes = [int.from_bytes(x[1:7], "little") for x in cols["prev"]]
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        train = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[o] for t, o in zip(cols["train"], np.split(ords, np.cumsum(sizes)[:-1]), strict=True)])
+        ends_of = np.cumsum(sizes)
+        for c in ("prev", "cur", "ords", "mult"):  # the packed columns aren't needed any more
+            del cols[c]
+        train = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[o] for t, o in zip(cols["train"], np.split(ords, ends_of[:-1]), strict=True)])
         order = np.lexsort((cur, prev))
         prev, cur = prev[order], cur[order]
         pair = np.flatnonzero(np.concatenate([[True], (prev[1:] != prev[:-1]) | (cur[1:] != cur[:-1])]))
-        counted = np.add.reduceat((mult * train)[order], pair)
+        counted = np.add.reduceat((mult * train)[order], pair, dtype=np.int64)
         p, c = prev[pair], cur[pair]
+        entry = np.empty(len(order), dtype=np.int32)
+        entry[order] = np.repeat(np.arange(len(pair), dtype=np.int32), np.diff(np.append(pair, len(prev))))  # entry -> pair
+        del prev, cur, order, train
         ctx = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         sums = np.add.reduceat(counted, ctx)
         at = np.minimum(np.searchsorted(heavy, p[ctx]), len(heavy) - 1)
@@ -128,31 +133,28 @@ def _shard(heavy: np.ndarray, heavy_counts: np.ndarray, total: float, distinct:
         c1 = np.repeat(sums, np.diff(np.append(ctx, len(p)))).astype(np.float64)
         got = counted > 0
         trie = Trie.build(p[got], c[got], np.log10((1 - unseen_mass(c1[got])) * counted[got] / c1[got])).mapped()
-        seen, logp = trie.lookup(p, c)
-        lone = np.where(c1 > 0, np.log10(unseen_mass(c1)), 0.0)
-        end = np.log10(ends + 0.1) - scale
-        value = np.where(seen, logp, lone + np.where(c == U64(END), end, 0.0))
-        entry = np.empty(len(order), dtype=np.int64)
-        entry[order] = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(prev))))  # entry -> pair
-        word = (p != U64(BEGIN))[entry]  # as a context a word is counted as a token; BEGIN is none
-        base = np.where(word, np.log10(c1[entry] + 0.1) - scale, 0.0) * mult
-        known = np.where(word & (c1[entry] > 0), mult, 0)
-        score = value[entry] * mult
+        seen, value = trie.lookup(p, c)
+        lone = np.where(c1 > 0, np.log10(unseen_mass(c1)), 0.0) + np.where(c == U64(END), np.log10(ends + 0.1) - scale, 0.0)
+        value = np.where(seen, value, lone)
+        word = p != U64(BEGIN)  # as a context a word is counted as a token; BEGIN is none
+        base = np.where(word, np.log10(c1 + 0.1) - scale, 0.0)
+        known = word & (c1 > 0)
         late = (~seen & (c != U64(END)))[entry]
-        rows, ends_of = [], np.cumsum(sizes)
+        del p, c1, lone, sums, counted, got
+        rows = []
         for k, part in enumerate(cols["part"]):
             s = slice(ends_of[k] - sizes[k], ends_of[k])
-            rows.append({"part": part, "bucket": -1 - part, **_add(ords[s], known=known[s], base=base[s], score=score[s])})
-            wait = np.flatnonzero(late[s]) + s.start
-            if len(wait):
-                w = c[entry[wait]]
-                to = (w % U64(buckets)).astype(np.int64)
-                by = np.lexsort((w, to))
-                wait, w, to = wait[by], w[by], to[by]
-                cuts = np.searchsorted(to, np.arange(buckets + 1))
-                for b in np.unique(to).tolist():
-                    x = slice(cuts[b], cuts[b + 1])
-                    rows.append({"part": part, "bucket": b, "cur": nt.pack_sorted(w[x]), "ords": nt.pack_planes(ords[wait[x]]), "known": nt.pack_planes(mult[wait[x]])})
+            e, m = entry[s], mult[s]
+            rows.append({"part": part, "bucket": -1 - part, **_add(ords[s], known=known[e] * m, base=base[e] * m, score=value[e] * m)})
+        wait = np.flatnonzero(late)
+        w = c[entry[wait]]
+        to = (w % U64(buckets)).astype(np.int64)
+        by = np.lexsort((w, to))
+        wait, w, to = wait[by], w[by], to[by]
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        for b in np.unique(to).tolist():  # one row for each target bucket, the chunks of its entries inside
+            x = slice(cuts[b], cuts[b + 1])
+            rows.append({"bucket": b, "cur": nt.pack_sorted(w[x]), "ords": nt.pack_planes(ords[wait[x]]), "known": nt.pack_planes(mult[wait[x]]), "sizes": nt.pack_planes(np.searchsorted(ends_of, wait[x], side="right")), "ids": cols["part"]})
         return pa.Table.from_pylist(rows, _SUMS)
 
     return run
@@ -165,12 +167,16 @@ def _second(scale: float):
             return pa.Table.from_pylist([], _SUMS)
         order = np.argsort(counts["w"].to_numpy())
         w, c = counts["w"].to_numpy()[order].astype(U64), counts["c"].to_numpy()[order]
-        rows = []
-        for r in late.select(["part", "cur", "ords", "known"]).to_pylist():
-            x, ords, mult = nt.unpack_sorted(r["cur"]), nt.unpack_planes(r["ords"]).astype(np.int64), nt.unpack_planes(r["known"]).astype(np.int64)
-            at = np.minimum(np.searchsorted(w, x), max(len(w) - 1, 0))
-            count = np.where(w[at] == x, c[at], 0) if len(w) else np.zeros(len(x))
-            rows.append({"part": r["part"], "bucket": -1 - r["part"], **_add(ords, score=(np.log10(count + 0.1) - scale) * mult)})
+        held = late.select(["cur", "ords", "known", "sizes", "ids"]).to_pylist()
+        join = lambda f, name: np.concatenate([f(r[name]) for r in held])
+        x, ords, mult = join(nt.unpack_sorted, "cur"), join(nt.unpack_planes, "ords").astype(np.int64), join(nt.unpack_planes, "known").astype(np.int64)
+        part = np.concatenate([np.array(r["ids"], dtype=np.int64)[nt.unpack_planes(r["sizes"]).astype(np.int64)] for r in held])
+        at = np.minimum(np.searchsorted(w, x), max(len(w) - 1, 0))
+        count = np.where(w[at] == x, c[at], 0) if len(w) else np.zeros(len(x))
+        value = (np.log10(count + 0.1) - scale) * mult
+        by = np.argsort(part, kind="stable")
+        names, first = np.unique(part[by], return_index=True)
+        rows = [{"part": int(p), "bucket": int(-1 - p), **_add(o, score=v)} for p, o, v in zip(names, np.split(ords[by], first[1:]), np.split(value[by], first[1:]), strict=True)]
         return pa.Table.from_pylist(rows, _SUMS)
 
     return run
