@@ -42,7 +42,7 @@ def _tokens(batch: pa.RecordBatch) -> nt.Words:
 
 
 def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in nt.chunks(batches, "text", 12 << 20, 1 << 20):
+    for batch in nt.chunks(batches, "text", 6 << 20, 1 << 20):
         words = _tokens(batch)
         train = batch.column("train").to_numpy(zero_copy_only=False)
         w, c = np.unique(words.hashes[train[words.owner()]], return_counts=True)
