@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.functions import levels
 from tideline.functions.geo import clamp, winsorize
 from tideline.operators import aggregates, joins, windows
+from tideline.storage import materialise
 
 #: Fixed values by draw: weight of the last season, shrinkage to the cohort, half-width of the band by tier.
 BLEND = {"ms": 0.7, "qs": 0.65, "md": 0.8}
@@ -88,7 +89,7 @@ def _band(grp: Column, draw: str) -> Column:
 
 def predict(obs: DataFrame, draw: str = "ms", horizon: int = 0, supply_power: float = 0.0, events: DataFrame | None = None) -> DataFrame:
     """``ed_id, grp, yr, actual, last, pred, low, high, method`` for every observation, from what was visible before it."""
-    o = with_group(obs)
+    o = materialise(with_group(obs), "observations")  # every factor reads it; narrow, and cheaper than the joins behind it
     past = windows.prior_history(o, ["ent"], "yr", "cut").select("ed_id", "prior_n", "prior_median")
     t = joins.prior_period(o, ["ent"], "yr", "cut", "last").join(past, "ed_id")
     before = o.select("ent", (F.col("yr") + 2).alias("yr"), F.col("cut").alias("before"))
@@ -110,9 +111,9 @@ def predict(obs: DataFrame, draw: str = "ms", horizon: int = 0, supply_power: fl
 
 def backtest(obs: DataFrame, draw: str, horizons: list[int]) -> DataFrame:
     """Error, baseline error, win rate and coverage by horizon and group, walk-forward over every observation."""
-    out = None
+    out, once = None, materialise(with_group(obs), "observations")
     for h in horizons:
-        one = predict(obs, draw, h).withColumn("horizon", F.lit(h))
+        one = predict(once, draw, h).withColumn("horizon", F.lit(h))
         out = one if out is None else out.unionByName(one)
     inside = F.avg((F.col("actual").between(F.col("low"), F.col("high"))).cast("int")).alias("coverage")
     return aggregates.slice_summary(out.where("pred is not null"), [["horizon"], ["horizon", "grp"]], [*aggregates.error_metrics("pred", "last", "actual"), inside])
