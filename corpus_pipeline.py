@@ -6,7 +6,7 @@ are written as Parquet in the shared folder and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules
@@ -16,16 +16,20 @@ from tideline.storage import materialise, read_table
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id (null included) is in ``ids``."""
-    wanted = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number ``_row``, written once: ids may repeat or be null, so verdicts on copies go by row."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _survivor(docs: DataFrame) -> Column:
+    """What the survivor of a group has the smallest of: the id (null last), then a hash of the whole row, then the row number."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64(*docs.columns).alias("h"), F.col("_row"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts of no clear language. The classifier's sample comes from the stage's input."""
-    found = language_id.identify(docs, language_id.learn(docs))
-    return _keep(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)))
+    found = language_id.identify(docs, language_id.learn(docs), keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +39,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the smallest id, and of rows that repeat it one."""
-    kept = _keep(docs, exact_dedup.exact_dedup(docs).where("kept")).withColumn("_sha", F.sha2(exact_dedup.normalise(F.col("text")), 256))
-    return kept.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """One row of each group of equal texts stays: the smallest id, and of rows that repeat it one."""
+    rows = _keyed(docs)
+    judged = exact_dedup.exact_dedup(rows.select("text", _survivor(docs).alias("_key")), id="_key")
+    return rows.join(judged.where("kept").select("_key._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays (5 words, similarity 0.8): the smallest id."""
-    joined = jaccard_join.jaccard_join(docs, jaccard_join.Spec(k=5, num=4, den=5))
-    return _keep(docs, joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each component of near copies stays (5 words, similarity 0.8): the smallest id, and of rows that repeat it one."""
+    rows = _keyed(docs)
+    joined = jaccard_join.jaccard_join(rows, jaccard_join.Spec(k=5, num=4, den=5), id="_row").select("_row", "component_id")
+    first = rows.select("_row", _survivor(docs).alias("_key")).join(joined, "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
+    return rows.join(first.select("_key._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,3 +148,22 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
         if name == "exact_dedup":  # one row of each text: the trailing space makes text 2 another one
             assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
         assert stage(spark, odd.where("false"), sf_dir).count() == 0
+
+
+def test_pipeline_judges_rows_when_ids_repeat_or_are_null(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    a, b, c, d = (" ".join(f"{w}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)) for w in ("alpha", "bravo", "carol", "delta"))
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], schema)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = lambda rows: sorted(rows, key=str)
+
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, b), (None, d), (None, d), (7, a), (7, a)]
+    assert left(corpus_pipeline.exact(spark, table(rows), sf_dir)) == want([(5, a), (3, b), (None, c), (None, d)])
+
+    rows = [(5, a), (5, b), (3, b + " end"), (None, c), (None, b + " stop"), (None, d), (None, d + " end"), (7, a + " end"), (7, a + " end"), (8, ""), (8, None)]
+    got = left(corpus_pipeline.near(spark, table(rows), sf_dir))
+    assert len(got) == 6 and [r for r in got if r[1] not in (d, d + " end")] == want([(5, a), (3, b + " end"), (None, c), (8, ""), (8, None)])
+    assert got == left(corpus_pipeline.near(spark, table(rows).repartition(5, "text"), sf_dir))
+
+    rows = [*((i, a) for i in range(12)), (5, "12345 !!"), (None, b), (None, None), (None, "")]
+    assert left(corpus_pipeline.language(spark, table(rows), sf_dir)) == want([*((i, a) for i in range(12)), (None, b)])

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tideline.llm import numtext as nt
 from tideline.storage import read_table
@@ -207,23 +208,25 @@ def learn(docs: DataFrame, max_train: int = 4_000) -> Model:
     return Model(names, np.frombuffer(got["weights"], np.float32).reshape(-1, len(names)).copy(order="F"), np.array(got["bias"]), got["temperature"])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``id, lang_pred, score`` for every row.
+def identify(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, lang_pred, score`` for every row; with ``keep``, those columns of the row in place of ``id``.
 
     Null, empty and letterless texts are ``und`` with score 0. Whole texts are read. Repeated rows get a row each; an
     empty table gives an empty result; other columns are ignored. The model, features times languages, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id].dataType.simpleString()
+    kept = list(keep or (id,))
+    read = list(dict.fromkeys([*kept, text]))
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 names, scores = shared.value.predict([t or "" for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(id), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    return docs.select(id, text).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
