@@ -1,6 +1,7 @@
 """Rules that are pinned by known values, invariants and plan shapes."""
 
 import datetime as dt
+import math
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, geo, levels, text
-from tideline.operators import aggregates, joins, merge, quality, windows
+from tideline.operators import aggregates, chains, joins, merge, quality, windows
 from tideline.operators.graph import connected_components
 from tideline.plans import field
 from tideline.sources import readers
@@ -143,3 +144,44 @@ def test_near_in_time_space_equals_brute_force(spark):
     want = {(a[0], b[0]) for a, b in itertools.product(pts, pts) if a[1] == b[1] and abs(a[2] - b[2]) <= 1 and km(a, b) <= 3000}
     got = {(r.ed_id, r.r_ed_id) for r in joins.near_in_time_space(df, df, ["yr"], "wk", [-1, 0, 1], 3000).collect()}
     assert got == want
+
+
+def brute_pieces(weeks, max_weeks):
+    """Weeks (week to its events' places) cut as often as needed at the largest jump, the first of equals."""
+    order = sorted(weeks)
+    if len(order) <= max_weeks or len(order) < 4:
+        return [order]
+    mean = {w: [sum(p[k] for p in weeks[w]) / len(weeks[w]) for k in (0, 1)] for w in order}
+
+    def jump(p):
+        (a, b), (c, d) = (map(math.radians, mean[order[p + k]]) for k in (0, 1))
+        return round(2 * 6371 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))), 6)
+
+    best = max(range(1, len(order) - 2), key=lambda p: (jump(p), -p))
+    return [piece for half in (order[: best + 1], order[best + 1 :]) for piece in brute_pieces({w: weeks[w] for w in half}, max_weeks)]
+
+
+def test_long_chains_are_cut_until_every_part_fits(spark):
+    """Chain 1 has its largest jumps at its start, so that each cut peels off two weeks; chain 2 ends with weeks in one city."""
+    places, lat = {}, -40.0
+    for w in range(1, 54):
+        lat += (60 - w) / 20 if w % 2 else 0.001
+        places[1, w] = [(lat, 2.0)]
+    places |= {(2, w): [(10.0 + w, 5.0)] if w < 7 else [(30.0, 5.0)] for w in range(1, 13)}
+    places |= {(3, w): [(30.0, 9.0)] for w in range(1, 15)}
+    places |= {(4, w): [(10.0, 5.0), (11.0 + w % 3, 5.0 + w * w % 7)] for w in range(3, 30)}
+    events = [(c * 1000 + 10 * w + k, w, "C%d" % c, a, b) for (c, w), ps in places.items() for k, (a, b) in enumerate(ps)]
+    e = spark.createDataFrame(events, "ed_id long, wk int, country string, lat double, lon double").selectExpr("*", "1999 as yr", "'r' as region", "'Clay' as surface")
+    none = spark.createDataFrame([], "a string, b string")
+    got = {}
+    for r in chains.chains(e, none, max_weeks=4).collect():
+        got.setdefault((r.ed_id // 1000, r.part, r.kind), set()).add(r.ed_id)
+    want = {}
+    for c in (1, 2, 3, 4):
+        weeks = {w: ps for (d, w), ps in places.items() if d == c}
+        lone = len({p for ps in weeks.values() for p in ps}) == 1
+        for part, piece in enumerate([sorted(weeks)] if lone else brute_pieces(weeks, 4)):
+            cities = {p for w in piece for p in weeks[w]}
+            want[c, part, "series" if len(cities) == 1 and len(piece) > 3 else "swing"] = {i for i, w, country, _, _ in events if country == "C%d" % c and w in piece}
+    assert got == want
+    assert max(k[1] for k in got if k[0] == 1) > 20 and (2, "series") in {(k[0], k[2]) for k in got}

@@ -9,39 +9,58 @@ from pyspark.sql import functions as F
 from tideline.functions.geo import haversine_km
 from tideline.operators import joins
 from tideline.operators.graph import connected_components
+from tideline.storage import materialise
 
 
-def chains(events: DataFrame, neighbours: DataFrame, radius_km: float = 600, max_weeks: int = 8, series_weeks: int = 3) -> DataFrame:
-    """``chain, part, kind, ed_id``: components of adjacent events over at least two weeks.
+def _classified(rows: DataFrame, keys: list[str], series_weeks: int) -> DataFrame:
+    """``keys, weeks, kind``: a group in one city over more than ``series_weeks`` weeks is a series, any other a swing."""
+    facts = rows.groupBy(*keys).agg(F.count_distinct("wk").alias("weeks"), F.count_distinct("lat", "lon").alias("places"))
+    return facts.select(*keys, "weeks", F.when((F.col("places") == 1) & (F.col("weeks") > series_weeks), "series").otherwise("swing").alias("kind"))
 
-    A component in one city over more than ``series_weeks`` weeks is a series. A swing longer than ``max_weeks`` is cut at the
-    largest jump of its weekly centroid (the first of equals) that leaves two weeks on either side, again and again;
-    each round is a window over (chain, part, week), and rounds end when no part is too long.
-    """
+
+def whole_chains(events: DataFrame, neighbours: DataFrame, radius_km: float = 600, series_weeks: int = 3) -> DataFrame:
+    """``chain, kind, ed_id, wk, lat, lon``: components of adjacent events over at least two weeks, before any cut."""
     edges = joins.adjacency_edges(events, neighbours, radius_km)
     nodes = connected_components(edges).select(F.col("node").alias("ed_id"), F.col("component").alias("chain"))
     rows = events.join(nodes, "ed_id")
-    facts = rows.groupBy("chain").agg(F.count_distinct("wk").alias("weeks"), F.count_distinct("country").alias("_countries"), F.count_distinct("lat", "lon").alias("places")).where("weeks >= 2")
-    rows = rows.join(facts, "chain").withColumn("kind", F.when((F.col("places") == 1) & (F.col("weeks") > series_weeks), "series").otherwise("swing")).withColumn("part", F.lit(0).cast("long"))
-    rows = rows.select("ed_id", "chain", "part", "kind", "wk", "lat", "lon")
-    for _ in range(6):  # a season has at most 53 weeks
-        nxt = _split_once(rows, max_weeks)
-        if nxt is None:
-            break
-        rows = nxt
-    return rows.select("chain", "part", "kind", "ed_id")
-
-
-def _split_once(rows: DataFrame, max_weeks: int) -> DataFrame | None:
-    weekly = rows.where("kind = 'swing'").groupBy("chain", "part", "wk").agg(F.avg("lat").alias("la"), F.avg("lon").alias("lo"))
+    return rows.join(_classified(rows, ["chain"], series_weeks).where("weeks >= 2"), "chain").select("chain", "kind", "ed_id", "wk", "lat", "lon")
+
+
+def chains(events: DataFrame, neighbours: DataFrame, radius_km: float = 600, max_weeks: int = 8, series_weeks: int = 3) -> DataFrame:
+    """``chain, part, kind, ed_id``: components of adjacent events over at least two weeks.
+
+    A component in one city over more than ``series_weeks`` weeks is a series and stays whole. A swing longer than ``max_weeks`` is
+    cut at the largest jump of its weekly centroid (the first of equals) that leaves two weeks on either side, again and
+    again; each round is a window over (chain, part, week), and rounds end when no part is too long. Cuts fall between
+    weeks, so rounds see one row for a chain and week; every part is then a series or a swing by its own events.
+    """
+    return split_long(materialise(whole_chains(events, neighbours, radius_km, series_weeks), "chain-events"), max_weeks, series_weeks)
+
+
+def split_long(rows: DataFrame, max_weeks: int = 8, series_weeks: int = 3) -> DataFrame:
+    """``chain, part, kind, ed_id`` of ``whole_chains``; ``rows`` is read several times. Parts are numbered from 0 in the order of weeks."""
+    weekly = rows.where("kind = 'swing'").groupBy("chain", "wk").agg(F.avg("lat").alias("la"), F.avg("lon").alias("lo")).withColumn("part", F.lit(0).cast("long"))
+    weekly = materialise(weekly, "chain-weeks")
+    while (nxt := _split_once(weekly, max_weeks)) is not None:  # each round cuts every part that is too long
+        weekly = nxt
+    parted = rows.join(weekly.select("chain", "wk", "part"), ["chain", "wk"], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    return parted.drop("kind").join(_classified(parted, ["chain", "part"], series_weeks), ["chain", "part"]).select("chain", "part", "kind", "ed_id")
+
+
+def _split_once(weekly: DataFrame, max_weeks: int) -> DataFrame | None:
+    """``weekly`` (chain, part, wk, la, lo) with every part of over ``max_weeks`` weeks cut once and parts numbered anew; None if there is nothing to cut."""
     w = W.partitionBy("chain", "part").orderBy("wk")
     span = W.partitionBy("chain", "part")
-    step = weekly.withColumn("jump", haversine_km(F.lag("la").over(w), F.lag("lo").over(w), F.col("la"), F.col("lo"))).withColumn("first", F.min("wk").over(span)).withColumn("last", F.max("wk").over(span))
+    jump = F.coalesce(haversine_km(F.lag("la").over(w), F.lag("lo").over(w), F.col("la"), F.col("lo")), F.lit(0.0))
+    step = weekly.withColumn("jump", jump).withColumn("first", F.min("wk").over(span)).withColumn("last", F.max("wk").over(span))
     long = step.where((F.col("last") - F.col("first") + 1 > max_weeks) & (F.col("wk") - F.col("first") >= 2) & (F.col("last") - F.col("wk") >= 1))
-    cuts = long.groupBy("chain", "part").agg(F.max_by("wk", F.struct(F.round("jump", 6), -F.col("wk"))).alias("cut"))
-    if cuts.limit(1).count() == 0:
+    cuts = materialise(long.groupBy("chain", "part").agg(F.max_by("wk", F.struct(F.round("jump", 6), -F.col("wk"))).alias("cut")), "chain-cuts")
+    if cuts.isEmpty():
         return None
-    return rows.join(cuts, ["chain", "part"], "left").withColumn("part", F.col("part") * 2 + F.when(F.col("wk") >= F.col("cut"), 1).otherwise(0)).drop("cut")
+    starts = F.when(F.col("wk") == F.col("cut"), 1).when(F.col("wk") == F.min("wk").over(span), (F.col("part") > 0).cast("int")).otherwise(0)
+    marked = weekly.join(cuts, ["chain", "part"], "left").withColumn("s", starts)
+    renumbered = F.sum("s").over(W.partitionBy("chain").orderBy("wk"))
+    return materialise(marked.select("chain", "wk", "la", "lo", renumbered.alias("part")), "chain-weeks")
 
 
 def chain_summary(members: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def k00(t):
 f AS (SELECT chain, count(DISTINCT wk) AS weeks, count(DISTINCT concat(lat, '/', lon)) AS places FROM m GROUP BY chain HAVING count(DISTINCT wk) >= 2)
 SELECT chain, ed_id, CASE WHEN places = 1 AND weeks > 3 THEN 'series' ELSE 'swing' END AS kind FROM m JOIN f USING (chain)""")
 def k01(t):
-    return chains.chains(chain_events(t), country_pairs(t)).select("chain", "ed_id", "kind")
+    return chains.whole_chains(chain_events(t), country_pairs(t)).select("chain", "ed_id", "kind")
 
 
 @query("k01_chain_parts")
