@@ -23,13 +23,18 @@ def hot_keys(rows: DataFrame, on: list[str], share: float = HOT_SHARE, least: in
     return parts.withColumn("_salts", F.ceil(F.col("_n") / line).cast("int")).drop("_n")
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined with ``one`` (at most one row for each key) on the columns ``on``.
 
-    Rows of hot keys are dealt by the key and a salt from ``by``; the row of ``one`` is copied to each salt. ``many`` is
-    read twice and should be a written table. ``how`` is inner, left or left_semi.
+    Rows of hot keys are dealt by the key and a salt from ``by``; the row of ``one`` is copied to each salt. Hot keys are
+    counted in ``counted`` (a table with ``on``; ``many`` itself by default), which is read in a job of its own
+    and should be a written table. ``how`` is inner, left or left_semi.
     """
-    hot = hot_keys(many, on)
+    return salted_join(many, one, on, by, hot_keys(many if counted is None else counted, on), how)
+
+
+def salted_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``spread_join`` with the hot keys given (``hot_keys`` of a table, with ``on`` renamed as needed)."""
     if hot is None:
         return many.join(one, on, how)
     small = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
