@@ -104,7 +104,7 @@ def brute_components(pairs, k, num, den):
     return Counter((d, len(sets[a]), least.get(find(a)) if sets[a] else d) for a, (d, _) in enumerate(pairs))
 
 
-@pytest.mark.parametrize("spec", [jaccard_join.Spec(3, 9, 10), jaccard_join.Spec(5, 4, 5, block_sets=2, chunk_bytes=2000), jaccard_join.Spec(1, 1, 2, block_sets=1)])
+@pytest.mark.parametrize("spec", [jaccard_join.Spec(3, 9, 10), jaccard_join.Spec(5, 4, 5, chunk_bytes=2000, range_bytes=50_000), jaccard_join.Spec(1, 1, 2, leaf_sets=1, star_rounds=0)])
 def test_jaccard_join_edges(docs, none, spec):
     got = jaccard_join.jaccard_join(docs, spec).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == brute_components([r[:2] for r in rows()], spec.k, spec.num, spec.den)
@@ -123,34 +123,36 @@ def test_jaccard_join_equals_brute_force_on_edited_copies(spark, k, num, den):
                 copy[(e * 29 + edit * 7) % len(copy)] = f"edit{edit}y{e % 3}"
             pairs.append((100 * base + edit, " ".join(copy)))
     df = spark.createDataFrame(pairs, "doc_id long, text string")
-    for blocks in (2048, 7):
-        got = jaccard_join.jaccard_join(df, jaccard_join.Spec(k, num, den, block_sets=blocks)).select("doc_id", "n_shingles", "component_id").collect()
+    for spec in (jaccard_join.Spec(k, num, den), jaccard_join.Spec(k, num, den, leaf_sets=1, star_rounds=0), jaccard_join.Spec(k, num, den, leaf_sets=2, star_rounds=1, hubs=1)):
+        got = jaccard_join.jaccard_join(df, spec).select("doc_id", "n_shingles", "component_id").collect()
         assert Counter(map(tuple, got)) == brute_components(pairs, k, num, den)
 
 
-def test_signature_tree_prunes_nothing_that_links():
+def test_signature_trees_lose_no_pair_that_links(spark):
+    """One posting with all sets, so that the tree has several levels; each linked pair must be among the leaves' pairs."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))).astype(np.uint64) for _ in range(120)]
-    sets.sort(key=len)
-    n = np.array([len(s) for s in sets])
-    spec = jaccard_join.Spec(1, 3, 5)
-    links = jaccard_join.tree_join(jaccard_join.SignatureTree(sets, n, 256), None, spec)
-    root = list(range(len(sets)))
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for a, b in links:
-        assert len(np.intersect1d(sets[a], sets[b])) * 8 >= 3 * (n[a] + n[b])
-        root[find(a)] = find(b)
-    for a in range(len(sets)):
-        for b in range(a):
-            if len(np.intersect1d(sets[a], sets[b])) * 8 >= 3 * (n[a] + n[b]):
-                assert find(a) == find(b)
+    spec = jaccard_join.Spec(1, 3, 5, leaf_sets=1)
+    sets = {}
+    for _ in range(60):
+        core = rng.choice(3000, 40, replace=False)
+        for _ in range(3):
+            x = np.unique(np.append(core[rng.random(40) > 0.15], rng.integers(0, 3000, 3)))
+            sets[bytes(rng.bytes(16))] = x
+    rows = []
+    for name, x in sets.items():
+        bits = np.zeros(64 * jaccard_join.WORDS, np.uint8)
+        bits[x % len(bits)] = 1
+        rows.append((bytearray(name), len(x), x.tolist(), np.packbits(bits, bitorder="little").view(np.int64).tolist(), len(x) - int(bits.sum())))
+    able = spark.createDataFrame(rows, "set_id binary, n bigint, toks array<bigint>, sig array<bigint>, clash bigint")
+    postings = able.select(F.lit(7).cast("long").alias("key"), "set_id", "n", F.col("set_id").alias("label"))
+    left = jaccard_join._traverse(postings, able, spec)
+    pairs = {(bytes(r.a), bytes(r.b)) for r in left.collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 8 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))}
+    assert linked and linked <= pairs and len(pairs) < len(sets) ** 2 / 8  # most pairs never meet
+    links = {(bytes(r.a), bytes(r.b)) for r in jaccard_join._verify(left, able, spec).collect()}
+    assert links == linked
 
 
 def test_quality_statistics_edges(docs, none):

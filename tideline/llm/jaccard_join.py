@@ -2,55 +2,69 @@
 
 1. Each text becomes a set of 48-bit shingle hashes; equal sets collapse to one.
 2. Shingles are dealt by hash range, packed (sorted differences, one row for a chunk and range), and counted. Only
-   shingles that two sets or more hold come back to their chunk: no other can be in an overlap.
+   shingles that two sets or more hold come back to their chunk: no other can be in an overlap. The number of
+   ranges grows with the bytes of text.
 3. A set whose shared shingles could not reach the threshold is done. The others publish their rarest shingles (prefix
-   filter in global frequency order: a linked pair must share one of them); sets that meet in a published shingle
-   form a candidate component.
-4. A signature tree is built over every candidate component: leaves are sets, nodes hold OR-combined bitmaps and size
-   ranges. A dual traversal of the tree with itself prunes node pairs by the largest possible overlap (common bits and
-   bit collisions) and by size, skips pairs that are connected already, and verifies the rest with the shingles. The upper levels of
-   a large component are size classes and blocks; block pairs are Spark groups, so no task holds the component.
-5. Links give the components of the result.
+   filter in global frequency order: a linked pair must share one of them). The sets of a published shingle are a posting.
+4. Star rounds link sets cheaply: of the components that meet in a posting, a representative each is verified against a
+   few hubs, as long as that merges many. Postings of one component are done. Only verified links make components.
+5. The postings that are left get signature trees: inner nodes hold OR-combined token bitmaps, size ranges and ranges of
+   components; their children are size classes, then digits of a hash. A dual traversal starts from the pairs of a posting's
+   top nodes and goes down level by level as Spark joins. It prunes node pairs by size, by the largest possible overlap (common bits
+   and bit collisions) and where all sets are connected already. Pairs of leaves give pairs of sets, which are pruned
+   by their own bitmaps and verified with the shingles.
 
 The join is exact up to 48-bit hash collisions inside one pair of sets (below 1e-9 for texts of 500 words).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import numtext as nt
 from tideline.operators.graph import connected_components
+from tideline.operators.spread import hot_keys, salted_join, spread_join
 from tideline.storage import materialise, read_table
 
 U64 = np.uint64
 TOKEN_BITS = 48
+#: Words of a set's bitmap: 1,024 bits.
+WORDS = 16
+#: Bits of a hash for one step down the tree.
+STEP = 4
 
 
 @dataclass(frozen=True)
 class Spec:
-    """Shingles of ``k`` words; linked when the Jaccard similarity is at least ``num / den``."""
+    """Shingles of ``k`` words; linked when the Jaccard similarity is at least ``num / den``.
+
+    The rest shapes the plan only: text bytes of a chunk and of a hash range, sets of a tree's leaf, hubs of a star round
+    and the largest number of such rounds.
+    """
 
     k: int = 5
     num: int = 4
     den: int = 5
     chunk_bytes: int = 4 << 20
-    block_sets: int = 2048
-    block_tokens: int = 2_000_000
+    range_bytes: int = 16 << 20
+    leaf_sets: int = 16
+    hubs: int = 3
+    star_rounds: int = 8
 
 
 _MAPPED = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("toks", pa.binary()), ("ords", pa.binary()), ("meta", pa.binary()), ("docs", pa.list_(pa.int64()))])
 _MAPPED_SQL = "part bigint, bucket bigint, toks binary, ords binary, meta binary, docs array<bigint>"
 _COUNTED = pa.schema([("part", pa.int64()), ("toks", pa.binary()), ("ords", pa.binary()), ("dfs", pa.binary()), ("meta", pa.binary()), ("docs", pa.list_(pa.int64()))])
 _COUNTED_SQL = "part bigint, toks binary, ords binary, dfs binary, meta binary, docs array<bigint>"
-_SETS = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("toks", pa.binary()), ("keys", pa.list_(pa.int64()))])
-_SETS_SQL = "set_id binary, n bigint, docs array<bigint>, toks binary, keys array<bigint>"
+_SETS = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("toks", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64())), ("clash", pa.int64())])
+_SETS_SQL = "set_id binary, n bigint, docs array<bigint>, toks array<bigint>, keys array<bigint>, sig array<bigint>, clash bigint"
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,143 +179,135 @@ def _assemble(spec: Spec):
             if able[i]:
                 mine = tok[cuts[i] : cuts[i + 1]]
                 prefix = int(n[i] - -(-int(n[i]) * spec.num // spec.den) + 1 - (n[i] - shared[i]))
-                row["toks"] = nt.pack_sorted(np.sort(mine))
-                row["keys"] = mine[: max(prefix, 0)].astype(np.int64).tolist()
+                bits = np.zeros(64 * WORDS, dtype=np.uint8)
+                bits[(mine % U64(64 * WORDS)).astype(np.int64)] = 1
+                row["toks"] = mine.astype(np.int64)
+                row["keys"] = mine[: max(prefix, 0)].astype(np.int64)
+                row["sig"] = np.packbits(bits, bitorder="little").view(np.int64)
+                row["clash"] = len(mine) - int(bits.sum())
             out.append(row)
         return pa.Table.from_pylist(out, _SETS)
 
     return run
 
 
-class SignatureTree:
-    """Sets in size order; each level ORs ``FAN`` bitmaps of the level below and keeps its size range."""
-
-    FAN = 16
-
-    def __init__(self, toks: list[np.ndarray], n: np.ndarray, bits: int):
-        width = np.array([len(t) for t in toks])
-        self.n, self.toks = n, toks
-        sig = np.zeros((len(toks), bits // 64), dtype=U64)
-        for at in range(0, len(toks), 256):
-            part = toks[at : at + 256]
-            flags = np.zeros((len(part), bits), dtype=np.uint8)
-            flags[np.repeat(np.arange(len(part)), width[at : at + 256]), (np.concatenate(part) % U64(bits)).astype(np.int64)] = 1
-            sig[at : at + 256] = np.packbits(flags, axis=1, bitorder="little").view(U64)
-        clash = width - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
-        self.levels = [(sig, n, n, clash)]
-        while len(self.levels[-1][0]) > 1:
-            s, lo, hi, c = self.levels[-1]
-            at = np.arange(0, len(s), self.FAN)
-            self.levels.append((np.bitwise_or.reduceat(s, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(c, at)))
-
-
-def _possible(p: tuple, q: tuple, i: np.ndarray, j: np.ndarray, spec: Spec) -> np.ndarray:
-    """Node pairs whose size ranges and largest possible overlap allow a link."""
-    ok = (p[2][i] * spec.den >= spec.num * q[1][j]) & (q[2][j] * spec.den >= spec.num * p[1][i])
-    at = np.flatnonzero(ok)
-    for a in range(0, len(at), 4096):
-        x = at[a : a + 4096]
-        most = np.bitwise_count(p[0][i[x]] & q[0][j[x]]).sum(axis=1, dtype=np.int64) + np.minimum(p[3][i[x]], q[3][j[x]])
-        ok[x] = most * (spec.num + spec.den) >= spec.num * (p[1][i[x]] + q[1][j[x]])
-    return ok
-
-
-def tree_join(left: SignatureTree, right: SignatureTree | None, spec: Spec) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of the two trees (of one with itself if ``right`` is None)."""
-    own = right is None
-    right = left if own else right
-    depth = min(len(left.levels), len(right.levels)) - 1
-    tops = [len(t.levels[depth][0]) for t in (left, right)]
-    i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(tops[0]), np.arange(tops[1]), indexing="ij"))
-    if own:
-        i, j = i[i <= j], j[i <= j]
-    shift = 0 if own else len(left.n)
-    label = np.arange(len(left.n) + (0 if own else len(right.n)))
-    for level in range(depth, 0, -1):
-        keep = _possible(left.levels[level], right.levels[level], i, j, spec)
-        i, j = i[keep], j[keep]
-        if level == 1:
-            break
-        f = np.arange(SignatureTree.FAN)
-        ii = np.repeat(i[:, None] * SignatureTree.FAN + f, SignatureTree.FAN, axis=1).reshape(-1)
-        jj = np.tile(j[:, None] * SignatureTree.FAN + f, (1, SignatureTree.FAN)).reshape(-1)
-        fine = (ii < len(left.levels[level - 1][0])) & (jj < len(right.levels[level - 1][0]))
-        if own:
-            fine &= ii <= jj
-        i, j = ii[fine], jj[fine]
-    links: list[tuple[int, int]] = []
-    pairs = zip(i.tolist(), j.tolist(), strict=True) if depth else [(0, 0)]
-    if depth:
-        near = np.argsort(np.abs(i - j), kind="stable")
-        pairs = zip(i[near].tolist(), j[near].tolist(), strict=True)
-    fan = SignatureTree.FAN if depth else max(len(left.n), len(right.n))
-    for a, b in pairs:
-        p = np.arange(a * fan, min((a + 1) * fan, len(left.n)))
-        q = np.arange(b * fan, min((b + 1) * fan, len(right.n)))
-        lp, lq = label[p], label[q + shift]
-        if lp[0] == lq[0] and (lp == lp[0]).all() and (lq == lp[0]).all():
-            continue  # connected already
-        x, y = (v.reshape(-1) for v in np.meshgrid(p, q, indexing="ij"))
-        todo = label[x] != label[y + shift]
-        if own and a == b:
-            todo &= x < y
-        x, y = x[todo], y[todo]
-        keep = _possible(left.levels[0], right.levels[0], x, y, spec)
-        for u, v in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-            if label[u] == label[v + shift]:
-                continue
-            common = len(np.intersect1d(left.toks[u], right.toks[v], assume_unique=True))
-            if common * (spec.num + spec.den) >= spec.num * int(left.n[u] + right.n[v]):
-                links.append((u, v))
-                label[label == label[v + shift]] = label[u]
-    return links
-
-
-_LINKS = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
-
-
-def _verify(spec: Spec):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Links among the sets of one candidate component, or between two of its blocks (``side``)."""
-        order = np.lexsort((np.arange(len(table)), table["n"].to_numpy()))
-        table = table.take(pa.array(order))
-        n, side, ids = table["n"].to_numpy(), table["side"].to_numpy(), table["set_id"].to_pylist()
-        toks = [nt.unpack_sorted(x) for x in table["toks"].to_pylist()]
-        bits = int(min(max(256, 1 << int(8 * max(map(len, toks)) - 1).bit_length()), 65_536))
-        tree = lambda at: SignatureTree([toks[k] for k in at], n[at], bits)
-        if (side == 0).all():
-            links = tree_join(tree(np.arange(len(n))), None, spec)
-        else:
-            a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-            links = [(int(a[u]), int(b[v])) for u, v in tree_join(tree(a), tree(b), spec)] if len(a) and len(b) else []
-        return pa.table([[ids[u] for u, _ in links], [ids[v] for _, v in links]], schema=_LINKS)
+def _alike(n1: Column, n2: Column, spec: Spec) -> Column:
+    """Sizes that allow a link."""
+    return (n1 * spec.den >= spec.num * n2) & (n2 * spec.den >= spec.num * n1)
 
-    return run
 
+def _reach(sig1: list[Column], sig2: list[Column], clash1: Column, clash2: Column, least1: Column, least2: Column, spec: Spec) -> Column:
+    """Whether the largest possible overlap allows a link of two sets, or of any two sets under two nodes."""
+    common = sum((F.bit_count(a.bitwiseAND(b)).cast("long") for a, b in zip(sig1, sig2, strict=True)), F.least(clash1, clash2))
+    return common * (spec.num + spec.den) >= spec.num * (least1 + least2)
 
-def _groups(members: DataFrame, spec: Spec) -> DataFrame:
-    """Add ``g`` and ``side``: one group for a small component, one for each pair of blocks of a large one.
 
-    Blocks are size classes (a link joins equal or neighbouring classes) cut by hash to a bounded number of sets and tokens.
-    """
-    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
-    small = (F.col("sets") <= spec.block_sets) & (F.col("tokens") <= spec.block_tokens)
-    tagged = members.join(whole.select("component", small.alias("small")), "component")
-    one = tagged.where("small").withColumn("g", F.lit("")).withColumn("side", F.lit(0))
-    large = tagged.where("not small").withColumn("cls", F.floor(F.log(F.col("n").cast("double") + 1e-9) / float(np.log(spec.den / spec.num))).cast("int"))
-    sizes = large.groupBy("component", "cls").agg(F.ceil(F.greatest(F.count(F.lit(1)) / spec.block_sets, F.sum("n") / spec.block_tokens)).cast("int").alias("nb"))
-    near = sizes
-    for d, name in ((1, "above"), (-1, "below")):
-        near = near.join(sizes.select("component", (F.col("cls") - d).alias("cls"), F.col("nb").alias(name)), ["component", "cls"], "left")
-    placed = large.join(near, ["component", "cls"]).withColumn("b", F.pmod(F.xxhash64("set_id"), F.col("nb")).cast("int"))
-    to = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    key = lambda c, x, d, y: F.concat_ws(".", c, x, d, y)
-    c, b = F.col("cls"), F.col("b")
-    same = F.transform(to(F.col("nb")), lambda o: F.struct(key(c, F.least(b, o), c, F.greatest(b, o)).alias("g"), F.when(o == b, 0).when(b < o, 1).otherwise(2).alias("side")))
-    up = F.transform(to(F.col("above")), lambda o: F.struct(key(c, b, c + 1, o).alias("g"), F.lit(1).alias("side")))
-    down = F.transform(to(F.col("below")), lambda o: F.struct(key(c - 1, o, c, b).alias("g"), F.lit(2).alias("side")))
-    many = placed.select("component", "set_id", "n", "toks", F.explode(F.concat(same, up, down)).alias("x")).select("component", "set_id", "n", "toks", "x.g", "x.side")
-    return one.select("component", "set_id", "n", "toks", "g", "side").unionByName(many)
+def _verify(pairs: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs (a, b, with their labels la, lb; a written table) that link: bitmaps first, then the shingles."""
+    hot = {c: hot_keys(pairs.select(c), [c]) for c in ("a", "b")}
+
+    def with_side(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
+        one = able.select(F.col("set_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+        return salted_join(df, one, [side], F.col("b" if side == "a" else "a"), hot[side])
+
+    near = with_side(with_side(pairs, "a", ["n", "clash", "sig"]), "b", ["n", "clash", "sig"])
+    words = lambda c: [F.get(c, F.lit(k)) for k in range(WORDS)]
+    near = near.where(_reach(words("sig_a"), words("sig_b"), F.col("clash_a"), F.col("clash_b"), F.col("n_a"), F.col("n_b"), spec)).drop("sig_a", "sig_b")
+    full = with_side(with_side(near, "a", ["toks"]), "b", ["toks"])
+    common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
+    return full.where(common * (spec.num + spec.den) >= spec.num * (F.col("n_a") + F.col("n_b"))).select("a", "b", "la", "lb")
+
+
+def _merge(links: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """The tables with their column ``label`` replaced by the label of its component under ``links``."""
+    roots = materialise(connected_components(links, "la", "lb"), "jaccard-roots").withColumnRenamed("node", "label").withColumnRenamed("component", "_root")
+    out = []
+    for t in tables:
+        moved = spread_join(t, roots, ["label"], F.col("set_id"), "left")
+        out.append(materialise(moved.withColumn("label", F.coalesce("_root", "label")).drop("_root").select(*t.columns), "jaccard-labels"))
+    return out
+
+
+def _still_open(postings: DataFrame) -> DataFrame:
+    """Postings in which more than one component meets."""
+    mixed = postings.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return materialise(spread_join(postings, mixed, ["key"], F.col("set_id"), "left_semi"), "jaccard-postings")
+
+
+def _star(postings: DataFrame, able: DataFrame, spec: Spec, turn: int) -> tuple[DataFrame, int]:
+    """Verified links of the representatives of each posting's components with the posting's hubs, and the number of representatives."""
+    first = F.min_by(F.struct("set_id", "n"), F.xxhash64("set_id", F.lit(turn)))
+    reps = materialise(postings.groupBy("key", "label").agg(first.alias("r")).select("key", "label", "r.set_id", "r.n"), "jaccard-reps")
+    hub = lambda k: F.min_by(F.struct("set_id", "n", "label"), F.xxhash64("label", F.lit(turn * spec.hubs + k)))
+    hubs = reps.groupBy("key").agg(F.array_distinct(F.array(*(hub(k) for k in range(spec.hubs)))).alias("hubs"))
+    met = spread_join(reps, hubs, ["key"], F.col("set_id")).select("set_id", "n", "label", F.explode("hubs").alias("h"))
+    pairs = met.where((F.col("label") != F.col("h.label")) & _alike(F.col("n"), F.col("h.n"), spec)).select(F.col("h.set_id").alias("a"), F.col("set_id").alias("b"), F.col("h.label").alias("la"), F.col("label").alias("lb")).distinct()
+    return materialise(_verify(materialise(pairs, "jaccard-pairs"), able, spec), "jaccard-links"), reps.count()
+
+
+def _traverse(postings: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
+    """``a, b, la, lb``: the pairs of sets of different components that the dual traversal of the postings' trees leaves."""
+    count = postings.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = count.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    cls = F.floor(F.log(F.col("n").cast("double") + 1e-9) / math.log(spec.den / spec.num)).cast("int")
+    tagged = spread_join(postings, main, ["key"], F.col("set_id")).select("key", "set_id", "n", "label", (F.col("label") == F.col("main")).alias("in_main"), cls.alias("cls"), F.lpad(F.hex(F.xxhash64("set_id")), 16, "0").alias("h"))
+    tagged = materialise(tagged, "jaccard-tagged")
+    top = ["key", "in_main", "cls"]
+    steps = F.greatest(F.lit(0), F.least(F.lit(16), F.ceil(F.log(F.col("m") / spec.leaf_sets) / math.log(1 << STEP)))).cast("int")
+    heights = tagged.groupBy(*top).agg(F.count(F.lit(1)).alias("m")).select(*top, steps.alias("height"))
+    tall = materialise(heights.groupBy("key").agg(F.max("height").alias("tallest")).where("tallest > 0"), "jaccard-tall")
+    levels = tall.agg(F.max("tallest")).first()[0] or 0
+
+    flat = tagged if not levels else spread_join(tagged, tall.select("key"), ["key"], F.col("set_id"), "left_anti")
+    side = lambda t, s, on: t.select(*on, F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"l{s}"))
+    fits = (F.col("la") != F.col("lb")) & _alike(F.col("n_a"), F.col("n_b"), spec)
+    pairs = side(flat, "a", ["key"]).join(side(flat, "b", ["key"]), "key").where((F.col("a") < F.col("b")) & fits).select("a", "b", "la", "lb")
+    if not levels:
+        return pairs.distinct()
+
+    deep = spread_join(spread_join(tagged, tall.select("key"), ["key"], F.col("set_id"), "left_semi"), heights, top, F.col("set_id"), counted=tagged)
+    deep = materialise(deep.join(able.select("set_id", "sig", "clash"), "set_id"), "jaccard-deep")
+    name = lambda d: F.concat_ws(".", F.col("in_main").cast("int"), "cls", F.substring("h", 1, F.least(F.lit(d), F.col("height"))))
+    node_pairs = None
+    for d in range(levels + 1):
+        bits = [F.bit_or(F.get("sig", F.lit(k))).alias(f"s{k}") for k in range(WORDS)]
+        nodes = deep.groupBy("key", name(d).alias("node"), name(max(d - 1, 0)).alias("up")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("clash").alias("clash"), F.min("label").alias("l0"), F.max("label").alias("l1"), *bits)
+        nodes = materialise(nodes, "jaccard-nodes")
+        rename = lambda s: nodes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in nodes.columns if c != "key"))  # noqa: E731, B023
+        if node_pairs is None:
+            met = rename("a").join(rename("b"), "key")
+        else:
+            half = node_pairs.join(rename("a"), ["key", "up_a"])
+            met = half.join(rename("b"), ["key", "up_b"])
+        c = F.col
+        sizes = (c("hi_a") * spec.den >= spec.num * c("lo_b")) & (c("hi_b") * spec.den >= spec.num * c("lo_a"))
+        joined = (c("l0_a") == c("l1_a")) & (c("l0_b") == c("l1_b")) & (c("l0_a") == c("l0_b"))
+        bound = _reach([c(f"s{k}_a") for k in range(WORDS)], [c(f"s{k}_b") for k in range(WORDS)], c("clash_a"), c("clash_b"), c("lo_a"), c("lo_b"), spec)
+        kept = met.where((c("node_a") <= c("node_b")) & sizes & ~joined & bound)
+        node_pairs = materialise(kept.select("key", c("node_a").alias("up_a"), c("node_b").alias("up_b")), "jaccard-node-pairs")
+    leaves = deep.withColumn("node", name(16))
+    met = node_pairs.join(side(leaves.withColumnRenamed("node", "up_a"), "a", ["key", "up_a"]), ["key", "up_a"]).join(side(leaves.withColumnRenamed("node", "up_b"), "b", ["key", "up_b"]), ["key", "up_b"])
+    down = met.where(fits & ((F.col("up_a") != F.col("up_b")) | (F.col("a") < F.col("b"))))
+    low = F.col("a") < F.col("b")
+    either = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    down = down.select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("la", "lb").alias("la"), either("lb", "la").alias("lb"))
+    return pairs.unionByName(down).distinct()
+
+
+def _components(able: DataFrame, spec: Spec) -> DataFrame:
+    """``set_id, label``: sets with the same label are connected by links."""
+    labels = able.select("set_id", F.col("set_id").alias("label"))
+    postings = _still_open(materialise(able.select(F.explode("keys").alias("key"), "set_id", "n", F.col("set_id").alias("label")), "jaccard-postings"))
+    for turn in range(spec.star_rounds):
+        links, reps = _star(postings, able, spec, turn)
+        found = links.count()
+        if found:
+            labels, postings = _merge(links, materialise(labels, "jaccard-labels") if turn == 0 else labels, postings)
+            postings = _still_open(postings)
+        if found * 20 <= reps:
+            break
+    links = materialise(_verify(materialise(_traverse(postings, able, spec), "jaccard-pairs"), able, spec), "jaccard-links")
+    return _merge(links, labels)[0] if not links.isEmpty() else labels
 
 
 def jaccard_join(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -312,26 +318,22 @@ def jaccard_join(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc
     their own and fall in one class when their sets agree; a null id takes part and shows the smallest other id of its
     component, or null. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    mapped = src.mapInArrow(_map(spec, buckets), _MAPPED_SQL)
-    counted = mapped.groupBy("bucket").applyInArrow(_count, _COUNTED_SQL)
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // spec.range_bytes))
+    mapped = src.mapInArrow(_map(spec, ranges), _MAPPED_SQL).repartition(ranges, "bucket")
+    counted = mapped.groupBy("bucket").applyInArrow(_count, _COUNTED_SQL).repartition(ranges, "part")
     sets = materialise(counted.groupBy("part").applyInArrow(_assemble(spec), _SETS_SQL), "jaccard-sets")
 
-    able = materialise(sets.where("toks is not null").dropDuplicates(["set_id"]).select("set_id", "n", "toks", "keys"), "jaccard-able")
-    keys = able.select(F.explode("keys").alias("key"), "set_id")
-    hubs = keys.groupBy("key").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
-    near = keys.join(hubs, "key").where("set_id <> hub").select("hub", "set_id").distinct()
-    members = connected_components(near, "hub", "set_id").withColumnRenamed("node", "set_id").join(able.select("set_id", "n", "toks"), "set_id")
-    links = materialise(_groups(members, spec).groupBy("component", "g").applyInArrow(_verify(spec), "src binary, dst binary"), "jaccard-links")
-    roots = connected_components(links).withColumnRenamed("node", "set_id").withColumnRenamed("component", "root")
+    able = materialise(sets.where("toks is not null").dropDuplicates(["set_id"]).select("set_id", "n", "toks", "keys", "sig", "clash"), "jaccard-able")
+    labels = _components(able, spec)
 
     rows = sets.select("set_id", "n", F.explode("docs").alias("id"))
-    classes = rows.where("n > 0").groupBy("set_id").agg(F.min("id").alias("class_id")).join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    comps = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = classes.join(comps, "root").select("set_id", "class_id", "component_id")
-    return rows.join(named, "set_id", "left").select(
+    classes = rows.where("n > 0").groupBy("set_id").agg(F.min("id").alias("class_id")).join(labels, "set_id", "left")
+    classes = materialise(classes.select("set_id", "class_id", F.coalesce("label", "set_id").alias("label")), "jaccard-classes")
+    comps = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    named = spread_join(classes, comps, ["label"], F.col("set_id")).select("set_id", "class_id", "component_id")
+    return spread_join(rows, named, ["set_id"], F.col("id"), "left").select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
