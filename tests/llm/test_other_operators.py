@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideline.llm import byte_bpe, language_id, registry, warc
-from tideline.llm.elias_fano import EliasFano, Trie
+from tideline.llm.elias_fano import EliasFano, Level, Trie
 from tideline.storage import new_path
 
 P = pytest.importorskip("public_tokenizers")
@@ -111,17 +111,30 @@ def test_elias_fano_equals_arrays():
             assert (hit == np.isin(q, v)).all() and (v[at[hit]] == q[hit]).all()
 
 
-def test_trie_lookup_from_mapped_file():
+def test_trie_searches_inside_the_contexts_range(tmp_path):
     rng = np.random.default_rng(4)
-    pairs = np.unique(rng.integers(0, 300, (4000, 2)), axis=0).astype(np.uint64)
-    ctx, succ = pairs[:, 0] * np.uint64(7919), pairs[:, 1] << np.uint64(20)
-    logp = -rng.random(len(pairs)) * 9
-    trie = Trie.build(ctx, succ, logp).mapped()
-    seen, got = trie.lookup(ctx, succ)
-    assert seen.all() and np.abs(got - logp).max() < 1e-4
-    assert (trie.pointers.values() == np.append(np.flatnonzero(np.diff(ctx, prepend=np.uint64(1 << 60))), len(ctx)).astype(np.uint64)).all()
-    seen, _ = trie.lookup(ctx, succ + np.uint64(1 << 19))
-    assert not seen.any()
+    levels, truth = [], []
+    for size in (300, 40, 1):
+        pairs = np.unique(rng.integers(0, size, (4000, 2)), axis=0).astype(np.uint64)
+        ctx, succ = pairs[:, 0] * np.uint64(7919), pairs[:, 1] << np.uint64(20)
+        value = rng.random(len(pairs)) * 9
+        levels.append(Level.build(ctx, succ, value))
+        truth.append((ctx, succ, value))
+    (tmp_path / "t.ef").write_bytes(Trie([*levels, Level.build(ctx[:0], succ[:0], value[:0])]).dump())
+    trie = Trie.map(np.memmap(tmp_path / "t.ef", dtype=np.uint8, mode="r"))
+    for level, (ctx, succ, value) in zip(trie.levels, truth, strict=False):
+        assert np.abs(level.lookup(ctx, succ) - value).max() < 2e-4
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        assert (level.pointers.values() == np.append(first, len(ctx)).astype(np.uint64)).all()
+        low, high, _ = level.ranges(ctx[first])
+        assert (low == first).all() and (high == np.append(first[1:], len(ctx))).all()
+        assert (level.lookup(ctx, succ + np.uint64(1 << 19)) == -1).all()
+        assert (level.lookup(ctx + np.uint64(1), succ) == -1).all()
+        shuffled = np.sort(rng.integers(0, 1 << 40, 50).astype(np.uint64))
+        assert (level.lookup(np.full(50, ctx[0]), shuffled) == -1).all()
+        broken = Level(level.contexts, EliasFano.build(np.zeros(level.pointers.n, np.uint64)), level.successors, level.codes)
+        assert (broken.lookup(ctx, succ) == -1).all()  # the pointers are what bounds the search
+    assert (trie.levels[3].lookup(ctx, succ) == -1).all()
 
 
 def test_pipeline_equals_its_parts(spark, sf_dir):

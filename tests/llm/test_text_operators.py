@@ -218,35 +218,62 @@ def test_packing_edges(docs, none):
     assert packing.pack(none, packing.word_count()).count() == 0
 
 
-def test_lm_score_edges(spark, docs, none):
+def brute_lm(train, texts):
+    """``n_tokens, n_known, N, base, score`` of each text by plain dictionaries."""
     import math
 
-    got = lm_score.lm_score(docs, F.coalesce(F.col("doc_id") > 9, F.lit(False)), chunk_bytes=5000, heavy_share=0.01).collect()
-    toks = [(d, [*split_words(t), None], d is not None and d > 9) for d, t, *_ in rows()]
-    c, pair, ctx = Counter(), Counter(), Counter()
-    for _, w, held in toks:
-        if not held:
-            c.update(w)
-            pair.update(zip([0, *w], w, strict=False))
-            ctx.update([0, *w[:-1]])
-    n, v = sum(c.values()), len(c)
-    p1 = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
-    want = []
-    for d, w, held in toks:
-        s = 0.0
-        for a, x in zip([0, *w], w, strict=False):
-            mass = lm_score.unseen_mass(ctx[a]) if ctx[a] else 1.0
-            s += math.log10((1 - mass) * pair[a, x] / ctx[a]) if pair[a, x] else p1(x) + math.log10(mass)
-        want.append((d, held, len(w), sum(c[x] > 0 for x in w), n, sum(map(p1, w)), s))
+    toks = [[*split_words(t), None] for t in train]
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for w in toks:
+        uni.update(w)
+        bi.update(zip([0, *w], w, strict=False))
+        tri.update(zip([0, *w], w, w[1:], strict=False))
+    n, v = sum(uni.values()), len(uni)
+    p1 = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda a, w: (bi[a, w] + lm_score.A * p1(w)) / ((uni[a] if a != 0 else len(toks)) + lm_score.A)
+    p3 = lambda a, b, w: (tri[a, b, w] + lm_score.B * p2(b, w)) / (bi[a, b] + lm_score.B)
+    out = []
+    for t in texts:
+        w = [*split_words(t), None]
+        s = math.log10(p2(0, w[0])) + sum(math.log10(p3(a, b, c)) for a, b, c in zip([0, *w], w, w[1:], strict=False))
+        out.append((len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), s))
+    for a, b in [(0, "the"), (toks[0][0], toks[0][1] if len(toks[0]) > 1 else "x")] if toks else []:  # the model is normalised
+        assert abs(sum(p3(a, b, w) for w in uni) + p3(a, b, "no such word") - 1) < 1e-9
+    return out
+
+
+def same_scores(got, want):
     key = lambda r: (str(r[0]), r[2], r[5])
     for g, x in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:5] == x[:5]
-        assert g[5] == pytest.approx(x[5], rel=1e-9) and abs(g[6] - x[6]) < 2e-4 * x[2]
+        assert g[5] == pytest.approx(x[5], rel=1e-9) and abs(g[6] - x[6]) < 5e-4 * x[2]
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 5000, "shard_bytes": 40_000, "hot_share": 0.001}])
+def test_lm_score_edges(spark, docs, none, options):
+    own = F.coalesce(F.col("doc_id") > 9, F.lit(False))
+    model, got = lm_score.train_and_score(docs, own, **options)
+    pairs = [(d, t, d is not None and d > 9) for d, t, *_ in rows()]
+    want = brute_lm([t for _, t, held in pairs if not held], [t for _, t, _ in pairs])
+    same_scores(got.collect(), [(d, held, *x) for (d, _, held), x in zip(pairs, want, strict=True)])
     assert lm_score.lm_score(none, F.lit(False)).count() == 0
     alone = lm_score.lm_score(docs.limit(2), F.lit(True)).collect()  # nothing to learn from
     assert all(r.n_known == 0 and r.score == pytest.approx(r.base_score, rel=1e-5) for r in alone)
 
 
+def test_lm_saved_model_scores_other_texts(spark, docs):
+    from tideline.storage import new_path
+
+    path = new_path(spark, "lm-test")
+    lm_score.train_and_score(docs, F.lit(False), shard_bytes=40_000)[0].save(path)
+    other = [(1, "hello world again and again"), (2, None), (3, "word3 word4 word5 nothing"), (4, "w1 w2 w3 w4 w5"), (4, "w1 w2 w3 w4 w5")]
+    got = lm_score.LanguageModel.load(spark, path).score(spark.createDataFrame(other, "doc_id long, text string")).collect()
+    want = brute_lm([t for _, t, *_ in rows()], [t for _, t in other])
+    assert Counter(r.n_known for r in got) == Counter(x[1] for x in want)
+    for g, (d, x) in zip(sorted(got, key=lambda r: r.doc_id), zip([d for d, _ in other], want, strict=True), strict=True):
+        assert (g.doc_id, g.n_tokens) == (d, x[0]) and abs(g.base_score - x[3]) < 1e-3 * x[0] and abs(g.score - x[4]) < 1e-3 * x[0]
+
+
 def test_chat_round_trip_edges(spark):
     nasty = ["<|im_end|>\n", "\\<|im_start|>", "</s>[INST] ok [/INST]", "a\\\\b\\", "<<SYS>>x<</SYS>>", "<|im_start|>assistant\nhi<|im_end|>\n", None, "", "%0A\n"]
     data = [(c, k, r, t, "extra") for c in (1, 2) for k, (r, t) in enumerate(zip(["user", "assistant", "role\n<x>%5B", None, "assistant"] * 2, nasty, strict=False))]

@@ -1,14 +1,15 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, in one memory-mapped file."""
+"""Elias-Fano sequences and an n-gram trie over them, in one memory-mapped file."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 
 import numpy as np
 
 U64 = np.uint64
 SUCC_BITS = 40
+#: The position of the k-th set bit of each octet.
+_NTH = np.array([[*(j for j in range(8) if o >> j & 1), *[0] * 8][:8] for o in range(256)], dtype=np.int64)
 
 
 def _pack_low(values: np.ndarray, width: int) -> np.ndarray:
@@ -27,7 +28,7 @@ def _pack_low(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence: packed low bits, and high parts in unary with a count of zeros before each word."""
+    """A non-decreasing sequence: packed low bits, and high parts in unary with counts of zeros and ones before each word."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.low, self.high, self.zeros = n, width, low, high, zeros
@@ -48,16 +49,21 @@ class EliasFano:
     def arrays(self) -> list[np.ndarray]:
         return [self.low, self.high, self.zeros]
 
+    @staticmethod
+    def _nth(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The position of the ``k``-th set bit, from 0, of each word; 64 if it has fewer."""
+        octets = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
+        octet = (upto <= k[:, None]).sum(axis=1)
+        inside = np.minimum(octet, 7)
+        row = np.arange(len(octets))
+        rest = k - np.where(octet > 0, upto[row, np.maximum(inside - 1, 0)], 0)
+        return np.where(octet < 8, octet * 8 + _NTH[octets[row, inside], np.clip(rest, 0, 7)], 64)
+
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """The position of the ``k``-th zero, from 0."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = k - self.zeros[word].astype(np.int64)
-        out = np.empty(len(k), dtype=np.int64)
-        for a in range(0, len(k), 65_536):
-            w = np.ascontiguousarray(self.high[np.minimum(word[a : a + 65_536], len(self.high) - 1)])
-            bits = np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") ^ 1
-            out[a : a + 65_536] = (np.cumsum(bits, axis=1, dtype=np.uint8) <= rest[a : a + 65_536, None]).sum(axis=1)
-        return word.astype(np.int64) * 64 + out
+        return word.astype(np.int64) * 64 + self._nth(~self.high[np.minimum(word, len(self.high) - 1)], k - self.zeros[word].astype(np.int64))
 
     def _rank_range(self, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The indices of the elements whose high part is ``upper``: [first, last)."""
@@ -72,14 +78,17 @@ class EliasFano:
         high = np.where(bit > 0, self.low[word + 1] << ((U64(64) - bit) & U64(63)), U64(0))
         return ((self.low[word] >> bit) | high) & U64((1 << self.width) - 1)
 
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Successor search: the index of the first element >= ``x`` inside x's high part, and whether it equals ``x``."""
+    def find(self, x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Successor search: the index of the first element >= ``x`` inside x's high part, and whether it equals ``x``.
+        With ``low`` and ``high``, only indices of [low, high) are searched."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         top = len(self.high) * 64 - self.n - 1
         upper = np.minimum((x >> U64(self.width)).astype(np.int64), top)
         lo, end = self._rank_range(upper)
-        want, hi = x & U64((1 << self.width) - 1), end.copy()
+        if low is not None:
+            lo, end = np.maximum(lo, low), np.minimum(end, high)
+        want, hi = x & U64((1 << self.width) - 1), np.maximum(end, lo)
         while (lo < hi).any():
             mid = (lo + hi) >> 1
             less = (lo < hi) & (self.low_bits(np.minimum(mid, self.n - 1)) < want)
@@ -87,77 +96,104 @@ class EliasFano:
         inside = lo < end
         return lo, inside & (self.low_bits(np.minimum(lo, self.n - 1)) == want) & ((x >> U64(self.width)).astype(np.int64) == upper)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Element ``i``: select over the ones."""
+        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        word = np.searchsorted(ones, i, side="right") - 1
+        at = word * 64 + self._nth(self.high[np.minimum(word, len(self.high) - 1)], i - ones[word])
+        return ((at - i).astype(U64) << U64(self.width)) | self.low_bits(i)
+
     def values(self) -> np.ndarray:
         bits = np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little")
         upper = np.flatnonzero(bits) - np.arange(self.n)
         return (upper.astype(U64) << U64(self.width)) | self.low_bits(np.arange(self.n))
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """Element ``i``: select over the ones."""
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high).astype(np.int64))])
-        word = np.searchsorted(ones, i, side="right") - 1
-        bits = np.unpackbits(np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = (np.cumsum(bits, axis=1, dtype=np.uint8) <= (i - ones[word])[:, None]).sum(axis=1)
-        return ((word * 64 + at - i).astype(U64) << U64(self.width)) | self.low_bits(i)
 
+class Level:
+    """The n-grams of one order: contexts, monotone pointers to their successors, successors and quantised log10 values.
 
-class Trie:
-    """Contexts, monotone pointers to their successors, successors relative to their context, and quantised log10
-    probabilities. ``open`` maps the levels from a file; the pages belong to the page cache, not to the task's heap."""
+    Successors rise inside a context; the largest successor of the contexts before is added to each, which makes the whole
+    sequence monotone. A search reads the context's range from the pointers, adds that base and looks inside the range.
+    """
 
-    STEP = 12 / 65_535  # log10 probabilities from -12 to 0 in 16 bits
+    STEP = 16 / 65_535  # log10 of 0 to 16 in 16 bits
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
         self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
 
     @classmethod
-    def build(cls, context: np.ndarray, successor: np.ndarray, logp: np.ndarray) -> Trie:
-        """From pairs sorted by context and 48-bit successor."""
+    def build(cls, context: np.ndarray, successor: np.ndarray, log10: np.ndarray) -> Level:
+        """From distinct pairs sorted by context and successor (of SUCC_BITS bits); values from 0 to 16."""
         new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
-        rank = (np.cumsum(new) - 1).astype(U64)
-        at = np.append(np.flatnonzero(new), len(context)).astype(U64)
-        key = (rank << U64(SUCC_BITS)) | (successor >> U64(48 - SUCC_BITS))
-        codes = np.clip(np.rint(-logp / cls.STEP), 0, 65_535).astype(np.uint16)
-        return cls(EliasFano.build(context[new]), EliasFano.build(at), EliasFano.build(key), codes)
-
-    def lookup(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(seen, log10 probability)`` of each pair, by successor search inside the context's own range."""
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(context)) - 1
+        base = np.concatenate([[U64(0)], np.cumsum(successor[last] + U64(1), dtype=U64)[:-1]]) if len(first) else np.zeros(0, U64)
+        rising = successor + np.repeat(base, last - first + 1)
+        codes = np.clip(np.rint(log10 / cls.STEP), 0, 65_535).astype(np.uint16)
+        return cls(EliasFano.build(context[new]), EliasFano.build(np.append(first, len(context)).astype(U64)), EliasFano.build(rising), codes)
+
+    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(low, high, base)`` of the successors of each context; an unknown context has an empty range."""
+        if not self.contexts.n:
+            none = np.zeros(len(context), np.int64)
+            return none, none, none.astype(U64)
         rank, known = self.contexts.find(context)
-        key = (np.where(known, rank, 0).astype(U64) << U64(SUCC_BITS)) | (successor >> U64(48 - SUCC_BITS))
-        at, hit = self.successors.find(key)
-        seen = known & hit
-        logp = np.zeros(len(context))
-        logp[seen] = -self.codes[at[seen]].astype(np.float64) * self.STEP
-        return seen, logp
-
-    def save(self, path: str) -> list:
-        """Write all levels to one file; returns the table of contents that ``open`` needs."""
-        toc = []
-        with open(path, "wb") as f:
-            for level in (self.contexts, self.pointers, self.successors):
-                toc.append((level.n, level.width, [self._put(f, a) for a in level.arrays()]))
-            toc.append(self._put(f, self.codes))
-        return toc
+        rank = np.where(known, rank, 0)
+        low, high = self.pointers.get(rank).astype(np.int64), self.pointers.get(rank + 1).astype(np.int64)
+        base = np.where(low > 0, self.successors.get(np.maximum(low - 1, 0)) + U64(1), U64(0))
+        return low, np.where(known, high, low), base
+
+    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """The values of pairs that are sorted by context; -1 for pairs that are not in the level."""
+        out = np.full(len(context), -1.0)
+        if not len(context) or not self.contexts.n:
+            return out
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        low, high, base = (v[np.cumsum(new) - 1] for v in self.ranges(context[new]))
+        at, hit = self.successors.find(successor + base, low, high)
+        out[hit] = self.codes[at[hit]].astype(np.float64) * self.STEP
+        return out
 
-    @staticmethod
-    def _put(f, a: np.ndarray) -> tuple:
-        f.write(b"\0" * (-f.tell() % 8))
-        at = f.tell()
-        f.write(a.tobytes())
-        return at, len(a), a.dtype.str
+
+class Trie:
+    """Levels of several orders in one file; ``map`` opens them from memory-mapped bytes, which the page cache holds."""
+
+    def __init__(self, levels: list[Level]):
+        self.levels = levels
+
+    def dump(self) -> bytes:
+        """All levels behind a table of contents."""
+        body, toc = io.BytesIO(), []
+
+        def put(a: np.ndarray) -> None:
+            body.write(b"\0" * (-body.tell() % 8))
+            toc.append((body.tell(), len(a), {"<u8": 0, "<u4": 1, "<u2": 2}[a.dtype.str]))
+            body.write(a.tobytes())
+
+        heads = []
+        for level in self.levels:
+            for part in (level.contexts, level.pointers, level.successors):
+                heads.append((part.n, part.width, 0))
+                for a in part.arrays():
+                    put(a)
+            put(level.codes)
+        table = np.array([(len(self.levels), 0, 0), *heads, *toc], dtype=np.int64)
+        return len(table).to_bytes(8, "little") + table.tobytes() + body.getvalue()
 
     @classmethod
-    def open(cls, path: str, toc: list) -> Trie:
-        raw = np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-        view = lambda at, n, kind: raw[at : at + n * np.dtype(kind).itemsize].view(kind)
-        levels = [EliasFano(n, width, *(view(*a) for a in parts)) for n, width, parts in toc[:3]]
-        return cls(*levels, view(*toc[3]))
-
-    def mapped(self) -> Trie:
-        """This trie from a memory-mapped temporary file, which is unlinked at once."""
-        fd, path = tempfile.mkstemp(prefix="trie-")
-        os.close(fd)
-        try:
-            return self.open(path, self.save(path))
-        finally:
-            os.unlink(path)
+    def map(cls, raw: np.ndarray) -> Trie:
+        rows = int(raw[:8].view(np.int64)[0])
+        table = raw[8 : 8 + 24 * rows].view(np.int64).reshape(-1, 3)
+        body, n = raw[8 + 24 * rows :], int(table[0, 0])
+        heads, toc = table[1 : 1 + 3 * n], iter(table[1 + 3 * n :])
+
+        def view() -> np.ndarray:
+            at, size, kind = map(int, next(toc))
+            kind = np.dtype(["<u8", "<u4", "<u2"][kind])
+            return body[at : at + size * kind.itemsize].view(kind)
+
+        levels = []
+        for k in range(n):
+            parts = [EliasFano(int(heads[3 * k + j, 0]), int(heads[3 * k + j, 1]), view(), view(), view()) for j in range(3)]
+            levels.append(Level(*parts, view()))
+        return cls(levels)

@@ -1,17 +1,25 @@
-"""LM scoring: a bigram model in Elias-Fano tries, trained and queried where its shards are.
+"""LM scoring: a trigram model in Elias-Fano tries, sharded by context, saved and memory-mapped.
 
-p(w | v) = (1 - l(c(v))) c(v w) / c(v) if the pair was seen in training, l(c(v)) p1(w) if only v was, p1(w) if v wasn't, with
-l(c) = K / (K + sqrt(c)) and p1 the base model. It sums to at most 1 over w for every v.
+    p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),  p2(w | v) = (c(v w) + A p1(w)) / (c(v) + A),
+    p3(w | u v) = (c(u v w) + B p2(w | v)) / (c(u v) + B)
 
-Documents become packed bigram lists, dealt by context (contexts with over a thousandth of all tokens, at most a thousand of them, are dealt by
-the pair, so that no shard holds a hot word). Each shard adds up its training counts, builds its trie, looks its bigrams up
-and returns one partial sum for each document and chunk; unseen bigrams go on to the shard of their second word's
-count. No model and no document passes through the driver.
+Each sums to 1 over the known words, the end of a text and one unknown word. A text's first token has no trigram context.
+
+1. A chunk of documents becomes its distinct n-grams of each order with their training counts, dealt by context to shards
+   (a frequent context by the whole n-gram), packed in one row for a chunk and shard: a hot word or n-gram is one entry of
+   a chunk, whatever its share.
+2. A shard adds up the counts, builds its trie (orders 1 to 3), writes it to the model's folder in the shared store, maps
+   it and looks the chunks' n-grams up. The values go back to the chunks.
+3. A chunk puts the counts of all orders together and adds up each document's log10 probability.
+
+The trie keeps log10 counts in 16 bits, so that a smoothed probability follows from the values of a few n-grams; no
+shard needs another's counts. A saved model (``LanguageModel``) scores any other documents by steps 1 to 3.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,228 +27,316 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import numtext as nt
-from tideline.llm.elias_fano import Trie
-from tideline.storage import materialise, read_table
+from tideline.llm.elias_fano import SUCC_BITS, Level, Trie
+from tideline.storage import materialise, new_path, read_table
 
 U64 = np.uint64
-K = 2.0
+#: Strength of the lower order, in counts, for bigrams and trigrams.
+A, B = 4.0, 2.0
 #: Hashes that stand for the end of a text and for the context of its first word.
 END, BEGIN = (1 << 48) - 1, (1 << 48) - 2
-
-
-def unseen_mass(count: np.ndarray) -> np.ndarray:
-    return K / (K + np.sqrt(count))
+#: Contexts are not split below this share of all tokens: at most a million hot words go to the tasks.
+LEAST_HOT = 1e-6
+SAMPLE = 1 / 64
 
 
 def is_held_out(id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def _tokens(batch: pa.RecordBatch) -> nt.Words:
-    words = nt.hash_words(batch.column("text"))
+def _tokens(texts: pa.Array) -> nt.Words:
+    words = nt.hash_words(texts)
     return nt.Words(np.minimum(words.hashes >> U64(16), U64(BEGIN - 1)), words.first)
 
 
-def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in nt.chunks(batches, "text", 6 << 20, 1 << 20):
-        words = _tokens(batch)
-        train = batch.column("train").to_numpy(zero_copy_only=False)
-        w, c = np.unique(words.hashes[train[words.owner()]], return_counts=True)
-        w, c = np.append(w, U64(END)), np.append(c, train.sum())
+def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in nt.chunks(batches, "text", 4 << 20):
+        w, c = np.unique(_tokens(batch.column("text")).hashes, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(c.astype(np.int64))], ["w", "c"])
 
 
-_PAIRS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("prev", pa.binary()), ("cur", pa.binary()), ("ords", pa.binary()), ("mult", pa.binary()), ("train", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary())])
-_PAIRS_SQL = "part bigint, bucket bigint, prev binary, cur binary, ords binary, mult binary, train binary, ids array<bigint>, sizes binary"
-_SUMS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("cur", pa.binary()), ("ords", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("train", pa.binary())])
-_SUMS_SQL = "part bigint, bucket bigint, cur binary, ords binary, known binary, base binary, score binary, ids array<bigint>, sizes binary, train binary"
-
-
-def _pairs(buckets: int, heavy: np.ndarray, chunk_bytes: int):
-    """One row for each chunk and bucket: distinct (context, word, document) with multiplicities, sorted."""
+@dataclass
+class Grams:
+    """The distinct n-grams of one order in a chunk: in the order of their shards, ``cuts`` bound each shard's; ``place``
+    is the n-gram of each position (of ``at``), as an index of the unordered list."""
+
+    context: np.ndarray
+    successor: np.ndarray
+    order: np.ndarray
+    cuts: np.ndarray
+    place: np.ndarray
+    at: np.ndarray
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values in shard order as values of the positions."""
+        own = np.empty(len(self.order), dtype=values.dtype)
+        own[self.order] = values
+        return own[self.place]
+
+
+def _dealt(context: np.ndarray, successor: np.ndarray, by_whole: np.ndarray, place: np.ndarray, at: np.ndarray, shards: int) -> Grams:
+    shard = (np.where(by_whole, nt.mix(context ^ (successor << U64(17))), nt.mix(context)) % U64(shards)).astype(np.int64)
+    order = np.argsort(context, kind="stable")  # stable: the same order wherever it is computed again
+    order = order[np.argsort(shard[order], kind="stable")]
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    return Grams(context[order], successor[order], order, cuts, place, at)
+
+
+def grams(stream: np.ndarray, sizes: np.ndarray, names: np.ndarray, hot: np.ndarray, shards: int) -> list[Grams]:
+    """Orders 1 to 3 of a chunk: ``stream`` are indices of ``names`` (sorted distinct hashes), ``sizes`` the tokens of each text."""
+    every = np.arange(len(stream))
+    first = np.zeros(len(stream), dtype=bool)
+    first[np.cumsum(sizes) - sizes] = True
+    n = len(names)
+    known = np.append(names, U64(BEGIN))
+    is_hot = np.append(np.isin(names, hot), True)
+    one = _dealt(np.zeros(n, U64), names, np.ones(n, bool), stream, every, shards)
+    key, two = np.unique(np.where(first, n, np.roll(stream, 1)).astype(np.int64) * n + stream, return_inverse=True)
+    before, word = key // n, key % n
+    later = np.flatnonzero(~first)
+    key, three = np.unique(two[later - 1] * n + stream[later], return_inverse=True)
+    pair, last = key // n, key % n
+    u, v = before[pair], word[pair]
+    tail = lambda w: names[w] >> U64(48 - SUCC_BITS)
+    both = nt.mix(known[u] * U64(0x9E3779B97F4A7C15) + known[v]) >> U64(16)
+    return [one, _dealt(known[before], tail(word), is_hot[before], two, every, shards), _dealt(both, tail(last), is_hot[u] & is_hot[v], three, later, shards)]
+
+
+_ROWS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_ROWS_SQL = "part bigint, bucket bigint, body binary, ids array<bigint>"
+_VALUES = pa.schema([*_ROWS, ("file", pa.string()), ("n", pa.int64()), ("v", pa.int64()), ("e", pa.int64())])
+_VALUES_SQL = _ROWS_SQL + ", file string, n bigint, v bigint, e bigint"
+
+
+def _requests(shards: int, hot: np.ndarray, chunk_bytes: int):
+    """For each chunk one row with its tokens, which goes home, and one for each shard with n-grams and training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         for at, batch in enumerate(nt.chunks(batches, "text", chunk_bytes)):
-            words, docs = _tokens(batch), batch.num_rows
-            n = words.counts
-            first = words.first[:-1] + np.arange(docs)  # with an end after each text
+            words, docs = _tokens(batch.column("text")), batch.num_rows
+            sizes = words.counts + 1  # with an end after each text
             cur = np.full(len(words.hashes) + docs, END, dtype=U64)
             cur[np.arange(len(words.hashes)) + words.owner()] = words.hashes
-            prev = np.concatenate([[U64(BEGIN)], cur[:-1]])
-            prev[first] = BEGIN
-            own = np.repeat(np.arange(docs), n + 1)
-            order = np.lexsort((own, cur, prev))
-            prev, cur, own = prev[order], cur[order], own[order]
-            new = np.flatnonzero(np.concatenate([[True], (prev[1:] != prev[:-1]) | (cur[1:] != cur[:-1]) | (own[1:] != own[:-1])]))
-            mult = np.diff(np.append(new, len(prev)))
-            prev, cur, own = prev[new], cur[new], own[new]
-            spread = np.isin(prev, heavy)
-            dealt = (np.where(spread, nt.mix(prev ^ (cur << U64(16))), nt.mix(prev)) % U64(buckets)).astype(np.int64)
-            by = np.argsort(dealt, kind="stable")
-            cuts = np.searchsorted(dealt[by], np.arange(buckets + 1))
-            part, train = (task << 24) | at, np.packbits(batch.column("train").to_numpy(zero_copy_only=False)).tobytes()
-            rows = [{"part": part, "bucket": -1 - part, "train": train, "ids": batch.column("id").to_pylist(), "sizes": nt.pack_planes(n + 1)}]
-            for b in range(buckets):
-                x = by[cuts[b] : cuts[b + 1]]
-                if len(x):
-                    rows.append({"part": part, "bucket": b, "prev": nt.pack_sorted(prev[x]), "cur": nt.pack_planes(cur[x]), "ords": nt.pack_planes(own[x]), "mult": nt.pack_planes(mult[x]), "train": train})
-            yield pa.RecordBatch.from_pylist(rows, _PAIRS)
+            names, stream = np.unique(cur, return_inverse=True)
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+            weight = np.repeat(train, sizes)
+            part = (task << 24) | at
+            home = nt.join_blobs(nt.pack_planes(stream), nt.pack_planes(sizes), nt.pack_sorted(names), np.packbits(train.astype(np.uint8)).tobytes())
+            rows = [{"part": part, "bucket": -1 - part, "body": home, "ids": batch.column("id").to_pylist()}]
+            orders = grams(stream, sizes, names, hot, shards)
+            counts = [np.bincount(g.place, weights=weight[g.at], minlength=len(g.order))[g.order].astype(np.int64) for g in orders]
+            for b in range(shards):
+                body = []
+                for k, (g, c) in enumerate(zip(orders, counts, strict=True)):
+                    s = slice(g.cuts[b], g.cuts[b + 1])
+                    body += [nt.pack_planes(g.successor[s]) if k == 0 else nt.pack_sorted(g.context[s]), b"" if k == 0 else nt.pack_planes(g.successor[s]), nt.pack_planes(c[s])]
+                if any(g.cuts[b + 1] > g.cuts[b] for g in orders):
+                    rows.append({"part": part, "bucket": b, "body": nt.join_blobs(*body)})
+            yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
     return run
 
 
-def _add(ords: np.ndarray, **values: np.ndarray) -> dict:
-    """Sums by document; only documents that occur."""
-    docs, at = np.unique(ords, return_inverse=True)
-    out = {"ords": nt.pack_sorted(docs)}
-    for name, v in values.items():
-        total = np.bincount(at, weights=v, minlength=len(docs))
-        out[name] = nt.pack_planes(np.rint(total).astype(np.int64)) if name == "known" else total.astype(np.float64 if name == "base" else np.float32).tobytes()
-    return out
+def _store(folder: str, shard: int, data: bytes) -> str:
+    """Write a shard's trie; named by attempt, so that only the files of tasks that succeeded are in the manifest."""
+    from pyarrow import fs
+    from pyspark import TaskContext
 
+    name = f"{folder}/trie-{shard:08d}-{TaskContext.get().taskAttemptId()}.ef"
+    store, inside = fs.FileSystem.from_uri(name)
+    store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(inside, compression=None) as f:
+        f.write(data)
+    return name
 
-def _shard(heavy: np.ndarray, heavy_counts: np.ndarray, total: float, distinct: int, ends: int, buckets: int):
-    scale = np.log10(total + 0.1 * (distinct + 1))
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Count, build the trie, look up, add up; unseen pairs go on to the bucket of their word."""
-        if key[0].as_py() < 0:
-            keep = table.select(["part", "bucket", "ids", "sizes", "train"]).to_pylist()
-            return pa.Table.from_pylist(keep, _SUMS)
-        cols = table.to_pydict()
-        join = lambda f, c, kind: np.concatenate([f(x).astype(kind, copy=False) for x in cols[c]])
-        prev, cur, ords, mult = join(nt.unpack_sorted, "prev", U64), join(nt.unpack_planes, "cur", U64), join(nt.unpack_planes, "ords", np.uint16), join(nt.unpack_planes, "mult", np.int32)
-        sizes = [int.from_bytes(x[1:7], "little") for x in cols["prev"]]
-        ends_of = np.cumsum(sizes)
-        for c in ("prev", "cur", "ords", "mult"):  # the packed columns aren't needed any more
-            del cols[c]
-        train = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8))[o] for t, o in zip(cols["train"], np.split(ords, ends_of[:-1]), strict=True)])
-        order = np.lexsort((cur, prev))
-        prev, cur = prev[order], cur[order]
-        pair = np.flatnonzero(np.concatenate([[True], (prev[1:] != prev[:-1]) | (cur[1:] != cur[:-1])]))
-        counted = np.add.reduceat((mult * train)[order], pair, dtype=np.int64)
-        p, c = prev[pair], cur[pair]
-        entry = np.empty(len(order), dtype=np.int32)
-        entry[order] = np.repeat(np.arange(len(pair), dtype=np.int32), np.diff(np.append(pair, len(prev))))  # entry -> pair
-        del prev, cur, order, train
-        ctx = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        sums = np.add.reduceat(counted, ctx)
-        at = np.minimum(np.searchsorted(heavy, p[ctx]), len(heavy) - 1)
-        sums = np.where(heavy[at] == p[ctx], heavy_counts[at], sums)
-        c1 = np.repeat(sums, np.diff(np.append(ctx, len(p)))).astype(np.float64)
-        got = counted > 0
-        trie = Trie.build(p[got], c[got], np.log10((1 - unseen_mass(c1[got])) * counted[got] / c1[got])).mapped()
-        seen, value = trie.lookup(p, c)
-        lone = np.where(c1 > 0, np.log10(unseen_mass(c1)), 0.0) + np.where(c == U64(END), np.log10(ends + 0.1) - scale, 0.0)
-        value = np.where(seen, value, lone)
-        word = p != U64(BEGIN)  # as a context a word is counted as a token; BEGIN is none
-        base = np.where(word, np.log10(c1 + 0.1) - scale, 0.0)
-        known = word & (c1 > 0)
-        late = (~seen & (c != U64(END)))[entry]
-        del p, c1, lone, sums, counted, got
-        rows = []
-        for k, part in enumerate(cols["part"]):
-            s = slice(ends_of[k] - sizes[k], ends_of[k])
-            e, m = entry[s], mult[s]
-            rows.append({"part": part, "bucket": -1 - part, **_add(ords[s], known=known[e] * m, base=base[e] * m, score=value[e] * m)})
-        wait = np.flatnonzero(late)
-        w = c[entry[wait]]
-        to = (w % U64(buckets)).astype(np.int64)
-        by = np.lexsort((w, to))
-        wait, w, to = wait[by], w[by], to[by]
-        cuts = np.searchsorted(to, np.arange(buckets + 1))
-        for b in np.unique(to).tolist():  # one row for each target bucket, the chunks of its entries inside
-            x = slice(cuts[b], cuts[b + 1])
-            rows.append({"bucket": b, "cur": nt.pack_sorted(w[x]), "ords": nt.pack_planes(ords[wait[x]]), "known": nt.pack_planes(mult[wait[x]]), "sizes": nt.pack_planes(np.searchsorted(ends_of, wait[x], side="right")), "ids": cols["part"]})
-        return pa.Table.from_pylist(rows, _SUMS)
+def _opened(name: str) -> Trie:
+    """The trie in a file of the shared store: mapped where the store is a file system, else read."""
+    from pyarrow import fs
 
-    return run
+    store, inside = fs.FileSystem.from_uri(name)
+    if store.type_name == "local":
+        return Trie.map(np.memmap(inside, dtype=np.uint8, mode="r"))
+    with store.open_input_file(inside) as f:
+        return Trie.map(np.frombuffer(f.read(), dtype=np.uint8))
 
 
-def _second(scale: float):
-    def run(key: tuple[pa.Scalar, ...], late: pa.Table, counts: pa.Table) -> pa.Table:
-        """The base probability of the words of unseen pairs."""
-        if not len(late):
-            return pa.Table.from_pylist([], _SUMS)
-        order = np.argsort(counts["w"].to_numpy())
-        w, c = counts["w"].to_numpy()[order].astype(U64), counts["c"].to_numpy()[order]
-        held = late.select(["cur", "ords", "known", "sizes", "ids"]).to_pylist()
-        join = lambda f, name: np.concatenate([f(r[name]) for r in held])
-        x, ords, mult = join(nt.unpack_sorted, "cur"), join(nt.unpack_planes, "ords").astype(np.int64), join(nt.unpack_planes, "known").astype(np.int64)
-        part = np.concatenate([np.array(r["ids"], dtype=np.int64)[nt.unpack_planes(r["sizes"]).astype(np.int64)] for r in held])
-        at = np.minimum(np.searchsorted(w, x), max(len(w) - 1, 0))
-        count = np.where(w[at] == x, c[at], 0) if len(w) else np.zeros(len(x))
-        value = (np.log10(count + 0.1) - scale) * mult
-        by = np.argsort(part, kind="stable")
-        names, first = np.unique(part[by], return_index=True)
-        rows = [{"part": int(p), "bucket": int(-1 - p), **_add(o, score=v)} for p, o, v in zip(names, np.split(ords[by], first[1:]), np.split(value[by], first[1:]), strict=True)]
-        return pa.Table.from_pylist(rows, _SUMS)
+def _distinct(context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``order`` sorts the entries, ``new`` are the first of each distinct n-gram in that order, ``which`` the n-gram of each entry."""
+    order = np.lexsort((successor, context))
+    c, s = context[order], successor[order]
+    new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])])) if len(c) else np.zeros(0, np.int64)
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    return order, new, which
 
-    return run
+
+def _shard(folder: str | None):
+    """Look the n-grams of the chunks up in a shard's trie; with ``folder`` the trie is built from their counts first."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, manifest: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.Table.from_pylist([], _VALUES)
+        if key[0].as_py() < 0:
+            return pa.Table.from_pylist(table.to_pylist(), _VALUES)
+        parts, bodies = table["part"].to_pylist(), [nt.split_blobs(x) for x in table["body"].to_pylist()]
+        orders, levels, seen = [], [], None
+        for k in range(3):
+            join = lambda f, j: np.concatenate([f(x[3 * k + j]) for x in bodies])  # noqa: E731, B023
+            succ = join(nt.unpack_planes, 0 if k == 0 else 1)
+            ctx = np.zeros(len(succ), U64) if k == 0 else join(nt.unpack_sorted, 0)
+            sizes = [int.from_bytes(x[3 * k + 2][1:7], "little") for x in bodies]
+            order, new, which = _distinct(ctx, succ)
+            c, s = ctx[order][new], succ[order][new]
+            orders.append((c, s, which, np.cumsum(sizes)))
+            if folder is not None:
+                count = np.add.reduceat(join(nt.unpack_planes, 2)[order].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+                got = count > 0
+                levels.append(Level.build(c[got], s[got], np.log10(count[got])))
+                if k == 0:
+                    seen = s[got], count[got]
+        if folder is not None:
+            name = _store(folder, key[0].as_py(), Trie(levels).dump())
+            trie = _opened(name)
+        else:
+            name = manifest["file"][0].as_py() if len(manifest) else None
+            trie = _opened(name) if name else None
+        answers = [[] for _ in parts]
+        for k, (c, s, which, ends) in enumerate(orders):
+            value = trie.levels[k].lookup(c, s) if trie else np.full(len(c), -1.0)
+            if k == 0:
+                code = np.where(value < 0, 0, np.rint(10.0**value)).astype(U64)
+                if seen is not None:  # counts above the precision of the codes
+                    code[np.searchsorted(s, seen[0])] = seen[1]
+            else:
+                code = np.where(value < 0, 0, np.rint(value / Level.STEP) + 1).astype(U64)
+            for own, x in zip(answers, np.split(code[which], ends[:-1]), strict=True):
+                own.append(nt.pack_planes(x))
+        rows = [{"part": p, "bucket": -1 - p, "body": nt.join_blobs(key[0].as_py().to_bytes(8, "little"), *a)} for p, a in zip(parts, answers, strict=True)]
+        if seen is not None:
+            rows.append({"bucket": key[0].as_py(), "file": name, "n": int(seen[1].sum()), "v": len(seen[0]), "e": int(seen[1][seen[0] == U64(END)].sum())})
+        return pa.Table.from_pylist(rows, _VALUES)
+
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return run(key, table, table.slice(0, 0))
+
+    return run if folder is None else build
 
 
 _RESULT_SQL = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _finish(scale: float, ends: int):
+def _finish(shards: int, hot: np.ndarray, total: int, distinct: int, texts: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Add up the partial sums of one chunk."""
+        """Put the values of one chunk's n-grams together and add up its documents."""
         rows = table.to_pylist()
-        head = next(r for r in rows if r["sizes"] is not None)
-        n = len(head["ids"])
-        known, base, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        head = next(r for r in rows if r["ids"] is not None)
+        stream, sizes, names, bits = nt.split_blobs(head["body"])
+        stream, sizes, names = nt.unpack_planes(stream).astype(np.int64), nt.unpack_planes(sizes).astype(np.int64), nt.unpack_sorted(names)
+        train = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(sizes)].astype(bool)
+        orders = grams(stream, sizes, names, hot, shards)
+        codes = [np.zeros(len(g.order), dtype=np.int64) for g in orders]
         for r in rows:
-            if r["ords"] is None:
-                continue
-            at = nt.unpack_sorted(r["ords"]).astype(np.int64)
-            if r["base"] is not None:
-                known[at] += nt.unpack_planes(r["known"]).astype(np.int64)
-                base[at] += np.frombuffer(r["base"], np.float64)
-            score[at] += np.frombuffer(r["score"], np.float32)
-        train = np.unpackbits(np.frombuffer(head["train"], np.uint8))[:n].astype(bool)
+            if r["ids"] is None:
+                shard, *answers = nt.split_blobs(r["body"])
+                b = int.from_bytes(shard, "little")
+                for g, c, x in zip(orders, codes, answers, strict=True):
+                    c[g.cuts[b] : g.cuts[b + 1]] = nt.unpack_planes(x)
+        count = lambda code: np.where(code > 0, 10.0 ** ((code - 1) * Level.STEP), 0.0)
+        c1, c2, c3 = codes[0], count(codes[1]), count(codes[2])
+        c1, c2, c3 = (g.spread(c) for g, c in zip(orders, (c1, c2, c3), strict=True))
+        start = np.cumsum(sizes) - sizes
+        floor = total + 0.1 * (distinct + 1)
+        p = (c1 + 0.1) / floor
+        base = np.log10(p)
+        before = np.roll(c1, 1).astype(np.float64)
+        before[start] = texts
+        p = (c2 + A * p) / (before + A)
+        later = orders[2].at
+        p[later] = (c3 + B * p[later]) / (c2[later - 1] + B)
+        add = lambda x: np.add.reduceat(x, start)
         return pa.table(
             {
                 "id": pa.array(head["ids"], pa.int64()),
                 "held_out": pa.array(~train),
-                "n_tokens": pa.array(nt.unpack_planes(head["sizes"]).astype(np.int64)),
-                "n_known": pa.array(known + (ends > 0)),
-                "base_score": pa.array(base + np.log10(ends + 0.1) - scale),
-                "score": pa.array(score),
+                "n_tokens": pa.array(sizes),
+                "n_known": pa.array(add((c1 > 0).astype(np.int64))),
+                "base_score": pa.array(add(base)),
+                "score": pa.array(add(np.log10(p))),
             }
         )
 
     return run
 
 
-def lm_score(docs: DataFrame, held_out: Column, text: str = "text", id: str = "doc_id", heavy_share: float = 0.001, chunk_bytes: int = 4 << 20) -> DataFrame:
+@dataclass
+class LanguageModel:
+    """A trained model: a manifest of the shards' files, and what every task needs to know."""
+
+    manifest: DataFrame
+    shards: int
+    hot: np.ndarray
+    total: int
+    distinct: int
+    texts: int
+
+    def save(self, path: str) -> None:
+        """Write the model's table to ``path``; the tries stay where the training put them."""
+        spark = self.manifest.sparkSession
+        self.manifest.write.parquet(f"{path}/manifest")
+        row = (self.shards, self.hot.astype(np.int64).tolist(), self.total, self.distinct, self.texts)
+        spark.createDataFrame([row], "shards int, hot array<bigint>, total bigint, distinct bigint, texts bigint").write.parquet(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LanguageModel:
+        r = spark.read.parquet(f"{path}/model").first()
+        return cls(spark.read.parquet(f"{path}/manifest"), r["shards"], np.array(r["hot"], dtype=U64), r["total"], r["distinct"], r["texts"])
+
+    def score(self, docs: DataFrame, text: str = "text", id: str = "doc_id", chunk_bytes: int = 4 << 20) -> DataFrame:
+        """The rows of ``lm_score`` for documents the model was not trained on (all marked held out)."""
+        src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(False).alias("train"))
+        asked = src.mapInArrow(_requests(self.shards, self.hot, chunk_bytes), _ROWS_SQL).repartition(self.shards, "bucket")
+        values = asked.groupBy("bucket").cogroup(self.manifest.groupBy("bucket")).applyInArrow(_shard(None), _VALUES_SQL)
+        return self.finish(values, id)
+
+    def finish(self, values: DataFrame, id: str) -> DataFrame:
+        own = values.where("part is not null").select("part", "body", "ids").repartition(self.shards, "part")
+        out = own.groupBy("part").applyInArrow(_finish(self.shards, self.hot, self.total, self.distinct, self.texts), _RESULT_SQL)
+        return out.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(self.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def train_and_score(docs: DataFrame, held_out: Column, text: str = "text", id: str = "doc_id", folder: str | None = None, chunk_bytes: int = 4 << 20, shard_bytes: int = 16 << 20, hot_share: float | None = None) -> tuple[LanguageModel, DataFrame]:
+    """A model of the rows where ``held_out`` is false, and the scores of all rows. The tries are written under ``folder``."""
+    spark = docs.sparkSession
+    src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), (~held_out).alias("train"))
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    # Which contexts are split is a matter of balance alone, so a sample may decide it; results do not depend on it.
+    words = src.select("text").sample(False, SAMPLE, 1).mapInArrow(_sample_counts, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    words = materialise(words, "lm-sample")
+    share = max(LEAST_HOT, 1 / (4 * shards)) if hot_share is None else hot_share
+    line = share * (words.agg(F.sum("c")).first()[0] or 0)
+    hot = np.array(sorted(r["w"] for r in words.where(F.col("c") > line).collect()), dtype=U64)  # at most 1 / share rows
+
+    folder = folder or new_path(spark, "lm-model")
+    asked = src.mapInArrow(_requests(shards, hot, chunk_bytes), _ROWS_SQL).repartition(shards, "bucket")
+    values = materialise(asked.groupBy("bucket").applyInArrow(_shard(folder), _VALUES_SQL), "lm-values")
+    got = values.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "e"))).first()
+    model = LanguageModel(values.where("file is not null").select("bucket", "file"), shards, hot, got["n"], got["v"], got["e"])
+    return model, model.finish(values, id)
+
+
+def lm_score(docs: DataFrame, held_out: Column, **options) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Learns from the rows where ``held_out`` is false. A null or empty text is its end alone. Repeated rows count
     and are scored each; a null id counts as not held out unless the column says so. An empty table gives an empty
     result; without training rows every score is the uniform base. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), (~held_out).alias("train"))
-    counts = materialise(src.mapInArrow(_train_counts, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")).where("c > 0"), "lm-counts")
-    got = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("w") == END, F.col("c"))), F.lit(0)).alias("e")).first()
-    total, distinct, ends = got["n"], got["v"], got["e"]
-    top = counts.where((F.col("c") > heavy_share * total) & (F.col("w") != END)).collect()  # at most 1 / heavy_share rows
-    heavy = dict([(r["w"], r["c"]) for r in top] + [(BEGIN, ends)])
-    names = np.array(sorted(heavy), dtype=U64)
-    scale = float(np.log10(total + 0.1 * (distinct + 1)))
-
-    pairs = src.mapInArrow(_pairs(buckets, names, chunk_bytes), _PAIRS_SQL)
-    shard = _shard(names, np.array([heavy[int(w)] for w in names]), float(total), distinct, ends, buckets)
-    first = materialise(pairs.groupBy("bucket").applyInArrow(shard, _SUMS_SQL), "lm-first")
-    words = counts.where(F.col("w") != END).withColumn("bucket", F.pmod("w", F.lit(buckets)))
-    second = first.where("bucket >= 0").groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_second(scale), _SUMS_SQL)
-    sums = first.where("bucket < 0").unionByName(second)
-    out = sums.groupBy("part").applyInArrow(_finish(scale, ends), _RESULT_SQL)
-    return out.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return train_and_score(docs, held_out, **options)[1]
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

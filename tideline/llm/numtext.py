@@ -151,3 +151,16 @@ def unpack_planes(blob: bytes) -> np.ndarray:
     out = np.zeros((n, 8), dtype=np.uint8)
     out[:, :width] = raw.reshape(width, n).T
     return out.reshape(-1).view(U64)
+
+
+def join_blobs(*blobs: bytes) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def split_blobs(body: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(body):
+        size = int.from_bytes(body[at : at + 8], "little")
+        out.append(body[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
