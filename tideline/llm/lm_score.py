@@ -32,7 +32,7 @@ from tideline.storage import materialise, new_path, read_table
 
 U64 = np.uint64
 #: Strength of the lower order, in counts, for bigrams and trigrams.
-A, B = 4.0, 2.0
+A, B = 2000.0, 20.0
 #: Hashes that stand for the end of a text and for the context of its first word.
 END, BEGIN = (1 << 48) - 1, (1 << 48) - 2
 #: Contexts are not split below this share of all tokens: at most a million hot words go to the tasks.
