@@ -34,11 +34,11 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, how:
 
 
 def salted_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """``spread_join`` with the hot keys given (``hot_keys`` of a table, with ``on`` renamed as needed)."""
+    """``spread_join`` with the hot keys given: ``hot_keys`` of a table on all or some of the columns ``on``."""
     if hot is None:
         return many.join(one, on, how)
-    small = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
+    small, keys = F.broadcast(hot), [c for c in on if c in hot.columns]  # at most 1 / HOT_SHARE rows
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_salts"))).cast("int")
-    left = many.join(small, on, "left").withColumn("_salt", salt).drop("_salts")
-    right = one.join(small, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    left = many.join(small, keys, "left").withColumn("_salt", salt).drop("_salts")
+    right = one.join(small, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
