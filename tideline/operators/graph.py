@@ -36,17 +36,18 @@ def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None, written: bool = False) -> DataFrame:
     """``node, component`` for every node of ``edges``; the component is its smallest node.
 
     Alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest path, and each
     round's edges are written to the shared folder, so a lost executor costs one round. A hub's edges are dealt to several
     tasks. Rounds go on until nothing changes;
     with ``max_rounds``, a graph that needs more raises ``RuntimeError`` rather than return parts of components.
-    Null ends are left out; a node with only a self-loop is its own component.
+    Null ends are left out; a node with only a self-loop is its own component. ``written`` says that ``edges`` is a written
+    table, which need not be written again.
     """
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    nodes = materialise(clean, "cc-input")
+    nodes = clean if written else materialise(clean, "cc-input")
     now = materialise(nodes.where("u <> v").distinct(), "cc-edges")
     was, rounds = _state(now), 0
     while was[0]:
