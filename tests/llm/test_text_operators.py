@@ -53,7 +53,7 @@ def test_exact_dedup_edges(docs, none):
 
 def test_exact_dedup_verifies_bytes_when_digests_collide(docs):
     """With the length as digest, different texts collide; verification must part them."""
-    weak = exact_dedup.exact_dedup(docs, digest=lambda c: F.length(c).cast("long"), memtables=3, fan_in=2)
+    weak = exact_dedup.exact_dedup(docs, digest=lambda c: F.length(c).cast("long"), memtable_rows=2, fan_in=2)
     assert Counter(map(tuple, weak.collect())) == Counter(map(tuple, exact_dedup.exact_dedup(docs).collect()))
 
 
@@ -72,13 +72,31 @@ def brute_lines(pairs):
     return Counter(out)
 
 
+def test_exact_dedup_filters_let_only_possible_hits_through(spark):
+    """Digests that one run alone has are not merged; digests of several runs always are."""
+    rows = [(run, 1000 * run + k, run, 1) for run in range(4) for k in range(300)] + [(run, -5, run, 2) for run in range(4)]
+    level = spark.createDataFrame(rows, "run long, digest long, keep long, rows long")
+    out = {r.digest: (r.keep, r.rows) for r in exact_dedup.merge_level(level, 4, 300 // exact_dedup.BLOCK).collect()}
+    assert len(out) == 1201 and out[-5] == (0, 8) and all(v == (d // 1000, 1) for d, v in out.items() if d >= 0)
+    own = exact_dedup.filters(level, 300 // exact_dedup.BLOCK)
+    assert own.select("run").distinct().count() == 4 and own.count() <= 4 * (300 // exact_dedup.BLOCK)
+
+
 @pytest.mark.parametrize(("batches", "fan_in"), [(1, 2), (4, 3), (6, 2)])
 def test_line_dedup_edges(docs, none, batches, fan_in):
-    got = line_dedup.line_dedup(docs, batches=batches, fan_in=fan_in).collect()
+    got = line_dedup.line_dedup(docs, batch_bytes=700_000 // batches, fan_in=fan_in).collect()
     assert Counter(map(tuple, got)) == brute_lines([r[:2] for r in rows()])
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_long_texts_takes_linear_time(spark):
+    """Every line of a text of 60,000 lines is a copy; with a scan of the dropped hashes per line this takes minutes."""
+    text = "\n".join(f"this is line number {k}" for k in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, text), (2, text + "\none more line of text"), (3, "this is line number 7\nx")], "doc_id long, text string")
+    got = line_dedup.line_dedup(df).collect()
+    assert Counter(map(tuple, got)) == brute_lines([(1, text), (2, text), (2, text + "\none more line of text"), (3, "this is line number 7\nx")])
+
+
 def brute_components(pairs, k, num, den):
     sets = []
     for _, t in pairs:
@@ -147,7 +165,7 @@ def test_signature_trees_lose_no_pair_that_links(spark):
         rows.append((bytearray(name), len(x), x.tolist(), np.packbits(bits, bitorder="little").view(np.int64).tolist(), len(x) - int(bits.sum())))
     able = spark.createDataFrame(rows, "set_id binary, n bigint, toks array<bigint>, sig array<bigint>, clash bigint")
     postings = able.select(F.lit(7).cast("long").alias("key"), "set_id", "n", F.col("set_id").alias("label"))
-    left = jaccard_join._traverse(postings, able, spec)
+    left = jaccard_join._traverse(postings, able, None, spec)
     pairs = {(bytes(r.a), bytes(r.b)) for r in left.collect()}
     linked = {(a, b) for a in sets for b in sets if a < b and 8 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))}
     assert linked and linked <= pairs and len(pairs) < len(sets) ** 2 / 8  # most pairs never meet
@@ -182,6 +200,60 @@ def test_decision_list_learns_thresholds(spark):
     assert again.rules == [] and str(again) == "keep all"
 
 
+def test_grown_rule_has_the_largest_gain_and_a_failed_one_is_set_aside():
+    """The learner against plain loops over rows, on two kinds of junk and a deceptive statistic."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    names = list(quality_rules.FEATURES)
+    for _ in range(5):
+        size, edges = 400, 5
+        table = {f: rng.integers(-1, edges, size) for f in names}
+        p = ((table["symbol_ratio"] >= 3) | ((table["upper_ratio"] >= 2) & (table["bang_ratio"] <= 1)) | (rng.random(size) < 0.02)).astype(np.int64)
+        held, n = rng.random(size) < 1 / 3, np.ones(size, dtype=np.int64)
+        cuts = {f: [float(k) for k in range(edges)] for f in names}
+        grown = quality_rules._grow(table, n, p, ~held, cuts, 1, 4, set())
+        rows = [i for i in range(size) if not held[i]]
+        prior = math.log2(sum(p[i] for i in rows) / len(rows))
+        gains = {}
+        for f in names:
+            for k in range(edges):
+                for above in (True, False):
+                    hit = [i for i in rows if (table[f][i] >= k) == above]
+                    good = sum(int(p[i]) for i in hit)
+                    if good >= 4 and len(hit) < len(rows):
+                        gains[f, above, k] = good * (math.log2(good / len(hit)) - prior)
+        c = grown[0]
+        assert gains[c.feature, c.above, c.cut + 1] == pytest.approx(max(gains.values()))
+        rules = quality_rules.cover(table, n, p, held, cuts, 3, 4, 0.9)
+        caught = np.zeros(size, dtype=bool)
+        for r in rules.rules:
+            assert p[held & ~caught & quality_rules._matched(table, r)].mean() >= 0.9
+            caught |= quality_rules._matched(table, r)
+        assert p[caught].mean() > 0.9 and caught[p == 1].mean() > 0.8
+    table = {f: np.zeros(300, dtype=np.int64) for f in names}
+    table["digit_ratio"][:90] = 1  # bad rows to grow from, good ones to prune on
+    table["bang_ratio"][90:130] = 1
+    p, held = np.zeros(300, dtype=np.int64), np.zeros(300, dtype=bool)
+    p[:60], p[90:130], held[60:90], held[115:130] = 1, 1, True, True
+    rules = quality_rules.cover(table, np.ones(300, dtype=np.int64), p, held, {f: [0.5, 0.7] if f in ("digit_ratio", "bang_ratio") else [] for f in names}, 3, 4, 0.9)
+    assert rules.rules and all(c.feature != "digit_ratio" or not c.above for r in rules.rules for c in r[:1])
+    assert any(quality_rules._matched(table, r)[90:130].all() for r in rules.rules)
+
+
+def test_labelled_rows_are_bounded_and_held_out_labels_agree(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality_rules.learn_from_labels(docs.where("doc_id % 2 = 0"), labels)
+    judged = quality_rules.quality_rules(docs.where("doc_id % 2 = 1"), rules).join(labels, "doc_id").where("not base_failed")
+    right = judged.select((F.col("kept") == (F.col("quality") == 1)).cast("int").alias("r")).agg(F.avg("r"), F.count("r")).first()
+    assert right[1] > 50 and right[0] > 0.95
+    same = spark.createDataFrame([(1, f"w{k} " * 60, "en") for k in range(500)], "doc_id long, text string, lang string")
+    assert quality_rules.learn_from_labels(same, spark.createDataFrame([(1, 0)], "doc_id long, quality int"), max_labelled=5).rules == []
+
+
 def test_packing_bounds_are_optimal():
     import itertools
 
@@ -218,6 +290,49 @@ def test_packing_edges(docs, none):
     assert packing.pack(none, packing.word_count()).count() == 0
 
 
+def test_bounds_of_many_lengths_equal_the_plain_dynamic_program():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    lengths = np.unique(rng.integers(1, 20_000, 400))
+    counts = rng.integers(1, 1000, len(lengths))
+    total = np.concatenate([[0], np.cumsum(counts)])
+    best = lengths * total[1:]
+    for buckets in range(1, 9):
+        bounds = packing.optimal_bounds(lengths, counts, buckets)
+        cost = sum(int(c) * min(b for b in bounds if b >= n) for n, c in zip(lengths, counts, strict=True))
+        assert len(bounds) <= buckets and cost == best[-1]
+        best = np.array([min([best[j], *(best[k] + lengths[j] * (total[j + 1] - total[k + 1]) for k in range(j))]) for j in range(len(lengths))])
+
+
+def test_padded_batches_hold_every_token_id(spark, docs, none):
+    got = packing.padded_batches(docs, packing.word_ids(), token_budget=200, buckets=4, shard_rows=3).collect()
+    seen = Counter()
+    for r in got:
+        assert r.n_docs == len(r.doc_ids) == len(r.input_ids) and all(len(x) == r.pad_to for x in r.input_ids)
+        assert r.n_docs * r.pad_to <= 200 or r.n_docs == 1
+        assert r.n_tokens + r.n_padding == r.n_docs * r.pad_to
+        for d, x in zip(r.doc_ids, r.input_ids, strict=True):
+            while x and x[-1] == 0:
+                x.pop()
+            seen[d, tuple(x)] += 1
+    ids = docs.select("doc_id", packing.word_ids().alias("t")).collect()
+    assert seen == Counter((r.doc_id, tuple(r.t or [])) for r in ids) and sum(len(r.t or []) for r in ids) == sum(r.n_tokens for r in got)
+    assert packing.padded_batches(none, packing.word_ids()).count() == 0
+
+
+def test_packing_takes_ids_of_a_tokenizer(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tideline.llm import byte_bpe
+
+    df = spark.createDataFrame([(k, "héllo wörld " * (k % 7)) for k in range(40)], "doc_id long, text string")
+    encoded = byte_bpe.encode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    got = packing.padded_batches(encoded, F.col("ids"), pad_id=-1, token_budget=64, buckets=3).collect()
+    back = {d: [i for i in x if i >= 0] for r in got for d, x in zip(r.doc_ids, r.input_ids, strict=True)}
+    bpe = byte_bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert {d: bpe.decode(x) for d, x in back.items()} == {k: "héllo wörld " * (k % 7) for k in range(40)}
+
+
 def brute_lm(train, texts):
     """``n_tokens, n_known, N, base, score`` of each text by plain dictionaries."""
     import math
@@ -265,7 +380,7 @@ def test_lm_saved_model_scores_other_texts(spark, docs):
     from tideline.storage import new_path
 
     path = new_path(spark, "lm-test")
-    lm_score.train_and_score(docs, F.lit(False), shard_bytes=40_000)[0].save(path)
+    lm_score.train_and_score(docs, F.lit(False), shard_bytes=40_000, folder=f"{path}/tries")[0].save(path)
     other = [(1, "hello world again and again"), (2, None), (3, "word3 word4 word5 nothing"), (4, "w1 w2 w3 w4 w5"), (4, "w1 w2 w3 w4 w5")]
     got = lm_score.LanguageModel.load(spark, path).score(spark.createDataFrame(other, "doc_id long, text string")).collect()
     want = brute_lm([t for _, t, *_ in rows()], [t for _, t in other])
@@ -279,7 +394,9 @@ def test_chat_round_trip_edges(spark):
     data = [(c, k, r, t, "extra") for c in (1, 2) for k, (r, t) in enumerate(zip(["user", "assistant", "role\n<x>%5B", None, "assistant"] * 2, nasty, strict=False))]
     data += [(3, 0, "user", "same", "e"), (3, 0, "user", "same", "e"), (3, None, "assistant", "last", "e"), (None, 0, "user", "no id", "e")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, formatted string")
-    out = {r.conv_id: r for r in chat_format.parse_chat(chat_format.format_chat(chat_format.canonical_turns(df), chunk=2)).collect()}
+    out = {r.conv_id: r for r in chat_format.parse_chat(chat_format.format_chat(chat_format.canonical_turns(df))).collect()}
+    mixed = chat_format.canonical_turns(chat_format.as_layouts(chat_format.nest(df, chunk=2)))
+    assert {r.conv_id: r for r in chat_format.parse_chat(chat_format.format_chat(mixed)).collect()} == out
     assert set(out) == {1, 2, 3, None}
     for c, r in out.items():
         mine = sorted(((1 << 62 if k is None else k), role or "", t or "") for cc, k, role, t, _ in data if cc == c)
@@ -291,15 +408,36 @@ def test_chat_round_trip_edges(spark):
         chat_format.canonical_turns(df.drop("turn"))
 
 
+def test_every_layout_is_mapped_and_unknown_ones_keep_their_content(spark):
+    pairs = [(k, t, r, f"text {k} {t}") for k in range(60) for t, r in enumerate(["user", "assistant", "user"][: 2 + k % 2])] + [(99, 0, "tool", "x")]
+    nested = chat_format.nest(spark.createDataFrame(pairs, "conv_id long, turn long, role string, text string"))
+    got = chat_format.canonical_turns(chat_format.as_layouts(nested)).collect()
+    assert {r.layout for r in got} == set(chat_format.MAPPINGS)
+    for r in got:
+        assert [(t.role, t.text) for t in r.turns] == [(a, b) for c, _, a, b in pairs if c == r.conv_id] and r.raw is None
+    extra = chat_format.as_layouts(nested).withColumn("source", F.lit("web")).withColumn("meta", F.struct(F.lit(1).alias("k"), F.array(F.lit("t")).alias("tags")))
+    again = {r.conv_id: (r.layout, r.turns) for r in chat_format.canonical_turns(extra).collect()}
+    assert again == {r.conv_id: (r.layout, r.turns) for r in got}
+    odd = chat_format.canonical_turns(spark.createDataFrame([(1, "q", None), (2, None, None), (3, "q", "a")], "conv_id long, question string, answer string")).collect()
+    assert [(r.layout, r.turns is None, r.raw) for r in odd] == [(None, True, '{"conv_id":1,"question":"q"}'), (None, True, '{"conv_id":2}'), ("question_answer", False, None)]
+
+
+def test_long_conversation_takes_linear_time(spark):
+    """32,000 turns in one conversation; with offsets into the whole output this takes minutes."""
+    df = spark.range(32_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("said "), F.col("id").cast("string")).alias("text"))
+    r = chat_format.parse_chat(chat_format.format_chat(chat_format.canonical_turns(df))).first()
+    assert len(r.turns) == 32_000 and r.loss_text == "".join(f"said {k}" for k in range(1, 32_000, 2))
+
+
 def test_json_layouts_by_fingerprint(spark):
     j = [
-        (1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}'), (2, '{"response":"b","prompt":"a"}'),
+        (1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}],"id":7}'), (2, '{"response":"b","prompt":"a"}'),
         (3, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"z"}]}'), (4, '{"instruction":"i","input":"x","output":"o"}'),
         (5, "nope"), (6, None), (7, '{"question":"i","answer":"o"}'), (8, '{"other":1}'),
     ]
-    got = defaultdict(list)
+    got = {}
     for r in chat_format.turns_from_json(spark.createDataFrame(j, "id long, j string"), "j", "id").collect():
-        got[r.conv_id].append((r.layout, r.role, r.text))
-    assert got[1] == [("messages", "user", "hi"), ("messages", "assistant", "yo")] and got[2][1] == ("prompt_response", "assistant", "b")
-    assert got[3] == [("from_value", "user", "q"), ("from_value", "assistant", "z")] and got[4][0][2] == "i\n\nx"
-    assert all(got[k] == [(None, None, None)] for k in (5, 6, 8)) and got[7][1][1] == "assistant"
+        got[r.conv_id] = (r.layout, [tuple(t) for t in r.turns or []], r.raw)
+    assert got[1] == ("messages", [("user", "hi"), ("assistant", "yo")], None) and got[2][0] == "prompt_response" and got[2][1][1] == ("assistant", "b")
+    assert got[3] == ("from_value", [("user", "q"), ("assistant", "z")], None) and got[4][1][0][1] == "i\n\nx"
+    assert all(got[k] == (None, [], j[k - 1][1]) for k in (5, 6, 8)) and got[7][1][1] == ("assistant", "o")

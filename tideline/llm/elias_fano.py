@@ -7,7 +7,8 @@ import io
 import numpy as np
 
 U64 = np.uint64
-SUCC_BITS = 40
+#: Bits of a successor inside its context.
+SUCC_BITS = 30
 #: The position of the k-th set bit of each octet.
 _NTH = np.array([[*(j for j in range(8) if o >> j & 1), *[0] * 8][:8] for o in range(256)], dtype=np.int64)
 

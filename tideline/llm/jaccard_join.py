@@ -203,54 +203,45 @@ def _reach(sig1: list[Column], sig2: list[Column], clash1: Column, clash2: Colum
 
 
 def _verify(pairs: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b, with their labels la, lb; a written table) that link: bitmaps first, then the shingles."""
-    hot = {c: hot_keys(pairs.select(c), [c]) for c in ("a", "b")}
+    """The pairs (a, b; a written table) that link: bitmaps first, then the shingles."""
+    hot = hot_keys(pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))), ["x"])
 
     def with_side(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
         one = able.select(F.col("set_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-        return salted_join(df, one, [side], F.col("b" if side == "a" else "a"), hot[side])
+        return salted_join(df, one, [side], F.col("b" if side == "a" else "a"), hot and hot.withColumnRenamed("x", side))
 
     near = with_side(with_side(pairs, "a", ["n", "clash", "sig"]), "b", ["n", "clash", "sig"])
     words = lambda c: [F.get(c, F.lit(k)) for k in range(WORDS)]
     near = near.where(_reach(words("sig_a"), words("sig_b"), F.col("clash_a"), F.col("clash_b"), F.col("n_a"), F.col("n_b"), spec)).drop("sig_a", "sig_b")
     full = with_side(with_side(near, "a", ["toks"]), "b", ["toks"])
     common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
-    return full.where(common * (spec.num + spec.den) >= spec.num * (F.col("n_a") + F.col("n_b"))).select("a", "b", "la", "lb")
+    return full.where(common * (spec.num + spec.den) >= spec.num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _merge(links: DataFrame, *tables: DataFrame) -> list[DataFrame]:
-    """The tables with their column ``label`` replaced by the label of its component under ``links``."""
-    roots = materialise(connected_components(links, "la", "lb"), "jaccard-roots").withColumnRenamed("node", "label").withColumnRenamed("component", "_root")
-    out = []
-    for t in tables:
-        moved = spread_join(t, roots, ["label"], F.col("set_id"), "left")
-        out.append(materialise(moved.withColumn("label", F.coalesce("_root", "label")).drop("_root").select(*t.columns), "jaccard-labels"))
-    return out
-
-
-def _still_open(postings: DataFrame) -> DataFrame:
+def _still_open(postings: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Postings in which more than one component meets."""
     mixed = postings.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return materialise(spread_join(postings, mixed, ["key"], F.col("set_id"), "left_semi"), "jaccard-postings")
+    return materialise(salted_join(postings, mixed, ["key"], F.col("set_id"), hot, "left_semi"), "jaccard-postings")
 
 
-def _star(postings: DataFrame, able: DataFrame, spec: Spec, turn: int) -> tuple[DataFrame, int]:
+def _star(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec, turn: int) -> tuple[DataFrame, int]:
     """Verified links of the representatives of each posting's components with the posting's hubs, and the number of representatives."""
     first = F.min_by(F.struct("set_id", "n"), F.xxhash64("set_id", F.lit(turn)))
-    reps = materialise(postings.groupBy("key", "label").agg(first.alias("r")).select("key", "label", "r.set_id", "r.n"), "jaccard-reps")
+    reps = materialise(postings.groupBy("key", "label").agg(first.alias("r")).select("key", "label", "r.set_id", "r.n"), "jaccard-reps") if turn else postings
     hub = lambda k: F.min_by(F.struct("set_id", "n", "label"), F.xxhash64("label", F.lit(turn * spec.hubs + k)))
     hubs = reps.groupBy("key").agg(F.array_distinct(F.array(*(hub(k) for k in range(spec.hubs)))).alias("hubs"))
-    met = spread_join(reps, hubs, ["key"], F.col("set_id")).select("set_id", "n", "label", F.explode("hubs").alias("h"))
-    pairs = met.where((F.col("label") != F.col("h.label")) & _alike(F.col("n"), F.col("h.n"), spec)).select(F.col("h.set_id").alias("a"), F.col("set_id").alias("b"), F.col("h.label").alias("la"), F.col("label").alias("lb")).distinct()
-    return materialise(_verify(materialise(pairs, "jaccard-pairs"), able, spec), "jaccard-links"), reps.count()
+    met = salted_join(reps, hubs, ["key"], F.col("set_id"), hot).select("set_id", "n", "label", F.explode("hubs").alias("h"))
+    pairs = met.where((F.col("label") != F.col("h.label")) & _alike(F.col("n"), F.col("h.n"), spec)).select(F.col("h.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
+    pairs = materialise(pairs, "jaccard-pairs")
+    return materialise(_verify(pairs, able, spec), "jaccard-links"), reps.select("set_id").distinct().count()
 
 
-def _traverse(postings: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
-    """``a, b, la, lb``: the pairs of sets of different components that the dual traversal of the postings' trees leaves."""
+def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec) -> DataFrame:
+    """``a, b``: the pairs of sets of different components that the dual traversal of the postings' trees leaves."""
     count = postings.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     main = count.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     cls = F.floor(F.log(F.col("n").cast("double") + 1e-9) / math.log(spec.den / spec.num)).cast("int")
-    tagged = spread_join(postings, main, ["key"], F.col("set_id")).select("key", "set_id", "n", "label", (F.col("label") == F.col("main")).alias("in_main"), cls.alias("cls"), F.lpad(F.hex(F.xxhash64("set_id")), 16, "0").alias("h"))
+    tagged = salted_join(postings, main, ["key"], F.col("set_id"), hot).select("key", "set_id", "n", "label", (F.col("label") == F.col("main")).alias("in_main"), cls.alias("cls"), F.lpad(F.hex(F.xxhash64("set_id")), 16, "0").alias("h"))
     tagged = materialise(tagged, "jaccard-tagged")
     top = ["key", "in_main", "cls"]
     steps = F.greatest(F.lit(0), F.least(F.lit(16), F.ceil(F.log(F.col("m") / spec.leaf_sets) / math.log(1 << STEP)))).cast("int")
@@ -258,14 +249,14 @@ def _traverse(postings: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
     tall = materialise(heights.groupBy("key").agg(F.max("height").alias("tallest")).where("tallest > 0"), "jaccard-tall")
     levels = tall.agg(F.max("tallest")).first()[0] or 0
 
-    flat = tagged if not levels else spread_join(tagged, tall.select("key"), ["key"], F.col("set_id"), "left_anti")
+    flat = tagged if not levels else salted_join(tagged, tall.select("key"), ["key"], F.col("set_id"), hot, "left_anti")
     side = lambda t, s, on: t.select(*on, F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"l{s}"))
     fits = (F.col("la") != F.col("lb")) & _alike(F.col("n_a"), F.col("n_b"), spec)
-    pairs = side(flat, "a", ["key"]).join(side(flat, "b", ["key"]), "key").where((F.col("a") < F.col("b")) & fits).select("a", "b", "la", "lb")
+    pairs = side(flat, "a", ["key"]).join(side(flat, "b", ["key"]), "key").where((F.col("a") < F.col("b")) & fits).select("a", "b")
     if not levels:
         return pairs.distinct()
 
-    deep = spread_join(spread_join(tagged, tall.select("key"), ["key"], F.col("set_id"), "left_semi"), heights, top, F.col("set_id"), counted=tagged)
+    deep = salted_join(salted_join(tagged, tall.select("key"), ["key"], F.col("set_id"), hot, "left_semi"), heights, top, F.col("set_id"), hot)
     deep = materialise(deep.join(able.select("set_id", "sig", "clash"), "set_id"), "jaccard-deep")
     name = lambda d: F.concat_ws(".", F.col("in_main").cast("int"), "cls", F.substring("h", 1, F.least(F.lit(d), F.col("height"))))
     node_pairs = None
@@ -288,26 +279,35 @@ def _traverse(postings: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
     leaves = deep.withColumn("node", name(16))
     met = node_pairs.join(side(leaves.withColumnRenamed("node", "up_a"), "a", ["key", "up_a"]), ["key", "up_a"]).join(side(leaves.withColumnRenamed("node", "up_b"), "b", ["key", "up_b"]), ["key", "up_b"])
     down = met.where(fits & ((F.col("up_a") != F.col("up_b")) | (F.col("a") < F.col("b"))))
-    low = F.col("a") < F.col("b")
-    either = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-    down = down.select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("la", "lb").alias("la"), either("lb", "la").alias("lb"))
+    down = down.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.unionByName(down).distinct()
 
 
 def _components(able: DataFrame, spec: Spec) -> DataFrame:
-    """``set_id, label``: sets with the same label are connected by links."""
-    labels = able.select("set_id", F.col("set_id").alias("label"))
-    postings = _still_open(materialise(able.select(F.explode("keys").alias("key"), "set_id", "n", F.col("set_id").alias("label")), "jaccard-postings"))
+    """``set_id, label`` of the sets with links: sets with the same label are connected by links."""
+    postings = materialise(able.select(F.explode("keys").alias("key"), "set_id", "n", F.col("set_id").alias("label")), "jaccard-postings")
+    hot = hot_keys(postings, ["key"])
+    postings, links = _still_open(postings, hot), None
     for turn in range(spec.star_rounds):
-        links, reps = _star(postings, able, spec, turn)
-        found = links.count()
-        if found:
-            labels, postings = _merge(links, materialise(labels, "jaccard-labels") if turn == 0 else labels, postings)
-            postings = _still_open(postings)
-        if found * 20 <= reps:
+        found, reps = _star(postings, able, hot, spec, turn)
+        n = found.count()
+        if n:
+            links = found if links is None else links.unionByName(found)
+            labels = _labels(links)
+            postings = _still_open(postings.drop("label").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), hot)
+        if n * 4 <= reps:
             break
-    links = materialise(_verify(materialise(_traverse(postings, able, spec), "jaccard-pairs"), able, spec), "jaccard-links")
-    return _merge(links, labels)[0] if not links.isEmpty() else labels
+    if not postings.isEmpty():
+        found = materialise(_verify(materialise(_traverse(postings, able, hot, spec), "jaccard-pairs"), able, spec), "jaccard-links")
+        if links is None or not found.isEmpty():
+            return _labels(found if links is None else links.unionByName(found))
+    elif links is None:
+        return able.select("set_id", F.col("set_id").alias("label")).where("false")
+    return labels
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return materialise(connected_components(links, "a", "b", written=True).select(F.col("node").alias("set_id"), F.col("component").alias("label")), "jaccard-labels")
 
 
 def jaccard_join(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Document frequencies of the hashed 1- to 3-grams are counted over all training documents. The classifier is trained with
 follow-the-regularised-leader (per-coordinate rates, elastic-net penalties) on a bounded sample of labelled rows, then a
-temperature is fitted on a held-out part of that sample. Prediction is one pass over the text: each character adds its
+temperature is fitted on held-out texts of that sample. Prediction is one pass over the text: each character adds its
 three n-grams' weights.
 """
 
@@ -131,8 +131,16 @@ def with_pieces(texts: list[str], langs: list[str], seed: int = 11) -> tuple[lis
     return [*texts, *pieces], [*langs, *langs]
 
 
-def train_ftrl(texts: list[str], langs: list[str], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-4, epochs: int = 3) -> Model:
-    """FTRL-proximal over four fifths of the rows, the temperature on the rest."""
+def split_texts(groups: list[int], seed: int = 7) -> tuple[list[int], list[int]]:
+    """Row numbers to fit on, in random order, and those of a fifth of the groups, held out: a text and its piece stay together."""
+    rng = np.random.default_rng(seed)
+    out = set(rng.permutation(sorted(set(groups)))[::5].tolist())
+    order = rng.permutation(len(groups)).tolist()
+    return [i for i in order if groups[i] not in out], [i for i in order if groups[i] in out]
+
+
+def train_ftrl(texts: list[str], langs: list[str], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-4, epochs: int = 3, groups: list[int] | None = None) -> Model:
+    """FTRL-proximal over four fifths of the groups of rows (each row its own by default), the temperature on the rest."""
     names = sorted(set(langs)) or ["und"]
     y = np.array([names.index(v) for v in langs], dtype=np.int64)
     x = _sparse(texts, idf)
@@ -143,8 +151,7 @@ def train_ftrl(texts: list[str], langs: list[str], idf: np.ndarray, alpha: float
         zf = z[f]
         return np.where(np.abs(zf) <= l1, 0.0, -(zf - np.sign(zf) * l1) / ((beta + np.sqrt(n[f])) / alpha + l2))
 
-    order = np.random.default_rng(7).permutation(len(x))
-    fit, held = [i for k, i in enumerate(order) if k % 5], [i for k, i in enumerate(order) if k % 5 == 0]
+    fit, held = split_texts(list(range(len(x))) if groups is None else groups)
     for _ in range(epochs):
         for i in fit:
             f, v = np.append(x[i][0], size - 1), np.append(x[i][1], 1.0)
@@ -174,11 +181,12 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, max_train: int = 4_000) -> Model:
-    """Learn from rows with a language that aren't held out.
+def learn(docs: DataFrame, max_train: int = 4_000, max_chars: int = 20_000) -> Model:
+    """Learn from rows with a language and an id that aren't held out.
 
-    Document frequencies are counted over all of them; the classifier is fitted on the ``max_train`` rows with the smallest
-    hash of their id (the documented bound of the sample), in one task. Without such rows every text is ``und``.
+    Document frequencies are counted over all of them; the classifier is fitted in one task on a sample whose bound is
+    documented: at most ``max_train`` rows of at most ``max_chars`` characters, those with the smallest hash of their id (then
+    of their text, so that rows which repeat an id are bounded too). Without such rows every text is ``und``.
     """
     train = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     counted = document_frequencies(train).collect()  # at most 2^FEATURE_BITS + 1 rows
@@ -191,17 +199,20 @@ def learn(docs: DataFrame, max_train: int = 4_000) -> Model:
             df[r["feature"]] = r["df"]
     idf = SCALE * (np.log((1 + total) / (1 + df)) + 0.1)
     ids = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = train.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    some = train.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    sample = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(max_train)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(((d, t or "", v) for b in batches for d, t, v in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True)))
-        m = train_ftrl(*with_pieces([t for _, t, _ in rows], [v for _, _, v in rows]), idf)
+        if not rows:
+            return
+        m = train_ftrl(*with_pieces([t for _, t, _ in rows], [v for _, _, v in rows]), idf, groups=[*range(len(rows)), *range(len(rows))])
         yield pa.RecordBatch.from_arrays(
             [pa.array([m.languages], pa.list_(pa.string())), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias.tolist()], pa.list_(pa.float64())), pa.array([m.temperature], pa.float64())],
             ["languages", "weights", "bias", "temperature"],
         )
 
-    got = sample.repartition(1).mapInArrow(fit, "languages array<string>, weights binary, bias array<double>, temperature double").first()
+    got = sample.coalesce(1).mapInArrow(fit, "languages array<string>, weights binary, bias array<double>, temperature double").first()
     if got is None:
         return Model(["und"], np.zeros((1 << FEATURE_BITS, 1), np.float32), np.zeros(1), 1.0)
     names = list(got["languages"])
@@ -211,7 +222,8 @@ def learn(docs: DataFrame, max_train: int = 4_000) -> Model:
 def identify(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, lang_pred, score`` for every row; with ``keep``, those columns of the row in place of ``id``.
 
-    Null, empty and letterless texts are ``und`` with score 0. Whole texts are read. Repeated rows get a row each; an
+    Null, empty and letterless texts are ``und`` with score 0. Of equally probable languages the first by name is
+    predicted. Whole texts are read. Repeated rows get a row each; an
     empty table gives an empty result; other columns are ignored. The model, features times languages, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

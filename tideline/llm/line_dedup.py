@@ -1,10 +1,14 @@
 """Line dedup: levelled sorted runs of line hashes, compacted periodically.
 
-Documents come in batches of ascending identifiers. Each batch merge-anti-joins its line hashes with the runs of the
+Documents come in batches of ascending identifiers, by size. Each batch merge-anti-joins its line hashes with the runs of the
 earlier ones: hashes found there belong to an earlier document, the rest form a new run, sorted by hash, with the
 smallest document that holds each. When a level has ``fan_in`` runs they are compacted into one run of the next level.
-A line whose hash has an owner with a smaller identifier is dropped. Lines are pre-aggregated to one row for a document
-and hash, and hashes are combined on the map side, so a line that a third of all documents share meets no single task.
+A line whose hash has an owner with a smaller identifier is dropped.
+
+A line is known by two independent 64-bit hashes of its key, which must both agree (a chance below 1e-20 of one wrong
+drop among a billion different lines). Hashes are combined on the map side, and the join of lines with owners salts
+hot lines, so that a line a third of all documents share meets no single task. What a document loses is a list of line
+numbers, so that its time grows with its lines and not with their square.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WS, lower_ascii
+from tideline.llm.common import WS, let, lower_ascii
+from tideline.operators.spread import spread_join
 from tideline.storage import materialise, read_table
 
 #: Stands for a null identifier: after every other.
 LAST = (1 << 63) - 1
+HASH = ["h", "g"]
 
 
 def line_key(line: Column) -> Column:
@@ -26,33 +32,28 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.regexp_replace(line, f"^[{WS}]+|[{WS}]+$", ""))
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """A 64-bit hash of the key; null for keys below ``min_chars`` code points, which are never dropped."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.xxhash64(key))
+def _line_hashes(text: Column, min_chars: int) -> Column:
+    """``pos, h, g`` of each line whose key has ``min_chars`` code points or more; shorter ones are never dropped."""
+    keys = F.transform(F.split(text, "\n"), lambda line, pos: F.struct(pos.alias("pos"), line_key(line).alias("key")))
+    long = F.filter(keys, lambda x: F.length(x["key"]) >= min_chars)
+    return F.transform(long, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h"), F.xxhash64(F.lit(1), x["key"]).alias("g")))
 
 
 def _merge(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, runs).groupBy("h").agg(F.min("owner").alias("owner"))
+    return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.min("owner").alias("owner"))
 
 
 def _flush(run: DataFrame) -> DataFrame:
-    return materialise(run.sortWithinPartitions("h"), "line-run")
+    return materialise(run.sortWithinPartitions(*HASH), "line-run")
 
 
 def owners(lines: DataFrame, batches: int, fan_in: int) -> DataFrame:
-    """``h, owner``: the smallest document of every line hash, by levelled runs over batches of ascending ids."""
-    cuts = sorted({int(x) for x in lines.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
+    """``h, g, owner``: the smallest document of every line hash, by levelled runs over the batches."""
     levels: list[list[DataFrame]] = [[]]
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("id") > low)
-        if high is not None:
-            batch = batch.where(F.col("id") <= high)
-        fresh = batch.groupBy("h").agg(F.min("id").alias("owner"))
+    for batch in range(batches):
+        fresh = lines.where(F.col("batch") == batch).groupBy(*HASH).agg(F.min("id").alias("owner"))
         for run in (r for level in levels for r in level):
-            fresh = fresh.join(run.select("h"), "h", "left_anti")
+            fresh = fresh.join(run.select(*HASH), HASH, "left_anti")
         levels[0].append(_flush(fresh))
         for k in range(len(levels)):  # a full level is compacted into one run of the next
             if len(levels[k]) >= fan_in:
@@ -63,26 +64,30 @@ def owners(lines: DataFrame, batches: int, fan_in: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [r for level in levels for r in level])  # runs are disjoint
 
 
-def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", min_chars: int = 10, batches: int = 4, fan_in: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", min_chars: int = 10, batch_bytes: int = 256 << 20, max_batches: int = 64, fan_in: int = 3) -> DataFrame:
     """``id, n_lines, n_dropped, kept_text``, one row for each row of ``docs``.
 
     Null or empty text is one empty line. Rows that repeat an id are one document for ownership, and each is returned. A
     null id comes after all others, so its lines stay only where no other document has them. An empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. Batches hold ``batch_bytes`` of text, or more where the table has more than
+    ``max_batches`` of them; the result does not depend on the batches.
     """
     src = docs.select(F.col(id).alias("raw_id"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hashes = F.transform(F.split("text", "\n"), lambda line: line_hash(line, min_chars))
-    lines = materialise(src.select("id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h")), "line-hashes")
-    late = lines.join(owners(lines, batches, fan_in), "h").where("owner < id")
-    drops = late.groupBy("id").agg(F.collect_set("h").alias("gone"))
-    split = F.split("text", "\n")
-    keep = F.filter(split, lambda line: ~F.coalesce(F.array_contains(F.col("gone"), line_hash(line, min_chars)), F.lit(False)))
-    out = src.join(drops, "id", "left").select(
-        F.col("raw_id").alias(id),
-        F.size(split).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), split).otherwise(keep).alias("kept"),
-    )
-    return out.select(id, "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = min(max_batches, max(1, -(-size // batch_bytes)))
+    cuts = [int(x) for x in src.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)] if batches > 1 else []
+    batch = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("id"))) if cuts else F.lit(0)
+    doc = src.withColumn("doc", F.md5("text"))  # rows that share an id are told apart by their text
+    lines = doc.select("id", "doc", F.explode(_line_hashes(F.col("text"), min_chars)).alias("x"), batch.alias("batch")).select("id", "doc", "x.pos", "x.h", "x.g", "batch")
+    lines = materialise(lines, "line-hashes", lambda w: w.partitionBy("batch"))
+
+    late = spread_join(lines, owners(lines, batches, fan_in), HASH, F.struct("id", "doc")).where("owner < id")
+    drops = late.groupBy("id", "doc").agg(F.collect_set("pos").alias("gone"))
+    joined = spread_join(doc, drops, ["id", "doc"], F.monotonically_increasing_id(), "left")
+    rest = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone"))
+    kept = let(F.split("text", "\n"), lambda x: F.when(F.col("gone").isNull(), x).otherwise(F.transform(rest(x), lambda k: F.get(x, k))))
+    n = F.size(F.split("text", "\n")).cast("long")
+    return joined.select(F.col("raw_id").alias(id), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ Each sums to 1 over the known words, the end of a text and one unknown word. A t
 1. A chunk of documents becomes its distinct n-grams of each order with their training counts, dealt by context to shards
    (a frequent context by the whole n-gram), packed in one row for a chunk and shard: a hot word or n-gram is one entry of
    a chunk, whatever its share.
-2. A shard adds up the counts, builds its trie (orders 1 to 3), writes it to the model's folder in the shared store, maps
-   it and looks the chunks' n-grams up. The values go back to the chunks.
+2. A shard adds up the counts, builds its trie (orders 1 to 3), writes it (to the model's folder in the shared store, if the
+   model is to be kept), maps it and looks the chunks' n-grams up. The values go back to the chunks.
 3. A chunk puts the counts of all orders together and adds up each document's log10 probability.
 
 The trie keeps log10 counts in 16 bits, so that a smoothed probability follows from the values of a few n-grams; no
@@ -18,6 +18,8 @@ shard needs another's counts. A saved model (``LanguageModel``) scores any other
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import numtext as nt
 from tideline.llm.elias_fano import SUCC_BITS, Level, Trie
-from tideline.storage import materialise, new_path, read_table
+from tideline.storage import materialise, read_table
 
 U64 = np.uint64
 #: Strength of the lower order, in counts, for bigrams and trigrams.
@@ -57,11 +59,10 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 @dataclass
 class Grams:
-    """The distinct n-grams of one order in a chunk: in the order of their shards, ``cuts`` bound each shard's; ``place``
+    """The distinct n-grams of one order in a chunk: keys in the order of their shards, ``cuts`` bound each shard's; ``place``
     is the n-gram of each position (of ``at``), as an index of the unordered list."""
 
-    context: np.ndarray
-    successor: np.ndarray
+    keys: np.ndarray
     order: np.ndarray
     cuts: np.ndarray
     place: np.ndarray
@@ -74,32 +75,40 @@ class Grams:
         return own[self.place]
 
 
-def _dealt(context: np.ndarray, successor: np.ndarray, by_whole: np.ndarray, place: np.ndarray, at: np.ndarray, shards: int) -> Grams:
-    shard = (np.where(by_whole, nt.mix(context ^ (successor << U64(17))), nt.mix(context)) % U64(shards)).astype(np.int64)
-    order = np.argsort(context, kind="stable")  # stable: the same order wherever it is computed again
+def _dealt(keys: np.ndarray, deal: np.ndarray, place: np.ndarray, at: np.ndarray, shards: int) -> Grams:
+    shard = (deal % U64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+    order = np.argsort(keys, kind="stable")  # stable: the same order wherever it is computed again
     order = order[np.argsort(shard[order], kind="stable")]
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    return Grams(context[order], successor[order], order, cuts, place, at)
+    return Grams(keys[order], order, np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))]), place, at)
 
 
 def grams(stream: np.ndarray, sizes: np.ndarray, names: np.ndarray, hot: np.ndarray, shards: int) -> list[Grams]:
-    """Orders 1 to 3 of a chunk: ``stream`` are indices of ``names`` (sorted distinct hashes), ``sizes`` the tokens of each text."""
+    """Orders 1 to 3 of a chunk: ``stream`` are indices of ``names`` (sorted distinct hashes), ``sizes`` the tokens of each text.
+
+    The key of an n-gram is a hash of its context and, below it, one of its last word. Inside a shard keys of different
+    n-grams are equal with a chance of about the shard's n-grams in 2^56, or its successors of a context in 2^30.
+    """
     every = np.arange(len(stream))
     first = np.zeros(len(stream), dtype=bool)
     first[np.cumsum(sizes) - sizes] = True
     n = len(names)
     known = np.append(names, U64(BEGIN))
     is_hot = np.append(np.isin(names, hot), True)
-    one = _dealt(np.zeros(n, U64), names, np.ones(n, bool), stream, every, shards)
+    tail = names >> U64(48 - SUCC_BITS)
+
+    def keyed(context: np.ndarray, word: np.ndarray, by_whole: np.ndarray, place: np.ndarray, at: np.ndarray) -> Grams:
+        keys = (context >> U64(38) << U64(SUCC_BITS)) | tail[word]
+        return _dealt(keys, np.where(by_whole, nt.mix(context ^ names[word]), context), place, at, shards)
+
+    one = _dealt(names, nt.mix(names), stream, every, shards)
     key, two = np.unique(np.where(first, n, np.roll(stream, 1)).astype(np.int64) * n + stream, return_inverse=True)
     before, word = key // n, key % n
     later = np.flatnonzero(~first)
     key, three = np.unique(two[later - 1] * n + stream[later], return_inverse=True)
     pair, last = key // n, key % n
     u, v = before[pair], word[pair]
-    tail = lambda w: names[w] >> U64(48 - SUCC_BITS)
-    both = nt.mix(known[u] * U64(0x9E3779B97F4A7C15) + known[v]) >> U64(16)
-    return [one, _dealt(known[before], tail(word), is_hot[before], two, every, shards), _dealt(both, tail(last), is_hot[u] & is_hot[v], three, later, shards)]
+    hashed = nt.mix(known)
+    return [one, keyed(hashed[before], word, is_hot[before], two, every), keyed(nt.mix(hashed[u] + known[v]), last, is_hot[u] & is_hot[v], three, later)]
 
 
 _ROWS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary()), ("ids", pa.list_(pa.int64()))])
@@ -129,22 +138,26 @@ def _requests(shards: int, hot: np.ndarray, chunk_bytes: int):
             orders = grams(stream, sizes, names, hot, shards)
             counts = [np.bincount(g.place, weights=weight[g.at], minlength=len(g.order))[g.order].astype(np.int64) for g in orders]
             for b in range(shards):
-                body = []
-                for k, (g, c) in enumerate(zip(orders, counts, strict=True)):
-                    s = slice(g.cuts[b], g.cuts[b + 1])
-                    body += [nt.pack_planes(g.successor[s]) if k == 0 else nt.pack_sorted(g.context[s]), b"" if k == 0 else nt.pack_planes(g.successor[s]), nt.pack_planes(c[s])]
-                if any(g.cuts[b + 1] > g.cuts[b] for g in orders):
+                cuts = [slice(g.cuts[b], g.cuts[b + 1]) for g in orders]
+                if any(s.stop > s.start for s in cuts):
+                    body = [blob for g, c, s in zip(orders, counts, cuts, strict=True) for blob in (nt.pack_sorted(g.keys[s]), nt.pack_planes(c[s]))]
                     rows.append({"part": part, "bucket": b, "body": nt.join_blobs(*body)})
             yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
     return run
 
 
-def _store(folder: str, shard: int, data: bytes) -> str:
-    """Write a shard's trie; named by attempt, so that only the files of tasks that succeeded are in the manifest."""
+def _store(folder: str | None, shard: int, data: bytes) -> str:
+    """Write a shard's trie; named by attempt, so that only the files of tasks that succeeded are in the manifest. Without a
+    folder it goes to a file of the task's own, which is unlinked as soon as it is mapped."""
     from pyarrow import fs
     from pyspark import TaskContext
 
+    if folder is None:
+        fd, name = tempfile.mkstemp(prefix="trie-")
+        with os.fdopen(fd, "wb") as f:
+            f.write(data)
+        return "file://" + name
     name = f"{folder}/trie-{shard:08d}-{TaskContext.get().taskAttemptId()}.ef"
     store, inside = fs.FileSystem.from_uri(name)
     store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
@@ -164,18 +177,8 @@ def _opened(name: str) -> Trie:
         return Trie.map(np.frombuffer(f.read(), dtype=np.uint8))
 
 
-def _distinct(context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``order`` sorts the entries, ``new`` are the first of each distinct n-gram in that order, ``which`` the n-gram of each entry."""
-    order = np.lexsort((successor, context))
-    c, s = context[order], successor[order]
-    new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])])) if len(c) else np.zeros(0, np.int64)
-    which = np.empty(len(order), dtype=np.int64)
-    which[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
-    return order, new, which
-
-
-def _shard(folder: str | None):
-    """Look the n-grams of the chunks up in a shard's trie; with ``folder`` the trie is built from their counts first."""
+def _shard(train: bool, folder: str | None):
+    """Look the n-grams of the chunks up in a shard's trie; with ``train`` the trie is built from their counts first."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, manifest: pa.Table) -> pa.Table:
         if not len(table):
@@ -185,45 +188,47 @@ def _shard(folder: str | None):
         parts, bodies = table["part"].to_pylist(), [nt.split_blobs(x) for x in table["body"].to_pylist()]
         orders, levels, seen = [], [], None
         for k in range(3):
-            join = lambda f, j: np.concatenate([f(x[3 * k + j]) for x in bodies])  # noqa: E731, B023
-            succ = join(nt.unpack_planes, 0 if k == 0 else 1)
-            ctx = np.zeros(len(succ), U64) if k == 0 else join(nt.unpack_sorted, 0)
-            sizes = [int.from_bytes(x[3 * k + 2][1:7], "little") for x in bodies]
-            order, new, which = _distinct(ctx, succ)
-            c, s = ctx[order][new], succ[order][new]
-            orders.append((c, s, which, np.cumsum(sizes)))
-            if folder is not None:
-                count = np.add.reduceat(join(nt.unpack_planes, 2)[order].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+            keys = np.concatenate([nt.unpack_sorted(x[2 * k]) for x in bodies])
+            ends = np.cumsum([int.from_bytes(x[2 * k][1:7], "little") for x in bodies])
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            which = np.empty(len(order), dtype=np.int32)
+            which[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(order))))
+            keys = keys[new]
+            context, successor = (np.zeros(len(keys), U64), keys) if k == 0 else (keys >> U64(SUCC_BITS), keys & U64((1 << SUCC_BITS) - 1))
+            orders.append((context, successor, which, ends))
+            if train:
+                count = np.concatenate([nt.unpack_planes(x[2 * k + 1]) for x in bodies])[order].astype(np.int64)
+                count = np.add.reduceat(count, new) if len(new) else np.zeros(0, np.int64)
                 got = count > 0
-                levels.append(Level.build(c[got], s[got], np.log10(count[got])))
+                levels.append(Level.build(context[got], successor[got], np.log10(count[got])))
                 if k == 0:
-                    seen = s[got], count[got]
-        if folder is not None:
-            name = _store(folder, key[0].as_py(), Trie(levels).dump())
-            trie = _opened(name)
-        else:
-            name = manifest["file"][0].as_py() if len(manifest) else None
-            trie = _opened(name) if name else None
+                    seen = successor[got], count[got]
+        name = _store(folder, key[0].as_py(), Trie(levels).dump()) if train else manifest["file"][0].as_py() if len(manifest) else None
+        trie = _opened(name) if name else None
+        if train and folder is None:
+            os.unlink(name.removeprefix("file://"))
         answers = [[] for _ in parts]
-        for k, (c, s, which, ends) in enumerate(orders):
-            value = trie.levels[k].lookup(c, s) if trie else np.full(len(c), -1.0)
+        for k, (context, successor, which, ends) in enumerate(orders):
+            value = trie.levels[k].lookup(context, successor) if trie else np.full(len(context), -1.0)
             if k == 0:
                 code = np.where(value < 0, 0, np.rint(10.0**value)).astype(U64)
                 if seen is not None:  # counts above the precision of the codes
-                    code[np.searchsorted(s, seen[0])] = seen[1]
+                    code[np.searchsorted(successor, seen[0])] = seen[1]
             else:
                 code = np.where(value < 0, 0, np.rint(value / Level.STEP) + 1).astype(U64)
             for own, x in zip(answers, np.split(code[which], ends[:-1]), strict=True):
                 own.append(nt.pack_planes(x))
         rows = [{"part": p, "bucket": -1 - p, "body": nt.join_blobs(key[0].as_py().to_bytes(8, "little"), *a)} for p, a in zip(parts, answers, strict=True)]
         if seen is not None:
-            rows.append({"bucket": key[0].as_py(), "file": name, "n": int(seen[1].sum()), "v": len(seen[0]), "e": int(seen[1][seen[0] == U64(END)].sum())})
+            rows.append({"bucket": key[0].as_py(), "file": name if folder else None, "n": int(seen[1].sum()), "v": len(seen[0]), "e": int(seen[1][seen[0] == U64(END)].sum())})
         return pa.Table.from_pylist(rows, _VALUES)
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return run(key, table, table.slice(0, 0))
 
-    return run if folder is None else build
+    return build if train else run
 
 
 _RESULT_SQL = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -299,7 +304,7 @@ class LanguageModel:
         """The rows of ``lm_score`` for documents the model was not trained on (all marked held out)."""
         src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(False).alias("train"))
         asked = src.mapInArrow(_requests(self.shards, self.hot, chunk_bytes), _ROWS_SQL).repartition(self.shards, "bucket")
-        values = asked.groupBy("bucket").cogroup(self.manifest.groupBy("bucket")).applyInArrow(_shard(None), _VALUES_SQL)
+        values = asked.groupBy("bucket").cogroup(self.manifest.groupBy("bucket")).applyInArrow(_shard(False, None), _VALUES_SQL)
         return self.finish(values, id)
 
     def finish(self, values: DataFrame, id: str) -> DataFrame:
@@ -308,8 +313,9 @@ class LanguageModel:
         return out.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(self.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def train_and_score(docs: DataFrame, held_out: Column, text: str = "text", id: str = "doc_id", folder: str | None = None, chunk_bytes: int = 4 << 20, shard_bytes: int = 16 << 20, hot_share: float | None = None) -> tuple[LanguageModel, DataFrame]:
-    """A model of the rows where ``held_out`` is false, and the scores of all rows. The tries are written under ``folder``."""
+def train_and_score(docs: DataFrame, held_out: Column, text: str = "text", id: str = "doc_id", folder: str | None = None, chunk_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, hot_share: float | None = None) -> tuple[LanguageModel, DataFrame]:
+    """A model of the rows where ``held_out`` is false, and the scores of all rows. With ``folder`` the tries are written there
+    and the model can be saved and used again; without it they last as long as their tasks (a third less disk)."""
     spark = docs.sparkSession
     src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), (~held_out).alias("train"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -321,9 +327,8 @@ def train_and_score(docs: DataFrame, held_out: Column, text: str = "text", id: s
     line = share * (words.agg(F.sum("c")).first()[0] or 0)
     hot = np.array(sorted(r["w"] for r in words.where(F.col("c") > line).collect()), dtype=U64)  # at most 1 / share rows
 
-    folder = folder or new_path(spark, "lm-model")
     asked = src.mapInArrow(_requests(shards, hot, chunk_bytes), _ROWS_SQL).repartition(shards, "bucket")
-    values = materialise(asked.groupBy("bucket").applyInArrow(_shard(folder), _VALUES_SQL), "lm-values")
+    values = materialise(asked.groupBy("bucket").applyInArrow(_shard(True, folder), _VALUES_SQL), "lm-values")
     got = values.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "e"))).first()
     model = LanguageModel(values.where("file is not null").select("bucket", "file"), shards, hot, got["n"], got["v"], got["e"])
     return model, model.finish(values, id)

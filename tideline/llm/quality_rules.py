@@ -1,9 +1,11 @@
 """Quality rules: a learned decision list over text statistics.
 
 Sequential covering on labelled rows. Each round *grows* a conjunction of thresholds by the best FOIL gain on a growing
-set, *prunes* its last conditions on a held-out set, keeps it if it is precise there, removes the rows it covers
-and goes on. All counts are Spark aggregates over binned statistics; only the counts of (feature, bin, class), a bounded
-table, come to the driver. The list becomes one ordered ``CASE WHEN`` expression.
+set, *prunes* its last conditions on a held-out set, keeps it if it is precise there, and removes the rows it covers. The
+first condition of a rule that is not precise is set aside (that statistic on that side of a threshold starts no rule again),
+and rounds go on until no rule can be grown. One Spark aggregate counts the labelled rows by class and binned
+statistics; that table, bounded by the documented size of the sample, is what the rounds read. The list becomes one
+ordered ``CASE WHEN`` expression.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,8 +97,8 @@ class Condition:
         value = F.expr(FEATURES[self.feature])
         return value > self.threshold if self.above else value <= self.threshold
 
-    def binned(self) -> Column:
-        return F.col(f"b_{self.feature}") > self.cut if self.above else F.col(f"b_{self.feature}") <= self.cut
+    def hits(self, bins: dict[str, np.ndarray]) -> np.ndarray:
+        return bins[self.feature] > self.cut if self.above else bins[self.feature] <= self.cut
 
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:.6g}"
@@ -125,49 +128,60 @@ def _all(columns) -> Column:
     return out
 
 
-def learn(stats: DataFrame, bad: Column, key: Column, bins: int = 16, max_rules: int = 6, max_conditions: int = 3, min_cover: int = 4, min_precision: float = 0.9) -> DecisionList:
+def learn(stats: DataFrame, bad: Column, key: Column, bins: int = 16, max_conditions: int = 3, min_cover: int = 4, min_precision: float = 0.9) -> DecisionList:
     """Grow and prune rules for ``bad`` rows. ``key`` splits the rows, by hash, in two thirds to grow and a third to prune."""
     base = stats.select(bad.cast("int").alias("bad"), (F.pmod(F.xxhash64(key), F.lit(3)) == 0).alias("held"), *(F.expr(e).alias(f) for f, e in FEATURES.items()))
     marks = [(k + 0.5) / bins for k in range(bins)]
     rows = base.groupBy("bad").agg(*(F.percentile_approx(f, marks, 2000).alias(f) for f in FEATURES)).collect()  # two rows
     seen = {f: sorted({float(x) for r in rows for x in (r[f] or [])}) for f in FEATURES}
     cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in seen.items()}  # midway: the widest margin to both sides
-    binned = {f: _bin(F.col(f), cuts[f]) for f in FEATURES}
-    left = materialise(base.select("bad", "held", *(binned[f].alias(f"b_{f}") for f in FEATURES)), "rule-bins")
-    out = DecisionList()
-    for _ in range(max_rules):
-        grown = _grow(left.where(~F.col("held")), cuts, max_conditions, min_cover)
-        kept = _prune(left.where("held"), grown, min_precision) if grown else None
-        if not kept:
-            break
-        out.rules.append(kept)
-        left = left.where(~_all(c.binned() for c in kept))
+    counted = base.groupBy("bad", "held", *(_bin(F.col(f), cuts[f]).alias(f) for f in FEATURES)).count().collect()  # at most a row for each labelled row
+    table = {c: np.array([r[c] for r in counted], dtype=np.int64) for c in FEATURES}
+    held, bad_n = np.array([r["held"] for r in counted], dtype=bool), np.array([r["bad"] * r["count"] for r in counted], dtype=np.int64)
+    return cover(table, np.array([r["count"] for r in counted], dtype=np.int64), bad_n, held, cuts, max_conditions, min_cover, min_precision)
+
+
+def cover(table: dict[str, np.ndarray], n: np.ndarray, p: np.ndarray, held: np.ndarray, cuts: dict[str, list[float]], max_conditions: int, min_cover: int, min_precision: float) -> DecisionList:
+    """Sequential covering over binned statistics: ``n`` rows, ``p`` of them bad, for each line of ``table``."""
+    out, left, aside = DecisionList(), np.ones(len(n), dtype=bool), set()
+    while grown := _grow(table, n, p, left & ~held, cuts, max_conditions, min_cover, aside):
+        kept = _prune(table, n, p, left & held, grown, min_precision)
+        if kept is None:
+            aside.add((grown[0].feature, grown[0].above))
+        else:
+            out.rules.append(kept)
+            left = left & ~_matched(table, kept)
     return out
 
 
+def _matched(table: dict[str, np.ndarray], rule: list[Condition]) -> np.ndarray:
+    hit = np.ones(len(next(iter(table.values()))), dtype=bool)
+    for c in rule:
+        hit &= c.hits(table)
+    return hit
+
+
 def _bin(value: Column, cuts: list[float]) -> Column:
     """The index of the last cut below ``value``; -1 for none."""
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: value > t)) - 1 if cuts else F.lit(-1)
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], max_conditions: int, min_cover: int) -> list[Condition]:
+def _grow(table, n, p, rows, cuts, max_conditions: int, min_cover: int, aside: set) -> list[Condition]:
+    """Conditions one by one, each with the largest FOIL gain (the first of equals in the order of statistics, cuts and sides)."""
     rule: list[Condition] = []
     for _ in range(max_conditions):
-        covered = rows.where(_all(c.binned() for c in rule))
-        pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b")) for f in FEATURES))).alias("x")
-        counts = covered.select("bad", pairs).groupBy("x.f", "x.b").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")).collect()  # features x bins
-        total = {f: (sum(r["p"] for r in counts if r["f"] == f), sum(r["n"] for r in counts if r["f"] == f)) for f in FEATURES}
-        if not counts or total["n_words"][0] in (0, total["n_words"][1]):
+        covered = rows & _matched(table, rule)
+        p_all, n_all = int(p[covered].sum()), int(n[covered].sum())
+        if p_all in (0, n_all):
             break
         best: tuple[float, Condition] | None = None
         for f in FEATURES:
-            p_all, n_all = total[f]
+            sums = [np.bincount(table[f][covered] + 1, weights=w[covered], minlength=len(cuts[f]) + 1)[::-1].cumsum()[::-1] for w in (p, n)]
             for k, t in enumerate(cuts[f]):
-                p_up = sum(r["p"] for r in counts if r["f"] == f and r["b"] >= k)
-                n_up = sum(r["n"] for r in counts if r["f"] == f and r["b"] >= k)
-                for above, p, n in ((True, p_up, n_up), (False, p_all - p_up, n_all - n_up)):
-                    if p >= min_cover and n < n_all:
-                        gain = p * (math.log2(p / n) - math.log2(p_all / n_all))
+                p_up, n_up = sums[0][k + 1], sums[1][k + 1]
+                for above, p_in, n_in in ((True, p_up, n_up), (False, p_all - p_up, n_all - n_up)):
+                    if p_in >= min_cover and n_in < n_all and (rule or (f, above) not in aside):
+                        gain = p_in * (math.log2(p_in / n_in) - math.log2(p_all / n_all))
                         if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
                             best = gain, Condition(f, above, t, k - 1)
         if best is None:
@@ -176,21 +190,21 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]], max_conditions: int, mi
     return rule
 
 
-def _prune(rows: DataFrame, rule: list[Condition], min_precision: float) -> list[Condition] | None:
-    """The prefix of ``rule`` with the highest (p - n) / (p + n) on held-out rows, if it is precise enough."""
-    sums = []
+def _prune(table, n, p, rows, rule: list[Condition], min_precision: float) -> list[Condition] | None:
+    """The prefix of ``rule`` with the highest precision on held-out rows (then the most bad rows, then the shortest), if that is enough."""
+    scored = []
     for k in range(1, len(rule) + 1):
-        hit = _all(c.binned() for c in rule[:k])
-        sums += [F.coalesce(F.sum(F.when(hit, F.col("bad"))), F.lit(0)).alias(f"p{k}"), F.count(F.when(hit, F.lit(1))).alias(f"n{k}")]
-    got = rows.agg(*sums).first()
-    scored = [(got[f"p{k}"] / got[f"n{k}"], got[f"p{k}"], k) for k in range(1, len(rule) + 1) if got[f"n{k}"]]
+        hit = rows & _matched(table, rule[:k])
+        if n[hit].sum():
+            scored.append((p[hit].sum() / n[hit].sum(), int(p[hit].sum()), k))
     good = [s for s in scored if s[0] >= min_precision]
     return rule[: max(good, key=lambda s: (round(s[0], 3), s[1], -s[2]))[2]] if good else None
 
 
 def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DecisionList:
-    """Learn from at most ``max_labelled`` labelled rows, those with the smallest hash of their id (a documented bound
-    on the classifier's sample; it also bounds the broadcast). Rows without a label or an id are left out."""
+    """Learn from at most ``max_labelled`` rows whose ids are labelled, those with the smallest hash of their id (then of their
+    statistics, so that rows which repeat an id are bounded too): a documented bound on the classifier's sample, and
+    of the broadcast. Rows without a label or an id are left out; of several labels the smallest counts."""
     sample = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -198,7 +212,8 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = 20
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     stats = materialise(text_stats(rows, keep=("doc_id", "quality")), "rule-stats")
-    return learn(stats.where(~base_failed()), F.col("quality") == 0, F.col("doc_id"))
+    bounded = stats.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(*stats.columns)).limit(max_labelled)
+    return learn(bounded.where(~base_failed()), F.col("quality") == 0, F.col("doc_id"))
 
 
 def quality_rules(docs: DataFrame, rules: DecisionList, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
