@@ -13,9 +13,14 @@ from tideline.llm import byte_bpe, language_id, registry, warc
 from tideline.llm.elias_fano import EliasFano, Level, Trie
 from tideline.storage import new_path
 
-P = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers as P
+except ImportError:
+    P = None
+needs_vocabularies = pytest.mark.skipif(P is None, reason="no vocabulary files")
 
 
+@needs_vocabularies
 def test_bpe_equals_tiktoken():
     import tiktoken
 
@@ -28,11 +33,17 @@ def test_bpe_equals_tiktoken():
     texts += ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(500)]
     for t, ids in zip(texts, bpe.encode(texts), strict=True):
         assert ids == ref.encode_ordinary(t)
-        assert bpe.decode(ids) == t
+        assert bpe.decode(ids) == t and bpe.decode_bytes(ids) == t.encode() == b"".join(map(ref.decode_single_token_bytes, ids))
+    for t, (ids, spans), (same, end) in zip(texts, bpe.encode_offsets(texts), bpe.encode_ends(texts), strict=True):
+        assert ids == same == ref.encode_ordinary(t) and end == len(t) and len(spans) == len(ids)
+        cover = sorted({k for a, b in spans for k in range(a, b)})
+        assert cover == list(range(len(t)))
+    assert bpe.decode(bpe.encode(["😀"])[0][:1]) == "\ufffd"  # a part of a character
     ids, spans = bpe.encode_offsets(["né 😀"])[0]
     assert spans[0][0] == 0 and spans[-1][1] == 4 and len(ids) == len(spans)
 
 
+@needs_vocabularies
 def test_bpe_frames(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     df = spark.createDataFrame([(1, "héllo 😀", "c"), (2, None, "c"), (3, "", "c"), (3, "", "c"), (None, "x" * 100_000, "c")], "doc_id long, text string, ids string")
@@ -40,6 +51,7 @@ def test_bpe_frames(spark):
     dec = sorted(((r.doc_id or 0), r.text) for r in byte_bpe.decode(enc, path, P.PATTERN).collect())
     assert dec == [(0, "x" * 100_000), (1, "héllo 😀"), (2, ""), (3, ""), (3, "")]
     assert byte_bpe.round_trip(df.where("false"), path, P.PATTERN).count() == 0
+    assert sorted(r.end_offset for r in byte_bpe.round_trip(df, path, P.PATTERN).collect()) == [0, 0, 0, 7, 100_000]
 
 
 def test_language_id_held_out_accuracy(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 A rank file gives the vocabulary; the merges follow from it: every split of a token into two tokens is a
 merge of that token's rank, so that any pair whose bytes form a token may merge, lowest rank first. Bytes are mapped to
-printable characters for the library and back for decoding. Decoding joins the bytes of the tokens before it decodes
-UTF-8, so characters split over tokens come back whole. The vocabulary file is a parameter; each Python worker loads it
-once.
+printable characters for the library. Decoding joins the tokens' characters, reverses the byte table and only then decodes
+UTF-8, so characters split over tokens come back whole. Offsets are in characters of the text; a token that holds a part
+of a character has the span of the whole one. The vocabulary file is a parameter; each Python worker loads it once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,17 +57,25 @@ class ByteBPE:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.shown = {r: shown[t] for t, r in ranks.items()}
+        self.byte_of = np.zeros(512, dtype=np.uint8)  # the byte table reversed
+        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_ends(self, texts: list[str]) -> list[tuple[list[int], int]]:
+        """Ids, and the offset at which the last token ends (0 for none)."""
+        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [(e.ids, e.token_to_chars(len(e) - 1)[1] if len(e) else 0) for e in got]
+
     def encode_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids with the span of characters that each token touches."""
         return [(e.ids, e.offsets) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        text = "".join(map(self.shown.__getitem__, ids))
+        return self.byte_of[np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16)].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
@@ -117,23 +126,28 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", id: st
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256``: encode, decode and digest without shipping the ids."""
+    """``id, n_tokens, end_offset, ids_sha256, decoded_sha256``: encode with offsets, decode and digest without shipping the ids.
+
+    ``end_offset`` is where the last token ends: the characters of the text, if its tokens cover it. Null text is empty; repeated rows
+    each give a row, an empty table an empty result. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        names = ["id", "n_tokens", "end_offset", "ids_sha256", "decoded_sha256"]
         for b in _slices(batches, 64):
-            got = bpe.encode(_texts(b, text))
+            got = bpe.encode_ends(_texts(b, text))
             cols = [
                 b.column(id),
-                pa.array([len(x) for x in got], pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in got], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in got], pa.string()),
+                pa.array([len(x) for x, _ in got], pa.int64()),
+                pa.array([end for _, end in got], pa.int64()),
+                pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x, _ in got], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x, _ in got], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)
+    return docs.select(id, text).mapInArrow(run, f"id {kind}, n_tokens bigint, end_offset bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
