@@ -7,7 +7,7 @@ Each sums to 1 over the known words, the end of a text and one unknown word. A t
 
 1. A chunk of documents becomes its distinct n-grams of each order with their training counts, dealt by context to shards
    (a frequent context by the whole n-gram), packed in one row for a chunk and shard: a hot word or n-gram is one entry of
-   a chunk, whatever its share.
+   a chunk, whatever its share. The chunk's tokens wait in a file of the shared store.
 2. A shard adds up the counts, builds its trie (orders 1 to 3), writes it (to the model's folder in the shared store, if the
    model is to be kept), maps it and looks the chunks' n-grams up. The values go back to the chunks.
 3. A chunk puts the counts of all orders together and adds up each document's log10 probability.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import numtext as nt
 from tideline.llm.elias_fano import SUCC_BITS, Level, Trie
-from tideline.storage import materialise, read_table
+from tideline.storage import materialise, new_path, read_table
 
 U64 = np.uint64
 #: Strength of the lower order, in counts, for bigrams and trigrams.
@@ -117,13 +117,46 @@ _VALUES = pa.schema([*_ROWS, ("file", pa.string()), ("n", pa.int64()), ("v", pa.
 _VALUES_SQL = _ROWS_SQL + ", file string, n bigint, v bigint, e bigint"
 
 
-def _requests(shards: int, hot: np.ndarray, chunk_bytes: int):
-    """For each chunk one row with its tokens, which goes home, and one for each shard with n-grams and training counts."""
+def _write(name: str, data: bytes) -> None:
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(name)
+    store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(inside, compression=None) as f:
+        f.write(data)
+
+
+def _read(name: str) -> bytes:
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(name)
+    with store.open_input_file(inside) as f:
+        return f.read()
+
+
+def _store(folder: str | None, shard: int, data: bytes) -> str:
+    """Write a shard's trie; named by attempt, so that only the files of tasks that succeeded are in the manifest. Without a
+    folder it goes to a file of the task's own, which is unlinked as soon as it is mapped."""
+    from pyspark import TaskContext
+
+    if folder is None:
+        fd, name = tempfile.mkstemp(prefix="trie-")
+        with os.fdopen(fd, "wb") as f:
+            f.write(data)
+        return "file://" + name
+    name = f"{folder}/trie-{shard:08d}-{TaskContext.get().taskAttemptId()}.ef"
+    _write(name, data)
+    return name
+
+
+def _requests(shards: int, hot: np.ndarray, chunk_bytes: int, folder: str):
+    """For each chunk one row for each shard with n-grams and training counts, and one with the name of the file (in the shared
+    store, named by attempt) where the chunk's tokens wait for the values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
+        task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         for at, batch in enumerate(nt.chunks(batches, "text", chunk_bytes)):
             words, docs = _tokens(batch.column("text")), batch.num_rows
             sizes = words.counts + 1  # with an end after each text
@@ -134,7 +167,9 @@ def _requests(shards: int, hot: np.ndarray, chunk_bytes: int):
             weight = np.repeat(train, sizes)
             part = (task << 24) | at
             home = nt.join_blobs(nt.pack_planes(stream), nt.pack_planes(sizes), nt.pack_sorted(names), np.packbits(train.astype(np.uint8)).tobytes())
-            rows = [{"part": part, "bucket": -1 - part, "body": home, "ids": batch.column("id").to_pylist()}]
+            name = f"{folder}/chunk-{part:012d}-{attempt}.bin"
+            _write(name, home)
+            rows = [{"part": part, "bucket": -1 - part, "body": name.encode(), "ids": batch.column("id").to_pylist()}]
             orders = grams(stream, sizes, names, hot, shards)
             counts = [np.bincount(g.place, weights=weight[g.at], minlength=len(g.order))[g.order].astype(np.int64) for g in orders]
             for b in range(shards):
@@ -147,25 +182,6 @@ def _requests(shards: int, hot: np.ndarray, chunk_bytes: int):
     return run
 
 
-def _store(folder: str | None, shard: int, data: bytes) -> str:
-    """Write a shard's trie; named by attempt, so that only the files of tasks that succeeded are in the manifest. Without a
-    folder it goes to a file of the task's own, which is unlinked as soon as it is mapped."""
-    from pyarrow import fs
-    from pyspark import TaskContext
-
-    if folder is None:
-        fd, name = tempfile.mkstemp(prefix="trie-")
-        with os.fdopen(fd, "wb") as f:
-            f.write(data)
-        return "file://" + name
-    name = f"{folder}/trie-{shard:08d}-{TaskContext.get().taskAttemptId()}.ef"
-    store, inside = fs.FileSystem.from_uri(name)
-    store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(inside, compression=None) as f:
-        f.write(data)
-    return name
-
-
 def _opened(name: str) -> Trie:
     """The trie in a file of the shared store: mapped where the store is a file system, else read."""
     from pyarrow import fs
@@ -173,8 +189,7 @@ def _opened(name: str) -> Trie:
     store, inside = fs.FileSystem.from_uri(name)
     if store.type_name == "local":
         return Trie.map(np.memmap(inside, dtype=np.uint8, mode="r"))
-    with store.open_input_file(inside) as f:
-        return Trie.map(np.frombuffer(f.read(), dtype=np.uint8))
+    return Trie.map(np.frombuffer(_read(name), dtype=np.uint8))
 
 
 def _shard(train: bool, folder: str | None):
@@ -205,6 +220,7 @@ def _shard(train: bool, folder: str | None):
                 levels.append(Level.build(context[got], successor[got], np.log10(count[got])))
                 if k == 0:
                     seen = successor[got], count[got]
+        del bodies, order, keys
         name = _store(folder, key[0].as_py(), Trie(levels).dump()) if train else manifest["file"][0].as_py() if len(manifest) else None
         trie = _opened(name) if name else None
         if train and folder is None:
@@ -239,7 +255,7 @@ def _finish(shards: int, hot: np.ndarray, total: int, distinct: int, texts: int)
         """Put the values of one chunk's n-grams together and add up its documents."""
         rows = table.to_pylist()
         head = next(r for r in rows if r["ids"] is not None)
-        stream, sizes, names, bits = nt.split_blobs(head["body"])
+        stream, sizes, names, bits = nt.split_blobs(_read(head["body"].decode()))
         stream, sizes, names = nt.unpack_planes(stream).astype(np.int64), nt.unpack_planes(sizes).astype(np.int64), nt.unpack_sorted(names)
         train = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(sizes)].astype(bool)
         orders = grams(stream, sizes, names, hot, shards)
@@ -303,7 +319,8 @@ class LanguageModel:
     def score(self, docs: DataFrame, text: str = "text", id: str = "doc_id", chunk_bytes: int = 4 << 20) -> DataFrame:
         """The rows of ``lm_score`` for documents the model was not trained on (all marked held out)."""
         src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(False).alias("train"))
-        asked = src.mapInArrow(_requests(self.shards, self.hot, chunk_bytes), _ROWS_SQL).repartition(self.shards, "bucket")
+        chunks = new_path(docs.sparkSession, "lm-chunks")
+        asked = src.mapInArrow(_requests(self.shards, self.hot, chunk_bytes, chunks), _ROWS_SQL).repartition(self.shards, "bucket")
         values = asked.groupBy("bucket").cogroup(self.manifest.groupBy("bucket")).applyInArrow(_shard(False, None), _VALUES_SQL)
         return self.finish(values, id)
 
@@ -313,7 +330,7 @@ class LanguageModel:
         return out.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(self.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def train_and_score(docs: DataFrame, held_out: Column, text: str = "text", id: str = "doc_id", folder: str | None = None, chunk_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, hot_share: float | None = None) -> tuple[LanguageModel, DataFrame]:
+def train_and_score(docs: DataFrame, held_out: Column, text: str = "text", id: str = "doc_id", folder: str | None = None, chunk_bytes: int = 6 << 20, shard_bytes: int = 8 << 20, hot_share: float | None = None) -> tuple[LanguageModel, DataFrame]:
     """A model of the rows where ``held_out`` is false, and the scores of all rows. With ``folder`` the tries are written there
     and the model can be saved and used again; without it they last as long as their tasks (a third less disk)."""
     spark = docs.sparkSession
@@ -327,7 +344,7 @@ def train_and_score(docs: DataFrame, held_out: Column, text: str = "text", id: s
     line = share * (words.agg(F.sum("c")).first()[0] or 0)
     hot = np.array(sorted(r["w"] for r in words.where(F.col("c") > line).collect()), dtype=U64)  # at most 1 / share rows
 
-    asked = src.mapInArrow(_requests(shards, hot, chunk_bytes), _ROWS_SQL).repartition(shards, "bucket")
+    asked = src.mapInArrow(_requests(shards, hot, chunk_bytes, new_path(spark, "lm-chunks")), _ROWS_SQL).repartition(shards, "bucket")
     values = materialise(asked.groupBy("bucket").applyInArrow(_shard(True, folder), _VALUES_SQL), "lm-values")
     got = values.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "e"))).first()
     model = LanguageModel(values.where("file is not null").select("bucket", "file"), shards, hot, got["n"], got["v"], got["e"])
