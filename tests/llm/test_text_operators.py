@@ -162,11 +162,13 @@ def test_signature_trees_lose_no_pair_that_links(spark):
     for name, x in sets.items():
         bits = np.zeros(64 * jaccard_join.WORDS, np.uint8)
         bits[x % len(bits)] = 1
-        rows.append((bytearray(name), len(x), x.tolist(), np.packbits(bits, bitorder="little").view(np.int64).tolist(), len(x) - int(bits.sum())))
-    able = spark.createDataFrame(rows, "set_id binary, n bigint, toks array<bigint>, sig array<bigint>, clash bigint")
+        rows.append((bytearray(name), len(x), x.tolist(), np.packbits(bits, bitorder="little").view(np.int64).tolist(), len(x) - int(bits.sum()), len(x) - int(bits.reshape(-1, 64 * jaccard_join.UPPER).max(axis=0).sum())))
+    able = spark.createDataFrame(rows, "set_id binary, n bigint, toks array<bigint>, sig array<bigint>, clash bigint, clash_up bigint")
     postings = able.select(F.lit(7).cast("long").alias("key"), "set_id", "n", F.col("set_id").alias("label"))
     left = jaccard_join._traverse(postings, able, None, spec)
     pairs = {(bytes(r.a), bytes(r.b)) for r in left.collect()}
+    lower = jaccard_join._traverse(postings, able, None, jaccard_join.Spec(1, 3, 5)).collect()  # one task's tree alone
+    assert {(bytes(r.a), bytes(r.b)) for r in lower} == pairs
     linked = {(a, b) for a in sets for b in sets if a < b and 8 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))}
     assert linked and linked <= pairs and len(pairs) < len(sets) ** 2 / 8  # most pairs never meet
     links = {(bytes(r.a), bytes(r.b)) for r in jaccard_join._verify(left, able, spec).collect()}

@@ -9,10 +9,10 @@
 4. Star rounds link sets cheaply: of the components that meet in a posting, a representative each is verified against a
    few hubs, as long as that merges many. Postings of one component are done. Only verified links make components.
 5. The postings that are left get signature trees: inner nodes hold OR-combined token bitmaps, size ranges and ranges of
-   components; their children are size classes, then digits of a hash. A dual traversal starts from the pairs of a posting's
-   top nodes and goes down level by level as Spark joins. It prunes node pairs by size, by the largest possible overlap (common bits
-   and bit collisions) and where all sets are connected already. Pairs of leaves give pairs of sets, which are pruned
-   by their own bitmaps and verified with the shingles.
+   components. A dual traversal of a tree with itself prunes node pairs by size, by the largest possible overlap (common bits
+   and bit collisions) and where all sets are connected already. The upper levels of a long posting (size classes, then digits of a
+   hash, down to ``leaf_sets``) are traversed as Spark joins, the rest of each surviving pair of subtrees in one task. The
+   pairs of sets that are left are verified with the shingles.
 
 The join is exact up to 48-bit hash collisions inside one pair of sets (below 1e-9 for texts of 500 words).
 """
@@ -35,10 +35,10 @@ from tideline.storage import materialise, read_table
 
 U64 = np.uint64
 TOKEN_BITS = 48
-#: Words of a set's bitmap: 1,024 bits.
-WORDS = 16
-#: Bits of a hash for one step down the tree.
-STEP = 4
+#: Words of a set's bitmap (4,096 bits) and of the folded ones (1,024 bits) of the upper nodes.
+WORDS, UPPER = 64, 16
+#: Bits of a hash for one step down the upper tree, and children of a node below.
+STEP, FAN = 4, 16
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Spec:
     den: int = 5
     chunk_bytes: int = 4 << 20
     range_bytes: int = 16 << 20
-    leaf_sets: int = 16
+    leaf_sets: int = 1024
     hubs: int = 3
     star_rounds: int = 8
 
@@ -63,8 +63,8 @@ _MAPPED = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("toks", pa.b
 _MAPPED_SQL = "part bigint, bucket bigint, toks binary, ords binary, meta binary, docs array<bigint>"
 _COUNTED = pa.schema([("part", pa.int64()), ("toks", pa.binary()), ("ords", pa.binary()), ("dfs", pa.binary()), ("meta", pa.binary()), ("docs", pa.list_(pa.int64()))])
 _COUNTED_SQL = "part bigint, toks binary, ords binary, dfs binary, meta binary, docs array<bigint>"
-_SETS = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("toks", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64())), ("clash", pa.int64())])
-_SETS_SQL = "set_id binary, n bigint, docs array<bigint>, toks array<bigint>, keys array<bigint>, sig array<bigint>, clash bigint"
+_SETS = pa.schema([("set_id", pa.binary()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("toks", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64())), ("clash", pa.int64()), ("clash_up", pa.int64())])
+_SETS_SQL = "set_id binary, n bigint, docs array<bigint>, toks array<bigint>, keys array<bigint>, sig array<bigint>, clash bigint, clash_up bigint"
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,6 +185,7 @@ def _assemble(spec: Spec):
                 row["keys"] = mine[: max(prefix, 0)].astype(np.int64)
                 row["sig"] = np.packbits(bits, bitorder="little").view(np.int64)
                 row["clash"] = len(mine) - int(bits.sum())
+                row["clash_up"] = len(mine) - int(bits.reshape(-1, 64 * UPPER).max(axis=0).sum())
             out.append(row)
         return pa.Table.from_pylist(out, _SETS)
 
@@ -196,10 +197,9 @@ def _alike(n1: Column, n2: Column, spec: Spec) -> Column:
     return (n1 * spec.den >= spec.num * n2) & (n2 * spec.den >= spec.num * n1)
 
 
-def _reach(sig1: list[Column], sig2: list[Column], clash1: Column, clash2: Column, least1: Column, least2: Column, spec: Spec) -> Column:
+def _reach(common: Column, clash1: Column, clash2: Column, least1: Column, least2: Column, spec: Spec) -> Column:
     """Whether the largest possible overlap allows a link of two sets, or of any two sets under two nodes."""
-    common = sum((F.bit_count(a.bitwiseAND(b)).cast("long") for a, b in zip(sig1, sig2, strict=True)), F.least(clash1, clash2))
-    return common * (spec.num + spec.den) >= spec.num * (least1 + least2)
+    return (common + F.least(clash1, clash2)) * (spec.num + spec.den) >= spec.num * (least1 + least2)
 
 
 def _verify(pairs: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
@@ -211,8 +211,8 @@ def _verify(pairs: DataFrame, able: DataFrame, spec: Spec) -> DataFrame:
         return salted_join(df, one, [side], F.col("b" if side == "a" else "a"), hot and hot.withColumnRenamed("x", side))
 
     near = with_side(with_side(pairs, "a", ["n", "clash", "sig"]), "b", ["n", "clash", "sig"])
-    words = lambda c: [F.get(c, F.lit(k)) for k in range(WORDS)]
-    near = near.where(_reach(words("sig_a"), words("sig_b"), F.col("clash_a"), F.col("clash_b"), F.col("n_a"), F.col("n_b"), spec)).drop("sig_a", "sig_b")
+    shared = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    near = near.where(_reach(shared, F.col("clash_a"), F.col("clash_b"), F.col("n_a"), F.col("n_b"), spec)).drop("sig_a", "sig_b")
     full = with_side(with_side(near, "a", ["toks"]), "b", ["toks"])
     common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
     return full.where(common * (spec.num + spec.den) >= spec.num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
@@ -236,6 +236,70 @@ def _star(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spe
     return materialise(_verify(pairs, able, spec), "jaccard-links"), reps.select("set_id").distinct().count()
 
 
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _lower_levels(sig: np.ndarray, n: np.ndarray, clash: np.ndarray, label: np.ndarray) -> list[tuple]:
+    """Levels of a tree from the sets up: bitmaps, smallest and largest size, largest clash, smallest and largest label."""
+    levels = [(sig, n, n, clash, label, label)]
+    while len(levels[-1][0]) > 1:
+        s, lo, hi, c, l0, l1 = levels[-1]
+        at = np.arange(0, len(s), FAN)
+        reduced = (np.minimum, lo), (np.maximum, hi), (np.maximum, c), (np.minimum, l0), (np.maximum, l1)
+        levels.append((np.bitwise_or.reduceat(s, at, axis=0), *(f.reduceat(v, at) for f, v in reduced)))
+    return levels
+
+
+def tree_pairs(left: list[tuple], right: list[tuple] | None, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of different labels that the dual traversal of two trees (of one with itself) leaves."""
+    own = right is None
+    right = left if own else right
+    depth = max(len(left), len(right)) - 1
+    at = lambda tree, level: tree[min(level, len(tree) - 1)]
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for level in range(depth, -1, -1):
+        p, q = at(left, level), at(right, level)
+        ok = (p[2][i] * spec.den >= spec.num * q[1][j]) & (q[2][j] * spec.den >= spec.num * p[1][i])
+        ok &= ~((p[4][i] == p[5][i]) & (q[4][j] == q[5][j]) & (p[4][i] == q[4][j]))
+        some = np.flatnonzero(ok)
+        for k in range(0, len(some), 8192):
+            x = some[k : k + 8192]
+            most = np.bitwise_count(p[0][i[x]] & q[0][j[x]]).sum(axis=1, dtype=np.int64) + np.minimum(p[3][i[x]], q[3][j[x]])
+            ok[x] = most * (spec.num + spec.den) >= spec.num * (p[1][i[x]] + q[1][j[x]])
+        i, j = i[ok], j[ok]
+        if level:
+            f = np.arange(FAN)
+            split = lambda v, tree: (v[:, None] * FAN + f) if level < len(tree) else v[:, None]  # noqa: E731, B023
+            x, y = split(i, left), split(j, right)
+            i, j = np.repeat(x, y.shape[1], axis=1).reshape(-1), np.tile(y, (1, x.shape[1])).reshape(-1)
+            inside = (i < len(at(left, level - 1)[0])) & (j < len(at(right, level - 1)[0]))
+            if own:
+                inside &= i <= j
+            i, j = i[inside], j[inside]
+    return (i[i != j], j[i != j]) if own else (i, j)
+
+
+def _leaf_pairs(spec: Spec):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """The pairs that are left of each ``unit`` of the table: one posting (side 0) or two subtrees (sides 1 and 2)."""
+        column = lambda c: table[c].to_numpy()
+        unit, side, n, clash, label = (column(c) for c in ("unit", "side", "n", "clash", "lab"))
+        sig = table["sig"].combine_chunks().flatten().to_numpy().view(U64).reshape(-1, WORDS)
+        ids, order = table["set_id"].to_pylist(), np.lexsort((n, label, unit))
+        out: set[tuple[bytes, bytes]] = set()
+        for rows in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            parts = [rows[side[rows] == k] for k in (0, 1, 2)]
+            trees = [_lower_levels(sig[r], n[r], clash[r], label[r]) if len(r) else None for r in parts]
+            for a, b in ((0, None), (1, 2)):
+                if trees[a] is not None and (b is None or trees[b] is not None):
+                    i, j = tree_pairs(trees[a], None if b is None else trees[b], spec)
+                    for x, y in zip(parts[a][i].tolist(), parts[a if b is None else b][j].tolist(), strict=True):
+                        out.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table([[a for a, _ in out], [b for _, b in out]], schema=_PAIR)
+
+    return run
+
+
 def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec) -> DataFrame:
     """``a, b``: the pairs of sets of different components that the dual traversal of the postings' trees leaves."""
     count = postings.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
@@ -250,37 +314,34 @@ def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec:
     levels = tall.agg(F.max("tallest")).first()[0] or 0
 
     flat = tagged if not levels else salted_join(tagged, tall.select("key"), ["key"], F.col("set_id"), hot, "left_anti")
-    side = lambda t, s, on: t.select(*on, F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"l{s}"))
-    fits = (F.col("la") != F.col("lb")) & _alike(F.col("n_a"), F.col("n_b"), spec)
-    pairs = side(flat, "a", ["key"]).join(side(flat, "b", ["key"]), "key").where((F.col("a") < F.col("b")) & fits).select("a", "b")
-    if not levels:
-        return pairs.distinct()
-
-    deep = salted_join(salted_join(tagged, tall.select("key"), ["key"], F.col("set_id"), hot, "left_semi"), heights, top, F.col("set_id"), hot)
-    deep = materialise(deep.join(able.select("set_id", "sig", "clash"), "set_id"), "jaccard-deep")
-    name = lambda d: F.concat_ws(".", F.col("in_main").cast("int"), "cls", F.substring("h", 1, F.least(F.lit(d), F.col("height"))))
-    node_pairs = None
-    for d in range(levels + 1):
-        bits = [F.bit_or(F.get("sig", F.lit(k))).alias(f"s{k}") for k in range(WORDS)]
-        nodes = deep.groupBy("key", name(d).alias("node"), name(max(d - 1, 0)).alias("up")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("clash").alias("clash"), F.min("label").alias("l0"), F.max("label").alias("l1"), *bits)
-        nodes = materialise(nodes, "jaccard-nodes")
-        rename = lambda s: nodes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in nodes.columns if c != "key"))  # noqa: E731, B023
-        if node_pairs is None:
-            met = rename("a").join(rename("b"), "key")
-        else:
-            half = node_pairs.join(rename("a"), ["key", "up_a"])
-            met = half.join(rename("b"), ["key", "up_b"])
-        c = F.col
-        sizes = (c("hi_a") * spec.den >= spec.num * c("lo_b")) & (c("hi_b") * spec.den >= spec.num * c("lo_a"))
-        joined = (c("l0_a") == c("l1_a")) & (c("l0_b") == c("l1_b")) & (c("l0_a") == c("l0_b"))
-        bound = _reach([c(f"s{k}_a") for k in range(WORDS)], [c(f"s{k}_b") for k in range(WORDS)], c("clash_a"), c("clash_b"), c("lo_a"), c("lo_b"), spec)
-        kept = met.where((c("node_a") <= c("node_b")) & sizes & ~joined & bound)
-        node_pairs = materialise(kept.select("key", c("node_a").alias("up_a"), c("node_b").alias("up_b")), "jaccard-node-pairs")
-    leaves = deep.withColumn("node", name(16))
-    met = node_pairs.join(side(leaves.withColumnRenamed("node", "up_a"), "a", ["key", "up_a"]), ["key", "up_a"]).join(side(leaves.withColumnRenamed("node", "up_b"), "b", ["key", "up_b"]), ["key", "up_b"])
-    down = met.where(fits & ((F.col("up_a") != F.col("up_b")) | (F.col("a") < F.col("b"))))
-    down = down.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(down).distinct()
+    units = flat.select(F.col("key").alias("unit"), F.lit(0).alias("side"), "set_id", "n", "label")
+    if levels:
+        deep = salted_join(salted_join(tagged, tall.select("key"), ["key"], F.col("set_id"), hot, "left_semi"), heights, top, F.col("set_id"), hot)
+        deep = materialise(deep.join(able.select("set_id", "sig", "clash_up"), "set_id"), "jaccard-deep")
+        name = lambda d: F.concat_ws(".", F.col("in_main").cast("int"), "cls", F.substring("h", 1, F.least(F.lit(d), F.col("height"))))
+        fold = lambda k: F.get("sig", F.lit(k)).bitwiseOR(F.get("sig", F.lit(k + UPPER))).bitwiseOR(F.get("sig", F.lit(k + 2 * UPPER))).bitwiseOR(F.get("sig", F.lit(k + 3 * UPPER)))
+        pairs = None
+        for d in range(levels + 1):
+            bits = [F.bit_or(fold(k)).alias(f"s{k}") for k in range(UPPER)]
+            nodes = deep.groupBy("key", name(d).alias("node"), name(max(d - 1, 0)).alias("up")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("clash_up").alias("clash"), F.min("label").alias("l0"), F.max("label").alias("l1"), *bits)
+            nodes = materialise(nodes, "jaccard-nodes")
+            rename = lambda s: nodes.select("key", *(F.col(c).alias(f"{c}_{s}") for c in nodes.columns if c != "key"))  # noqa: E731, B023
+            met = rename("a").join(rename("b"), "key") if pairs is None else pairs.join(rename("a"), ["key", "up_a"]).join(rename("b"), ["key", "up_b"])
+            c = F.col
+            sizes = (c("hi_a") * spec.den >= spec.num * c("lo_b")) & (c("hi_b") * spec.den >= spec.num * c("lo_a"))
+            joined = (c("l0_a") == c("l1_a")) & (c("l0_b") == c("l1_b")) & (c("l0_a") == c("l0_b"))
+            common = sum((F.bit_count(c(f"s{k}_a").bitwiseAND(c(f"s{k}_b"))).cast("long") for k in range(UPPER)), F.lit(0).cast("long"))
+            kept = met.where((c("node_a") <= c("node_b")) & sizes & ~joined & _reach(common, c("clash_a"), c("clash_b"), c("lo_a"), c("lo_b"), spec))
+            pairs = materialise(kept.select("key", c("node_a").alias("up_a"), c("node_b").alias("up_b")), "jaccard-node-pairs")
+        same = F.col("up_a") == F.col("up_b")
+        sides = F.explode(F.array_compact(F.array(F.struct(F.when(same, 0).otherwise(1).alias("side"), F.col("up_a").alias("node")), F.when(~same, F.struct(F.lit(2).alias("side"), F.col("up_b").alias("node"))))))
+        wanted = pairs.select("key", F.xxhash64("key", "up_a", "up_b").alias("unit"), sides.alias("x")).select("key", "unit", "x.side", "x.node")
+        members = deep.select("key", name(16).alias("node"), "set_id", "n", "label")
+        units = units.unionByName(wanted.join(members, ["key", "node"]).select("unit", "side", "set_id", "n", "label"))
+    full = units.join(able.select("set_id", "sig", "clash"), "set_id").withColumn("lab", F.xxhash64("label"))
+    buckets = max(1, postings.count() // 4096)
+    dealt = full.withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets))).select("bucket", "unit", "side", "set_id", "n", "lab", "clash", "sig").repartition(min(buckets, 100_000), "bucket")
+    return dealt.groupBy("bucket").applyInArrow(_leaf_pairs(spec), "a binary, b binary").distinct()
 
 
 def _components(able: DataFrame, spec: Spec) -> DataFrame:
@@ -325,7 +386,7 @@ def jaccard_join(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc
     counted = mapped.groupBy("bucket").applyInArrow(_count, _COUNTED_SQL).repartition(ranges, "part")
     sets = materialise(counted.groupBy("part").applyInArrow(_assemble(spec), _SETS_SQL), "jaccard-sets")
 
-    able = materialise(sets.where("toks is not null").dropDuplicates(["set_id"]).select("set_id", "n", "toks", "keys", "sig", "clash"), "jaccard-able")
+    able = materialise(sets.where("toks is not null").dropDuplicates(["set_id"]).select("set_id", "n", "toks", "keys", "sig", "clash", "clash_up"), "jaccard-able")
     labels = _components(able, spec)
 
     rows = sets.select("set_id", "n", F.explode("docs").alias("id"))
