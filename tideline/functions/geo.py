@@ -35,12 +35,13 @@ def half_up(x: Column, places: int = 0) -> Column:
 
 
 def region_label(lat: Column, lon: Column) -> Column:
-    """First box that holds the point."""
+    """The first box that holds the point (fixed values)."""
     return (
-        F.when((lat > 34) & lon.between(-25, 45), "Europe")
-        .when((lat > 13) & lon.between(-170, -50), "North America")
-        .when((lat <= 13) & lon.between(-95, -30), "South America")
-        .when(lon.between(-25, 55) & (lat <= 34), "Africa")
-        .when((lat < 0) & (lon > 105), "Oceania")
-        .otherwise("Asia")
+        F.when(lon.between(-30, 45) & (lat >= 34), "Europe")
+        .when(lon.between(-20, 55) & (lat < 34) & (lat > -40), "Africa & Middle East")
+        .when((lon > 45) & (lon <= 150) & (lat >= 5), "Asia")
+        .when((lon > 100) & (lat < 5), "Oceania")
+        .when((lon < -30) & (lat >= 15), "North America")
+        .when((lon < -30) & (lat < 15), "South America")
+        .otherwise("Elsewhere")
     )

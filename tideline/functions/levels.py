@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pattern of a level and its rank, in the order of the tests.
+#: Pattern of a lower-case level and its rank, in the order of the tests.
 RANKS = [
-    ("Slam", 100), ("Finals", 95), ("1000", 90), ("500", 80), ("250", 70),
-    ("Challenger 175", 60), ("Challenger 125", 55), ("Challenger 100", 50), ("Challenger 80", 47), ("Challenger 75", 45), ("Challenger 50", 40), ("Challenger", 35),
-    ("M25", 20), ("M15", 15), ("ITF", 10),
+    ("grand slam", 100), ("finals", 95), (r"atp\s*1000", 90), (r"atp\s*500", 80), (r"atp\s*250", 70),
+    (r"challenger\s*175", 60), (r"challenger\s*125", 55), (r"challenger\s*100", 50), (r"challenger\s*80", 47), (r"challenger\s*75", 45), (r"challenger\s*50", 40), ("challenger", 35),
+    ("m25|itf.*25", 20), ("m15|itf.*15", 15), ("itf", 10),
 ]
 #: Lowest rank, default direct-acceptance slots in singles and doubles.
 SLOTS = [(100, 104, 60), (95, 0, 0), (90, 43, 22), (80, 24, 14), (70, 24, 14), (35, 25, 14), (10, 24, 14)]
@@ -31,7 +31,7 @@ def _ladder(rank: Column, steps, column: int, default=0) -> Column:
 def level_rank(level: Column) -> Column:
     out = F.lit(0)
     for pattern, rank in reversed(RANKS):
-        out = F.when(F.contains(level, F.lit(pattern)), rank).otherwise(out)
+        out = F.when(F.lower(level).rlike(pattern), rank).otherwise(out)
     return out
 
 
@@ -48,17 +48,22 @@ def category(level: Column) -> Column:
     return F.when(F.contains(level, F.lit("Slam")), "slam").when(level.startswith("ATP"), "tour").when(level.startswith("Challenger"), "challenger").when(level.startswith("ITF"), "itf")
 
 
+def is_slam_qualifying(level: Column) -> Column:
+    return F.lower(F.trim(level)).startswith("grand slam qualifying")
+
+
 def supply_weight(level: Column) -> Column:
     rank = level_rank(level)
     return F.when(rank >= 90, 3.0).when(rank >= 70, 2.0).when(rank >= 35, 1.0).otherwise(0.5)
 
 
 def da_slots(level: Column, draw_size: Column, discipline: str = "singles") -> Column:
-    """Struct of the slots and their source: the actual draw less reserved places, else the level's default."""
+    """Struct of the slots and their source: the actual singles draw less reserved places, else the level's default; an
+    unknown level has none."""
     rank = level_rank(level)
-    reserved = F.when(rank >= 100, 4).otherwise(2) if discipline == "doubles" else _ladder(rank, RESERVED, 1)
+    reserved = _ladder(rank, RESERVED, 1)
     default = _ladder(rank, SLOTS, 2 if discipline == "doubles" else 1)
-    actual = draw_size.isNotNull() & (draw_size > reserved)
+    actual = (rank > 0) & draw_size.isNotNull() & (draw_size > reserved) if discipline == "singles" else F.lit(False)
     return F.struct(F.when(actual, draw_size - reserved).otherwise(default).cast("int").alias("slots"), F.when(actual, "actual").otherwise("default").alias("source"))
 
 
@@ -84,10 +89,11 @@ def surface_family(surface: Column) -> Column:
 
 
 def is_indoor(surface: Column, indoor: Column) -> Column:
-    return F.coalesce(indoor, F.contains(F.lower(surface), F.lit("indoor")), F.lit(False))
+    """As flagged; unflagged events are indoors on carpet only."""
+    return F.coalesce(indoor, F.contains(F.lower(surface), F.lit("carpet")), F.lit(False))
 
 
 def w_surface(a: Column, b: Column, indoor_a: Column, indoor_b: Column) -> Column:
-    same = surface_family(a) == surface_family(b)
-    hard = (surface_family(a) == "hard") | (surface_family(b) == "hard")
-    return F.when(same & (indoor_a == indoor_b), 1.0).when(same, 0.85).when(hard, 0.55).otherwise(0.3)
+    """1 for the same surface and roof, 0.85 for the same surface, 0.3 if one is grass, else 0.55."""
+    fa, fb = surface_family(a), surface_family(b)
+    return F.when((fa == fb) & (indoor_a == indoor_b), 1.0).when(fa == fb, 0.85).when((fa == "grass") | (fb == "grass"), 0.3).otherwise(0.55)

@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters with accents and the letters they fold to.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūçñýÿšžčřďťňłđ"
-PLAIN = "aaaaaaaeeeeeiiiiiooooooouuuuucnyyszcrdtnld"
+ACCENTED = "áàãâäéèêëíìîïóòõôöúùûüçñắằẳẵặăấầẩẫậạảếềểễệẹẻẽịỉĩốồổỗộớờởỡợọỏơứừửữựụủưýỳỵỷỹđšśćčžźżłęąőűřůīāē"
+PLAIN = "aaaaaeeeeiiiiooooouuuucnaaaaaaaaaaaaaeeeeeeeeiiiooooooooooooouuuuuuuuyyyyydsscczzzleaouruiae"
+#: Letters that lose a mark when they are decomposed.
+ALSO, TO = "åōūďťňÿ", "aoudtny"
 
 
 def fold(c: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    return F.translate(F.lower(c), ACCENTED + ALSO, PLAIN + TO)
 
 
 def city_key(c: Column) -> Column:

@@ -55,29 +55,47 @@ def ols_origin(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(sxx == 0, F.lit(0.0)).otherwise(F.sum(F.col(x) * F.col(y)) / sxx).alias("slope"))
 
 
-def leave_one_out(df: DataFrame, group: str, x: str, y: str, min_train: int = 30) -> DataFrame:
-    """For each held-out group the slope of the rest (null below ``min_train`` rows), and the held-out absolute error."""
+def leave_one_out_fits(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """``group, train_n, slope``: the slope through the origin of all other groups' rows."""
     sums = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
     total = sums.agg(F.sum("n").alias("tn"), F.sum("sxx").alias("txx"), F.sum("sxy").alias("txy"))
     rest = sums.crossJoin(F.broadcast(total))  # one row
-    slope = F.when(F.col("tn") - F.col("n") >= min_train, F.when(F.col("txx") - F.col("sxx") == 0, 0.0).otherwise((F.col("txy") - F.col("sxy")) / (F.col("txx") - F.col("sxx"))))
-    fits = rest.select(group, (F.col("tn") - F.col("n")).alias("train_n"), slope.alias("slope"))
-    return df.join(fits, group).groupBy(group, "train_n", "slope").agg(F.avg(F.abs(F.col(y) - F.col("slope") * F.col(x))).alias("mae"))
+    slope = F.when(F.col("txx") - F.col("sxx") == 0, 0.0).otherwise((F.col("txy") - F.col("sxy")) / (F.col("txx") - F.col("sxx")))
+    return rest.select(group, (F.col("tn") - F.col("n")).alias("train_n"), slope.alias("slope"))
 
 
-def concordance(df: DataFrame, cluster: list[str], id: str, x: str, y: str) -> DataFrame:
-    """Share of concordant pairs inside clusters; pairs tied in either value are skipped."""
-    a = df.select(*cluster, F.col(id).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    b = df.select(*cluster, F.col(id).alias("_j"), F.col(x).alias("_u"), F.col(y).alias("_v"))
-    sign = F.signum(F.col("_x") - F.col("_u")) * F.signum(F.col("_y") - F.col("_v"))
-    pairs = a.join(b, cluster).where("_i < _j").withColumn("_s", sign).where("_s <> 0")
-    return pairs.groupBy(*cluster).agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("_s") > 0).cast("int")).alias("rate"))
+def leave_one_out(df: DataFrame, group: str, x: str, y: str, min_train: int = 30) -> DataFrame:
+    """For each held-out group the slope of the rest (null below ``min_train`` rows), and the held-out absolute error."""
+    fits = leave_one_out_fits(df, group, x, y).withColumn("slope", F.when(F.col("train_n") >= min_train, F.col("slope")))
+    return df.join(fits, group).groupBy(group, "train_n", "slope").agg(F.avg(F.abs(F.col(y) - F.col("slope") * F.col(x))).alias("mae"))
 
 
-def binned(df: DataFrame, x: str, y: str, width: float, min_n: int) -> DataFrame:
-    """Fixed-width bins with at least ``min_n`` rows: median and deviation."""
+def concordance(df: DataFrame, cluster: list[str], id: str, x: str, y: str) -> DataFrame:
+    """Share of concordant pairs inside clusters; pairs tied in either value are skipped.
+
+    Pairs are counted, not made. Ranks of x are split by their bits: two different ranks part at exactly one bit, so at each
+    bit the rows with a 1 count the rows with a 0 in front of them, in the order of y, among those that agree in the
+    higher bits. That takes a row for each bit of the cluster's ranks.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = rows.select(*cluster, (F.dense_rank().over(W.partitionBy(*cluster).orderBy(x)) - 1).alias("_r"), F.col(y).alias("_y"))
+    top = ranked.withColumn("_bits", F.length(F.bin(F.max("_r").over(W.partitionBy(*cluster)))))
+    level = top.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
+    shifted = lambda k: F.expr(f"shiftright(_r, {k})")
+    level = level.withColumn("_head", shifted("_bit + 1")).withColumn("_one", shifted("_bit") % 2)
+    group = W.partitionBy(*cluster, "_bit", "_head").orderBy("_y")
+    zeros = (1 - F.col("_one")).cast("long")
+    below = F.sum(zeros).over(group.rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum(zeros).over(W.partitionBy(*cluster, "_bit", "_head", "_y"))
+    above = F.sum(zeros).over(W.partitionBy(*cluster, "_bit", "_head")) - F.sum(zeros).over(group.rangeBetween(W.unboundedPreceding, W.currentRow))
+    counted = level.select(*cluster, "_one", below.alias("_below"), above.alias("_above")).where("_one = 1")
+    sums = counted.groupBy(*cluster).agg(F.sum("_below").alias("good"), F.sum("_above").alias("bad")).where("good + bad > 0")
+    return sums.select(*cluster, (F.col("good") + F.col("bad")).alias("pairs"), (F.col("good") / (F.col("good") + F.col("bad"))).alias("rate"))
+
+
+def binned(df: DataFrame, x: str, y: str, width: float, min_n: int, by: list[str] | None = None) -> DataFrame:
+    """Fixed-width bins (within ``by``) with at least ``min_n`` rows: median and deviation."""
     bin = (F.floor(F.col(x) / width) * width).cast("long")
-    return df.groupBy(bin.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.median(y).alias("median"), F.stddev_samp(y).alias("sd")).where(F.col("n") >= min_n)
+    return df.groupBy(*(by or []), bin.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.median(y).alias("median"), F.stddev_samp(y).alias("sd")).where(F.col("n") >= min_n)
 
 
 def error_metrics(pred: str, base: str, actual: str) -> list[Column]:

@@ -20,7 +20,7 @@ def _classified(rows: DataFrame, keys: list[str], series_weeks: int) -> DataFram
 
 def whole_chains(events: DataFrame, neighbours: DataFrame, radius_km: float = 600, series_weeks: int = 3) -> DataFrame:
     """``chain, kind, ed_id, wk, lat, lon``: components of adjacent events over at least two weeks, before any cut."""
-    edges = joins.adjacency_edges(events, neighbours, radius_km)
+    edges = joins.adjacency_links(events, neighbours, radius_km)
     nodes = connected_components(edges).select(F.col("node").alias("ed_id"), F.col("component").alias("chain"))
     rows = events.join(nodes, "ed_id")
     return rows.join(_classified(rows, ["chain"], series_weeks).where("weeks >= 2"), "chain").select("chain", "kind", "ed_id", "wk", "lat", "lon")
@@ -101,7 +101,7 @@ def chains_by_scope(events: DataFrame, neighbours: DataFrame, group: str, groups
     from tideline.operators.sets import scope_fanout
 
     fan = scope_fanout(events, group, groups).withColumn("ed_id", F.struct("scope", "ed_id")).withColumn("region", F.concat_ws("|", "scope", "region"))
-    return connected_components(joins.adjacency_edges(fan, neighbours, radius_km)).select(F.col("node.scope").alias("scope"), F.col("node.ed_id").alias("ed_id"), F.col("component.ed_id").alias("chain"))
+    return connected_components(joins.adjacency_links(fan, neighbours, radius_km)).select(F.col("node.scope").alias("scope"), F.col("node.ed_id").alias("ed_id"), F.col("component.ed_id").alias("chain"))
 
 
 def chain_labels(members: DataFrame) -> DataFrame:

@@ -47,6 +47,90 @@ def mutual_best(left: DataFrame, right: DataFrame, block: list[str], left_id: st
     return pick(first, [left_id], [F.col("score").desc(), F.col(right_id)])
 
 
+#: Score of a match by strict slug, name and city within a week, then by base slug, name and city, then by
+#: containment of the same three within 120 days.
+LADDER = [100, 95, 90, 80, 78, 76, 70, 68, 66]
+FIELDS = ["slug", "name", "city"]
+
+
+def _ladder_keys(df: DataFrame, side: str) -> DataFrame:
+    """``df`` with every column under the prefix ``side`` and its strict and base keys; ``digits``: slug, name or city has one."""
+    keys = [text.strict_key(F.col(c)).alias(f"s_{c}") for c in FIELDS] + [text.base_key(F.col(c)).alias(f"b_{c}") for c in FIELDS]
+    named = F.col("slug").rlike("[0-9]") | F.col("name").rlike("[0-9]")
+    keyed = df.select("*", *keys, (named | F.col("city").rlike("[0-9]")).alias("digits"), named.alias("named"))
+    return keyed.select(*(F.col(c).alias(f"{side}_{c}") for c in keyed.columns))
+
+
+def ladder_pairs(generic: DataFrame, exact: DataFrame) -> DataFrame:
+    """Candidate pairs of one year by the ladder, with ``rung`` (1 to 9: strict, base, containment of slug, name, city) and ``days``.
+
+    Both tables have ed_id, yr, start_date, slug, name, city. Rows meet in equi-joins on a key of one field and its kind; where a key is
+    contained in another, its first five letters are among the other's.
+    """
+    g, x = _ladder_keys(generic, "g"), _ladder_keys(exact, "x")
+    kinds = [(f"s_{c}", f"s:{c}") for c in FIELDS] + [(f"b_{c}", f"b:{c}") for c in FIELDS]
+    head = lambda k: F.substring(k, 1, 5)
+    grams = lambda k: F.when(F.length(k) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - 4), lambda i: F.substr(k, i, F.lit(5))))).otherwise(F.array().cast("array<string>"))
+
+    def keyed(df: DataFrame, side: str, whole: str, part: str) -> DataFrame:
+        """Rows of (yr, kind, key): own keys, the heads of base keys under ``whole`` and their five-letter parts under ``part``."""
+        tag = lambda name, k: F.struct(F.lit(name).alias("kind"), k.alias("key"))
+        same = F.array(*(tag(name, F.col(f"{side}_{c}")) for c, name in kinds))
+        base = [(c, F.col(f"{side}_b_{c}")) for c in FIELDS]
+        heads = F.array(*(tag(f"{whole}:{c}", F.when(F.length(k) >= 5, head(k))) for c, k in base))
+        parts = F.flatten(F.array(*(F.transform(grams(k), lambda p, c=c: tag(f"{part}:{c}", p)) for c, k in base)))
+        rows = df.withColumn("_k", F.explode(F.concat(same, heads, parts)))
+        return rows.select("*", F.col(f"{side}_yr").alias("_yr"), F.col("_k.kind").alias("_kind"), F.col("_k.key").alias("_key")).drop("_k").where("_key <> ''")
+
+    met = keyed(g, "g", "in_x", "in_g").join(keyed(x, "x", "in_g", "in_x"), ["_yr", "_kind", "_key"])
+    days = F.abs(F.datediff("x_start_date", "g_start_date"))
+    pairs = met.where((F.col("g_ed_id") != F.col("x_ed_id")) & (days <= 120)).drop("_yr", "_kind", "_key").dropDuplicates(["g_ed_id", "x_ed_id"])
+    no_digits = ~F.col("g_digits") & ~F.col("x_digits")
+    same = lambda k, c: F.col(f"g_{k}_{c}") == F.col(f"x_{k}_{c}")
+    rung = F.lit(None).cast("int")
+    tests = [(days <= 7) & same("s", c) & (no_digits if c == "city" else F.lit(True)) for c in FIELDS]
+    tests += [no_digits & same("b", c) for c in FIELDS] + [no_digits & text.contains_key(F.col(f"x_b_{c}"), F.col(f"g_b_{c}")) for c in FIELDS]
+    for k in range(len(tests), 0, -1):
+        rung = F.when(tests[k - 1], k).otherwise(rung)
+    return pairs.withColumn("days", days).withColumn("rung", rung)
+
+
+def ladder_match(generic: DataFrame, exact: DataFrame, by_score: bool = True) -> DataFrame:
+    """The best exact row for each generic row: ``gid, rung, score, days`` and the exact row's columns with the prefix x_.
+
+    By score (name decides between equals), or for an overlay: strict keys of slug, name, city within a week, then base keys and containment
+    of rows whose slugs and names have no digits, by rung, distance and the newest ``x_updated``.
+    """
+    pairs = ladder_pairs(generic, exact)
+    if by_score:
+        found = pairs.where("rung is not null")
+        order = [F.col("rung"), F.col("days"), F.col("x_name"), F.col("x_ed_id")]
+    else:
+        near = F.col("days") <= 7
+        same = lambda k, c: F.col(f"g_{k}_{c}") == F.col(f"x_{k}_{c}")
+        strict = [same("s", c) for c in FIELDS]
+        loose = [same("b", c) for c in FIELDS]
+        inside = [text.contains_key(F.col(f"x_b_{c}"), F.col(f"g_b_{c}")) for c in FIELDS]
+        any_of = lambda tests: tests[0] | tests[1] | tests[2]
+        fits = (near & any_of(strict)) | (~F.col("g_named") & ~F.col("x_named") & (any_of(loose) | any_of(inside)))
+        step = F.lit(6)
+        for k, test in reversed(list(enumerate([*strict, *loose]))):
+            step = F.when(test, k).otherwise(step)
+        found = pairs.where(fits).withColumn("rung", step)
+        order = [F.col("rung"), F.col("days"), F.col("x_updated").desc_nulls_last(), F.col("x_ed_id")]
+    score = F.get(F.array(*map(F.lit, LADDER)), F.col("rung") - 1)
+    best = pick(found, ["g_ed_id"], order).withColumn("gid", F.col("g_ed_id")).withColumn("score", score)
+    return best.select("gid", "rung", "score", "days", *(f"x_{c}" for c in exact.columns))
+
+
+def mutual_ladder(generic: DataFrame, exact: DataFrame) -> DataFrame:
+    """``gid, xid, score``: the best generic row for each exact row first, then the best of those for each generic row."""
+    score = F.get(F.array(*map(F.lit, LADDER)), F.col("rung") - 1)
+    pairs = ladder_pairs(generic, exact).where("rung is not null").select(F.col("g_ed_id").alias("gid"), F.col("x_ed_id").alias("xid"), score.alias("score"), "days")
+    first = pick(pairs, ["xid"], [F.col("score").desc(), F.col("days"), F.col("gid")])
+    return pick(first, ["gid"], [F.col("score").desc(), F.col("days"), F.col("xid")]).select("gid", "xid", "score")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, delta: Column, most: int) -> DataFrame:
     """The row of ``right`` with the smallest delta up to ``most``, and how many others were within reach."""
     near = left.join(right, on).withColumn("delta", delta).where(F.col("delta") <= most)
@@ -97,14 +181,37 @@ def span_scope(df: DataFrame, start: str, span: str, out: str) -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.col(start), F.col(start) + F.col(span) - 1)))
 
 
+def _weekly(events: DataFrame, side: str, shift: int = 0) -> DataFrame:
+    out = events.select(*(F.col(c).alias(f"{side}_{c}") for c in events.columns))
+    return out.withColumn("_yr", F.col(f"{side}_yr")).withColumn("_wk", F.col(f"{side}_wk") + shift).withColumn("_surface", F.col(f"{side}_surface")).withColumn("_region", F.col(f"{side}_region"))
+
+
 def adjacency_edges(events: DataFrame, neighbours: DataFrame, radius_km: float = 600) -> DataFrame:
-    """Links week n to week n + 1 of the same surface in the same country, or in neighbouring countries within the radius."""
-    a = events.select(*(F.col(c).alias(f"a_{c}") for c in events.columns))
-    b = events.select(*(F.col(c).alias(f"b_{c}") for c in events.columns))
-    step = a.join(b, (F.col("a_yr") == F.col("b_yr")) & (F.col("a_wk") + 1 == F.col("b_wk")) & (F.col("a_surface") == F.col("b_surface")) & (F.col("a_region") == F.col("b_region")))
-    known = step.join(neighbours.select(F.col("a").alias("a_country"), F.col("b").alias("b_country"), F.lit(True).alias("_next")), ["a_country", "b_country"], "left")
+    """Links week n to week n + 1 of the same surface in the same country, or in neighbouring countries within the radius. Both
+    cases are equi-joins that have the country in their keys."""
+    slot = ["_yr", "_wk", "_surface", "_region"]
+    a, b = _weekly(events, "a", 1), _weekly(events, "b")
+    home = a.withColumn("_country", F.col("a_country")).join(b.withColumn("_country", F.col("b_country")), [*slot, "_country"])
+    next_to = neighbours.where("a <> b").select(F.col("a").alias("a_country"), F.col("b").alias("_country")).distinct()
+    abroad = a.join(next_to, "a_country").join(b.withColumn("_country", F.col("b_country")), [*slot, "_country"])
     km = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return known.where((F.col("a_country") == F.col("b_country")) | (F.coalesce("_next", F.lit(False)) & (km <= radius_km))).select(F.col("a_ed_id").alias("src"), F.col("b_ed_id").alias("dst"))
+    pick_ids = [F.col("a_ed_id").alias("src"), F.col("b_ed_id").alias("dst")]
+    return home.select(*pick_ids).unionByName(abroad.where(km <= radius_km).select(*pick_ids))
+
+
+def adjacency_links(events: DataFrame, neighbours: DataFrame, radius_km: float = 600) -> DataFrame:
+    """Links with the same components as ``adjacency_edges``, but a number that grows with the events and not with their pairs.
+
+    Events of one week, surface, region, country and place are alike: if any of two such groups are adjacent, all are.
+    So groups are compared, and each member links to the first member of the other group.
+    """
+    alike = ["yr", "wk", "country", "region", "surface", "lat", "lon"]
+    groups = events.groupBy(*alike).agg(F.min("ed_id").alias("ed_id"))
+    pairs = adjacency_edges(groups, neighbours, radius_km)
+    firsts = events.join(groups.withColumnRenamed("ed_id", "first"), alike).select("ed_id", "first")
+    one = pairs.select(F.col("src").alias("first"), F.col("dst").alias("other")).unionByName(pairs.select(F.col("dst").alias("first"), F.col("src").alias("other")))
+    some = one.groupBy("first").agg(F.min("other").alias("other"))
+    return pairs.unionByName(firsts.join(some, "first").select(F.col("ed_id").alias("src"), F.col("other").alias("dst")))
 
 
 def nearest_point(df: DataFrame, points: DataFrame, key: str, cap_km: float, degrees: float = 3.0) -> DataFrame:
@@ -122,14 +229,28 @@ def nearest_point(df: DataFrame, points: DataFrame, key: str, cap_km: float, deg
 
 def token_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
     """Pairs that share a name part of more than 2 characters and where the smaller part set lies in the larger one
-    (2 parts in common at least, or both of one part). Columns of ``right`` have the prefix r_."""
+    (2 parts in common at least, or both of one part). Columns of ``right`` have the prefix r_.
+
+    All parts of the smaller set are in the larger one, so it is enough that its rarest part meets any part there: a
+    common part brings rows together only where a name has no rarer one.
+    """
     a = left.withColumn("_a", text.name_parts(F.col(left_name)))
     b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("_b", text.name_parts(F.col(f"r_{right_name}")))
-    tok = lambda df, parts: df.withColumn("_tok", F.explode(F.filter(parts, lambda x: F.length(x) > 2)))
+    long = lambda parts: F.filter(parts, lambda x: F.length(x) > 2)
+    df = a.select(F.explode(long(F.col("_a"))).alias("_tok")).unionByName(b.select(F.explode(long(F.col("_b"))).alias("_tok"))).groupBy("_tok").count()
+
+    def rarest(rows: DataFrame, parts: str) -> DataFrame:
+        keyed = rows.select(F.xxhash64(parts).alias("_k"), parts).distinct()
+        each = keyed.select("_k", parts, F.explode(long(F.col(parts))).alias("_tok")).join(df, "_tok")
+        return each.groupBy("_k", parts).agg(F.min_by("_tok", F.struct("count", "_tok")).alias("_tok")).drop("_k")
+
     both = F.size(F.array_intersect("_a", "_b"))
-    inside = both == F.least(F.size("_a"), F.size("_b"))
-    fits = inside & ((both >= 2) | ((F.size("_a") == 1) & (F.size("_b") == 1)))
-    return tok(a, "_a").join(tok(b, "_b"), "_tok").where(fits).drop("_tok", "_a", "_b").distinct()
+    fits = (both >= 2) | ((F.size("_a") == 1) & (F.size("_b") == 1) & (both == 1))
+    every = lambda rows, parts: rows.withColumn("_tok", F.explode(long(F.col(parts))))
+    small_left = a.join(rarest(a, "_a"), "_a").join(every(b, "_b"), "_tok").where((both == F.size("_a")) & fits)
+    small_right = every(a, "_a").join(b.join(rarest(b, "_b"), "_b"), "_tok").where((both == F.size("_b")) & (F.size("_b") < F.size("_a")) & fits)
+    names = [*left.columns, *(f"r_{c}" for c in right.columns)]
+    return small_left.select(*names).unionByName(small_right.select(*names))
 
 
 def union_codes(*sources: DataFrame) -> DataFrame:
@@ -148,6 +269,6 @@ def match_names(entrants: DataFrame, players: DataFrame) -> DataFrame:
     return entrants.join(ids, "name_key", "left").select(*entrants.columns, status.alias("status"), F.when(F.col("n") == 1, F.col("player")).alias("player"))
 
 
-def fan_out(subscribers: DataFrame, items: DataFrame, array: str, on: str) -> DataFrame:
-    """Subscribers times items of their chosen categories."""
-    return subscribers.withColumn(on, F.explode(array)).drop(array).join(items, on)
+def fan_out(subscribers: DataFrame, items: DataFrame, array: str, on: list[str]) -> DataFrame:
+    """Subscribers times items of their chosen categories (the first column of ``on``) that agree in the other columns too."""
+    return subscribers.withColumn(on[0], F.explode(array)).drop(array).join(items, on)

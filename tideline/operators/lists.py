@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators.windows import prefix_sum
+
 
 def snapshot_changes(df: DataFrame, key: str, content: str, order: list[str]) -> DataFrame:
     """Rows whose content differs from the key's row before (A, B, A keeps three)."""
@@ -20,23 +22,25 @@ def unique_snapshots(df: DataFrame, key: str, content: str, order: list[str]) ->
 
 
 def derive_state(moves: DataFrame, lists: list[str]) -> DataFrame:
-    """The last event of each player in (time, arrival) order decides; active alternates are numbered by player."""
+    """The last event of each player in (time, arrival) order decides; active alternates are numbered by player. A list of
+    any length is numbered by ranges of players."""
     last = moves.groupBy(*lists, "player").agg(F.max_by("kind", F.struct("ts", "seq")).alias("kind"))
     state = F.when(F.col("kind") == "withdrawal", "out").when(F.col("kind") == "promotion", "in").when(F.col("kind") == "alternate-withdrawal", "alternate out").otherwise("alternate")
-    s = last.withColumn("state", state)
-    active = F.col("state") == "alternate"
-    return s.withColumn("queue", F.when(active, F.sum(active.cast("int")).over(W.partitionBy(*lists).orderBy("player").rowsBetween(W.unboundedPreceding, 0))))
+    s = last.withColumn("state", state).withColumn("_active", (F.col("state") == "alternate").cast("long"))
+    numbered = prefix_sum(s, lists, ["player"], "_active", "_n")
+    return numbered.select(*lists, "player", "kind", "state", F.when(F.col("_active") == 1, F.col("_n")).alias("queue"))
 
 
 def trajectory(moves: DataFrame, lists: list[str]) -> DataFrame:
     """The number of players out after each movement, consecutive equal states collapsed. A player is out from a
-    withdrawal until the next other movement."""
+    withdrawal until the next other movement. A state differs from the one before where the movement changes it; a list's first
+    movement always counts."""
     by_player = W.partitionBy(*lists, "player").orderBy("ts", "seq")
     out = (F.col("kind") == "withdrawal").cast("int")
     delta = moves.withColumn("_o", out).withColumn("_d", F.col("_o") - F.coalesce(F.lag("_o").over(by_player), F.lit(0)))
-    w = W.partitionBy(*lists).orderBy("ts", "seq")
-    run = delta.withColumn("out", F.sum("_d").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return run.withColumn("_p", F.lag("out").over(w)).where(~F.col("out").eqNullSafe(F.col("_p"))).select(*lists, "seq", "out")
+    first = moves.groupBy(*lists).agg(F.min(F.struct("ts", "seq")).alias("_first"))
+    run = prefix_sum(delta, lists, ["ts", "seq"], "_d", "out").join(first, lists)
+    return run.where((F.col("_d") != 0) | (F.struct("ts", "seq") == F.col("_first"))).select(*lists, "seq", "out")
 
 
 def inherit_departures(qualifying: DataFrame, alternates: DataFrame, keys: list[str]) -> DataFrame:

@@ -140,13 +140,10 @@ def change_set(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFram
     return d.select(*keys, F.when(F.col("change") == "appeared", "insert").when(F.col("change") == "disappeared", "delete").otherwise("update").alias("op"))
 
 
-def promote_metadata(exact: DataFrame, generic: DataFrame, block: list[str], score: Column, columns: list[str]) -> DataFrame:
-    """Generic rows take the columns of their mutual best exact row (each exact row serves one generic row); others stay.
+def promote_metadata(exact: DataFrame, generic: DataFrame, columns: list[str]) -> DataFrame:
+    """Generic rows take the columns of their mutual best exact row (each exact row serves one generic row); others stay."""
+    from tideline.operators.joins import mutual_ladder
 
-    ``exact`` has xid and the columns with the prefix x_, ``generic`` has gid and the columns.
-    """
-    from tideline.operators.joins import mutual_best
-
-    best = mutual_best(generic, exact, block, "gid", "xid", score).select("gid", "xid", *(f"x_{c}" for c in columns))
-    out = generic.join(best, "gid", "left")
+    best = mutual_ladder(generic, exact).join(exact.select(F.col("ed_id").alias("xid"), *(F.col(c).alias(f"x_{c}") for c in columns)), "xid")
+    out = generic.withColumnRenamed("ed_id", "gid").join(best, "gid", "left")
     return out.select("gid", "xid", *(F.coalesce(f"x_{c}", c).alias(c) for c in columns))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.operators.joins import pick
+from tideline.storage import materialise
 
 
 def dedupe_latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
@@ -31,6 +32,20 @@ def cohort_score(df: DataFrame, cohort: str, value: str, min_n: int = 8) -> Data
     return df.where(F.col(value).isNotNull()).select("*", F.when(n >= min_n, 100 * (above + same / 2) / n).alias("score"))
 
 
+def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the running sum of ``value`` within ``keys`` in ``order``, this row included.
+
+    Rows are dealt by ranges of (keys, order) and written; each range sums up its own rows and adds the totals of the
+    ranges before, so that no task holds a whole key. ``order`` should tell rows of a key apart.
+    """
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_shard", F.spark_partition_id())
+    rows = materialise(dealt, "prefix-sum")
+    before = W.partitionBy(*keys).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_shard").agg(F.sum(value).alias("_t")).select(*keys, "_shard", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    own = F.sum(value).over(W.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_own", own).join(totals, [*keys, "_shard"]).withColumn(out, F.col("_own") + F.col("_offset")).drop("_own", "_offset", "_shard")
+
+
 def requeue(df: DataFrame, lists: list[str], active: Column, order: list[Column]) -> DataFrame:
     """Positions among the active rows; null for inactive ones."""
     return df.withColumn("_a", active).withColumn("queue", F.when(F.col("_a"), F.sum(F.col("_a").cast("int")).over(W.partitionBy(*lists).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))).drop("_a")

@@ -2,7 +2,7 @@
 
 The driver's tables hold no event calendar, so views map orders to editions of events (one for an entity and year), customers to entities,
 and editions to threshold snapshots. A view's text is valid in Spark and in ANSI SQL engines alike, so that a query and its oracle
-start from the same rows.
+start from the same rows (two spellings of the engines apart).
 """
 
 from __future__ import annotations
@@ -46,6 +46,30 @@ from {v_ed} cross join (select * from (values ('singles','main',0),('singles','q
 select e.ed_id, e.ent, e.yr, e.wk, e.level, n.country, n.lat, n.lon, n.surface, s.ev, s.dr, s.direct_rank, s.alt_rank, s.adv_rank, s.byes,
   case when s.ev = 'doubles' then coalesce(s.adv_rank, s.alt_rank, s.direct_rank) else coalesce(s.alt_rank, s.direct_rank) end as cut
 from {v_ed} e join {v_ent} n on n.ent = e.ent join {v_snap} s on s.ed_id = e.ed_id""",
+    "v_cal": """
+select ed_id, ent, yr, wk, start_date, price,
+  case ed_id % 37 when 0 then 'Grand Slam' when 1 then 'Grand Slam Qualifying' when 2 then 'ATP 1000' when 3 then 'Exhibition' when 4 then 'ATP Finals'
+    when 5 then 'Challenger 175' when 6 then 'ITF M15' when 7 then 'Challenger' else level end as level,
+  case ed_id % 5 when 0 then true when 1 then false end as indoor,
+  case when ed_id % 3 = 0 then cast(16 + ed_id % 5 * 16 as int) end as draw_size
+from {v_ed}""",
+    "v_placed": """
+select c.ed_id, c.ent, c.yr, c.wk, c.start_date, c.level, c.indoor, c.draw_size, n.surface,
+  case when c.ent % 23 > 0 then n.lat end as lat, n.lon
+from {v_cal} c join {v_ent} n on n.ent = c.ent""",
+    "v_named": """
+select e.ed_id, e.ent, e.yr, e.start_date, e.level, n.surface, e.updated,
+  concat('ev-', n.letters) as slug, concat(n.region, ' ', n.letters, case when e.ent % 4 = 0 then ' 2' else '' end) as name, n.town as city
+from (select *, date_add(start_date, cast(ed_id % 9 as int)) as updated from {v_ed}) e
+join (select ent, region, surface, translate(cast(ent as varchar(20)), '0123456789', 'abcdefghij') as letters, translate(city, '0123456789', 'abcdefghij') as town from {v_ent}) n on n.ent = e.ent""",
+    "v_generic": """
+select o.ed_id, o.ent, o.yr, o.start_date, 'Challenger' as level, n.surface, o.start_date as updated,
+  case o.ed_id % 6 when 0 then concat('ev-', n.letters) when 3 then concat('ev-', n.letters, ' ch 2') else concat('zz-', cast(o.ed_id as varchar(20))) end as slug,
+  case o.ed_id % 6 when 1 then concat(n.region, ' ', n.letters) when 4 then concat('the ', n.region, ' ', n.letters) else concat('zz ', translate(cast(o.ed_id as varchar(20)), '0123456789', 'abcdefghij')) end as name,
+  case o.ed_id % 6 when 2 then n.town else concat('yy ', translate(cast(o.ed_id as varchar(20)), '0123456789', 'abcdefghij')) end as city
+from (select o_orderkey as ed_id, o_custkey as ent, cast(year(o_orderdate) as int) as yr, cast(o_orderdate as date) as start_date from {orders}) o
+join (select ent, region, surface, translate(cast(ent as varchar(20)), '0123456789', 'abcdefghij') as letters, translate(city, '0123456789', 'abcdefghij') as town from {v_ent}) n on n.ent = o.ent
+left anti join {v_ed} e on e.ed_id = o.ed_id""",
     "v_moves": """
 select event_id as seq, user_id % 20 as list, user_id as player, ts,
   case event_type when 'click' then 'withdrawal' when 'view' then 'promotion' when 'purchase' then 'alternate-withdrawal' else 'reported-next' end as kind, value
@@ -98,7 +122,7 @@ def _with_views(sql: str) -> str:
     if not needed:
         return sql
     names = {n: n for n in [*TABLES, *VIEWS]}
-    heads = ", ".join(f"{v} AS ({VIEWS[v].format_map(names)})" for v in needed)
+    heads = ", ".join(f"{v} AS ({VIEWS[v].format_map(names)})" for v in needed).replace("left anti join", "anti join").replace("date_add(start_date, cast(ed_id % 9 as int))", "start_date + cast(ed_id % 9 as int)")
     body = sql.strip()
     if m := re.match(r"(?i)with\s+recursive\s+", body):
         return f"WITH RECURSIVE {heads}, {body[m.end():]}"

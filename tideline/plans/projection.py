@@ -1,7 +1,8 @@
 """Projection of thresholds: tier change, season and regional drift, cohort base, supply, prediction, backtest.
 
 Observations have ed_id, ent, yr, wk, level, lat, lon, cut, all of one event and draw. Every factor is a table keyed by the
-target, made by equi-joins on (group, season[, week]); no step loops over targets.
+target, made by equi-joins on (group, season[, week[, place]]); no step loops over targets. Targets at one place in one week
+share their factors, so that pairs are of distinct places and not of targets.
 """
 
 from __future__ import annotations
@@ -30,9 +31,15 @@ def ratios(obs: DataFrame) -> DataFrame:
 
 
 def level_medians(obs: DataFrame) -> DataFrame:
-    """Median cut of each level over all seasons before each season; thin ones (n < 8) are left out."""
-    years = obs.select(F.col("yr").alias("y")).distinct()
-    return obs.join(years, F.col("yr") < F.col("y")).groupBy("level", "y").agg(F.median("cut").alias("med"), F.count(F.lit(1)).alias("n")).where("n >= 8").select("level", F.col("y").alias("yr"), "med")
+    """Median cut of each level over all seasons before each season; thin ones (n < 8) are left out.
+
+    Cuts are counted by value first, so that what is copied to later seasons are (level, season, value) and not observations.
+    """
+    values = obs.groupBy("level", "yr", "cut").agg(F.count(F.lit(1)).alias("f"))
+    last = obs.agg(F.max("yr").alias("y")).scalar()
+    later = values.where(F.col("yr") < last).withColumn("y", F.explode(F.sequence(F.col("yr") + 1, last))).drop("yr")
+    seen = later.join(obs.select(F.col("yr").alias("y")).distinct(), "y")
+    return seen.groupBy("level", "y").agg(F.percentile("cut", F.lit(0.5), F.col("f")).alias("med"), F.sum("f").alias("n")).where("n >= 8").select("level", F.col("y").alias("yr"), "med")
 
 
 def tier_change_factor(targets: DataFrame, obs: DataFrame) -> DataFrame:
@@ -44,40 +51,60 @@ def tier_change_factor(targets: DataFrame, obs: DataFrame) -> DataFrame:
     return targets.join(a, ["last_level", "yr"], "left").join(b, ["level", "yr"], "left").withColumn("tier_factor", factor).drop("_from", "_to")
 
 
-def season_drift(obs: DataFrame, horizon: int = 0) -> DataFrame:
-    """For each (grp, yr, wk): the clamped median ratio of the season's weeks strictly before wk - horizon; 1 below 8 rows."""
+def season_drift(obs: DataFrame, horizons: list[int] | None = None) -> DataFrame:
+    """For each (horizon, grp, yr, wk): the clamped median ratio of the season's weeks strictly before wk - horizon; 1 below 8
+    rows. Distinct weeks are joined, not targets: a ratio goes to the later weeks of its season. Without ``horizons`` there
+    is one, 0, and no such column."""
     r = ratios(obs).select("grp", "yr", F.col("wk").alias("_w"), "ratio")
-    keys = obs.select("grp", "yr", "wk").distinct()
-    seen = keys.join(r, ["grp", "yr"]).where(F.col("_w") < F.col("wk") - horizon)
-    med = seen.groupBy("grp", "yr", "wk").agg(F.median("ratio").alias("m"), F.count(F.lit(1)).alias("n"))
-    return keys.join(med, ["grp", "yr", "wk"], "left").select("grp", "yr", "wk", F.when(F.col("n") >= 8, clamp(F.col("m"), 0.6, 1.6)).otherwise(1.0).alias("drift"))
+    keys = obs.select("grp", "yr", "wk").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons or [0]))))
+    seen = keys.join(r, ["grp", "yr"]).where(F.col("_w") < F.col("wk") - F.col("horizon"))
+    med = seen.groupBy("horizon", "grp", "yr", "wk").agg(F.median("ratio").alias("m"), F.count(F.lit(1)).alias("n"))
+    out = keys.join(med, ["horizon", "grp", "yr", "wk"], "left").select("horizon", "grp", "yr", "wk", F.when(F.col("n") >= 8, clamp(F.col("m"), 0.6, 1.6)).otherwise(1.0).alias("drift"))
+    return out if horizons else out.drop("horizon")
+
+
+#: What tells targets apart in space and time: factors are computed once for each and joined back.
+SPOT = ["grp", "yr", "wk", "lat", "lon"]
 
 
-def regional_drift(obs: DataFrame, horizon: int = 0, km: float = 3000) -> DataFrame:
-    """``ed_id, regional``: the same over events within ``km`` in the three weeks before; 1 below 3 rows."""
-    r = ratios(obs).select("grp", "yr", "wk", "lat", "lon", "ratio")
-    near = joins.near_in_time_space(obs.select("ed_id", "grp", "yr", "wk", "lat", "lon"), r, ["grp", "yr"], "wk", [-1 - horizon, -2 - horizon, -3 - horizon], km)
-    med = near.groupBy("ed_id").agg(F.median("r_ratio").alias("m"), F.count(F.lit(1)).alias("n"))
-    return obs.select("ed_id").join(med, "ed_id", "left").select("ed_id", F.when(F.col("n") >= 3, clamp(F.col("m"), 0.6, 1.6)).otherwise(1.0).alias("regional"))
+def regional_drift(obs: DataFrame, horizons: list[int] | None = None, km: float = 3000) -> DataFrame:
+    """``horizon, ed_id, regional``: the same over events within ``km`` in the three weeks before; 1 below 3 rows."""
+    every = horizons or [0]
+    r = ratios(obs).select(*SPOT, "ratio")
+    near = joins.near_in_time_space(obs.select(*SPOT).distinct(), r, ["grp", "yr"], "wk", sorted({-k - h for h in every for k in (1, 2, 3)}), km)
+    gap = F.col("wk") - F.col("r_wk")
+    at = near.withColumn("horizon", F.explode(F.filter(F.array(*map(F.lit, every)), lambda h: (gap > h) & (gap <= h + 3))))
+    med = at.groupBy("horizon", *SPOT).agg(F.median("r_ratio").alias("m"), F.count(F.lit(1)).alias("n"))
+    targets = obs.select("ed_id", *SPOT).withColumn("horizon", F.explode(F.array(*map(F.lit, every))))
+    out = targets.join(med, ["horizon", *SPOT], "left").select("horizon", "ed_id", F.when(F.col("n") >= 3, clamp(F.col("m"), 0.6, 1.6)).otherwise(1.0).alias("regional"))
+    return out if horizons else out.drop("horizon")
 
 
 def cohort_base(obs: DataFrame, km: float = 3000) -> DataFrame:
-    """``ed_id, cohort``: last season's median of the same group within two weeks, of the near ones if there are three."""
-    from tideline.functions.geo import haversine_km
+    """``ed_id, cohort``: last season's median of the same group within two weeks, of the near ones if there are three.
 
-    last = obs.select("grp", (F.col("yr") + 1).alias("yr"), F.explode(F.array(*(F.col("wk") + k for k in range(-2, 3)))).alias("wk"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("cut").alias("_cut"))
-    near = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= km
-    got = obs.join(last, ["grp", "yr", "wk"]).withColumn("_near", near).groupBy("ed_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_near"), 1)).alias("k"), F.median("_cut").alias("every"), F.median(F.when(F.col("_near"), F.col("_cut"))).alias("close"))
-    return got.where("n >= 3").select("ed_id", F.when(F.col("k") >= 3, F.col("close")).otherwise(F.col("every")).alias("cohort"))
+    The median of all is one for each (group, season, week); near ones are looked for by place. Cuts are counted by value.
+    """
+    last = obs.select("grp", (F.col("yr") + 1).alias("yr"), "wk", "lat", "lon", "cut").groupBy("grp", "yr", "wk", "lat", "lon", "cut").agg(F.count(F.lit(1)).alias("f"))
+    weeks = last.groupBy("grp", "yr", "wk", "cut").agg(F.sum("f").alias("f")).withColumn("wk", F.explode(F.array(*(F.col("wk") + k for k in range(-2, 3)))))
+    half = F.lit(0.5)
+    every = weeks.groupBy("grp", "yr", "wk").agg(F.percentile("cut", half, F.col("f")).alias("every"), F.sum("f").alias("n")).where("n >= 3")
+    spots = obs.select(*SPOT).distinct()
+    near = joins.near_in_time_space(spots, last, ["grp", "yr"], "wk", [-2, -1, 0, 1, 2], km)
+    close = near.groupBy(*SPOT).agg(F.percentile("r_cut", half, F.col("r_f")).alias("close"), F.sum("r_f").alias("k")).where("k >= 3")
+    base = obs.select("ed_id", *SPOT).join(every, ["grp", "yr", "wk"]).join(close, SPOT, "left")
+    return base.select("ed_id", F.coalesce("close", "every").alias("cohort"))
 
 
 def supply(events: DataFrame, km: float = 3000) -> DataFrame:
     """``ed_id, supply``: regional weight of the calendar in the week and its neighbours against last season's, each plus 1."""
-    e = events.select("ed_id", "yr", "wk", "lat", "lon", levels.supply_weight(F.col("level")).alias("w"))
-    now = joins.near_in_time_space(e.drop("w"), e.drop("ed_id"), ["yr"], "wk", [-1, 0, 1], km).groupBy("ed_id").agg(F.sum("r_w").alias("now"))
-    prior = e.drop("ed_id").withColumn("yr", F.col("yr") + 1)
-    was = joins.near_in_time_space(e.drop("w"), prior, ["yr"], "wk", [-1, 0, 1], km).groupBy("ed_id").agg(F.sum("r_w").alias("was"))
-    return e.select("ed_id").join(now, "ed_id", "left").join(was, "ed_id", "left").select("ed_id", ((F.coalesce("now", F.lit(0.0)) + 1) / (F.coalesce("was", F.lit(0.0)) + 1)).alias("supply"))
+    spot = ["yr", "wk", "lat", "lon"]
+    e = events.groupBy(*spot).agg(F.sum(levels.supply_weight(F.col("level"))).alias("w"))
+    sums = lambda other, name: joins.near_in_time_space(e.drop("w"), other, ["yr"], "wk", [-1, 0, 1], km).groupBy(*spot).agg(F.sum("r_w").alias(name))
+    now, was = sums(e, "now"), sums(e.withColumn("yr", F.col("yr") + 1), "was")
+    both = e.drop("w").join(now, spot, "left").join(was, spot, "left")
+    ratio = (F.coalesce("now", F.lit(0.0)) + 1) / (F.coalesce("was", F.lit(0.0)) + 1)
+    return events.select("ed_id", *spot).join(both, spot, "left").select("ed_id", ratio.alias("supply"))
 
 
 def _band(grp: Column, draw: str) -> Column:
@@ -89,13 +116,18 @@ def _band(grp: Column, draw: str) -> Column:
 
 def predict(obs: DataFrame, draw: str = "ms", horizon: int = 0, supply_power: float = 0.0, events: DataFrame | None = None) -> DataFrame:
     """``ed_id, grp, yr, actual, last, pred, low, high, method`` for every observation, from what was visible before it."""
-    o = materialise(with_group(obs), "observations")  # every factor reads it; narrow, and cheaper than the joins behind it
+    return predict_horizons(obs, draw, [horizon], supply_power, events).drop("horizon")
+
+
+def predict_horizons(obs: DataFrame, draw: str, horizons: list[int], supply_power: float = 0.0, events: DataFrame | None = None) -> DataFrame:
+    """``predict`` for several horizons in one pass, with the column ``horizon``; only the drifts depend on it."""
+    o = materialise(with_group(obs), "observations")  # every factor reads it
     past = windows.prior_history(o, ["ent"], "yr", "cut").select("ed_id", "prior_n", "prior_median")
     t = joins.prior_period(o, ["ent"], "yr", "cut", "last").join(past, "ed_id")
-    before = o.select("ent", (F.col("yr") + 2).alias("yr"), F.col("cut").alias("before"))
-    lv = o.select("ent", (F.col("yr") + 1).alias("yr"), F.col("level").alias("last_level"))
-    t = t.join(before, ["ent", "yr"], "left").join(lv, ["ent", "yr"], "left")
-    t = tier_change_factor(t, o).join(season_drift(o, horizon), ["grp", "yr", "wk"]).join(regional_drift(o, horizon), "ed_id").join(cohort_base(o), "ed_id", "left")
+    back = lambda years, column, name: o.select("ent", (F.col("yr") + years).alias("yr"), F.col(column).alias(name))
+    t = t.join(back(2, "cut", "before"), ["ent", "yr"], "left").join(back(1, "level", "last_level"), ["ent", "yr"], "left")
+    t = tier_change_factor(t, o).join(cohort_base(o), "ed_id", "left")
+    t = t.join(season_drift(o, horizons), ["grp", "yr", "wk"]).join(regional_drift(o, horizons), ["horizon", "ed_id"])
     if supply_power:
         t = t.join(supply(events), "ed_id", "left")
     last = F.when(F.col("prior_n") >= 2, winsorize(F.col("last").cast("double"), F.col("prior_median"), 1.75)).otherwise(F.col("last").cast("double"))
@@ -106,15 +138,12 @@ def predict(obs: DataFrame, draw: str = "ms", horizon: int = 0, supply_power: fl
     pred = F.greatest(F.lit(3), F.floor(moved + 0.5)).cast("int")
     width = _band(F.col("grp"), draw) * F.when(own.isNull(), 1.3).otherwise(1.0)
     out = t.withColumn("pred", F.when(base.isNotNull(), pred)).withColumn("_w", width).withColumn("method", F.when(base.isNull(), None).when(own.isNull(), "cohort").otherwise("history"))
-    return out.select("ed_id", "grp", "yr", F.col("cut").alias("actual"), "last", "pred", F.greatest(F.lit(1), F.floor(F.col("pred") * (1 - F.col("_w")) + 0.5).cast("int")).alias("low"), F.floor(F.col("pred") * (1 + F.col("_w")) + 0.5).cast("int").alias("high"), "method")
+    return out.select("horizon", "ed_id", "grp", "yr", F.col("cut").alias("actual"), "last", "pred", F.greatest(F.lit(1), F.floor(F.col("pred") * (1 - F.col("_w")) + 0.5).cast("int")).alias("low"), F.floor(F.col("pred") * (1 + F.col("_w")) + 0.5).cast("int").alias("high"), "method")
 
 
 def backtest(obs: DataFrame, draw: str, horizons: list[int]) -> DataFrame:
     """Error, baseline error, win rate and coverage by horizon and group, walk-forward over every observation."""
-    out, once = None, materialise(with_group(obs), "observations")
-    for h in horizons:
-        one = predict(once, draw, h).withColumn("horizon", F.lit(h))
-        out = one if out is None else out.unionByName(one)
+    out = predict_horizons(obs, draw, horizons)
     inside = F.avg((F.col("actual").between(F.col("low"), F.col("high"))).cast("int")).alias("coverage")
     return aggregates.slice_summary(out.where("pred is not null"), [["horizon"], ["horizon", "grp"]], [*aggregates.error_metrics("pred", "last", "actual"), inside])
 

@@ -8,20 +8,20 @@ from tideline.functions import cuts, dates, geo, levels, text
 from tideline.operators import basics
 from tideline.plans.catalog import query
 
-A, P = text.ACCENTED, text.PLAIN
-FOLD = f"translate(lower(x), '{A}', '{P}')"
-TITLES = "(SELECT doc_id, substring(replace(coalesce(text, ''), chr(10), ' '), 1, 40) AS x FROM documents)"
+#: Marks taken off by the other engine's own decomposition, and the two letters that have none to take off.
+FOLD = "translate(strip_accents(lower(x)), 'łđ', 'ld')"
+TITLES = "(SELECT doc_id, coalesce(text, '') AS x FROM documents)"
 
 
 def titles(t):
-    return t.documents.select("doc_id", F.substring(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), 1, 40).alias("x"))
+    return t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("x"))
 
 
 def X():  # noqa: N802
     return F.col("x")
 
 
-@query("h01_city_key", f"SELECT doc_id, regexp_replace({FOLD}, '[^a-z0-9]+', '', 'g') AS city_key, regexp_replace(translate(lower(replace(x, '&', 'and')), '{A}', '{P}'), '[^a-z0-9]+', '', 'g') AS norm_key FROM {TITLES}")
+@query("h01_city_key", f"SELECT doc_id, regexp_replace({FOLD}, '[^a-z0-9]+', '', 'g') AS city_key, regexp_replace({FOLD.replace('(x)', "(replace(x, '&', 'and'))")}, '[^a-z0-9]+', '', 'g') AS norm_key FROM {TITLES}")
 def h01(t):
     return titles(t).select("doc_id", text.city_key(X()).alias("city_key"), text.normalize_key(X()).alias("norm_key"))
 
@@ -94,10 +94,10 @@ def h10(t):
 
 @query(
     "h11_deadline_moment",
-    """WITH x AS (SELECT ed_id, start_date AS d, level, make_date(year(start_date), 3, 8) AS a, make_date(year(start_date), 11, 1) AS b, make_date(year(start_date), 4, 1) AS a0, make_date(year(start_date), 10, 25) AS b0 FROM v_ed)
-SELECT ed_id, CASE WHEN level LIKE 'ITF%' THEN cast(d AS TIMESTAMP) + INTERVAL 14 HOUR ELSE cast(d AS TIMESTAMP) + (CASE
-  WHEN year(d) >= 2007 AND d >= a + cast((7 - isodow(a)) % 7 AS INTEGER) AND d < b + cast((7 - isodow(b)) % 7 AS INTEGER) THEN INTERVAL 16 HOUR
-  WHEN year(d) < 2007 AND d >= a0 + cast((7 - isodow(a0)) % 7 AS INTEGER) AND d < b0 + cast((7 - isodow(b0)) % 7 AS INTEGER) THEN INTERVAL 16 HOUR ELSE INTERVAL 17 HOUR END) END AS due FROM x""",
+    """WITH x AS (SELECT ed_id, start_date AS d, level, make_date(year(start_date), 3, 8) AS a, make_date(year(start_date), 11, 1) AS b FROM v_ed)
+SELECT ed_id, CASE WHEN level LIKE 'ITF%' THEN cast(d AS TIMESTAMP) + INTERVAL 14 HOUR
+  WHEN d >= a + cast((7 - isodow(a)) % 7 AS INTEGER) AND d < b + cast((7 - isodow(b)) % 7 AS INTEGER) THEN cast(d AS TIMESTAMP) + INTERVAL 16 HOUR
+  ELSE cast(d AS TIMESTAMP) + INTERVAL 17 HOUR END AS due FROM x""",
 )
 def h11(t):
     return t.v_ed.select("ed_id", dates.deadline_moment(F.col("start_date"), ~F.col("level").startswith("ITF")).alias("due"))
@@ -106,7 +106,7 @@ def h11(t):
 HAV = "2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
 
 
-@query("h12_h13_geo", f"WITH a AS (SELECT * FROM v_ent), b AS (SELECT ent - 1 AS ent, lat, lon, surface FROM v_ent), k AS (SELECT a.ent, a.surface AS s1, b.surface AS s2, {HAV.format(a='a', b='b')} AS km FROM a JOIN b ON a.ent = b.ent) SELECT ent, round(km, 6) AS km, round(greatest(0.03, exp(-km / 1200)), 6) AS w_geo, CASE WHEN s1 = s2 THEN 1.0e0 WHEN s1 = 'Hard' OR s2 = 'Hard' THEN 0.55e0 ELSE 0.3e0 END AS w_surface FROM k")
+@query("h12_h13_geo", f"WITH a AS (SELECT * FROM v_ent), b AS (SELECT ent - 1 AS ent, lat, lon, surface FROM v_ent), k AS (SELECT a.ent, a.surface AS s1, b.surface AS s2, {HAV.format(a='a', b='b')} AS km FROM a JOIN b ON a.ent = b.ent) SELECT ent, round(km, 6) AS km, round(greatest(0.03, exp(-km / 1200)), 6) AS w_geo, CASE WHEN s1 = s2 THEN 1.0e0 WHEN s1 = 'Grass' OR s2 = 'Grass' THEN 0.3e0 ELSE 0.55e0 END AS w_surface FROM k")
 def h12(t):
     a, b = t.v_ent.alias("a"), t.v_ent.alias("b")
     km = geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
@@ -120,7 +120,7 @@ def h14(t):
     return t.customer.select("c_custkey", geo.clamp(b, 0.0, 5000.0).alias("clamped"), F.round(geo.damp(F.abs(b), 0.25), 6).alias("damped"), F.round(geo.winsorize(b, F.lit(3000.0), 1.75), 6).alias("wins"), geo.half_up(b / 3).alias("half_up"))
 
 
-@query("h15_region_label", "SELECT ent, CASE WHEN lat > 34 AND lon BETWEEN -25 AND 45 THEN 'Europe' WHEN lat > 13 AND lon BETWEEN -170 AND -50 THEN 'North America' WHEN lat <= 13 AND lon BETWEEN -95 AND -30 THEN 'South America' WHEN lon BETWEEN -25 AND 55 AND lat <= 34 THEN 'Africa' WHEN lat < 0 AND lon > 105 THEN 'Oceania' ELSE 'Asia' END AS area FROM v_ent")
+@query("h15_region_label", "SELECT ent, CASE WHEN lon >= -30 AND lon <= 45 AND lat >= 34 THEN 'Europe' WHEN lon >= -20 AND lon <= 55 AND lat < 34 AND lat > -40 THEN 'Africa & Middle East' WHEN lon > 45 AND lon <= 150 AND lat >= 5 THEN 'Asia' WHEN lon > 100 AND lat < 5 THEN 'Oceania' WHEN lon < -30 AND lat >= 15 THEN 'North America' WHEN lon < -30 AND lat < 15 THEN 'South America' ELSE 'Elsewhere' END AS area FROM v_ent")
 def h15(t):
     return t.v_ent.select("ent", geo.region_label(F.col("lat"), F.col("lon")).alias("area"))
 
@@ -196,9 +196,9 @@ def i06(t):
     return basics.expected_draws(t.v_ed.select("ed_id", "level"))
 
 
-@query("i08_surface_family", "SELECT ent, lower(surface) AS family, ent % 4 = 0 AS indoor FROM v_ent")
+@query("i08_surface_family", "SELECT ent, CASE WHEN ent % 4 = 0 THEN 'hard' ELSE lower(surface) END AS family, ent % 4 = 0 AS indoor FROM v_ent")
 def i08(t):
-    s = F.when(F.col("ent") % 4 == 0, F.concat(F.lit("Indoor "), "surface")).otherwise(F.col("surface"))
+    s = F.when(F.col("ent") % 4 == 0, F.lit("Carpet")).otherwise(F.col("surface"))
     return t.v_ent.select("ent", levels.surface_family(s).alias("family"), levels.is_indoor(s, F.lit(None).cast("boolean")).alias("indoor"))
 
 

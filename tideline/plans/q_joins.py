@@ -32,27 +32,46 @@ def c03(t):
     return sets.union_tagged({"has": has.select("ed_id"), "none": joins.exists_any(t.v_ed, s.where("alt_rank is not null"), ["ed_id"], anti=True).select("ed_id")}, "kind")
 
 
-GEN = "(SELECT o_orderkey AS gid, o_custkey AS ent, cast(o_orderdate AS DATE) AS gd, cast(year(o_orderdate) AS INTEGER) AS yr FROM orders WHERE o_orderkey % 7 = 0)"
-SCORE = "CASE WHEN abs(gd - start_date) <= 7 THEN 100 WHEN abs(gd - start_date) <= 60 THEN 80 WHEN abs(gd - start_date) <= 120 THEN 60 END"
+#: Orders that a later one of the same customer and year supersedes: rows to be matched to the editions.
+GEN = "(SELECT o_orderkey AS gid, o_custkey AS ent, cast(o_orderdate AS DATE) AS gd, cast(year(o_orderdate) AS INTEGER) AS yr FROM orders WHERE o_orderkey NOT IN (SELECT ed_id FROM v_ed))"
+DAYS = "abs(gd - start_date)"
 
 
 def generics(t):
-    return t.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("gid"), F.col("o_custkey").alias("ent"), F.col("o_orderdate").cast("date").alias("gd"), F.year("o_orderdate").alias("yr"))
-
-
-def score():
-    days = F.abs(F.datediff("gd", "start_date"))
-    return F.when(days <= 7, 100).when(days <= 60, 80).when(days <= 120, 60)
+    every = t.orders.select(F.col("o_orderkey").alias("gid"), F.col("o_custkey").alias("ent"), F.col("o_orderdate").cast("date").alias("gd"), F.year("o_orderdate").alias("yr"))
+    return every.join(t.v_ed.select(F.col("ed_id").alias("gid")), "gid", "left_anti")
+
+
+#: Strict and base keys of the three fields and whether any has a digit.
+_K = "regexp_replace(regexp_replace(lower({c}), ' ch [0-9]+$', ''), '[^a-z0-9]+', '', 'g') AS s_{c}, regexp_replace(regexp_replace(regexp_replace(lower({c}), ' ch [0-9]+$', ''), '[^a-z0-9]+', '', 'g'), '[0-9]+$', '') AS b_{c}"
+_KEYS = ", ".join(_K.format(c=c) for c in ("slug", "name", "city"))
+_IN = "(length(g.b_{c}) >= 5 AND length(x.b_{c}) >= 5 AND (contains(g.b_{c}, x.b_{c}) OR contains(x.b_{c}, g.b_{c})))"
+NAMED = f"""gk AS (SELECT *, regexp_matches(concat(slug, name), '[0-9]') AS named, regexp_matches(concat(slug, name, city), '[0-9]') AS digits, {_KEYS} FROM v_generic),
+xk AS (SELECT *, regexp_matches(concat(slug, name), '[0-9]') AS named, regexp_matches(concat(slug, name, city), '[0-9]') AS digits, {_KEYS} FROM v_named)"""
+PAIRS_OF = "FROM gk g JOIN xk x ON x.yr = g.yr AND x.ed_id <> g.ed_id AND x.start_date BETWEEN g.start_date - 120 AND g.start_date + 120"
+RUNG = f"""CASE WHEN abs(x.start_date - g.start_date) <= 7 AND x.s_slug = g.s_slug THEN 100 WHEN abs(x.start_date - g.start_date) <= 7 AND x.s_name = g.s_name THEN 95
+ WHEN abs(x.start_date - g.start_date) <= 7 AND x.s_city = g.s_city AND NOT x.digits AND NOT g.digits THEN 90 WHEN x.digits OR g.digits THEN NULL WHEN x.b_slug = g.b_slug THEN 80 WHEN x.b_name = g.b_name THEN 78 WHEN x.b_city = g.b_city THEN 76
+ WHEN {_IN.format(c='slug')} THEN 70 WHEN {_IN.format(c='name')} THEN 68 WHEN {_IN.format(c='city')} THEN 66 END"""
+LADDER = f"{NAMED}, sc AS (SELECT g.ed_id AS gid, x.ed_id AS xid, abs(x.start_date - g.start_date) AS days, x.name AS x_name, x.level AS x_level, {RUNG} AS score {PAIRS_OF})"
+OVERLAY = f"""{NAMED}, best AS (SELECT g.ed_id AS gid, x.ed_id AS xid, x.start_date AS x_start_date, x.level AS x_level {PAIRS_OF}
+ WHERE (abs(x.start_date - g.start_date) <= 7 AND (x.s_slug = g.s_slug OR x.s_name = g.s_name OR x.s_city = g.s_city))
+  OR (NOT g.named AND NOT x.named AND (x.b_slug = g.b_slug OR x.b_name = g.b_name OR x.b_city = g.b_city OR {_IN.format(c='slug')} OR {_IN.format(c='name')} OR {_IN.format(c='city')}))
+ QUALIFY row_number() OVER (PARTITION BY g.ed_id ORDER BY CASE WHEN x.s_slug = g.s_slug THEN 0 WHEN x.s_name = g.s_name THEN 1 WHEN x.s_city = g.s_city THEN 2 WHEN x.b_slug = g.b_slug THEN 3 WHEN x.b_name = g.b_name THEN 4 WHEN x.b_city = g.b_city THEN 5 ELSE 6 END, abs(x.start_date - g.start_date), x.updated DESC NULLS LAST, x.ed_id) = 1)"""
+
+
+@query("c04_best_match", f"WITH {OVERLAY} SELECT gid, xid AS ed_id, x_level AS level FROM best")
+def c04(t):
+    return joins.ladder_match(t.v_generic, t.v_named, by_score=False).select("gid", F.col("x_ed_id").alias("ed_id"), F.col("x_level").alias("level"))
 
 
-@query("c04_best_match", f"SELECT gid, ed_id, score FROM (SELECT gid, ed_id, {SCORE} AS score, row_number() OVER (PARTITION BY gid ORDER BY {SCORE} DESC, abs(gd - start_date), ed_id) AS rn FROM {GEN} g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr WHERE {SCORE} IS NOT NULL) WHERE rn = 1")
-def c04(t):
-    return joins.best_match(generics(t), t.v_ed, ["ent", "yr"], "gid", score(), [F.abs(F.datediff("gd", "start_date")), F.col("ed_id")]).select("gid", "ed_id", "score")
+@query("c05_scored_match", f"WITH {LADDER} SELECT gid, xid AS ed_id, score FROM sc WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY gid ORDER BY score DESC, days, x_name, xid) = 1")
+def c05s(t):
+    return joins.ladder_match(t.v_generic, t.v_named).select("gid", F.col("x_ed_id").alias("ed_id"), "score")
 
 
-@query("c05_e03_mutual_best", f"WITH s AS (SELECT gid, ed_id, {SCORE} AS score FROM {GEN} g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr), a AS (SELECT *, row_number() OVER (PARTITION BY ed_id ORDER BY score DESC, gid) AS r1 FROM s WHERE score IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, ed_id) AS r2 FROM a WHERE r1 = 1) SELECT gid, ed_id, score FROM b WHERE r2 = 1")
+@query("c05_e03_mutual_best", f"WITH {LADDER}, a AS (SELECT *, row_number() OVER (PARTITION BY xid ORDER BY score DESC, days, gid) AS r1 FROM sc WHERE score IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, days, xid) AS r2 FROM a WHERE r1 = 1) SELECT gid, xid, score FROM b WHERE r2 = 1")
 def c05(t):
-    return joins.mutual_best(generics(t), t.v_ed, ["ent", "yr"], "gid", "ed_id", score()).select("gid", "ed_id", "score")
+    return joins.mutual_ladder(t.v_generic, t.v_named)
 
 
 @query("c06_nearest_date", f"SELECT gid, ed_id, delta, others FROM (SELECT gid, ed_id, cast(abs(gd - start_date) AS INTEGER) AS delta, count(*) OVER (PARTITION BY gid) - 1 AS others, row_number() OVER (PARTITION BY gid ORDER BY abs(gd - start_date), ed_id) AS rn FROM {GEN} g JOIN v_ed e ON g.ent = e.ent WHERE abs(gd - start_date) <= 200) WHERE rn = 1")
@@ -68,9 +87,9 @@ def c07(t):
     return joins.prior_reference(o, refs, ["country", "level"], "ed_id").select("ed_id", "ref_id", "ref_cut")
 
 
-@query("c08_as_of", "SELECT ed_id, snap_date, rk FROM v_ed e ASOF LEFT JOIN (SELECT o_custkey AS ent, cast(o_orderdate AS DATE) AS snap_date, max(o_totalprice) AS rk FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL) r ON e.ent = r.ent AND e.start_date >= r.snap_date")
+@query("c08_as_of", "SELECT ed_id, snap_date, rk FROM v_ed e ASOF LEFT JOIN (SELECT o_custkey AS ent, cast(o_orderdate AS DATE) AS snap_date, max(o_totalprice) AS rk FROM orders GROUP BY ALL) r ON e.ent = r.ent AND e.start_date >= r.snap_date")
 def c08(t):
-    r = t.orders.where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("ent"), F.col("o_orderdate").cast("date").alias("snap_date")).agg(F.max("o_totalprice").alias("rk"))
+    r = t.orders.groupBy(F.col("o_custkey").alias("ent"), F.col("o_orderdate").cast("date").alias("snap_date")).agg(F.max("o_totalprice").alias("rk"))
     return joins.as_of(t.v_ed, r, ["ent"], "start_date", "snap_date", ["rk"]).select("ed_id", F.col("asof_snap_date").alias("snap_date"), F.col("asof_rk").alias("rk"))
 
 
@@ -133,17 +152,18 @@ def c14(t):
     return joins.union_codes(t.orders.select("o_custkey", "o_orderstatus"), t.orders.select("o_custkey", F.substring("o_orderpriority", 1, 1)), t.customer.select("c_custkey", F.substring("c_mktsegment", 1, 1)))
 
 
-@query("c15_match_names", "WITH p AS (SELECT lower(concat(n_name, cast(c_custkey % 50 AS VARCHAR))) AS name_key, c_custkey AS player FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 > 0), ids AS (SELECT name_key, count(*) AS n, min(player) AS player FROM p GROUP BY 1) SELECT c_custkey AS ent, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN n = 1 THEN player END AS player FROM (SELECT c_custkey, lower(concat(n_name, cast(c_custkey % 50 AS VARCHAR))) AS name_key FROM customer JOIN nation ON c_nationkey = n_nationkey) e LEFT JOIN ids USING (name_key)")
+@query("c15_match_names", "WITH p AS (SELECT lower(concat(n_name, cast(c_custkey % 50 AS VARCHAR))) AS name_key, c_custkey AS player FROM customer JOIN nation ON c_nationkey = n_nationkey ), ids AS (SELECT name_key, count(*) AS n, min(player) AS player FROM p GROUP BY 1) SELECT c_custkey AS ent, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN n = 1 THEN player END AS player FROM (SELECT c_custkey, lower(concat(n_name, cast(c_custkey % 50 AS VARCHAR))) AS name_key FROM customer JOIN nation ON c_nationkey = n_nationkey) e LEFT JOIN ids USING (name_key)")
 def c15(t):
     c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower(F.concat("n_name", (F.col("c_custkey") % 50).cast("string"))).alias("name_key"))
-    return joins.match_names(c.withColumnRenamed("c_custkey", "ent"), c.where("c_custkey % 3 > 0").withColumnRenamed("c_custkey", "player")).select("ent", "status", "player")
+    return joins.match_names(c.withColumnRenamed("c_custkey", "ent"), c.withColumnRenamed("c_custkey", "player")).select("ent", "status", "player")
 
 
-@query("c16_fan_out", "SELECT s.c_custkey, e.ed_id FROM (SELECT c_custkey, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['ATP 500', 'ITF M25'] ELSE ['Challenger 75'] END) AS level FROM customer WHERE c_custkey % 50 = 0) s JOIN v_ed e ON e.level = s.level AND e.yr = 1997 AND e.wk = 20")
+@query("c16_fan_out", "SELECT s.c_custkey, e.ed_id FROM (SELECT c_custkey, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['ATP 500', 'ITF M25'] ELSE ['Challenger 75'] END) AS level FROM customer) s JOIN v_ed e ON e.level = s.level AND e.yr = 1997 AND e.wk = 20 AND e.ent % 20 = s.c_custkey % 20")
 def c16(t):
     wants = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("ATP 500"), F.lit("ITF M25"))).otherwise(F.array(F.lit("Challenger 75")))
-    subs = t.customer.where("c_custkey % 50 = 0").select("c_custkey", wants.alias("levels"))
-    return joins.fan_out(subs, t.v_ed.where("yr = 1997 and wk = 20"), "levels", "level").select("c_custkey", "ed_id")
+    subs = t.customer.select("c_custkey", (F.col("c_custkey") % 20).alias("circle"), wants.alias("levels"))
+    items = t.v_ed.where("yr = 1997 and wk = 20").withColumn("circle", F.col("ent") % 20)
+    return joins.fan_out(subs, items, "levels", ["level", "circle"]).select("c_custkey", "ed_id")
 
 
 @query("c17_lookup", "SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45")

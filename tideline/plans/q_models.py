@@ -9,7 +9,7 @@ from tideline.plans import field, projection
 from tideline.plans.catalog import query
 from tideline.plans.q_aggregates import r6
 from tideline.plans.q_expressions import HAV, RANK
-from tideline.plans.q_joins import PLACED
+from tideline.plans.q_joins import GEN, OVERLAY, PLACED
 
 OBS = "o AS (SELECT ed_id, ent, yr, wk, level, lat, lon, cut, CASE WHEN level LIKE 'ATP%' THEN 'tour' ELSE 'challenger' END AS grp FROM v_obs WHERE ev = 'singles' AND dr = 'main' AND cut >= 3 AND level NOT LIKE 'ITF%')"
 RATIO = "r AS (SELECT a.*, b.cut AS prev, a.cut / b.cut AS ratio FROM o a JOIN o b ON a.ent = b.ent AND b.yr = a.yr - 1)"
@@ -91,11 +91,11 @@ def j09h(t):
     return r6(projection.backtest(obs(t), "ms", [0, 4, 12]), "mae", "base_mae", "bias", "win_rate", "coverage")
 
 
-@query("j10_grid_search", f"WITH {PREDICT}, f AS (SELECT ed_id, drift AS a, regional AS b FROM w), s AS (SELECT p.x, q.y, avg(abs(actual - pred * pow(a, p.x) * pow(b, q.y))) AS mae FROM preds JOIN f USING (ed_id), (VALUES (-0.5e0), (0e0), (0.5e0)) p(x), (VALUES (-0.5e0), (0e0), (0.5e0)) q(y) WHERE pred IS NOT NULL GROUP BY 1, 2) SELECT x, y, round(mae, 6) AS mae FROM s")
+@query("j10_grid_search", f"WITH {PREDICT}, f AS (SELECT ed_id, drift AS a, regional AS b FROM w), s AS (SELECT p.x, q.y, avg(abs(actual - pred * pow(a, p.x) * pow(b, q.y))) AS mae FROM preds JOIN f USING (ed_id), (VALUES (-0.75e0), (-0.5e0), (-0.25e0), (0e0), (0.25e0), (0.5e0), (0.75e0)) p(x), (VALUES (-0.75e0), (-0.5e0), (-0.25e0), (0e0), (0.25e0), (0.5e0), (0.75e0)) q(y) WHERE pred IS NOT NULL GROUP BY 1, 2) SELECT x, y, round(mae, 6) AS mae FROM s")
 def j10(t):
     o = obs(t)
     f = o.join(projection.season_drift(o), ["grp", "yr", "wk"]).join(projection.regional_drift(o), "ed_id").select("ed_id", F.col("drift").alias("a"), F.col("regional").alias("b"))
-    return r6(projection.grid_search(projection.predict(o).where("pred is not null"), f, [-0.5, 0.0, 0.5]), "mae")
+    return r6(projection.grid_search(projection.predict(o).where("pred is not null"), f, [-0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75]), "mae")
 
 
 @query("j11_report", f"WITH {PREDICT} SELECT grp, yr, cast(grouping_id(grp, yr) AS BIGINT) AS slice, {METRICS} FROM preds WHERE pred IS NOT NULL AND last IS NOT NULL GROUP BY GROUPING SETS ((), (grp), (yr))")
@@ -114,18 +114,35 @@ def j08(t):
     return projection.score(preds, t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", "cut")).select("ed_id", "actual", "scored")
 
 
-SLOT = f"CASE WHEN {RANK} >= 35 AND {RANK} < 70 THEN 25 ELSE 24 END"
+#: The rules of depth, written out again: ranks, places, absorption by week, distance, surface and roof.
+LADDER = "CASE WHEN level LIKE 'Grand Slam%' THEN 100 WHEN level LIKE '%Finals' THEN 95 WHEN level = 'ATP 1000' THEN 90 WHEN level = 'ATP 500' THEN 80 WHEN level = 'ATP 250' THEN 70 WHEN level = 'Challenger 175' THEN 60 WHEN level = 'Challenger 125' THEN 55 WHEN level = 'Challenger 75' THEN 45 WHEN level LIKE 'Challenger%' THEN 35 WHEN level LIKE '%M25' THEN 20 WHEN level LIKE '%M15' THEN 15 ELSE 0 END"
+DEPTH = f"""r AS (SELECT *, {LADDER} AS rk FROM v_placed),
+f AS (SELECT *, CASE WHEN rk = 0 THEN 0 WHEN draw_size > CASE WHEN rk >= 100 THEN 24 WHEN rk >= 90 THEN 13 WHEN rk >= 70 THEN 8 ELSE 7 END THEN draw_size - CASE WHEN rk >= 100 THEN 24 WHEN rk >= 90 THEN 13 WHEN rk >= 70 THEN 8 ELSE 7 END
+    WHEN rk >= 100 THEN 104 WHEN rk >= 95 THEN 0 WHEN rk >= 90 THEN 43 WHEN rk >= 70 THEN 24 WHEN rk >= 35 THEN 25 ELSE 24 END AS own,
+    CASE WHEN rk >= 100 THEN 148 WHEN rk >= 95 THEN 0 WHEN rk >= 90 THEN 36 WHEN rk >= 80 THEN 24 WHEN rk >= 70 THEN 26 END AS absorbs FROM r),
+p AS (SELECT a.ed_id, b.ed_id AS other, CASE WHEN b.rk > 60 THEN b.absorbs * CASE a.wk - b.wk WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0.25 END ELSE b.own END
+    * greatest(0.03, exp(-({HAV.format(a='a', b='b')}) / 1200)) * CASE WHEN a.surface = b.surface THEN CASE WHEN coalesce(a.indoor, false) = coalesce(b.indoor, false) THEN 1 ELSE 0.85 END WHEN a.surface = 'Grass' OR b.surface = 'Grass' THEN 0.3 ELSE 0.55 END AS x
+  FROM f a JOIN f b ON a.yr = b.yr AND b.wk BETWEEN a.wk - CASE WHEN b.rk = 100 THEN 2 ELSE 0 END AND a.wk AND a.ed_id <> b.ed_id AND b.rk >= a.rk AND a.rk > 0 AND a.lat IS NOT NULL AND b.lat IS NOT NULL AND b.level <> 'Grand Slam Qualifying'),
+d AS (SELECT f.ed_id, f.ent, f.yr, f.wk, f.level, own, coalesce(o.others, 0) AS others, round(own + coalesce(o.others, 0), 5) AS depth FROM f LEFT JOIN (SELECT ed_id, sum(x) AS others FROM p GROUP BY 1) o ON o.ed_id = f.ed_id)"""
 
 
-@query("j12_depth", f"WITH e AS (SELECT e.ed_id, yr, wk, lat, lon, surface, {RANK} AS rnk, {SLOT} AS slots FROM v_ed e JOIN v_ent n ON n.ent = e.ent), s AS (SELECT a.ed_id, sum(b.slots * greatest(0.03, exp(-({HAV.format(a='a', b='b')}) / 1200)) * CASE WHEN a.surface = b.surface THEN 1 WHEN a.surface = 'Hard' OR b.surface = 'Hard' THEN 0.55 ELSE 0.3 END) AS others FROM e a JOIN e b ON a.yr = b.yr AND a.wk = b.wk AND a.ed_id <> b.ed_id AND b.rnk >= a.rnk GROUP BY 1) SELECT e.ed_id, cast(slots AS INTEGER) AS own, round(coalesce(others, 0), 5) AS others, round(slots + coalesce(others, 0), 5) AS depth FROM e LEFT JOIN s USING (ed_id)")
+@query("j12_depth", f"WITH {DEPTH} SELECT ed_id, cast(own AS INTEGER) AS own, round(others, 5) AS others, depth FROM d")
 def j12(t):
-    return field.depth(t.v_ed.join(t.v_ent, "ent")).select("ed_id", "own", F.round("others", 5).alias("others"), F.round("depth", 5).alias("depth"))
+    return field.depth(t.v_placed).select("ed_id", "own", F.round("others", 5).alias("others"), F.round("depth", 5).alias("depth"))
 
 
-@query("j15_strength", "WITH s AS (SELECT ed_id, ent, yr, level, cut FROM v_obs WHERE ev = 'singles' AND dr = 'main' AND cut IS NOT NULL), k AS (SELECT *, 100 * (count(*) OVER (PARTITION BY level) - (rank() OVER (PARTITION BY level ORDER BY cut) - 1) - count(*) OVER (PARTITION BY level, cut) / 2) / count(*) OVER (PARTITION BY level) AS score FROM s) SELECT a.ed_id, round(a.score, 6) AS score, round(a.score - b.score, 6) AS delta, CASE WHEN b.score IS NULL THEN NULL WHEN abs(a.score - b.score) <= 12 THEN 'same' WHEN abs(a.score - b.score) <= 30 THEN 'moved' ELSE 'far' END AS band FROM k a LEFT JOIN k b ON a.ent = b.ent AND b.yr = a.yr - 1")
+@query("j15_strength", """WITH o AS (SELECT ed_id, ent, yr, level, cut FROM v_obs WHERE ev = 'singles' AND dr = 'main' AND cut >= 3), c AS (SELECT level, cut, count(*) AS f FROM o GROUP BY 1, 2), z AS (SELECT level, sum(f) AS n FROM c GROUP BY 1),
+n AS (SELECT e.ed_id, e.ent, e.level, o.cut AS own, cast(floor(e.price / 450) AS INTEGER) + 5 AS pred, p.level AS prior_level, p.cut AS prior_cut, e.price FROM v_ed e LEFT JOIN o ON o.ed_id = e.ed_id LEFT JOIN o p ON p.ent = e.ent AND p.yr = 1996 WHERE e.yr = 1997),
+q AS (SELECT ed_id, 'score' AS k, level, coalesce(own, pred) AS v FROM n UNION ALL SELECT ed_id, 'low', level, pred + 40 FROM n WHERE own IS NULL UNION ALL SELECT ed_id, 'high', level, pred - 4 FROM n WHERE own IS NULL UNION ALL SELECT ed_id, 'prior', prior_level, prior_cut FROM n WHERE prior_cut IS NOT NULL),
+s AS (SELECT q.ed_id, q.k, cast(floor((coalesce(sum(f) FILTER (WHERE c.cut > v), 0) + coalesce(sum(f) FILTER (WHERE c.cut = v), 0) / 2) / any_value(z.n) * 100 + 0.5) AS INTEGER) AS x FROM q JOIN c ON c.level = q.level JOIN z ON z.level = q.level WHERE z.n >= 8 GROUP BY 1, 2),
+w AS (SELECT n.*, a.x AS score, b.x AS score_low, d.x AS score_high, e.x AS prior_score, a.x - e.x AS delta FROM n LEFT JOIN s a ON a.ed_id = n.ed_id AND a.k = 'score' LEFT JOIN s b ON b.ed_id = n.ed_id AND b.k = 'low' LEFT JOIN s d ON d.ed_id = n.ed_id AND d.k = 'high' LEFT JOIN s e ON e.ed_id = n.ed_id AND e.k = 'prior')
+SELECT ed_id, ent, level, CASE WHEN own IS NULL THEN 'projected' ELSE 'actual' END AS basis, coalesce(own, pred) AS cut, score, score_low, score_high, prior_level, prior_score, delta, CASE WHEN delta >= 30 THEN 'much-stronger' WHEN delta >= 12 THEN 'stronger' WHEN delta <= -30 THEN 'much-weaker' WHEN delta <= -12 THEN 'weaker' WHEN delta IS NOT NULL THEN 'similar' END AS band,
+  prior_level <> level AS level_changed, score IS NULL AS unscored, (SELECT floor(median(delta) + 0.5) FROM w WHERE own IS NOT NULL) AS season_median FROM w""")
 def j15(t):
-    s = windows.cohort_score(t.v_obs.where("ev = 'singles' and dr = 'main' and cut is not null"), "level", "cut")
-    return r6(field.strength(s).select("ed_id", "score", "delta", "band"), "score", "delta")
+    o = t.v_obs.where("ev = 'singles' and dr = 'main' and cut is not null").select("ed_id", "ent", "yr", "level", "cut")
+    pred = (F.floor(F.col("price") / 450).cast("int") + 5).alias("pred")
+    p = t.v_ed.where("yr = 1997").select("ed_id", pred).join(o.select("ed_id"), "ed_id", "left_anti").select("ed_id", "pred", (F.col("pred") - 4).alias("low"), (F.col("pred") + 40).alias("high"))
+    return field.strength(t.v_ed, o, p, 1997)
 
 
 @query("j16_drain", f"SELECT a.ed_id, count(b.ed_id) AS nearby, count(b.ed_id) * 24 AS places, CASE WHEN {RANK.replace('level', 'a.level')} <= 45 THEN 'high' WHEN {RANK.replace('level', 'a.level')} <= 60 THEN 'low' ELSE 'none' END AS exposure FROM {PLACED} a LEFT JOIN {PLACED} b ON b.level LIKE 'ITF%' AND a.yr = b.yr AND a.wk = b.wk AND {HAV.format(a='a', b='b')} <= 1500 WHERE a.level NOT LIKE 'ITF%' GROUP BY a.ed_id, a.level")
@@ -171,24 +188,44 @@ def j23(t):
     return field.resolve_stop(o.select("ed_id", "cut"), w.select("ed_id", F.col("_last").alias("cut")), prior)
 
 
-RULES = "(VALUES ('tour','main',28),('tour','qualifying',21),('tour','doubles',14),('challenger','main',21),('challenger','qualifying',19),('challenger','doubles',7),('itf','single',18)) AS r(category, kind, days)"
-DUE = f"due AS (SELECT ed_id, kind, cast(date_trunc('week', start_date) AS DATE) - days AS due FROM (SELECT *, CASE WHEN level LIKE 'ATP%' THEN 'tour' WHEN level LIKE 'Ch%' THEN 'challenger' ELSE 'itf' END AS category FROM v_ed) e JOIN {RULES} ON r.category = e.category)"
+RULES = "(VALUES ('tour','main',28),('tour','qualifying',21),('tour','doubles',14),('challenger','main',21),('challenger','qualifying',19),('challenger','doubles',7),('itf','entry',18),('slam','main',42),('slam','qualifying',28),('slam','doubles',14)) AS r(category, kind, days)"
+DUE = f"""x AS (SELECT *, CASE WHEN level LIKE 'Grand Slam%' THEN 'slam' WHEN level LIKE 'ATP%' THEN 'tour' WHEN level LIKE 'Ch%' THEN 'challenger' WHEN level LIKE 'ITF%' THEN 'itf' END AS category, cast(date_trunc('week', start_date) AS DATE) AS monday FROM v_cal WHERE level <> 'Grand Slam Qualifying'),
+y AS (SELECT ed_id, level, x.category, kind, monday, CASE WHEN ed_id % 100 = 0 AND kind = 'main' THEN DATE '1999-06-01' ELSE monday - days END AS due FROM x JOIN {RULES} ON r.category = x.category),
+due AS (SELECT *, cast(due AS TIMESTAMP) + CASE WHEN category = 'itf' THEN INTERVAL 14 HOUR WHEN due >= make_date(year(due), 3, 8) + cast((7 - isodow(make_date(year(due), 3, 8))) % 7 AS INTEGER) AND due < make_date(year(due), 11, 1) + cast((7 - isodow(make_date(year(due), 11, 1))) % 7 AS INTEGER) THEN INTERVAL 16 HOUR ELSE INTERVAL 17 HOUR END AS due_at,
+  CASE WHEN category = 'slam' AND kind = 'main' THEN monday - 28 END AS qualifying_due FROM y)"""
 
 
-@query("j24_deadlines", f"WITH {DUE} SELECT ed_id, kind, CASE WHEN ed_id % 100 = 0 AND kind = 'main' THEN DATE '1999-01-01' ELSE due END AS due FROM due")
+def overrides(t):
+    return t.v_cal.where("ed_id % 100 = 0").select("ed_id", F.lit("main").alias("kind"), F.to_date(F.lit("1999-06-01")).alias("due"))
+
+
+@query("j24_deadlines", f"WITH {DUE} SELECT ed_id, category, kind, monday, due, due_at, qualifying_due, ed_id % 100 = 0 AND kind = 'main' AS overridden FROM due")
 def j24(t):
-    o = t.v_ed.where("ed_id % 100 = 0").select("ed_id", F.lit("main").alias("kind"), F.to_date(F.lit("1999-01-01")).alias("due"))
-    return field.deadlines(t.v_ed, o)
+    return field.deadlines(t.v_cal, overrides(t)).select("ed_id", "category", "kind", "monday", "due", "due_at", "qualifying_due", "overridden")
 
 
-@query("j25_due_reminders", f"WITH {DUE}, h AS (SELECT *, date_diff('hour', TIMESTAMP '1997-03-01 06:00:00', cast(due AS TIMESTAMP)) AS left_h FROM due) SELECT ed_id, kind, cast(left_h AS DOUBLE) AS hours_left, concat_ws(',', CASE WHEN left_h <= 96 THEN '96' END, CASE WHEN left_h <= 48 THEN '48' END, CASE WHEN left_h <= 24 THEN '24' END) AS windows FROM h WHERE left_h > 0 AND left_h <= 96")
+@query("j25_due_reminders", f"""WITH {DUE}, h AS (SELECT *, date_diff('minute', TIMESTAMP '1997-03-01 06:00:00', due_at) / 60 AS h FROM due WHERE kind <> 'doubles'),
+g AS (SELECT concat(CASE WHEN category = 'itf' THEN concat('itf-week-', monday) ELSE cast(ed_id AS VARCHAR) END, ':', kind) AS key, category, kind, min(due) AS due, count(*) AS n, min(h) AS h, min(CASE category WHEN 'slam' THEN 100000 WHEN 'tour' THEN 200000 WHEN 'challenger' THEN 300000 ELSE 400000 END - CASE WHEN category = 'itf' THEN 0 ELSE coalesce(cast(nullif(regexp_extract(level, '[0-9]+'), '') AS INTEGER), 0) END) AS prestige FROM h WHERE h > 0 AND h <= 96 GROUP BY 1, 2, 3)
+SELECT key, category, kind, due, n, floor(h * 10 + 0.5) / 10 AS hours_left, concat_ws(',', CASE WHEN h <= 96 THEN '96' END, CASE WHEN h <= 48 THEN '48' END, CASE WHEN h <= 24 THEN '24' END) AS windows,
+  concat_ws(',', CASE WHEN h <= 96 THEN concat(key, ':96h') END, CASE WHEN h <= 48 THEN concat(key, ':48h') END, CASE WHEN h <= 24 THEN key END) AS claims, prestige FROM g""")
 def j25(t):
-    return field.due_reminders(field.deadlines(t.v_ed), F.to_timestamp(F.lit("1997-03-01 06:00:00")), [24, 48, 96]).select("ed_id", "kind", F.col("hours_left").cast("double").alias("hours_left"), "windows")
+    return field.due_reminders(field.deadlines(t.v_cal, overrides(t)), F.to_timestamp(F.lit("1997-03-01 06:00:00")), [24, 48, 96])
+
 
+EXPECTED = "x AS (SELECT ed_id, level, d.ev, d.dr FROM v_ed JOIN (VALUES ('singles','main'),('singles','qualifying'),('doubles','main'),('doubles','qualifying')) AS d(ev, dr) ON (level NOT LIKE 'ITF%' OR ev = 'singles') AND (d.ev <> 'doubles' OR d.dr = 'main' OR level = 'ATP 500'))"
 
-@query("j26_j31_missing_report", "WITH x AS (SELECT ed_id, d.ev, d.dr FROM v_ed JOIN (VALUES ('singles','main'),('singles','qualifying'),('doubles','main'),('doubles','qualifying')) AS d(ev, dr) ON (level NOT LIKE 'ITF%' OR ev = 'singles') AND (d.ev <> 'doubles' OR d.dr = 'main' OR level = 'ATP 500')), p AS (SELECT DISTINCT ed_id, ev, dr, true AS p FROM v_snap WHERE direct_rank IS NOT NULL) SELECT x.ed_id, count(*) AS expected, count(p) AS present, coalesce(string_agg(CASE WHEN p IS NULL THEN concat(x.ev, '-', x.dr) END, ',' ORDER BY concat(x.ev, '-', x.dr)), '') AS missing FROM x LEFT JOIN p ON p.ed_id = x.ed_id AND p.ev = x.ev AND p.dr = x.dr GROUP BY x.ed_id")
+
+@query("j26_j31_missing_report", f"WITH {EXPECTED}, p AS (SELECT DISTINCT ed_id, ev, dr, true AS p FROM v_snap WHERE direct_rank IS NOT NULL OR byes IS NOT NULL), r AS (SELECT x.ed_id, count(*) AS expected, count(p) AS present, coalesce(string_agg(CASE WHEN p IS NULL THEN concat(x.ev, '-', x.dr) END, ',' ORDER BY concat(x.ev, '-', x.dr)), '') AS missing FROM x LEFT JOIN p ON p.ed_id = x.ed_id AND p.ev = x.ev AND p.dr = x.dr GROUP BY x.ed_id), c AS (SELECT ed_id, CASE WHEN ent % 3 = 0 THEN cast(ent AS VARCHAR) END AS reg, CASE WHEN ent % 4 = 1 THEN concat('t', ent) END AS found FROM v_ed) SELECT r.*, coalesce(reg, found) AS code, CASE WHEN reg IS NOT NULL THEN 'high' WHEN found IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN missing = '' THEN 'complete' WHEN coalesce(reg, found) IS NOT NULL THEN 'fetch' ELSE 'discover code' END AS next_action FROM r JOIN c USING (ed_id)")
 def j26(t):
-    return field.missing_report(basics.expected_draws(t.v_ed), t.v_snap.where("direct_rank is not null"))
+    e = F.col("ent")
+    codes = t.v_ed.select("ed_id", F.when(e % 3 == 0, e.cast("string")).alias("registered"), F.when(e % 4 == 1, F.concat(F.lit("t"), e.cast("string"))).alias("found"))
+    return field.missing_report(basics.expected_draws(t.v_ed), t.v_snap.where("direct_rank is not null or byes is not null"), codes)
+
+
+@query("j31_coverage_totals", f"WITH {EXPECTED}, p AS (SELECT ed_id, ev, dr, count(direct_rank) AS v FROM v_snap WHERE ed_id % 9 > 0 OR ev = 'singles' GROUP BY 1, 2, 3) SELECT x.level, x.ev, x.dr, count(*) AS expected, count(p.ed_id) AS existing, count(*) FILTER (WHERE coalesce(v, 0) = 0) AS missing, count(*) FILTER (WHERE v = 0) AS nulls FROM x LEFT JOIN p ON p.ed_id = x.ed_id AND p.ev = x.ev AND p.dr = x.dr GROUP BY GROUPING SETS ((), (x.level), (x.ev, x.dr))")
+def j31(t):
+    present = t.v_snap.where("ed_id % 9 > 0 or ev = 'singles'").select("ed_id", "ev", "dr", F.col("direct_rank").alias("value"))
+    return field.coverage_totals(basics.expected_draws(t.v_ed), present, t.v_ed)
 
 
 @query("j33_fill_from_siblings", "WITH b AS (SELECT ent, city, CASE WHEN ent % 3 > 0 THEN country END AS country FROM v_ent), s AS (SELECT city, arg_min(country, ent) FILTER (WHERE country IS NOT NULL) AS c FROM b GROUP BY city) SELECT ent, CASE WHEN ent % 97 = 0 THEN 'SET' ELSE coalesce(b.country, s.c) END AS country, CASE WHEN ent % 97 = 0 THEN 'override' WHEN b.country IS NOT NULL THEN 'own' WHEN s.c IS NOT NULL THEN 'sibling' ELSE 'none' END AS src FROM b LEFT JOIN s USING (city)")
@@ -202,14 +239,12 @@ def j35(t):
     return field.phase_and_label(t.v_ed.withColumn("end_date", F.lit(None).cast("date")), F.to_date(F.lit("1998-06-15"))).select("ed_id", "phase", "label")
 
 
-GEN2 = "(SELECT o_orderkey AS gid, o_custkey AS ent, cast(o_orderdate AS DATE) AS gd, cast(year(o_orderdate) AS INTEGER) AS yr FROM orders WHERE o_orderkey % 7 = 0)"
-
-
-@query("j21_schedule", f"WITH b AS (SELECT gid, ed_id FROM (SELECT gid, ed_id, row_number() OVER (PARTITION BY gid ORDER BY abs(gd - start_date), ed_id) AS rn FROM {GEN2} g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr WHERE abs(gd - start_date) <= 120) WHERE rn = 1), o AS (SELECT ed_id, count(*) AS generics FROM b GROUP BY 1) SELECT e.ed_id, wk, coalesce(generics, 0) AS generics FROM v_ed e LEFT JOIN o USING (ed_id) WHERE yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END = 1997 OR (level LIKE 'ITF%' AND yr = 1997) QUALIFY row_number() OVER (PARTITION BY ent, wk ORDER BY start_date DESC NULLS LAST, ed_id) = 1")
+@query("j21_schedule", f"""WITH {OVERLAY}, a AS (SELECT g.*, b.x_start_date AS d2, b.x_level AS l2 FROM v_generic g LEFT JOIN best b ON b.gid = g.ed_id UNION ALL SELECT ed_id, ent, yr, start_date, level, surface, updated, slug, name, city, NULL, NULL FROM v_named),
+l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(name, ' [0-9]+$', ''), ', [a-z][a-z]$', ''), '[^a-z0-9]+', '', 'g') AS k FROM (SELECT * REPLACE (lower(name) AS name) FROM a) WHERE yr = 1997 AND (yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END = 1997 OR level LIKE 'ITF%')),
+o AS (SELECT *, row_number() OVER (PARTITION BY k, date_trunc('week', start_date), CASE WHEN level LIKE 'ITF%' THEN slug ELSE '' END ORDER BY updated DESC NULLS LAST, ed_id) AS rn FROM l)
+SELECT ed_id, coalesce(l2, level) AS level, coalesce(d2, start_date) AS start_date, cast(greatest(1, floor((coalesce(d2, start_date) - cast(date_trunc('week', DATE '1997-01-05') AS DATE)) / 7) + 1) AS INTEGER) AS wk, d2 IS NOT NULL AS overlaid FROM o WHERE rn = 1""")
 def j21(t):
-    from tideline.plans.q_joins import generics
-
-    return field.schedule(t.v_ed, generics(t), 1997)
+    return field.schedule(t.v_named, t.v_generic, 1997)
 
 
 def placed(t):
@@ -225,47 +260,78 @@ def last_cut(t):
 
 @query("j13_week_view")
 def j13(t):
-    return r6(field.week_view(placed(t), last_cut(t), 900), "others", "depth")
+    return field.week_view(t.v_placed.where("lat is not null"), last_cut(t), 1997, 20, 900)
 
 
 def scored(t):
+    from tideline.functions import levels
+    from tideline.operators.chains import cluster_within
+
+    p = t.v_placed.where("lat is not null")
     cut = t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", "cut")
-    return field.depth(placed(t)).join(placed(t), "ed_id").join(cut, "ed_id").withColumn("depth", F.round("depth", 5))
+    near = cluster_within(p, ["yr"], "wk", 900)
+    facts = p.select("ed_id", "ent", "yr", "wk", F.coalesce(levels.level_group(F.col("level")), F.lit("other")).alias("grp"))
+    return field.depth(p).select("ed_id", F.round("depth", 5).alias("depth")).join(facts, "ed_id").join(cut, "ed_id").join(near, "ed_id")
 
 
-DEPTH = f"e AS (SELECT e.ed_id, e.ent, yr, wk, lat, lon, surface, {RANK} AS rnk, {SLOT} AS slots FROM v_ed e JOIN v_ent n ON n.ent = e.ent), s0 AS (SELECT a.ed_id, sum(b.slots * greatest(0.03, exp(-({HAV.format(a='a', b='b')}) / 1200)) * CASE WHEN a.surface = b.surface THEN 1 WHEN a.surface = 'Hard' OR b.surface = 'Hard' THEN 0.55 ELSE 0.3 END) AS others FROM e a JOIN e b ON a.yr = b.yr AND a.wk = b.wk AND a.ed_id <> b.ed_id AND b.rnk >= a.rnk GROUP BY 1), s AS (SELECT e.ed_id, e.ent, e.yr, e.wk, round(slots + coalesce(others, 0), 5) AS depth, cut FROM e LEFT JOIN s0 USING (ed_id) JOIN v_obs o ON o.ed_id = e.ed_id AND o.ev = 'singles' AND o.dr = 'main')"
+SCORED = f"{DEPTH}, s AS (SELECT d.*, o.cut FROM d JOIN v_placed v ON v.ed_id = d.ed_id AND v.lat IS NOT NULL JOIN v_obs o ON o.ed_id = d.ed_id AND o.ev = 'singles' AND o.dr = 'main'), m AS (SELECT a.yr, a.depth - b.depth AS x, cast(a.cut - b.cut AS DOUBLE) AS y FROM s a JOIN s b ON a.ent = b.ent AND b.yr = a.yr - 1 WHERE a.cut IS NOT NULL AND b.cut IS NOT NULL)"
 
 
-@query("j14_validation_coverage", "SELECT yr, count(*) AS n, count(cut) AS with_cut FROM v_obs WHERE ev = 'singles' AND dr = 'main' GROUP BY yr")
+@query("j14_validation_coverage", f"WITH {SCORED} SELECT yr, count(*) AS n, count(cut) AS with_cut FROM s GROUP BY yr")
 def j14c(t):
     return field.depth_validation(scored(t))["coverage"]
 
 
-@query("j14_validation_changes", f"WITH {DEPTH}, m AS (SELECT a.yr, a.depth - b.depth AS d FROM s a JOIN s b ON a.ent = b.ent AND b.yr = a.yr - 1 WHERE a.cut IS NOT NULL AND b.cut IS NOT NULL) SELECT yr, count(*) FILTER (WHERE abs(d) >= 3) AS moved3, count(*) FILTER (WHERE abs(d) >= 7) AS moved7 FROM m GROUP BY yr")
+@query("j14_validation_changes", f"WITH {SCORED} SELECT yr, count(*) FILTER (WHERE abs(x) >= 3) AS moved3, count(*) FILTER (WHERE abs(x) >= 7) AS moved7 FROM m GROUP BY yr")
 def j14m(t):
     return field.depth_validation(scored(t))["changes"]
 
 
-@query("j14_validation_rank")
+@query("j14_validation_curve", f"WITH {SCORED} SELECT CASE WHEN level LIKE 'ITF%' THEN 'itf' WHEN level LIKE 'Ch%' THEN 'challenger' WHEN level LIKE 'ATP%' OR level LIKE 'Grand%' THEN 'atp' ELSE 'other' END AS grp, cast(floor(depth / 10) * 10 AS BIGINT) AS bin, count(*) AS n, median(cut) AS median, round(stddev_samp(cut), 6) AS sd FROM s WHERE cut IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20")
+def j14v(t):
+    return r6(field.depth_validation(scored(t))["curve"], "sd")
+
+
+@query("j14_validation_restructured", f"WITH {SCORED} SELECT abs(x) >= 3 AS restructured, count(*) AS n, round(avg(x), 5) AS mean_depth, round(avg(y), 5) AS mean_cut FROM m GROUP BY 1")
+def j14s(t):
+    got = field.depth_validation(scored(t))["restructured"]
+    return got.select("restructured", "n", F.round("mean_depth", 5).alias("mean_depth"), F.round("mean_cut", 5).alias("mean_cut"))
+
+
+@query("j14_validation_order")
+def j14o(t):
+    return r6(field.depth_validation(scored(t))["order"], "rate")
+
+
+@query("j14_validation_rank", f"WITH {SCORED}, k AS (SELECT yr, rank() OVER (PARTITION BY yr ORDER BY depth) + (count(*) OVER (PARTITION BY yr, depth) - 1) / 2 AS a, rank() OVER (PARTITION BY yr ORDER BY cut) + (count(*) OVER (PARTITION BY yr, cut) - 1) / 2 AS b FROM s WHERE cut IS NOT NULL) SELECT yr, count(*) AS n, round(corr(a, b), 6) AS r FROM k GROUP BY yr")
 def j14r(t):
     return r6(field.depth_validation(scored(t))["rank"], "r")
 
 
-@query("j14_validation_held_out")
+@query("j14_validation_held_out", f"WITH {SCORED}, g AS (SELECT yr, count(*) AS n, sum(x * x) AS xx, sum(x * y) AS xy FROM m GROUP BY yr), h AS (SELECT yr, sum(n) OVER () - n AS train_n, (sum(xy) OVER () - xy) / (sum(xx) OVER () - xx) AS slope FROM g) SELECT m.yr, cast(train_n AS BIGINT) AS train_n, round(slope, 5) AS slope, abs(x) >= 3 AS restructured, count(*) AS n, round(avg(abs(y - slope * x)), 5) AS mae, round(avg(abs(y)), 5) AS base_mae FROM m JOIN h ON m.yr = h.yr WHERE train_n >= 30 GROUP BY 1, 2, 3, 4")
 def j14h(t):
-    return r6(field.depth_validation(scored(t))["held_out"], "slope", "mae")
+    got = field.depth_validation(scored(t))["held_out"]
+    return got.select("yr", "train_n", "restructured", "n", *(F.round(c, 5).alias(c) for c in ("slope", "mae", "base_mae")))
 
 
-@query("j17_drain_validation", f"WITH d AS (SELECT a.ed_id, a.ent, a.yr, count(b.ed_id) * 24 AS places FROM {PLACED} a LEFT JOIN {PLACED} b ON b.level LIKE 'ITF%' AND a.yr = b.yr AND a.wk = b.wk AND {HAV.format(a='a', b='b')} <= 1500 WHERE a.level NOT LIKE 'ITF%' GROUP BY 1, 2, 3), x AS (SELECT d.*, o.cut FROM d JOIN v_obs o ON o.ed_id = d.ed_id AND o.ev = 'singles' AND o.dr = 'main' AND o.cut IS NOT NULL), m AS (SELECT a.yr, cast(a.places - b.places AS DOUBLE) AS dx, ln(a.cut / b.cut) AS dy FROM x a JOIN x b ON a.ent = b.ent AND b.yr = a.yr - 1), s AS (SELECT yr, count(*) AS n, sum(dx * dx) AS xx, sum(dx * dy) AS xy FROM m GROUP BY yr), f AS (SELECT yr, sum(n) OVER () - n AS train_n, (sum(xy) OVER () - xy) / (sum(xx) OVER () - xx) AS slope FROM s) SELECT f.yr, cast(train_n AS BIGINT) AS train_n, round(slope, 6) AS slope, round(avg(abs(dy - slope * dx)), 6) AS mae FROM m JOIN f ON m.yr = f.yr WHERE train_n >= 30 GROUP BY f.yr, train_n, slope")
+@query("j17_drain_validation", f"WITH d AS (SELECT a.ed_id, a.ent, a.yr, CASE WHEN a.level LIKE '%75' THEN 'high' WHEN a.level LIKE 'Ch%' THEN 'low' ELSE 'none' END AS exposure, count(b.ed_id) * 24 AS places FROM {PLACED} a LEFT JOIN {PLACED} b ON b.level LIKE 'ITF%' AND a.yr = b.yr AND a.wk = b.wk AND {HAV.format(a='a', b='b')} <= 1500 WHERE a.level NOT LIKE 'ITF%' GROUP BY 1, 2, 3, 4), x AS (SELECT d.*, o.cut FROM d JOIN v_obs o ON o.ed_id = d.ed_id AND o.ev = 'singles' AND o.dr = 'main' AND o.cut IS NOT NULL), m AS (SELECT a.yr, a.exposure, cast(a.places - b.places AS DOUBLE) AS dx, ln(a.cut / b.cut) AS dy FROM x a JOIN x b ON a.ent = b.ent AND b.yr = a.yr - 1), s AS (SELECT yr, count(*) AS n, sum(dx * dx) AS xx, sum(dx * dy) AS xy FROM m GROUP BY yr), f AS (SELECT yr, sum(n) OVER () - n AS train_n, (sum(xy) OVER () - xy) / (sum(xx) OVER () - xx) AS slope FROM s), l AS (SELECT m.*, u.slice FROM m, unnest(['all', concat('exposure:', exposure), CASE WHEN abs(dx) >= 24 THEN 'moved' END]) AS u(slice) WHERE u.slice IS NOT NULL), e AS (SELECT slice, count(*) AS n, round(avg(abs(dy - slope * dx)), 6) AS mae, round(avg(abs(dy)), 6) AS base_mae FROM l JOIN f ON f.yr = l.yr WHERE train_n >= 30 GROUP BY slice), k AS (SELECT slice, rank() OVER (PARTITION BY slice ORDER BY dx) + (count(*) OVER (PARTITION BY slice, dx) - 1) / 2 AS a, rank() OVER (PARTITION BY slice ORDER BY dy) + (count(*) OVER (PARTITION BY slice, dy) - 1) / 2 AS b FROM l), c AS (SELECT slice, round(corr(a, b), 6) AS r FROM k GROUP BY slice) SELECT e.*, c.r FROM e LEFT JOIN c USING (slice)")
 def j17(t):
     o = t.v_obs.where("ev = 'singles' and dr = 'main' and cut is not null").select("ed_id", "ent", "yr", "cut")
-    return r6(field.drain_validation(field.drain(t.v_ed.join(t.v_ent, "ent")), o), "slope", "mae")
+    return r6(field.drain_validation(field.drain(t.v_ed.join(t.v_ent, "ent")), o), "mae", "base_mae", "r")
 
 
-@query("j27_compute_cut", "WITH e AS (SELECT o_custkey % 50 AS draw, o_orderkey % 997 AS player, max(CASE WHEN o_orderpriority LIKE '1%' THEN 'WC' ELSE '' END) AS route FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2), r AS (SELECT s_suppkey AS player, cast(s_suppkey % 300 + 1 AS INTEGER) AS rank FROM supplier) SELECT draw, max(rank) AS cut, count(*) AS direct, count(*) FILTER (WHERE rank IS NULL) AS unmatched, CASE WHEN count(*) FILTER (WHERE rank IS NULL) = 0 THEN 'high' ELSE 'low' END AS confidence FROM e LEFT JOIN r USING (player) WHERE route = '' GROUP BY draw")
+@query("j27_compute_cut", """WITH e AS (SELECT o_custkey % 50 AS draw, o_orderkey % 997 AS k, DATE '1998-01-01' + cast(o_custkey % 50 AS INTEGER) AS on_date, max(CASE WHEN o_orderpriority LIKE '1%' THEN 'WC' ELSE '' END) AS route FROM orders GROUP BY 1, 2, 3),
+s AS (SELECT s_suppkey % 900 AS k, s_suppkey AS player, cast(s_suppkey % 300 + 1 AS INTEGER) AS rank, DATE '1997-12-20' + cast(s_suppkey % 60 AS INTEGER) AS rd FROM supplier), m AS (SELECT k, count(DISTINCT player) AS players FROM s GROUP BY 1),
+j AS (SELECT e.*, m.players, (SELECT arg_max(rank, rd) FROM s WHERE s.k = e.k AND s.rd <= e.on_date AND m.players = 1) AS rank FROM e LEFT JOIN m ON m.k = e.k WHERE route = ''),
+g AS (SELECT draw, max(rank) AS cut, arg_max(concat('p', k), (rank, concat('p', k))) FILTER (WHERE rank IS NOT NULL) AS player, count(*) AS direct, count(*) FILTER (WHERE rank IS NULL AND coalesce(players, 0) < 2) AS unmatched, count(*) FILTER (WHERE players > 1) AS ambiguous FROM j GROUP BY draw)
+SELECT draw, cut, player, direct, unmatched, ambiguous, coalesce(cut BETWEEN CASE WHEN draw % 2 = 0 THEN 15 ELSE 50 END AND 2500, false) AS plausible, CASE WHEN NOT coalesce(cut BETWEEN CASE WHEN draw % 2 = 0 THEN 15 ELSE 50 END AND 2500, false) THEN 'low' WHEN unmatched + ambiguous = 0 THEN 'high' ELSE 'medium' END AS confidence FROM g""")
 def j27(t):
-    e = t.orders.where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 50).alias("draw"), (F.col("o_orderkey") % 997).alias("player"), F.when(F.col("o_orderpriority").startswith("1"), "WC").otherwise("").alias("route"))
-    return field.compute_cut(e, t.supplier.select(F.col("s_suppkey").alias("player"), (F.col("s_suppkey") % 300 + 1).cast("int").alias("rank")))
+    draw = F.col("o_custkey") % 50
+    e = t.orders.select(draw.alias("draw"), F.concat(F.lit("p"), (F.col("o_orderkey") % 997).cast("string")).alias("name_key"), F.when(F.col("o_orderpriority").startswith("1"), "WC").otherwise("").alias("route"), F.date_add(F.lit("1998-01-01").cast("date"), draw.cast("int")).alias("on_date"))
+    k = F.col("s_suppkey")
+    r = t.supplier.select(F.concat(F.lit("p"), (k % 900).cast("string")).alias("name_key"), k.alias("player"), (k % 300 + 1).cast("int").alias("rank"), F.date_add(F.lit("1997-12-20").cast("date"), (k % 60).cast("int")).alias("rank_date"))
+    of = e.select("draw").distinct().withColumn("level", F.when(F.col("draw") % 2 == 0, "ATP 500").otherwise("Challenger 75")).withColumn("ev", F.lit("singles")).withColumn("dr", F.lit("main"))
+    return field.compute_cut(e, r, of)
 
 
 CODES = "own AS (SELECT ent, cast(max(ed_id) AS VARCHAR) AS code FROM v_ed WHERE ent % 3 = 0 GROUP BY ent), byc AS (SELECT city, max(cast(ent AS VARCHAR)) AS code FROM v_ent WHERE ent % 7 = 0 GROUP BY city)"
@@ -278,7 +344,7 @@ def j28(t):
     return field.code_audit(miss, own, t.v_ent.where("ent % 7 = 0").groupBy("city").agg(F.max(F.col("ent").cast("string")).alias("code")))
 
 
-@query("j29_match_evidence", f"SELECT gid, ed_id, p AS points, CASE WHEN p >= 4 THEN 'high' WHEN p = 3 THEN 'medium' WHEN p = 2 THEN 'low' ELSE 'none' END AS evidence FROM (SELECT gid, ed_id, cast(gid % 2 = 0 AS INTEGER) + 1 + cast(month(gd) = month(start_date) AS INTEGER) + cast(abs(gd - start_date) < 7 AS INTEGER) AS p FROM {GEN2} g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr)")
+@query("j29_match_evidence", f"SELECT gid, ed_id, p AS points, CASE WHEN p >= 4 THEN 'high' WHEN p = 3 THEN 'medium' WHEN p = 2 THEN 'low' ELSE 'none' END AS evidence FROM (SELECT gid, ed_id, cast(gid % 2 = 0 AS INTEGER) + 1 + cast(month(gd) = month(start_date) AS INTEGER) + cast(abs(gd - start_date) < 7 AS INTEGER) AS p FROM {GEN} g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr)")
 def j29(t):
     from tideline.plans.q_joins import generics
 
@@ -287,18 +353,24 @@ def j29(t):
     return field.match_evidence(p).select("gid", "ed_id", "points", "evidence")
 
 
-@query("j30_health", "SELECT concat('fresh:', event_type) AS \"check\", NOT (DATE '2024-01-31' - cast(max(ts) AS DATE) > 7) AS ok FROM events GROUP BY event_type UNION ALL SELECT concat('coverage:', level), count(cut) / count(*) >= 0.7 FROM v_obs WHERE ev = 'singles' AND dr = 'main' GROUP BY level UNION ALL SELECT concat('week:', cast(w AS VARCHAR)), count(ed_id) > 0 FROM (SELECT cast(DATE '2001-06-25' + cast(7 * k AS INTEGER) AS DATE) AS w FROM range(0, 8) r(k)) LEFT JOIN v_ed ON cast(date_trunc('week', start_date) AS DATE) = w GROUP BY w")
+@query("j30_health", """SELECT concat('fresh:', event_type) AS "check", NOT (DATE '2024-01-31' - cast(max(ts) AS DATE) > 7) AS ok FROM events GROUP BY event_type
+UNION ALL SELECT concat('coverage:', o.level), count(cut) / count(*) >= 0.7 FROM v_obs o JOIN v_ed e ON e.ed_id = o.ed_id WHERE ev = 'singles' AND dr = 'main' AND DATE '2001-06-27' - start_date BETWEEN 14 AND 70 GROUP BY 1
+UNION ALL SELECT concat('week:', cast(w AS VARCHAR)), count(ed_id) > 0 FROM (SELECT cast(DATE '2001-06-25' + cast(7 * k AS INTEGER) AS DATE) AS w FROM range(0, 8) r(k)) LEFT JOIN v_ed ON cast(date_trunc('week', start_date) AS DATE) = w GROUP BY w
+UNION ALL SELECT concat('calendar:', lpad(cast(month(start_date) AS VARCHAR), 2, '0')), count(*) FILTER (WHERE yr = 1998) * 2 >= count(*) FILTER (WHERE yr = 1997) FROM v_ed WHERE yr IN (1997, 1998) GROUP BY 1
+UNION ALL SELECT 'cancelled', count(*) = 0 FROM v_ed WHERE ed_id % 50 = 0 AND DATE '2001-06-27' - start_date BETWEEN 0 AND 30""")
 def j30(t):
     from tideline.operators import aggregates, quality
 
+    at = F.to_date(F.lit("2001-06-27"))
     fresh = aggregates.freshness(t.events, "event_type", "ts", F.to_date(F.lit("2024-01-31")), t.spark.createDataFrame([], "event_type string, max_age int")).withColumnRenamed("event_type", "source")
-    cov = t.v_obs.where("ev = 'singles' and dr = 'main'").groupBy(F.col("level").alias("category")).agg((F.count("cut") / F.count(F.lit(1))).alias("share"))
-    return field.health(fresh, cov, quality.forward_gaps(t.v_ed, F.to_date(F.lit("2001-06-27"))))
+    cov = t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", F.col("level").alias("category"), "cut").join(t.v_ed.select("ed_id", "start_date"), "ed_id")
+    status = t.v_ed.withColumn("status", F.when(F.col("ed_id") % 50 == 0, "not_held").otherwise("held"))
+    return field.health(fresh, cov, quality.forward_gaps(t.v_ed, at), status, at, 1997)
 
 
-@query("j32_sheet_index", f"WITH {CODES} SELECT ed_id, code FROM v_ed JOIN own USING (ent) WHERE start_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-22'")
+@query("j32_sheet_index", f"WITH {CODES}, e AS (SELECT * FROM v_ed WHERE start_date <= DATE '1998-03-22'), n AS (SELECT ent, max(yr) AS newest, arg_max(level, (yr, ed_id)) AS level, string_agg(DISTINCT cast(yr AS VARCHAR), ',' ORDER BY cast(yr AS VARCHAR) DESC) AS sheets FROM e GROUP BY ent) SELECT ent, code, newest, level, sheets FROM n JOIN own USING (ent)")
 def j32(t):
-    own = t.v_ed.where("ent % 3 = 0").groupBy("ent").agg(F.max("ed_id").cast("string").alias("code"))
+    own = t.v_ed.where("ent % 3 = 0").groupBy("ent").agg(F.max("ed_id").cast("string").alias("code"))  # only some entities have a code
     return field.sheet_index(t.v_ed, own, F.to_date(F.lit("1998-03-01")), 21)
 
 

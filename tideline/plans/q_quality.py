@@ -8,7 +8,7 @@ from tideline.operators import chains, joins, merge, quality, sets
 from tideline.operators.graph import connected_components
 from tideline.plans.catalog import query
 from tideline.plans.q_expressions import HAV, MINP
-from tideline.plans.q_joins import CHAIN, EDGES, PLACED, chain_events, country_pairs
+from tideline.plans.q_joins import CHAIN, EDGES, LADDER, PLACED, chain_events, country_pairs
 
 REACH = "both_ AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach(node, root) AS (SELECT DISTINCT src, src FROM both_ UNION SELECT b.dst, r.root FROM reach r JOIN both_ b ON b.src = r.node), comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"
 
@@ -261,7 +261,7 @@ def m08(t):
     return merge.distinct_slugs(o, "slug").select("ed_id", "new_slug")
 
 
-@query("m09_copy_facts", "WITH p AS (SELECT a.ed_id AS src, b.ed_id AS dst FROM v_ed a JOIN v_ed b ON a.ent = b.ent AND a.yr = 1996 AND b.yr = 1997) SELECT s.ed_id, s.ev, s.dr, CASE WHEN p.src IS NOT NULL THEN x.direct_rank ELSE s.direct_rank END AS direct_rank FROM v_snap s LEFT JOIN p ON p.dst = s.ed_id LEFT JOIN v_snap x ON x.ed_id = p.src AND x.ev = s.ev AND x.dr = s.dr")
+@query("m09_copy_facts", "WITH p AS (SELECT a.ed_id AS src, b.ed_id AS dst FROM v_ed a JOIN v_ed b ON a.ent = b.ent AND a.yr = 1996 AND b.yr = 1997), m AS (SELECT p.dst AS ed_id, x.ev, x.dr, x.direct_rank, true AS moved FROM p JOIN v_snap x ON x.ed_id = p.src) SELECT ed_id, ev, dr, CASE WHEN m.moved THEN m.direct_rank ELSE s.direct_rank END AS direct_rank FROM v_snap s FULL JOIN m USING (ed_id, ev, dr)")
 def m09(t):
     a, b = t.v_ed.where("yr = 1996").select("ent", F.col("ed_id").alias("src")), t.v_ed.where("yr = 1997").select("ent", F.col("ed_id").alias("dst"))
     return merge.copy_facts(t.v_snap, a.join(b, "ent").select("src", "dst"))
@@ -311,12 +311,9 @@ def l09(t):
     return quality.alert_liveness(e.where("yr = 1996"), e.withColumnRenamed("start_date", "due"), e.where("category not like 'ITF%'"), F.to_date(F.lit("1999-01-01")))
 
 
-@query("m10_promote_metadata", "WITH g AS (SELECT o_orderkey AS gid, o_custkey AS ent, cast(o_orderdate AS DATE) AS gd, cast(year(o_orderdate) AS INTEGER) AS yr, 'generic' AS level FROM orders WHERE o_orderkey % 7 = 0), s AS (SELECT gid, ed_id AS xid, e.level AS lv, CASE WHEN abs(gd - start_date) <= 7 THEN 100 WHEN abs(gd - start_date) <= 60 THEN 80 WHEN abs(gd - start_date) <= 120 THEN 60 END AS score FROM g JOIN v_ed e ON g.ent = e.ent AND g.yr = e.yr), a AS (SELECT *, row_number() OVER (PARTITION BY xid ORDER BY score DESC, gid) AS r1 FROM s WHERE score IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, xid) AS r2 FROM a WHERE r1 = 1) SELECT g.gid, b.xid, coalesce(b.lv, g.level) AS level FROM g LEFT JOIN b ON b.gid = g.gid AND b.r2 = 1")
+@query("m10_promote_metadata", f"WITH {LADDER}, a AS (SELECT *, row_number() OVER (PARTITION BY xid ORDER BY score DESC, days, gid) AS r1 FROM sc WHERE score IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, days, xid) AS r2 FROM a WHERE r1 = 1) SELECT g.ed_id AS gid, b.xid, coalesce(b.x_level, g.level) AS level FROM v_generic g LEFT JOIN b ON b.gid = g.ed_id AND b.r2 = 1")
 def m10(t):
-    from tideline.plans.q_joins import generics, score
-
-    exact = t.v_ed.select(F.col("ed_id").alias("xid"), "ent", "yr", "start_date", F.col("level").alias("x_level"))
-    return merge.promote_metadata(exact, generics(t).withColumn("level", F.lit("generic")), ["ent", "yr"], score(), ["level"])
+    return merge.promote_metadata(t.v_named, t.v_generic, ["level"])
 
 
 @query("k01_chain_labels", f"""WITH RECURSIVE e AS ({EDGES}), {REACH}, m AS (SELECT c.component AS chain, v.yr, v.wk, v.ed_id, v.country, d.start_date FROM comp c JOIN {CHAIN} v ON v.ed_id = c.node JOIN v_ed d ON d.ed_id = v.ed_id),
