@@ -33,12 +33,14 @@ def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, how:
     return salted_join(many, one, on, by, hot_keys(many if counted is None else counted, on), how)
 
 
-def salted_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """``spread_join`` with the hot keys given: ``hot_keys`` of a table on all or some of the columns ``on``."""
+def salted_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, hot: DataFrame | None, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """``spread_join`` with the hot keys given: ``hot_keys`` of a table on all or some of the columns ``on``. With ``hint`` (merge,
+    shuffle_hash) the strategy is the same at every size."""
+    hinted = lambda df: df.hint(hint) if hint else df
     if hot is None:
-        return many.join(one, on, how)
+        return many.join(hinted(one), on, how)
     small, keys = F.broadcast(hot), [c for c in on if c in hot.columns]  # at most 1 / HOT_SHARE rows
     salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_salts"))).cast("int")
     left = many.join(small, keys, "left").withColumn("_salt", salt).drop("_salts")
     right = one.join(small, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(hinted(right), [*on, "_salt"], how).drop("_salt")
