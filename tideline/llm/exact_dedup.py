@@ -102,7 +102,7 @@ def exact_dedup(
     hot = hot_keys(entries, ["digest"])
 
     hits = index.where("rows > 1").select("digest")
-    texts = salted_join(norm.withColumn("digest", digest(F.col("norm"))), hits, ["digest"], F.col("id"), hot, "left_semi")
+    texts = salted_join(norm.withColumn("digest", digest(F.col("norm"))), hits, ["digest"], F.col("id"), hot, "left_semi", "merge")  # hits grow with the table: no broadcast at any size
     groups = texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
     wrong = materialise(groups.where("a <> b").select("digest"), "lsm-wrong")
 
