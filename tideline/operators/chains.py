@@ -81,13 +81,17 @@ def cluster_within(events: DataFrame, period: list[str], step: str, km: float =
 
 
 def cluster_splits(records: DataFrame) -> DataFrame:
-    """``ent, cluster``: records of one place key that are likely one event: not differently numbered, and with editions in
-    the same week and year, or disjoint years at weeks within 1. Records have ent, place, number, yr, wk."""
-    a = records.select("place", F.col("ent").alias("src"), F.col("number").alias("na"), F.col("yr").alias("ya"), F.col("wk").alias("wa"))
-    b = records.select("place", F.col("ent").alias("dst"), F.col("number").alias("nb"), F.col("yr").alias("yb"), F.col("wk").alias("wb"))
-    pairs = a.join(b, "place").where("src < dst and na <=> nb")
-    facts = pairs.groupBy("src", "dst").agg(F.bool_or((F.col("ya") == F.col("yb")) & (F.col("wa") == F.col("wb"))).alias("same"), F.bool_or(F.col("ya") == F.col("yb")).alias("overlap"), F.max(F.abs(F.col("wa") - F.col("wb"))).alias("gap"))
-    links = facts.where("same or (not overlap and gap <= 1)").select("src", "dst")
+    """``ent, cluster``: records of one place key that are likely one event. Two records link if some of their levels are the same, they
+    are not numbered differently (both have a number), and they either have an edition in the same week of a year, or no year in
+    common and editions at weeks within 1. Records have ent, place, number, yr, wk, level."""
+    side = lambda s, id: records.select("place", F.col("ent").alias(id), *(F.col(c).alias(f"{c}_{s}") for c in ("number", "yr", "wk", "level")))
+    pairs = side("a", "src").join(side("b", "dst"), "place").where("src < dst and (number_a is null or number_b is null or number_a = number_b)")
+    same_year = F.col("yr_a") == F.col("yr_b")
+    facts = pairs.groupBy("src", "dst").agg(
+        F.bool_or(same_year & (F.col("wk_a") == F.col("wk_b"))).alias("same"), F.bool_or(same_year).alias("overlap"),
+        F.min(F.abs(F.col("wk_a") - F.col("wk_b"))).alias("gap"), F.bool_or(F.col("level_a") == F.col("level_b")).alias("level"),
+    )
+    links = facts.where("level and (same or (not overlap and gap <= 1))").select("src", "dst")
     return connected_components(links).select(F.col("node").alias("ent"), F.col("component").alias("cluster"))
 
 
@@ -96,22 +100,29 @@ def suggest_canonical(clusters: DataFrame, facts: DataFrame) -> DataFrame:
     return joins.pick(clusters.join(facts, "ent"), ["cluster"], [F.col("cuts").desc(), F.col("editions").desc(), F.length("slug").desc(), F.col("ent")]).select("cluster", F.col("ent").alias("canonical"))
 
 
-def chains_by_scope(events: DataFrame, neighbours: DataFrame, group: str, groups: list[str], radius_km: float = 600) -> DataFrame:
-    """Components for every scope in one job: the scope is part of the node."""
+def chains_by_scope(events: DataFrame, neighbours: DataFrame, group: str, groups: list[str], radius_km: float = 600, max_weeks: int = 8) -> DataFrame:
+    """``scope, chain, part, kind, label, ed_id``: chains with their parts and labels for every scope, in one job: the scope is part of
+    the node and of the region. ``events`` have start_date too."""
     from tideline.operators.sets import scope_fanout
 
     fan = scope_fanout(events, group, groups).withColumn("ed_id", F.struct("scope", "ed_id")).withColumn("region", F.concat_ws("|", "scope", "region"))
-    return connected_components(joins.adjacency_links(fan, neighbours, radius_km)).select(F.col("node.scope").alias("scope"), F.col("node.ed_id").alias("ed_id"), F.col("component.ed_id").alias("chain"))
+    parts = materialise(chains(fan, neighbours, radius_km, max_weeks), "scope-chains")
+    members = parts.join(fan.select("ed_id", "scope", "yr", "wk", "country", "start_date"), "ed_id").withColumn("chain", F.struct("chain", "part"))
+    named = chain_labels(members, ["scope", "yr"])
+    out = members.join(named, "chain")
+    return out.select("scope", F.col("chain.chain.ed_id").alias("chain"), F.col("chain.part").alias("part"), "kind", "label", F.col("ed_id.ed_id").alias("ed_id"))
 
 
-def chain_labels(members: DataFrame) -> DataFrame:
+def chain_labels(members: DataFrame, season: list[str] | None = None) -> DataFrame:
     """``chain, label``: the first country and the month of the first event; labels that repeat in a season get the first week's
-    number, and those that still repeat a running number. Members have chain, yr, wk, ed_id, country, start_date."""
-    first = members.groupBy("chain").agg(F.min_by(F.struct("yr", "wk", "country", "start_date"), F.struct("wk", "ed_id")).alias("f"))
+    number, and those that still repeat a running number. Members have chain, yr, wk, ed_id, country, start_date; ``season`` are the
+    columns within which labels are told apart."""
+    season = season or ["yr"]
+    first = members.groupBy("chain").agg(F.min_by(F.struct(*season, "wk", "country", "start_date"), F.struct("wk", "ed_id")).alias("f"))
     label = F.concat("f.country", F.lit(" "), F.date_format("f.start_date", "MMM"))
-    rows = first.select("chain", "f.yr", "f.wk", label.alias("label"))
-    same = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("yr", "label")))
+    rows = first.select("chain", *(f"f.{c}" for c in season), "f.wk", label.alias("label"))
+    same = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*season, "label")))
     week = same.withColumn("label", F.when(F.col("n") > 1, F.concat("label", F.lit(" W"), F.col("wk").cast("string"))).otherwise(F.col("label")))
-    w = W.partitionBy("yr", "label").orderBy("chain")
+    w = W.partitionBy(*season, "label").orderBy("chain")
     again = week.withColumn("k", F.row_number().over(w))
     return again.select("chain", F.when(F.col("k") > 1, F.concat("label", F.lit(" #"), F.col("k").cast("string"))).otherwise(F.col("label")).alias("label"))

@@ -70,11 +70,36 @@ def position_moves(snaps: DataFrame, key: str, snap: str, position: str) -> Data
     return both.withColumn("move", F.when(F.col("old").isNull(), "entered").when(F.col("new").isNull(), "left").otherwise((F.col("old") - F.col("new")).cast("string")))
 
 
-def classify_notes(df: DataFrame, note: Column) -> DataFrame:
-    """Kind of a sheet note and the change of open qualifying places."""
+def disappearances(snaps: DataFrame, lists: list[str], snap: str, player: str) -> DataFrame:
+    """``lists, player, from_snap, to_snap, kind, fingerprint``: players of a list's snapshot that the next one lacks. Whether they withdrew
+    or moved up is unknown until another source says so; the fingerprint keeps a second run from adding them again."""
+    order = snaps.select(*lists, snap).distinct().withColumn("to_snap", F.lead(snap).over(W.partitionBy(*lists).orderBy(snap)))
+    before = snaps.select(*lists, snap, player).distinct().join(order, [*lists, snap]).where("to_snap is not null")
+    after = snaps.select(*lists, F.col(snap).alias("to_snap"), player).distinct()
+    gone = before.join(after, [*lists, "to_snap", player], "left_anti").withColumn("kind", F.lit("removed_unknown"))
+    parts = [F.col(c).cast("string") for c in (*lists, player, "kind", "to_snap")]
+    return gone.select(*lists, player, F.col(snap).alias("from_snap"), "to_snap", "kind", F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
+
+
+def classify_notes(df: DataFrame, note: Column, players: DataFrame) -> DataFrame:
+    """Kind of a sheet note, the change of open qualifying places, and the player: a printed name that matches no player, or more than
+    one, stays as printed. ``df`` has name_key and printed, ``players`` name_key and player."""
+    from tideline.operators.joins import match_names
+
     n = F.lower(note)
     kind = F.when(n.rlike("alternate"), "q_alt_to_q").when(n.rlike("main draw"), "q_to_md").otherwise("q_withdrawal")
-    return df.withColumn("kind", kind).withColumn("q_spots_delta", F.when(F.col("kind") == "q_alt_to_q", 0).otherwise(1))
+    tagged = match_names(df.withColumn("kind", kind), players)
+    return tagged.withColumn("q_spots_delta", F.when(F.col("kind") == "q_alt_to_q", 0).otherwise(1)).withColumn("who", F.coalesce(F.col("player").cast("string"), F.col("printed"))).withColumn("resolved", F.col("player").isNotNull())
+
+
+def check_outcomes(status: DataFrame, checks: DataFrame) -> DataFrame:
+    """``src, checked_at, failures`` after the checks (src, ts, failed): failures in a row since the last success, on top of those before."""
+    last_good = checks.where("not failed").groupBy("src").agg(F.max("ts").alias("good"))
+    tail = checks.join(last_good, "src", "left").where(F.col("failed") & (F.col("good").isNull() | (F.col("ts") > F.col("good")))).groupBy("src").agg(F.count(F.lit(1)).alias("bad"))
+    newest = checks.groupBy("src").agg(F.max("ts").alias("ts"))
+    both = status.join(newest, "src", "full_outer").join(last_good, "src", "left").join(tail, "src", "left")
+    base = F.when(F.col("good").isNull(), F.coalesce("failures", F.lit(0))).otherwise(0)
+    return both.select("src", F.coalesce("ts", "checked_at").alias("checked_at"), (base + F.coalesce("bad", F.lit(0))).alias("failures"))
 
 
 def weekly_coverage(events: DataFrame, ts: str, width: str = "7 days") -> DataFrame:

@@ -89,13 +89,23 @@ def distinct_slugs(editions: DataFrame, slug: str, min_days: int = 14) -> DataFr
     return n.withColumn("new_slug", F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string")))).drop("_g", "_n")
 
 
-def refile_seasons(editions: DataFrame, season: Column) -> DataFrame:
-    """What to do with rows filed under a wrong season: move, fold (the right season has the entity within 14 days) or conflict."""
-    wrong = editions.withColumn("season", season).where("season <> yr")
-    right = editions.select("ent", F.col("yr").alias("season"), F.col("start_date").alias("_d"), F.col("ed_id").alias("_into"))
-    both = wrong.join(right, ["ent", "season"], "left")
-    action = F.when(F.col("_into").isNull(), "move").when(F.abs(F.datediff("start_date", "_d")) < 14, "fold").otherwise("split")
-    return both.select("ed_id", "season", action.alias("action"), F.when(action == "fold", F.col("_into")).alias("into"))
+def refile_seasons(editions: DataFrame, season: Column, min_days: int = 14, siblings: int = 4) -> DataFrame:
+    """``ed_id, season, action, into``: what to do with rows filed one season late (ITF rows never are).
+
+    move: the right season has no edition of the entity; fold: it has one less than ``min_days`` away (``into`` is its id); split: it has
+    a different one, so the row goes to the first sibling slug (-2 to -``siblings``) that is free in that season (``into`` is the slug);
+    conflict: no sibling is free. Editions have ed_id, slug, yr, start_date, level.
+    """
+    wrong = editions.withColumn("season", season).where((F.col("season") == F.col("yr") - 1) & ~F.col("level").startswith("ITF"))
+    right = editions.groupBy("slug", F.col("yr").alias("season")).agg(F.min_by(F.struct("start_date", "ed_id"), "ed_id").alias("o"))
+    both = wrong.join(right, ["slug", "season"], "left")
+    names = F.sequence(F.lit(2), F.lit(siblings))
+    asked = both.select("ed_id", "season", F.explode(names).alias("k"), F.concat("slug", F.lit("-"), F.col("k").cast("string")).alias("sibling"))
+    free = asked.join(right.select(F.col("slug").alias("sibling"), "season"), ["sibling", "season"], "left_anti").groupBy("ed_id").agg(F.min_by("sibling", "k").alias("sibling"))
+    action = F.when(F.col("o").isNull(), "move").when(F.abs(F.datediff("start_date", "o.start_date")) < min_days, "fold").when(F.col("sibling").isNotNull(), "split").otherwise("conflict")
+    out = both.join(free, "ed_id", "left").withColumn("action", action)
+    into = F.when(F.col("action") == "fold", F.col("o.ed_id").cast("string")).when(F.col("action") == "split", F.col("sibling"))
+    return out.select("ed_id", "season", "action", into.alias("into"))
 
 
 def copy_facts(snaps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -117,6 +127,17 @@ def apply_aliases(df: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     return df.join(usable, key, "left").withColumn(key, F.coalesce("canonical", key)).drop("canonical")
 
 
+def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``df`` with the overridden columns (null in an override: as it was) and ``rewritten``: whether anything differed."""
+    o = overrides.select(key, *(F.col(c).alias(f"_o_{c}") for c in columns))
+    both = df.join(o, key, "left")
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | (F.col(f"_o_{c}").isNotNull() & ~F.col(f"_o_{c}").eqNullSafe(F.col(c)))
+    kept = [F.coalesce(f"_o_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns]
+    return both.select(*kept, differs.alias("rewritten"))
+
+
 def clone_to_year(editions: DataFrame, year: int) -> DataFrame:
     """The newest edition of each entity before ``year``, shifted by whole weeks into it; entities that have one are left out."""
     have = editions.where(F.col("yr") == year).select("ent")
@@ -126,9 +147,13 @@ def clone_to_year(editions: DataFrame, year: int) -> DataFrame:
 
 
 def upgrade_identity(rows: DataFrame, registry: DataFrame, code: str) -> DataFrame:
-    """Name and level from the newest registry row of the code; the level only if the row's own is heuristic."""
-    newest = registry.groupBy(code).agg(F.max_by("name", "yr").alias("_name"), F.max_by("level", "yr").alias("_level"))
-    return rows.join(newest, code, "left").withColumn("name", F.coalesce("_name", "name")).withColumn("level", F.when(F.col("heuristic") & F.col("_level").startswith("ATP"), F.col("_level")).otherwise(F.col("level"))).drop("_name", "_level")
+    """Name, city and country from the newest registry row of the code; the level only if the row's own is heuristic and the registry's
+    is of the tour."""
+    facts = ["name", "city", "country"]
+    newest = registry.groupBy(code).agg(F.max_by(F.struct(*facts, "level"), "yr").alias("_n"))
+    both = rows.join(newest, code, "left")
+    level = F.when(F.col("heuristic") & F.col("_n.level").startswith("ATP"), F.col("_n.level")).otherwise(F.col("level"))
+    return both.select(*(c for c in rows.columns if c not in (*facts, "level")), *(F.coalesce(F.col(f"_n.{c}"), F.col(c)).alias(c) for c in facts), level.alias("level"))
 
 
 def change_set(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

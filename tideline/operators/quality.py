@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions import cuts, dates
+from tideline.functions import cuts, dates, levels, text
+from tideline.operators import windows
 from tideline.operators.joins import pick
 
 
@@ -16,40 +17,116 @@ def same_week_duplicates(df: DataFrame, week: list[str], keys: list[str]) -> Dat
     return groups.groupBy(*week, "ids").agg(F.min("place").alias("place")).withColumn("members", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).drop("ids")
 
 
-def duplicate_pairs(df: DataFrame, week: list[str], name: str, city: str) -> DataFrame:
-    """Pairs of one week and country where a name contains the other or the city is the same."""
-    a = df.select(*week, "country", F.col("ed_id").alias("a"), F.col(name).alias("_n1"), F.col(city).alias("_c1"))
-    b = df.select(*week, "country", F.col("ed_id").alias("b"), F.col(name).alias("_n2"), F.col(city).alias("_c2"))
-    hit = F.contains("_n1", "_n2") | F.contains("_n2", "_n1") | (F.col("_c1") == F.col("_c2"))
-    return a.join(b, [*week, "country"]).where((F.col("a") < F.col("b")) & hit).select("a", "b")
+def duplicate_pairs(df: DataFrame) -> DataFrame:
+    """``a, b``: pairs of one week and category (not ITF or unknown) that name the same event: one name contains the other in the same
+    country, or the city is the same, or a place key of city or name is shared. ``df`` has ed_id, yr, wk, level, name, city, country."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\([^)]*\)", ""), "[^a-z0-9]", "")
+    e = df.withColumn("category", levels.category(F.col("level"))).where("category <> 'itf'")
+    places = F.filter(F.array_distinct(F.array(text.place_key(F.col("city")), text.place_key(F.col("name")))), lambda p: p != "")
+    e = e.select("ed_id", "yr", "wk", "category", plain(F.col("name")).alias("name"), plain(F.col("city")).alias("city"), plain(F.col("country")).alias("country"), places.alias("places"))
+    week = ["yr", "wk", "category"]
 
+    def pairs(rows: DataFrame, on: str, keep: list[str]) -> DataFrame:
+        a = rows.select(*week, on, F.col("ed_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in keep))
+        b = rows.select(*week, on, F.col("ed_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in keep))
+        return a.join(b, [*week, on]).where("a < b")
 
-def code_winners(df: DataFrame, code: str) -> DataFrame:
-    """Entities that share a code, and the winner by score: canonical +1000, no 'ch' +50, shorter slugs first."""
-    n = df.groupBy(code).agg(F.count_distinct("ent").alias("n")).where("n >= 2")
-    score = F.when(F.col("canonical"), 1000).otherwise(0) + F.when(F.contains("slug", F.lit("ch")), 0).otherwise(50) - F.length("slug")
-    return pick(df.join(n, code).withColumn("score", score), [code], [F.col("score").desc(), F.col("ent")]).select(code, "n", F.col("ent").alias("winner"))
+    inside = (F.col("a_name") != "") & (F.col("b_name") != "") & (F.contains("a_name", "b_name") | F.contains("b_name", "a_name"))
+    named = pairs(e, "country", ["name"]).where(inside).select("a", "b")
+    city = pairs(e.where("city <> ''"), "city", []).select("a", "b")
+    place = pairs(e.withColumn("place", F.explode("places")), "place", []).select("a", "b")
+    return named.unionByName(city).unionByName(place).distinct()
 
 
-def blocked_merges(pairs: DataFrame) -> DataFrame:
-    """The first reason that blocks a merge of a pair, null if none."""
-    reason = F.when(F.col("country_a") != F.col("country_b"), "country").when(F.col("level_a") != F.col("level_b"), "level").when(F.abs(F.datediff("date_a", "date_b")) >= 14, "dates")
-    return pairs.withColumn("blocked", reason)
+def code_winners(df: DataFrame, editions: DataFrame, skip: list[str] | None = None, min_days: int = 14) -> DataFrame:
+    """``code, ent, winner, action``: entities that share a code with a better one. ``df`` has code, ent, slug, name, canonical.
+
+    The winner has the best score: canonical +1000, no part 'ch' +50, a doubled slug (x-x) -200, less its length. A ghost is left alone if
+    it and the winner have editions of one year ``min_days`` or more apart, or different numbers. Codes in ``skip`` are left out.
+    """
+    d = df.where(~F.col("code").isin(skip or [])).dropDuplicates(["code", "ent"])
+    half = F.floor(F.length("slug") / 2).cast("int")
+    doubled = (F.length("slug") % 2 == 1) & (F.substr("slug", F.lit(1), half) == F.substr("slug", half + 2, half)) & (F.substr("slug", half + 1, F.lit(1)) == "-")
+    score = F.when(F.col("canonical"), 1000).otherwise(0) + F.when(F.col("slug").rlike(r"\bch\b"), 0).otherwise(50) - F.when(doubled, 200).otherwise(0) - F.length("slug")
+    n = d.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("code")
+    number = F.coalesce(F.nullif(F.regexp_extract("name", r"\s(\d+)\s*(?:\(|$)", 1), F.lit("")), F.nullif(F.regexp_extract("slug", r"-(\d+)(?:-|$)", 1), F.lit("")))
+    scored = d.join(n, "code").withColumn("score", score).withColumn("number", number)
+    best = pick(scored, ["code"], [F.col("score").desc(), F.col("ent")]).select("code", F.col("ent").alias("winner"), F.col("number").alias("w_number"))
+    ghosts = scored.join(best, "code").where("ent <> winner")
+    own, other = editions.select("ent", "yr", F.col("start_date").alias("d1")), editions.select(F.col("ent").alias("winner"), "yr", F.col("start_date").alias("d2"))
+    far = ghosts.select("ent", "winner").distinct().join(own, "ent").join(other, ["winner", "yr"]).groupBy("ent", "winner").agg(F.bool_or(F.abs(F.datediff("d1", "d2")) >= min_days).alias("far"))
+    got = ghosts.join(far, ["ent", "winner"], "left")
+    apart = F.coalesce(F.col("far"), F.lit(False)) | F.coalesce(F.col("number") != F.col("w_number"), F.lit(False))
+    return got.select("code", "ent", "winner", F.when(apart, "distinct").otherwise("merge").alias("action"))
 
 
-def audit(editions: DataFrame, snaps: DataFrame, as_of: Column) -> DataFrame:
-    """``rule, severity, ed_id``: impossible and inverted cuts, week mismatches, bad dates, missing coverage."""
+def blocked_merges(pairs: DataFrame) -> DataFrame:
+    """The first reason that blocks the merge of a ghost into a canonical row, null if none: another country (unless the ghost has none),
+    a name that is neither the canonical one's name nor its city, or level kinds that do not agree. Pairs have country_, name_, city_
+    and kinds_ (arrays of atp, challenger, other) for canonical and ghost, with the suffixes c and g."""
+    key = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text.fold(F.col(c)), r",\s*[a-z]{2}$", ""), "[-_]+", " "), r"\s+", " "))
+    has = lambda c, kind: F.array_contains(f"kinds_{c}", kind)
+    country = F.col("country_g").isNotNull() & ~F.col("country_g").eqNullSafe(F.col("country_c"))
+    name = (key("name_g") != key("name_c")) & (key("name_g") != key("city_c"))
+    level = (has("g", "challenger") & has("c", "challenger") & ~has("c", "atp")) | (has("g", "atp") & has("c", "atp") & ~has("c", "challenger"))
+    return pairs.withColumn("blocked", F.when(country, "country").when(name, "name").when(~level, "level"))
+
+
+def due_draws(editions: DataFrame, grace: int = 3, lead: int = 0) -> DataFrame:
+    """``ed_id, draw, closed, due``: the draws that should have a cut (ITF is not covered). A cut is due ``lead`` days before the start, and no
+    sooner than ``grace`` days after the entry deadline. Slam qualifying stands alone and closes 21 days before its Monday."""
+    from tideline.plans.field import deadlines
+
+    names = F.create_map(*(F.lit(x) for x in ("main", "singles-main", "qualifying", "singles-qualifying", "doubles", "doubles-main")))
+    d = deadlines(editions).where("category <> 'itf' and not (category = 'slam' and kind = 'qualifying')")
+    rows = d.select("ed_id", names[F.col("kind")].alias("draw"), F.to_date("due_at").alias("closed"))
+    alone = editions.where(levels.is_slam_qualifying(F.col("level"))).select("ed_id", F.lit("singles-qualifying").alias("draw"), F.date_sub(dates.monday_of(F.col("start_date")), 21).alias("closed"))
+    start = editions.select("ed_id", "start_date")
+    return rows.unionByName(alone).join(start, "ed_id").select("ed_id", "draw", "closed", F.greatest(F.date_add("closed", grace), F.date_sub("start_date", lead)).alias("due"))
+
+
+def audit(editions: DataFrame, snaps: DataFrame, as_of: Column, weeks: int = 2) -> DataFrame:
+    """``rule, severity, ed_id``. Editions have ed_id, ent, yr, wk, level, surface, start_date, end_date; snaps ed_id, ev, dr, direct_rank, byes, written.
+
+    C1 impossible ranks, C2 qualifying better than main, C7 stored week, C9 cut far from the event's own history, C10 changed surface, C12
+    start after Tuesday or a length outside 0 to 13 days (1000s exempt). Coverage of covered draws that are due: A1 nothing at all
+    (from last week to the end of the window), then, for events of the next 60 days that A1 does not name, A2 singles main, A3 doubles
+    and A4 qualifying (both with a singles main cut); A5 a cut last written before its list closed. S1 counts the due draws of the
+    window without a cut, one row for each (informational).
+    """
     find = lambda df, rule, sev: df.select(F.lit(rule).alias("rule"), F.lit(sev).alias("severity"), "ed_id").distinct()
+    tour = ~levels.category(F.col("level")).eqNullSafe(F.lit("itf")) & levels.category(F.col("level")).isNotNull()
     s = snaps.join(editions.select("ed_id", "level"), "ed_id")
     c1 = s.where((F.col("direct_rank") < cuts.min_plausible(F.col("level"), F.col("ev"), F.col("dr"))) | (F.col("direct_rank") > 2500))
     sides = lambda d: F.max(F.when((F.col("ev") == "singles") & (F.col("dr") == d), F.col("direct_rank")))
-    c2 = snaps.groupBy("ed_id").agg(sides("main").alias("m"), sides("qualifying").alias("q")).where("q < m")
-    c7 = editions.where(F.col("wk") != dates.season_week(F.col("start_date"), F.col("yr")))
-    c12 = editions.where(F.weekday("start_date") >= 2)
-    present = snaps.where("direct_rank is not null or alt_rank is not null")
-    a1 = editions.where(F.col("start_date") < as_of).join(present.select("ed_id"), "ed_id", "left_anti")
-    a2 = editions.where(F.col("start_date") < as_of).join(present.where("ev = 'singles' and dr = 'main'").select("ed_id"), "ed_id", "left_anti")
-    parts = [find(c1, "C1", "critical"), find(c2, "C2", "warn"), find(c7, "C7", "warn"), find(c12, "C12", "warn"), find(a1, "A1", "critical"), find(a2.join(a1.select("ed_id"), "ed_id", "left_anti"), "A2", "warn")]
+    c2 = s.where(tour).groupBy("ed_id").agg(sides("main").alias("m"), sides("qualifying").alias("q")).where("q < m")
+    c7 = editions.where(~F.col("wk").eqNullSafe(dates.season_week(F.col("start_date"), F.col("yr"))))
+    cut = snaps.where("ev = 'singles' and dr = 'main' and direct_rank is not null").select("ed_id", "direct_rank")
+    c9 = windows.history_outlier(editions.where(tour).join(cut, "ed_id"), ["ent", "level"], "yr", "direct_rank")
+    bare = F.regexp_replace(F.lower("surface"), "indoor|outdoor|[^a-z]", "")
+    c10 = windows.changed_since_last(editions.where(tour & F.col("surface").isNotNull()).withColumn("bare", bare), "ent", "yr", "bare")
+    days = F.datediff("end_date", "start_date")
+    late = F.weekday("start_date").between(2, 5) | F.coalesce((days < 0) | (days > 13), F.lit(False))
+    c12 = editions.where(tour & ~F.contains("level", F.lit("1000")) & late)
+
+    week = dates.monday_of(as_of)
+    draw = F.concat_ws("-", "ev", "dr")
+    have = snaps.where("direct_rank is not null or byes is not null").select("ed_id", draw.alias("draw"), "written")
+    due = due_draws(editions).join(editions.select("ed_id", "start_date"), "ed_id").join(have.groupBy("ed_id", "draw").agg(F.max("written").alias("written"), F.lit(True).alias("has")), ["ed_id", "draw"], "left")
+    over, missing = F.col("due") < as_of, F.col("has").isNull()
+    recent = F.col("start_date") >= F.date_sub(week, 7)
+    ends = F.date_add(week, 7 * weeks)
+    a1 = due.where(recent & (F.col("start_date") < ends)).groupBy("ed_id").agg(F.bool_or(over).alias("over"), F.count("has").alias("n")).where("over and n = 0").join(have.select("ed_id"), "ed_id", "left_anti")
+    open_ = due.where(recent & (F.col("start_date") < F.date_add(week, 60)) & over & missing).join(a1.select("ed_id"), "ed_id", "left_anti")
+    with_main = open_.join(cut.select("ed_id"), "ed_id", "left_semi")
+    slam = editions.where(levels.category(F.col("level")) == "slam").select("ed_id")
+    a5 = due.where(recent & (F.col("start_date") < F.date_add(week, 45)) & over & (F.col("written") < F.col("closed")))
+    s1 = due.where((F.col("start_date") >= week) & (F.col("start_date") < ends) & over & missing)
+    parts = [
+        find(c1, "C1", "critical"), find(c2, "C2", "critical"), find(c7, "C7", "warn"), find(c9, "C9", "warn"), find(c10, "C10", "warn"), find(c12, "C12", "warn"),
+        find(a1, "A1", "critical"), find(open_.where("draw = 'singles-main'"), "A2", "critical"), find(with_main.where("draw = 'doubles-main'"), "A3", "critical"),
+        find(with_main.where("draw = 'singles-qualifying'").join(slam, "ed_id", "left_anti"), "A4", "warn"), find(a5, "A5", "warn"), find(s1, "S1", "info"),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -59,7 +136,7 @@ def audit(editions: DataFrame, snaps: DataFrame, as_of: Column) -> DataFrame:
 def reduce_severity(findings: DataFrame, acknowledged: DataFrame, by: list[str], as_of: Column) -> DataFrame:
     """The worst severity of active findings; acknowledged ones don't count until their expiry."""
     quiet = acknowledged.where(F.col("until") > as_of).select("rule", "ed_id")
-    rank = F.when(F.col("severity") == "critical", 2).otherwise(1)
+    rank = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "warn", 1).otherwise(0)
     return findings.join(quiet, ["rule", "ed_id"], "left_anti").groupBy(*by).agg(F.max(rank).alias("worst"), F.count(F.lit(1)).alias("n"))
 
 
@@ -77,17 +154,26 @@ def forward_gaps(editions: DataFrame, as_of: Column, weeks: int = 8, few: int =
     return got.withColumn("severity", F.when(F.col("n") == 0, "critical").when(F.col("n") < few, "warn").otherwise("ok"))
 
 
-def sync_ledger(cases: DataFrame, findings: DataFrame, ran: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
+#: States of a case that is not closed.
+OPEN_STATES = ["open", "in_progress", "escalated"]
+
+
+def sync_ledger(cases: DataFrame, findings: DataFrame, ran: list[str], now: Column, verified: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The case table after a run and its log. Cases have key, rule, status, times_seen, attempts; findings key, rule.
 
-    New findings open; fixed ones that come back reopen with no attempts; open ones seen again count up; open ones
-    that are gone are fixed if their check ran.
+    New findings open; fixed ones that come back reopen with no attempts; open ones seen again count up; open ones that are gone are
+    fixed if their check ran or their key is among the ``verified`` (what a sampled check looked at and found right).
     """
     a = cases.select("key", F.col("rule").alias("_r"), "status", "times_seen", "attempts", F.lit(True).alias("_a"))
     b = findings.select("key", F.col("rule").alias("_f"), F.lit(True).alias("_b")).dropDuplicates(["key"])
     both = a.join(b, "key", "full_outer").withColumn("rule", F.coalesce("_r", "_f"))
+    if verified is None:
+        both = both.withColumn("_v", F.lit(False))
+    else:
+        both = both.join(verified.select("key", F.lit(True).alias("_v")).dropDuplicates(["key"]), "key", "left")
     new, seen, fixed = F.col("_a").isNull(), F.col("_b").isNotNull(), F.col("status") == "fixed"
-    event = F.when(new, "opened").when(seen & fixed, "reopened").when(seen, "seen").when(~fixed & F.col("rule").isin(ran), "fixed")
+    gone = F.col("status").isin(OPEN_STATES) & (F.col("rule").isin(ran) | F.coalesce("_v", F.lit(False)))
+    event = F.when(new, "opened").when(seen & fixed, "reopened").when(seen, "seen").when(gone, "fixed")
     tagged = both.withColumn("event", event)
     status = F.when(F.col("event").isin("opened", "reopened"), "open").when(F.col("event") == "fixed", "fixed").otherwise(F.col("status"))
     times = F.coalesce("times_seen", F.lit(0)) + F.when(seen, 1).otherwise(0)
@@ -97,9 +183,27 @@ def sync_ledger(cases: DataFrame, findings: DataFrame, ran: list[str], now: Colu
 
 
 def ledger_counts(cases: DataFrame, max_attempts: int = 2) -> DataFrame:
+    """Cases by status, and those out of attempts."""
     return cases.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("attempts") >= max_attempts, 1)).alias("exhausted"))
 
 
+def worst_first(cases: DataFrame, limit: int = 50) -> DataFrame:
+    """The first ``limit`` cases: escalated, open, in progress, closed; critical first; newest id first."""
+    state = F.when(F.col("status") == "escalated", 0).when(F.col("status") == "open", 1).when(F.col("status") == "in_progress", 2).otherwise(3)
+    return cases.orderBy(state, F.when(F.col("severity") == "critical", 0).otherwise(1), F.col("id").desc()).limit(limit)
+
+
+def ledger_actions(cases: DataFrame, now: Column, max_attempts: int = 2, reminder_days: int = 7, fixed_days: int = 7) -> DataFrame:
+    """``id, action``: work (open with attempts left), escalate (out of attempts), tell (escalated, never told), remind (told more than
+    ``reminder_days`` ago), recent (fixed in the last ``fixed_days``). Cases have id, status, attempts, notified_at, resolved_at."""
+    live = F.col("status").isin("open", "in_progress")
+    told = F.col("notified_at") < now - F.expr(f"interval {reminder_days} days")
+    recent = (F.col("status") == "fixed") & (F.col("resolved_at") > now - F.expr(f"interval {fixed_days} days"))
+    up = F.col("status") == "escalated"
+    action = F.when(live & (F.col("attempts") < max_attempts), "work").when(live, "escalate").when(up & F.col("notified_at").isNull(), "tell").when(up & told, "remind").when(recent, "recent")
+    return cases.select("id", action.alias("action")).where("action is not null")
+
+
 def adds_up(df: DataFrame, parts: list[str], total: str) -> Column:
     out = F.lit(0)
     for p in parts:

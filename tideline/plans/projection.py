@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import levels
 from tideline.functions.geo import clamp, winsorize
-from tideline.operators import aggregates, joins, windows
+from tideline.operators import aggregates, joins, merge, windows
 from tideline.storage import materialise
 
 #: Fixed values by draw: weight of the last season, shrinkage to the cohort, half-width of the band by tier.
@@ -27,7 +27,7 @@ def with_group(obs: DataFrame) -> DataFrame:
 
 def ratios(obs: DataFrame) -> DataFrame:
     """Observations with exactly last season's cut and the ratio to it."""
-    return joins.prior_period(obs, ["ent"], "yr", "cut", "prev").where("prev is not null").withColumn("ratio", F.col("cut") / F.col("prev"))
+    return joins.prior_period(obs.where("cut is not null"), ["ent"], "yr", "cut", "prev").where("prev is not null").withColumn("ratio", F.col("cut") / F.col("prev"))
 
 
 def level_medians(obs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def level_medians(obs: DataFrame) -> DataFrame:
 
     Cuts are counted by value first, so that what is copied to later seasons are (level, season, value) and not observations.
     """
-    values = obs.groupBy("level", "yr", "cut").agg(F.count(F.lit(1)).alias("f"))
+    values = obs.where("cut is not null").groupBy("level", "yr", "cut").agg(F.count(F.lit(1)).alias("f"))
     last = obs.agg(F.max("yr").alias("y")).scalar()
     later = values.where(F.col("yr") < last).withColumn("y", F.explode(F.sequence(F.col("yr") + 1, last))).drop("yr")
     seen = later.join(obs.select(F.col("yr").alias("y")).distinct(), "y")
@@ -85,7 +85,7 @@ def cohort_base(obs: DataFrame, km: float = 3000) -> DataFrame:
 
     The median of all is one for each (group, season, week); near ones are looked for by place. Cuts are counted by value.
     """
-    last = obs.select("grp", (F.col("yr") + 1).alias("yr"), "wk", "lat", "lon", "cut").groupBy("grp", "yr", "wk", "lat", "lon", "cut").agg(F.count(F.lit(1)).alias("f"))
+    last = obs.where("cut is not null").select("grp", (F.col("yr") + 1).alias("yr"), "wk", "lat", "lon", "cut").groupBy("grp", "yr", "wk", "lat", "lon", "cut").agg(F.count(F.lit(1)).alias("f"))
     weeks = last.groupBy("grp", "yr", "wk", "cut").agg(F.sum("f").alias("f")).withColumn("wk", F.explode(F.array(*(F.col("wk") + k for k in range(-2, 3)))))
     half = F.lit(0.5)
     every = weeks.groupBy("grp", "yr", "wk").agg(F.percentile("cut", half, F.col("f")).alias("every"), F.sum("f").alias("n")).where("n >= 3")
@@ -155,15 +155,42 @@ def grid_search(preds: DataFrame, factors: DataFrame, grid: list[float]) -> Data
     return preds.join(factors, "ed_id").crossJoin(F.broadcast(points)).groupBy("x", "y").agg(F.avg(err).alias("mae")).orderBy("mae", "x", "y")
 
 
-def job(targets: DataFrame, as_of: Column, weeks: int) -> DataFrame:
-    """Editions that start within ``weeks`` weeks and their horizon in weeks, rounded up."""
+#: The draw that each key of BLEND stands for.
+DRAWS = {"ms": ("singles", "main"), "qs": ("singles", "qualifying"), "md": ("doubles", "main")}
+
+
+def upcoming(editions: DataFrame, as_of: Column, weeks: int) -> DataFrame:
+    """Editions that start within ``weeks`` weeks, with the horizon in weeks, rounded up, and the ``draws`` of their level."""
     days = F.datediff("start_date", as_of)
-    return targets.where(days.between(0, 7 * weeks)).withColumn("horizon", F.ceil(days / 7).cast("int"))
+    lv = F.lower("level")
+    draws = F.when(lv == "grand slam qualifying", F.array(F.lit("qs"))).when(lv == "grand slam", F.array(F.lit("ms"), F.lit("md"))).otherwise(F.array(F.lit("ms"), F.lit("qs"), F.lit("md")))
+    return editions.where(days.between(0, 7 * weeks)).withColumn("horizon", F.ceil(days / 7).cast("int")).withColumn("draws", draws)
 
 
-def score(preds: DataFrame, facts: DataFrame) -> DataFrame:
-    """Fill the actual value where it is missing and has arrived."""
-    return preds.join(facts.withColumnRenamed("cut", "_cut"), "ed_id", "left").withColumn("scored", F.col("actual").isNull() & F.col("_cut").isNotNull()).withColumn("actual", F.coalesce("actual", "_cut")).drop("_cut")
+def job(editions: DataFrame, obs: DataFrame, stored: DataFrame, as_of: Column, weeks: int, now: Column) -> DataFrame:
+    """The table of predictions after a run: ``ed_id, ev, dr, horizon, pred, low, high, method, predicted_at``.
+
+    Upcoming editions (ed_id, ent, yr, wk, level, lat, lon, start_date) are predicted for each draw of their level from the observations (the
+    same columns, ev, dr and cut) that have no cut for them yet; a prediction replaces the stored one of the same edition, draw and horizon.
+    """
+    soon = materialise(upcoming(editions, as_of, weeks), "upcoming")
+    columns = ["ed_id", "ent", "yr", "wk", "level", "lat", "lon"]
+    out = None
+    for draw, (ev, dr) in DRAWS.items():
+        targets = soon.where(F.array_contains("draws", draw))
+        seen = obs.where((F.col("ev") == ev) & (F.col("dr") == dr) & F.col("cut").isNotNull()).select(*columns, "cut").join(targets.select("ed_id"), "ed_id", "left_anti")
+        rows = seen.unionByName(targets.select(*columns, F.lit(None).cast(seen.schema["cut"].dataType).alias("cut")))
+        got = predict(rows, draw).join(targets.select("ed_id", "horizon"), "ed_id").where("pred is not null")
+        one = got.select("ed_id", F.lit(ev).alias("ev"), F.lit(dr).alias("dr"), "horizon", "pred", "low", "high", "method", now.alias("predicted_at"))
+        out = one if out is None else out.unionByName(one)
+    return merge.upsert(stored, out, ["ed_id", "ev", "dr", "horizon"], "incoming_wins")
+
+
+def score(preds: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
+    """Fill the actual value and the time of scoring where a prediction is not scored and its value has arrived."""
+    both = preds.join(facts.withColumnRenamed("cut", "_cut"), "ed_id", "left")
+    arrived = F.col("scored_at").isNull() & F.col("_cut").isNotNull()
+    return both.withColumn("actual", F.when(arrived, F.col("_cut")).otherwise(F.col("actual"))).withColumn("scored_at", F.when(arrived, now).otherwise(F.col("scored_at"))).drop("_cut")
 
 
 def report(preds: DataFrame, slices: list[list[str]]) -> DataFrame:

@@ -208,11 +208,24 @@ def i09(t):
     return basics.both_ways(pairs, "a", "b")
 
 
-@query("i10_entry_codes", "SELECT event_id, CASE event_type WHEN 'click' THEN 'Wild card' WHEN 'view' THEN 'Qualifier' ELSE 'Direct acceptance' END AS label, event_type = 'click' AND value > 50 AS wrong_level FROM events")
+@query("i09_countries", "WITH a AS (SELECT lower(n_name) AS alias, concat('Land ', n_nationkey) AS name FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN concat('land ', n_nationkey) ELSE lower(n_name) END AS country, r_name AS continent FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 > 0) SELECT ent, coalesce(a.name, v.country) AS shown, c.continent FROM v_ent v LEFT JOIN a ON a.alias = lower(v.country) LEFT JOIN c ON c.country = lower(coalesce(a.name, v.country))")
+def i09c(t):
+    n = F.col("n_nationkey")
+    short = F.concat(F.lit("Land "), n.cast("string"))
+    a = t.nation.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("alias"), short.alias("name"))  # every other country has a short name
+    c = t.nation.where("n_nationkey % 5 > 0").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.when(n % 2 == 0, F.lower(short)).otherwise(F.lower("n_name")).alias("country"), F.col("r_name").alias("continent"))
+    return basics.canonical_countries(t.v_ent.select("ent", "country"), "country", a, c).select("ent", "shown", "continent")
+
+
+@query("i10_entry_codes", """WITH x AS (SELECT event_id, CASE user_id % 9 WHEN 0 THEN ' ng' WHEN 1 THEN 'JR' WHEN 2 THEN 'co' WHEN 3 THEN 'WC' WHEN 4 THEN 'SE' WHEN 5 THEN 'PR' WHEN 6 THEN 'q' WHEN 7 THEN 'ALT' ELSE 'ZZ' END AS code, CASE user_id % 4 WHEN 0 THEN 'CH 50' WHEN 1 THEN 'CH 100' WHEN 2 THEN 'CH 175' ELSE 'ATP 250' END AS level, CASE WHEN event_id % 7 > 0 THEN cast(floor(value) AS INTEGER) END AS rk FROM events), y AS (SELECT *, upper(trim(code)) AS c FROM x)
+SELECT event_id, CASE c WHEN 'NG' THEN 'Next Gen Accelerator' WHEN 'JR' THEN 'Junior Accelerator — number is an ITF junior ranking' WHEN 'CO' THEN 'College Accelerator — number is an ITA collegiate ranking' WHEN 'WC' THEN 'Wild card' WHEN 'SE' THEN 'Special exempt' WHEN 'PR' THEN 'Protected ranking' WHEN 'Q' THEN 'Qualifier' WHEN 'ALT' THEN 'Alternate' END AS label, c IN ('JR', 'CO') AS is_foreign,
+ CASE WHEN c = 'NG' THEN level IN ('CH 50', 'CH 75', 'CH 100', 'CH 125') WHEN c IN ('JR', 'CO') THEN level IN ('CH 50', 'CH 75') ELSE true END AS allowed, CASE WHEN c IN ('JR', 'CO') THEN c WHEN rk IS NULL THEN CASE WHEN c = 'ZZ' THEN '' ELSE c END ELSE concat_ws(' ', cast(rk AS VARCHAR), nullif(c, 'ZZ')) END AS shown FROM y""")
 def i10(t):
-    table = t.spark.createDataFrame([("click", "Wild card", 50.0), ("view", "Qualifier", None)], "event_type string, label string, max_value double")
-    joined = t.events.join(F.broadcast(table), "event_type", "left")
-    return joined.select("event_id", F.coalesce("label", F.lit("Direct acceptance")).alias("label"), F.coalesce(F.col("value") > F.col("max_value"), F.lit(False)).alias("wrong_level"))
+    u = F.col("user_id") % 9
+    code = F.get(F.array(*map(F.lit, (" ng", "JR", "co", "WC", "SE", "PR", "q", "ALT", "ZZ"))), u.cast("int"))
+    level = F.get(F.array(*map(F.lit, ("CH 50", "CH 100", "CH 175", "ATP 250"))), (F.col("user_id") % 4).cast("int"))
+    rows = t.events.select("event_id", code.alias("code"), level.alias("level"), F.when(F.col("event_id") % 7 > 0, F.floor("value").cast("int")).alias("rk"))
+    return basics.entry_codes(rows, "code", "level", "rk").select("event_id", "label", F.col("foreign").alias("is_foreign"), "allowed", "shown")
 
 
 @query("b01_b02_cuts", "SELECT ed_id, ev, dr, CASE WHEN ev = 'doubles' THEN coalesce(adv_rank, alt_rank, direct_rank) ELSE coalesce(alt_rank, direct_rank) END AS legacy, CASE WHEN ev = 'doubles' THEN coalesce(adv_rank, direct_rank) ELSE direct_rank END AS direct FROM v_snap")
@@ -237,10 +250,16 @@ def b05(t):
     return t.v_obs.select("ed_id", "ev", "dr", cuts.open_draw(F.col("byes"), *r).alias("open_draw"), cuts.has_cut(F.col("byes"), *r).alias("has_cut"), cuts.saturated(F.col("cut"), F.col("ev")).alias("saturated"))
 
 
-@query("b07_garbage", "SELECT ed_id, ev, dr, CASE WHEN direct_rank < 8 THEN 'tiny' WHEN alt_rank < direct_rank THEN 'inverted' WHEN direct_rank > 1000 THEN 'huge' WHEN adv_rank BETWEEN 1990 AND 2030 THEN 'year' END AS rule FROM v_snap WHERE direct_rank < 8 OR alt_rank < direct_rank OR direct_rank > 1000 OR adv_rank BETWEEN 1990 AND 2030")
+_NAME = "CASE ed_id % 20 WHEN 0 THEN '62 75' WHEN 1 THEN 'PRIZE MONEY 5' WHEN 2 THEN 'First Round' WHEN 3 THEN 'Seeded Players' WHEN 4 THEN 'Challenger Supervisor' WHEN 5 THEN 'Roma Open 3' WHEN 6 THEN 'wc' WHEN 7 THEN 'D+D 88' WHEN 8 THEN 'Semi-Finalist 2' WHEN 9 THEN '44' WHEN 10 THEN '$ 40' WHEN 11 THEN 'Last Direct Acceptance X' WHEN 12 THEN NULL ELSE 'J. Player' END"
+
+
+@query("b07_garbage", f"""WITH x AS (SELECT *, {_NAME} AS name, ed_id % 13 = 0 AS manual, CASE WHEN ed_id % 17 = 0 THEN 2 WHEN ed_id % 19 = 0 THEN 6000 WHEN ed_id % 20 = 12 THEN 1998 ELSE direct_rank END AS r FROM v_snap), g AS (SELECT ed_id, ev, dr, CASE WHEN manual OR adv_rank IS NOT NULL THEN NULL WHEN r BETWEEN 1900 AND 2100 AND NOT regexp_matches(coalesce(name, ''), '[A-Za-z]') THEN 'year' WHEN r > 5000 THEN 'too high' WHEN r < 3 THEN 'too low' WHEN regexp_matches(name, '^[ ]*[0-9]+[ ]*$') THEN 'digits' WHEN contains(name, '$') THEN 'currency' WHEN name ILIKE '%prize money%' THEN 'prize money' WHEN name ILIKE '%first round%' THEN 'first round' WHEN name ILIKE '%seeded players%' THEN 'seeded'
+ WHEN name ILIKE '%challenger supervisor%' THEN 'supervisor' WHEN name ILIKE '% open %' THEN 'open' WHEN name ILIKE '%semi-finalist%' THEN 'finalist' WHEN name ILIKE 'last direct acceptance%' THEN 'label' WHEN contains(name, 'D+D') THEN 'combined' WHEN lower(name) = 'wc' THEN 'code' WHEN name = '62 75' THEN 'score' END AS rule FROM x) SELECT * FROM g WHERE rule IS NOT NULL""")
 def b07(t):
-    rules = [("tiny", F.col("direct_rank") < 8), ("inverted", F.col("alt_rank") < F.col("direct_rank")), ("huge", F.col("direct_rank") > 1000), ("year", F.col("adv_rank").between(1990, 2030))]
-    return t.v_snap.withColumn("rule", cuts.garbage_rule(rules)).where("rule is not null").select("ed_id", "ev", "dr", "rule")
+    k = F.col("ed_id")
+    name = F.expr(_NAME)
+    rank = F.when(k % 17 == 0, 2).when(k % 19 == 0, 6000).when(k % 20 == 12, 1998).otherwise(F.col("direct_rank"))
+    return t.v_snap.withColumn("rule", cuts.garbage(rank, name, k % 13 == 0, F.col("adv_rank"))).where("rule is not null").select("ed_id", "ev", "dr", "rule")
 
 
 MINP = "CASE WHEN dr = 'qualifying' THEN 30 WHEN level LIKE '%500%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 15 END WHEN level LIKE '%250%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 10 END WHEN level LIKE 'Ch%' THEN 50 ELSE 5 END"

@@ -53,10 +53,10 @@ def n05(t):
     return lists.trajectory(t.v_moves, ["list"])
 
 
-@query("n06_inherit_departures", "WITH l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2), q AS (SELECT list, player FROM l WHERE player % 3 = 0) SELECT q.list, q.player, coalesce(l.kind = 'alternate-withdrawal', false) AS departed, 'qualifying' AS origin FROM q LEFT JOIN l ON l.list = q.list AND l.player = q.player UNION ALL SELECT list, player, false, 'promoted' FROM l WHERE kind = 'promotion' AND player % 3 > 0")
+@query("n06_inherit_departures", "WITH l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2), q AS (SELECT list, player FROM v_moves WHERE value > 50 GROUP BY 1, 2) SELECT q.list, q.player, coalesce(l.kind = 'alternate-withdrawal', false) AS departed, 'qualifying' AS origin FROM q LEFT JOIN l ON l.list = q.list AND l.player = q.player UNION ALL SELECT list, player, false, 'promoted' FROM l WHERE kind = 'promotion' AND NOT EXISTS (SELECT 1 FROM q WHERE q.list = l.list AND q.player = l.player)")
 def n06(t):
-    s = lists.derive_state(t.v_moves, ["list"])
-    return lists.inherit_departures(s.where("player % 3 = 0").select("list", "player"), s, ["list", "player"])
+    q = t.v_moves.where("value > 50").select("list", "player").distinct()
+    return lists.inherit_departures(q, lists.derive_state(t.v_moves, ["list"]), ["list", "player"])
 
 
 @query("n07_due_sources", "WITH s AS (SELECT user_id AS src, max(ts) AS checked_at, count(*) FILTER (WHERE event_type = 'error') % 9 AS failures FROM events GROUP BY 1) SELECT src, failures FROM s WHERE checked_at + to_hours(cast(pow(2, least(failures, 6)) AS INTEGER)) <= TIMESTAMP '2024-01-30 18:00:00'")
@@ -89,10 +89,27 @@ def n10(t):
     return lists.position_moves(s, "user_id", "d", "pos")
 
 
-@query("n12_classify_notes", "SELECT event_id, CASE event_type WHEN 'click' THEN 'q_alt_to_q' WHEN 'view' THEN 'q_to_md' ELSE 'q_withdrawal' END AS kind, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS q_spots_delta FROM events")
+@query("n12_classify_notes", "WITH p AS (SELECT concat('n', c_custkey % 700) AS k, c_custkey AS player FROM customer), m AS (SELECT k, count(*) AS n, min(player) AS player FROM p GROUP BY 1) SELECT event_id, CASE event_type WHEN 'click' THEN 'q_alt_to_q' WHEN 'view' THEN 'q_to_md' ELSE 'q_withdrawal' END AS kind, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS q_spots_delta, CASE WHEN m.n = 1 THEN cast(m.player AS VARCHAR) ELSE concat('N', user_id) END AS who, coalesce(m.n = 1, false) AS resolved FROM events LEFT JOIN m ON m.k = concat('n', user_id)")
 def n12(t):
     note = F.when(F.col("event_type") == "click", "Alternate used").when(F.col("event_type") == "view", "moved to Main Draw").otherwise("injury")
-    return lists.classify_notes(t.events, note).select("event_id", "kind", "q_spots_delta")
+    u = F.col("user_id").cast("string")
+    rows = t.events.select("event_id", "event_type", F.concat(F.lit("n"), u).alias("name_key"), F.concat(F.lit("N"), u).alias("printed"))
+    players = t.customer.select(F.concat(F.lit("n"), (F.col("c_custkey") % 700).cast("string")).alias("name_key"), F.col("c_custkey").alias("player"))
+    return lists.classify_notes(rows, note, players).select("event_id", "kind", "q_spots_delta", "who", "resolved")
+
+
+@query("n03_disappearances", "WITH s AS (SELECT DISTINCT user_id % 20 AS list, cast(ts AS DATE) AS d, user_id AS player FROM events), o AS (SELECT list, d, lead(d) OVER (PARTITION BY list ORDER BY d) AS nxt FROM (SELECT DISTINCT list, d FROM s)) SELECT s.list, s.player, s.d AS from_snap, o.nxt AS to_snap, 'removed_unknown' AS kind FROM s JOIN o ON o.list = s.list AND o.d = s.d WHERE o.nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s x WHERE x.list = s.list AND x.d = o.nxt AND x.player = s.player)")
+def n03d(t):
+    s = t.events.select((F.col("user_id") % 20).alias("list"), F.to_date("ts").alias("d"), F.col("user_id").alias("player"))
+    return lists.disappearances(s, ["list"], "d", "player").drop("fingerprint")
+
+
+@query("n07_check_outcomes", "WITH c AS (SELECT user_id AS src, ts, event_type = 'error' AS failed FROM events WHERE day(ts) > 15), s AS (SELECT user_id AS src, max(ts) AS checked_at, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events WHERE day(ts) <= 15 GROUP BY 1), g AS (SELECT src, max(ts) AS ts, max(ts) FILTER (WHERE NOT failed) AS good FROM c GROUP BY 1), b AS (SELECT c.src, count(*) AS bad FROM c JOIN g ON g.src = c.src WHERE failed AND (good IS NULL OR c.ts > good) GROUP BY 1) SELECT src, coalesce(g.ts, checked_at) AS checked_at, CASE WHEN good IS NULL THEN coalesce(failures, 0) ELSE 0 END + coalesce(bad, 0) AS failures FROM s FULL JOIN g USING (src) LEFT JOIN b USING (src)")
+def n07c(t):
+    day = F.dayofmonth("ts")
+    failed = F.col("event_type") == "error"
+    status = t.events.where(day <= 15).groupBy(F.col("user_id").alias("src")).agg(F.max("ts").alias("checked_at"), F.count(F.when(failed, 1)).alias("failures"))
+    return lists.check_outcomes(status, t.events.where(day > 15).select(F.col("user_id").alias("src"), "ts", failed.alias("failed")))
 
 
 @query("n08_stream_claims", "SELECT DISTINCT user_id AS subscriber, event_type AS deadline FROM events")
@@ -108,6 +125,9 @@ def n08s(t):
 
 @query("n11_late_movements", "SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2")
 def n11(t):
-    """Arrival order does not matter: the rows are dealt out of order first, event time decides."""
-    late = t.v_moves.repartition(7, "seq").orderBy(F.xxhash64("seq"))
-    return lists.derive_state(late, ["list"]).select("list", "player", "kind")
+    """Movements come through the stream's ledger in the order of arrival; event time decides."""
+    m = jobs.read_stream(t.spark, t.sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "withdrawal").when(F.col("event_type") == "view", "promotion").when(F.col("event_type") == "purchase", "alternate-withdrawal").otherwise("reported-next")
+    moves = m.select(F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("list"), F.col("user_id").alias("player"), "ts", kind.alias("kind"))
+    got = jobs.run_to_table(jobs.movement_ledger(moves, ["seq"], "ts"), "late")
+    return lists.derive_state(got, ["list"]).select("list", "player", "kind")
\ No newline at end of file

@@ -103,15 +103,23 @@ def j11(t):
     return r6(projection.report(projection.predict(obs(t)), [[], ["grp"], ["yr"]]), "mae", "base_mae", "bias", "win_rate")
 
 
-@query("j07_prediction_job", "SELECT ed_id, cast(ceil((start_date - DATE '1997-03-03') / 7) AS INTEGER) AS horizon FROM v_ed WHERE start_date BETWEEN DATE '1997-03-03' AND DATE '1997-03-03' + 28")
+@query("j07_upcoming", "SELECT ed_id, cast(ceil((start_date - DATE '1997-03-03') / 7) AS INTEGER) AS horizon, CASE WHEN level = 'Grand Slam Qualifying' THEN 'qs' WHEN level = 'Grand Slam' THEN 'ms,md' ELSE 'ms,qs,md' END AS draws FROM v_cal WHERE start_date BETWEEN DATE '1997-03-03' AND DATE '1997-03-03' + 28")
+def j07u(t):
+    return projection.upcoming(t.v_cal, F.to_date(F.lit("1997-03-03")), 4).select("ed_id", "horizon", F.array_join("draws", ",").alias("draws"))
+
+
+@query("j07_prediction_job")
 def j07(t):
-    return projection.job(t.v_ed, F.to_date(F.lit("1997-03-03")), 4).select("ed_id", "horizon")
+    stored = t.v_ed.where("start_date between '1997-03-03' and '1997-03-10'").select("ed_id", F.lit("singles").alias("ev"), F.lit("main").alias("dr"), F.lit(1).alias("horizon"), F.lit(999).alias("pred"), F.lit(1).alias("low"), F.lit(2).alias("high"), F.lit("old").alias("method"), F.to_timestamp(F.lit("1997-02-24")).alias("predicted_at"))
+    e = t.v_ed.join(t.v_ent.select("ent", "lat", "lon"), "ent")
+    return projection.job(e, t.v_obs, stored, F.to_date(F.lit("1997-03-03")), 4, F.to_timestamp(F.lit("1997-03-03")))
 
 
-@query("j08_score", "SELECT e.ed_id, coalesce(CASE WHEN e.ed_id % 2 = 0 THEN 100 END, s.cut) AS actual, e.ed_id % 2 <> 0 AND s.cut IS NOT NULL AS scored FROM v_ed e LEFT JOIN (SELECT ed_id, cut FROM v_obs WHERE ev = 'singles' AND dr = 'main') s ON s.ed_id = e.ed_id")
+@query("j08_score", "SELECT e.ed_id, CASE WHEN e.ed_id % 2 = 0 THEN 100 ELSE s.cut END AS actual, CASE WHEN e.ed_id % 2 = 0 THEN TIMESTAMP '1998-01-01' WHEN s.cut IS NOT NULL THEN TIMESTAMP '1998-02-01' END AS scored_at FROM v_ed e LEFT JOIN (SELECT ed_id, cut FROM v_obs WHERE ev = 'singles' AND dr = 'main') s ON s.ed_id = e.ed_id")
 def j08(t):
-    preds = t.v_ed.select("ed_id", F.when(F.col("ed_id") % 2 == 0, 100).alias("actual"))
-    return projection.score(preds, t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", "cut")).select("ed_id", "actual", "scored")
+    done = F.col("ed_id") % 2 == 0
+    preds = t.v_ed.select("ed_id", F.when(done, 100).alias("actual"), F.when(done, F.to_timestamp(F.lit("1998-01-01"))).alias("scored_at"))
+    return projection.score(preds, t.v_obs.where("ev = 'singles' and dr = 'main'").select("ed_id", "cut"), F.to_timestamp(F.lit("1998-02-01"))).select("ed_id", "actual", "scored_at")
 
 
 #: The rules of depth, written out again: ranks, places, absorption by week, distance, surface and roof.

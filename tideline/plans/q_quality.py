@@ -45,12 +45,13 @@ def k02(t):
     return chains.cluster_within(t.v_ed.join(t.v_ent, "ent"), ["yr"], "wk", 900)
 
 
-@query("k03_k04_splits", """WITH RECURSIVE r AS (SELECT n.city AS place, e.ent, e.yr, e.wk FROM v_ed e JOIN v_ent n ON n.ent = e.ent),
-p AS (SELECT a.ent AS src, b.ent AS dst, bool_or(a.yr = b.yr AND a.wk = b.wk) AS same, bool_or(a.yr = b.yr) AS overlap, max(abs(a.wk - b.wk)) AS gap FROM r a JOIN r b ON a.place = b.place AND a.ent < b.ent GROUP BY 1, 2), e AS (SELECT src, dst FROM p WHERE same OR (NOT overlap AND gap <= 1)), """ + REACH + """,
+@query("k03_k04_splits", """WITH RECURSIVE r AS (SELECT n.city AS place, e.ent, e.yr, e.wk, e.level, CASE WHEN e.ent % 3 > 0 THEN cast(e.ent % 2 + 1 AS INTEGER) END AS num FROM v_ed e JOIN v_ent n ON n.ent = e.ent),
+p AS (SELECT a.ent AS src, b.ent AS dst, bool_or(a.yr = b.yr AND a.wk = b.wk) AS same, bool_or(a.yr = b.yr) AS overlap, min(abs(a.wk - b.wk)) AS gap, bool_or(a.level = b.level) AS lv FROM r a JOIN r b ON a.place = b.place AND a.ent < b.ent WHERE a.num IS NULL OR b.num IS NULL OR a.num = b.num GROUP BY 1, 2), e AS (SELECT src, dst FROM p WHERE lv AND (same OR (NOT overlap AND gap <= 1))), """ + REACH + """,
 f AS (SELECT node AS ent, component AS cluster, (SELECT count(cut) FROM v_obs o WHERE o.ent = node) AS cuts, (SELECT count(*) FROM v_ed d WHERE d.ent = node) AS editions, (SELECT length(slug) FROM v_ent n WHERE n.ent = node) AS len FROM comp)
 SELECT cluster, ent AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cuts DESC, editions DESC, len DESC, ent) AS rn FROM f) WHERE rn = 1""")
 def k03(t):
-    r = t.v_ed.join(t.v_ent, "ent").select(F.col("city").alias("place"), "ent", F.lit(1).alias("number"), "yr", "wk")
+    number = F.when(F.col("ent") % 3 > 0, (F.col("ent") % 2 + 1).cast("int"))
+    r = t.v_ed.join(t.v_ent, "ent").select(F.col("city").alias("place"), "ent", number.alias("number"), "yr", "wk", "level")
     facts = t.v_ent.select("ent", "slug").join(t.v_obs.groupBy("ent").agg(F.count("cut").alias("cuts"), F.count_distinct("ed_id").alias("editions")), "ent")
     return chains.suggest_canonical(chains.cluster_splits(r), facts)
 
@@ -59,8 +60,8 @@ def k03(t):
 def k05(t):
     from tideline.functions import levels
 
-    e = t.v_ed.join(t.v_ent, "ent").withColumn("grp", levels.level_group(F.col("level"))).select("ed_id", "yr", "wk", "country", "region", "surface", "lat", "lon", "grp")
-    return chains.chains_by_scope(e, country_pairs(t), "grp", ["atp", "challenger", "itf"])
+    e = t.v_ed.join(t.v_ent, "ent").withColumn("grp", levels.level_group(F.col("level"))).select("ed_id", "yr", "wk", "country", "region", "surface", "lat", "lon", "grp", "start_date")
+    return chains.chains_by_scope(e, country_pairs(t), "grp", ["atp", "challenger", "itf"], max_weeks=4)
 
 
 @query("l01_same_week_duplicates", "WITH k AS (SELECT ed_id, yr, wk, level, lower(city) AS place FROM v_ed e JOIN v_ent n ON n.ent = e.ent UNION SELECT ed_id, yr, wk, level, lower(country) FROM v_ed e JOIN v_ent n ON n.ent = e.ent), g AS (SELECT yr, wk, level, place, string_agg(cast(ed_id AS VARCHAR), ',' ORDER BY ed_id) AS members FROM k GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2) SELECT yr, wk, level, members, min(place) AS place FROM g GROUP BY 1, 2, 3, 4")
@@ -69,34 +70,72 @@ def l01(t):
     return quality.same_week_duplicates(e, ["yr", "wk", "level"], ["a", "b"])
 
 
-@query("l02_duplicate_pairs", "SELECT a.ed_id AS a, b.ed_id AS b FROM (SELECT ed_id, yr, wk, country, city, slug FROM v_ed e JOIN v_ent n ON n.ent = e.ent) a JOIN (SELECT ed_id, yr, wk, country, city, slug FROM v_ed e JOIN v_ent n ON n.ent = e.ent) b ON a.yr = b.yr AND a.wk = b.wk AND a.country = b.country AND a.ed_id < b.ed_id WHERE contains(a.slug, b.slug) OR contains(b.slug, a.slug) OR a.city = b.city")
+_E = "(SELECT e.ed_id, yr, wk, CASE WHEN level LIKE 'Ch%' THEN 'challenger' ELSE 'tour' END AS cat, regexp_replace(lower(n.country), '[^a-z0-9]', '', 'g') AS country, regexp_replace(lower(concat(n.region, e.ent % 30)), '[^a-z0-9]', '', 'g') AS name, regexp_replace(lower(n.city), '[^a-z0-9]', '', 'g') AS city, regexp_replace(regexp_replace(lower(n.city), '[ ]+[0-9]+$', ''), '[^a-z0-9]+', '', 'g') AS place, regexp_replace(lower(concat(n.region, e.ent % 30)), '[^a-z0-9]', '', 'g') AS place2 FROM v_ed e JOIN v_ent n ON n.ent = e.ent WHERE level NOT LIKE 'ITF%')"
+
+
+@query("l02_duplicate_pairs", f"SELECT a.ed_id AS a, b.ed_id AS b FROM {_E} a JOIN {_E} b ON a.yr = b.yr AND a.wk = b.wk AND a.cat = b.cat AND a.ed_id < b.ed_id WHERE (a.country = b.country AND (contains(a.name, b.name) OR contains(b.name, a.name))) OR a.city = b.city OR a.place IN (b.place, b.place2) OR a.place2 IN (b.place, b.place2)")
 def l02(t):
-    return quality.duplicate_pairs(t.v_ed.join(t.v_ent, "ent"), ["yr", "wk"], "slug", "city")
+    e = t.v_ed.join(t.v_ent.drop("name"), "ent").withColumn("name", F.concat("region", (F.col("ent") % 30).cast("string")))
+    return quality.duplicate_pairs(e)
 
 
-@query("l03_code_winners", "WITH e AS (SELECT ent, city AS code, slug, ent % 10 = 0 AS canonical FROM v_ent), n AS (SELECT code, count(DISTINCT ent) AS n FROM e GROUP BY 1 HAVING count(DISTINCT ent) >= 2) SELECT code, n, ent AS winner FROM (SELECT e.*, n, row_number() OVER (PARTITION BY e.code ORDER BY CASE WHEN canonical THEN 1000 ELSE 0 END + CASE WHEN contains(slug, 'ch') THEN 0 ELSE 50 END - length(slug) DESC, ent) AS rn FROM e JOIN n ON n.code = e.code) WHERE rn = 1")
+@query("l03_code_winners", """WITH d AS (SELECT ent, city AS code, CASE WHEN ent % 5 = 0 THEN concat('a', ent, '-a', ent) WHEN ent % 5 = 1 THEN concat(slug, '-ch') ELSE slug END AS slug, concat('Event ', ent % 3) AS name, ent % 10 = 0 AS canonical FROM v_ent WHERE city <> 'NATION_3 3'),
+s AS (SELECT *, count(*) OVER (PARTITION BY code) AS n, CASE WHEN canonical THEN 1000 ELSE 0 END + CASE WHEN regexp_matches(slug, '\bch\b') THEN 0 ELSE 50 END - CASE WHEN length(slug) % 2 = 1 AND substr(slug, 1, length(slug) // 2) = substr(slug, length(slug) // 2 + 2) AND substr(slug, length(slug) // 2 + 1, 1) = '-' THEN 200 ELSE 0 END - length(slug) AS score, regexp_extract(name, ' ([0-9]+)$', 1) AS num FROM d),
+w AS (SELECT code, ent AS winner, num AS wn FROM s WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY code ORDER BY score DESC, ent) = 1),
+f AS (SELECT s.code, s.ent, w.winner, bool_or(abs(a.start_date - b.start_date) >= 14) AS far FROM s JOIN w ON w.code = s.code AND s.ent <> w.winner JOIN v_ed a ON a.ent = s.ent JOIN v_ed b ON b.ent = w.winner AND b.yr = a.yr GROUP BY 1, 2, 3)
+SELECT s.code, s.ent, w.winner, CASE WHEN coalesce(far, false) OR num <> wn THEN 'distinct' ELSE 'merge' END AS action FROM s JOIN w ON w.code = s.code AND s.ent <> w.winner LEFT JOIN f ON f.code = s.code AND f.ent = s.ent""")
 def l03(t):
-    return quality.code_winners(t.v_ent.select("ent", F.col("city").alias("code"), "slug", (F.col("ent") % 10 == 0).alias("canonical")), "code")
+    e = F.col("ent")
+    key = F.concat(F.lit("a"), e.cast("string"))
+    slug = F.when(e % 5 == 0, F.concat(key, F.lit("-"), key)).when(e % 5 == 1, F.concat("slug", F.lit("-ch"))).otherwise(F.col("slug"))
+    d = t.v_ent.select("ent", F.col("city").alias("code"), slug.alias("slug"), F.concat(F.lit("Event "), (e % 3).cast("string")).alias("name"), (e % 10 == 0).alias("canonical"))
+    return quality.code_winners(d, t.v_ed, ["NATION_3 3"])
 
 
-@query("l04_blocked_merges", "SELECT a.ed_id AS a, b.ed_id AS b, CASE WHEN a.country <> b.country THEN 'country' WHEN a.level <> b.level THEN 'level' WHEN abs(a.start_date - b.start_date) >= 14 THEN 'dates' END AS blocked FROM (SELECT e.*, n.city, n.country FROM v_ed e JOIN v_ent n ON n.ent = e.ent) a JOIN (SELECT e.*, n.city, n.country FROM v_ed e JOIN v_ent n ON n.ent = e.ent) b ON a.city = b.city AND a.yr = b.yr AND a.ed_id < b.ed_id")
+@query("l04_blocked_merges", """WITH l AS (SELECT ent, list(DISTINCT CASE WHEN level LIKE 'Ch%' THEN 'challenger' WHEN level LIKE 'ATP%' THEN 'atp' ELSE 'other' END) AS kinds FROM v_ed GROUP BY 1), e AS (SELECT n.ent, city, CASE WHEN n.ent % 7 > 0 THEN country END AS country, CASE WHEN n.ent % 2 = 0 THEN concat(replace(city, ' ', '-'), ', NJ') ELSE slug END AS name, lower(city) AS k, CASE WHEN n.ent % 2 = 0 THEN lower(city) ELSE replace(replace(slug, '-', ' '), '_', ' ') END AS nk, kinds FROM v_ent n JOIN l ON l.ent = n.ent)
+SELECT c.ent AS canonical, g.ent AS ghost, CASE WHEN g.country IS NOT NULL AND g.country IS DISTINCT FROM c.country THEN 'country' WHEN replace(g.nk, '_', ' ') <> replace(c.nk, '_', ' ') AND replace(g.nk, '_', ' ') <> replace(c.k, '_', ' ') THEN 'name' WHEN NOT ((list_contains(g.kinds, 'challenger') AND list_contains(c.kinds, 'challenger') AND NOT list_contains(c.kinds, 'atp')) OR (list_contains(g.kinds, 'atp') AND list_contains(c.kinds, 'atp') AND NOT list_contains(c.kinds, 'challenger'))) THEN 'level' END AS blocked FROM e c JOIN e g ON g.city = c.city AND c.ent % 5 = 0 AND g.ent % 5 > 0""")
 def l04(t):
-    e = t.v_ed.join(t.v_ent, "ent")
-    side = lambda s: e.select("city", "yr", F.col("ed_id").alias(s), F.col("country").alias(f"country_{s}"), F.col("level").alias(f"level_{s}"), F.col("start_date").alias(f"date_{s}"))
-    return quality.blocked_merges(side("a").join(side("b"), ["city", "yr"]).where("a < b")).select("a", "b", "blocked")
-
-
-AUDIT = f"""s AS (SELECT s.*, level FROM v_snap s JOIN v_ed e ON e.ed_id = s.ed_id), p AS (SELECT * FROM v_snap WHERE direct_rank IS NOT NULL OR alt_rank IS NOT NULL),
-a1 AS (SELECT ed_id FROM v_ed e WHERE start_date < DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM p WHERE p.ed_id = e.ed_id)),
-findings AS (SELECT DISTINCT 'C1' AS rule, 'critical' AS severity, ed_id FROM s WHERE direct_rank < {MINP} OR direct_rank > 2500
-UNION ALL SELECT 'C2', 'warn', ed_id FROM v_snap GROUP BY ed_id HAVING max(direct_rank) FILTER (WHERE dr = 'qualifying') < max(direct_rank) FILTER (WHERE ev = 'singles' AND dr = 'main')
-UNION ALL SELECT 'C12', 'warn', ed_id FROM v_ed WHERE isodow(start_date) >= 3
+    kind = F.when(F.col("level").startswith("Ch"), "challenger").when(F.col("level").startswith("ATP"), "atp").otherwise("other")
+    kinds = t.v_ed.groupBy("ent").agg(F.collect_set(kind).alias("kinds"))
+    name = F.when(F.col("ent") % 2 == 0, F.concat(F.replace("city", F.lit(" "), F.lit("-")), F.lit(", NJ"))).otherwise(F.col("slug"))
+    e = t.v_ent.select("ent", "city", F.when(F.col("ent") % 7 > 0, F.col("country")).alias("country"), name.alias("name")).join(kinds, "ent")
+    side = lambda s: e.select(F.col("city").alias("block"), *(F.col(c).alias(f"{c}_{s}") for c in e.columns))
+    pairs = side("c").where("ent_c % 5 = 0").join(side("g").where("ent_g % 5 > 0"), "block")
+    return quality.blocked_merges(pairs).select(F.col("ent_c").alias("canonical"), F.col("ent_g").alias("ghost"), "blocked")
+
+
+#: The audit's tables: editions with a few wrong weeks, changed surfaces and lengths, snapshots with the day they were written.
+_TOUR = "(level LIKE 'ATP%' OR level LIKE 'Ch%' OR level LIKE 'Grand%')"
+AUDIT = f"""e AS (SELECT c.ed_id, c.ent, c.yr, c.level, c.start_date, CASE WHEN c.ed_id % 71 = 0 THEN c.wk + 1 ELSE c.wk END AS wk, CASE WHEN c.ed_id % 53 = 0 THEN 'Clay Indoor' ELSE n.surface END AS surface, c.start_date + CASE WHEN c.ed_id % 31 = 0 THEN 20 WHEN c.ed_id % 29 = 0 THEN -1 ELSE 6 END AS end_date FROM v_cal c JOIN v_ent n ON n.ent = c.ent),
+sn AS (SELECT s.*, e.start_date - cast(s.ed_id % 60 AS INTEGER) AS written FROM v_snap s JOIN e ON e.ed_id = s.ed_id WHERE s.ed_id % 3 > 0 OR s.ev = 'singles'),
+dl AS (SELECT ed_id, start_date, CASE kind WHEN 'main' THEN 'singles-main' WHEN 'qualifying' THEN 'singles-qualifying' ELSE 'doubles-main' END AS draw, monday - days AS closed FROM (SELECT *, cast(date_trunc('week', start_date) AS DATE) AS monday, CASE WHEN level = 'Grand Slam' THEN 'slam' WHEN level LIKE 'ATP%' THEN 'tour' WHEN level LIKE 'Ch%' THEN 'challenger' END AS category FROM e) JOIN (VALUES ('tour','main',28),('tour','qualifying',21),('tour','doubles',14),('challenger','main',21),('challenger','qualifying',19),('challenger','doubles',7),('slam','main',42),('slam','doubles',14)) AS r(cat, kind, days) ON cat = category
+  UNION ALL SELECT ed_id, start_date, 'singles-qualifying', cast(date_trunc('week', start_date) AS DATE) - 21 FROM e WHERE level = 'Grand Slam Qualifying'),
+hv AS (SELECT ed_id, concat(ev, '-', dr) AS draw, max(written) AS written FROM sn WHERE direct_rank IS NOT NULL OR byes IS NOT NULL GROUP BY 1, 2),
+du AS (SELECT dl.*, hv.written, hv.ed_id IS NOT NULL AS has, greatest(closed + 3, start_date) < DATE '1998-06-17' AS late FROM dl LEFT JOIN hv ON hv.ed_id = dl.ed_id AND hv.draw = dl.draw WHERE start_date >= DATE '1998-06-08'),
+ct AS (SELECT e.*, direct_rank FROM e JOIN sn ON sn.ed_id = e.ed_id AND ev = 'singles' AND dr = 'main' AND direct_rank IS NOT NULL WHERE {_TOUR}),
+a1 AS (SELECT ed_id FROM du WHERE start_date < DATE '1998-06-29' GROUP BY 1 HAVING bool_or(late) AND NOT EXISTS (SELECT 1 FROM hv WHERE hv.ed_id = du.ed_id)),
+op AS (SELECT * FROM du WHERE start_date < DATE '1998-08-14' AND late AND NOT has AND ed_id NOT IN (SELECT ed_id FROM a1)),
+sf AS (SELECT *, regexp_replace(lower(surface), 'indoor|outdoor|[^a-z]', '', 'g') AS bare FROM e WHERE {_TOUR}),
+findings AS (SELECT DISTINCT 'C1' AS rule, 'critical' AS severity, ed_id FROM (SELECT sn.*, level FROM sn JOIN e ON e.ed_id = sn.ed_id) WHERE direct_rank < CASE WHEN dr = 'qualifying' THEN 30 WHEN level LIKE '%Slam%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 30 END WHEN level LIKE '%1000%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 25 END WHEN level LIKE '%500%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 15 END WHEN level LIKE '%250%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 10 END WHEN level LIKE 'Ch%' THEN 50 ELSE 5 END OR direct_rank > 2500
+UNION ALL SELECT 'C2', 'critical', ed_id FROM (SELECT sn.* FROM sn JOIN e ON e.ed_id = sn.ed_id WHERE {_TOUR}) GROUP BY ed_id HAVING max(direct_rank) FILTER (WHERE dr = 'qualifying') < max(direct_rank) FILTER (WHERE ev = 'singles' AND dr = 'main')
+UNION ALL SELECT 'C7', 'warn', ed_id FROM e WHERE ed_id % 71 = 0
+UNION ALL SELECT 'C9', 'warn', a.ed_id FROM ct a JOIN ct b ON b.ent = a.ent AND b.level = a.level AND b.yr < a.yr GROUP BY a.ed_id, a.direct_rank HAVING count(*) >= 2 AND (a.direct_rank > 2.5 * median(b.direct_rank) OR a.direct_rank < median(b.direct_rank) / 2.5)
+UNION ALL SELECT 'C10', 'warn', ed_id FROM (SELECT ed_id, bare, lag(bare) OVER (PARTITION BY ent ORDER BY yr) AS was FROM sf) WHERE was <> bare
+UNION ALL SELECT 'C12', 'warn', ed_id FROM e WHERE {_TOUR} AND level NOT LIKE '%1000%' AND (isodow(start_date) BETWEEN 3 AND 6 OR end_date - start_date NOT BETWEEN 0 AND 13)
 UNION ALL SELECT 'A1', 'critical', ed_id FROM a1
-UNION ALL SELECT 'A2', 'warn', ed_id FROM v_ed e WHERE start_date < DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM p WHERE p.ed_id = e.ed_id AND ev = 'singles' AND dr = 'main') AND NOT EXISTS (SELECT 1 FROM a1 WHERE a1.ed_id = e.ed_id))"""
+UNION ALL SELECT 'A2', 'critical', ed_id FROM op WHERE draw = 'singles-main'
+UNION ALL SELECT 'A3', 'critical', ed_id FROM op WHERE draw = 'doubles-main' AND ed_id IN (SELECT ed_id FROM sn WHERE ev = 'singles' AND dr = 'main' AND direct_rank IS NOT NULL)
+UNION ALL SELECT 'A4', 'warn', ed_id FROM op WHERE draw = 'singles-qualifying' AND ed_id IN (SELECT ed_id FROM sn WHERE ev = 'singles' AND dr = 'main' AND direct_rank IS NOT NULL) AND ed_id NOT IN (SELECT ed_id FROM e WHERE level LIKE 'Grand%')
+UNION ALL SELECT DISTINCT 'A5', 'warn', ed_id FROM du WHERE start_date < DATE '1998-07-30' AND late AND written < closed
+UNION ALL SELECT DISTINCT 'S1', 'info', ed_id FROM du WHERE start_date >= DATE '1998-06-15' AND start_date < DATE '1998-06-29' AND late AND NOT has)"""
 
 
 def findings(t):
-    return quality.audit(t.v_ed, t.v_snap, F.to_date(F.lit("2000-01-01")))
+    k = F.col("ed_id")
+    extra = F.when(k % 31 == 0, 20).when(k % 29 == 0, -1).otherwise(6)
+    e = t.v_cal.join(t.v_ent.select("ent", "surface"), "ent").select("ed_id", "ent", "yr", "level", "start_date", (F.col("wk") + F.when(k % 71 == 0, 1).otherwise(0)).alias("wk"), F.when(k % 53 == 0, "Clay Indoor").otherwise(F.col("surface")).alias("surface"), F.date_add("start_date", extra).alias("end_date"))
+    s = t.v_snap.where("ed_id % 3 > 0 or ev = 'singles'").join(e.select("ed_id", "start_date"), "ed_id").withColumn("written", F.date_sub("start_date", (k % 60).cast("int"))).drop("start_date")
+    return quality.audit(e, s, F.to_date(F.lit("1998-06-17")))
 
 
 @query("l05_l07_audit", f"WITH {AUDIT} SELECT * FROM findings")
@@ -104,9 +143,9 @@ def l05(t):
     return findings(t)
 
 
-@query("l11_severity", f"WITH {AUDIT} SELECT ed_id, max(CASE WHEN severity = 'critical' THEN 2 ELSE 1 END) AS worst, count(*) AS n FROM findings WHERE NOT (rule = 'C12' AND ed_id % 2 = 0) GROUP BY ed_id")
+@query("l11_severity", f"WITH {AUDIT} SELECT ed_id, max(CASE WHEN severity = 'critical' THEN 2 WHEN severity = 'warn' THEN 1 ELSE 0 END) AS worst, count(*) AS n FROM findings WHERE NOT (rule = 'C12' AND ed_id % 2 = 0) GROUP BY ed_id")
 def l11(t):
-    ack = t.v_ed.where("ed_id % 2 = 0").select(F.lit("C12").alias("rule"), "ed_id", F.to_date(F.lit("2000-06-01")).alias("until"))
+    ack = t.v_ed.where("ed_id % 2 = 0").select(F.lit("C12").alias("rule"), "ed_id", F.to_date(F.lit("2000-06-01")).alias("until"))  # half of the findings are acknowledged
     return quality.reduce_severity(findings(t), ack, ["ed_id"], F.to_date(F.lit("2000-01-01")))
 
 
@@ -120,18 +159,20 @@ def l08g(t):
     return quality.forward_gaps(t.v_ed, F.to_date(F.lit("2001-06-27")), 8, 25)
 
 
-CASES = "cases AS (SELECT user_id AS key, event_type AS rule, CASE WHEN user_id % 3 = 0 THEN 'fixed' ELSE 'open' END AS status, user_id % 4 AS times_seen, user_id % 3 AS attempts FROM (SELECT user_id, min(event_type) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY 1) x WHERE user_id % 5 > 0), f AS (SELECT DISTINCT user_id AS key, (SELECT min(event_type) FROM events b WHERE b.user_id = a.user_id AND b.event_id % 2 = 0) AS rule FROM events a WHERE user_id % 7 < 4)"
+#: Cases of the users' first kinds of event; findings of the users seen in the last third of the month (a later run).
+CASES = "own AS (SELECT user_id, min(event_type) AS rule, max(day(ts)) AS last_day FROM events GROUP BY 1), cases AS (SELECT user_id AS key, rule, CASE user_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'open' WHEN 2 THEN 'in_progress' ELSE 'escalated' END AS status, user_id % 4 AS times_seen, user_id % 3 AS attempts FROM own WHERE rule <> 'view'), f AS (SELECT user_id AS key, rule FROM own WHERE last_day >= 28), v AS (SELECT user_id AS key FROM own WHERE last_day < 25)"
 
 
 def ledger(t):
-    own = t.events.where("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_type").alias("rule"))
+    own = t.events.groupBy("user_id").agg(F.min("event_type").alias("rule"), F.max(F.dayofmonth("ts")).alias("last_day"))
     u = F.col("user_id")
-    cases = own.where("user_id % 5 > 0").select(u.alias("key"), "rule", F.when(u % 3 == 0, "fixed").otherwise("open").alias("status"), (u % 4).alias("times_seen"), (u % 3).alias("attempts"))
-    f = t.events.where("user_id % 7 < 4").select("user_id").distinct().join(own, "user_id", "left").select(u.alias("key"), "rule")
-    return quality.sync_ledger(cases, f, ["click", "purchase"], F.to_timestamp(F.lit("2024-02-01")))
+    status = F.when(u % 4 == 0, "fixed").when(u % 4 == 1, "open").when(u % 4 == 2, "in_progress").otherwise("escalated")
+    cases = own.where("rule <> 'view'").select(u.alias("key"), "rule", status.alias("status"), (u % 4).alias("times_seen"), (u % 3).alias("attempts"))
+    f = own.where("last_day >= 28").select(u.alias("key"), "rule")
+    return quality.sync_ledger(cases, f, ["click"], F.to_timestamp(F.lit("2024-02-01")), own.where("last_day < 25").select(u.alias("key")))
 
 
-EVENT = "CASE WHEN c.key IS NULL THEN 'opened' WHEN f.key IS NOT NULL AND status = 'fixed' THEN 'reopened' WHEN f.key IS NOT NULL THEN 'seen' WHEN status <> 'fixed' AND c.rule IN ('click', 'purchase') THEN 'fixed' END"
+EVENT = "CASE WHEN c.key IS NULL THEN 'opened' WHEN f.key IS NOT NULL AND status = 'fixed' THEN 'reopened' WHEN f.key IS NOT NULL THEN 'seen' WHEN status <> 'fixed' AND (c.rule = 'click' OR c.key IN (SELECT key FROM v)) THEN 'fixed' END"
 
 
 @query("l12_ledger_state", f"WITH {CASES}, x AS (SELECT coalesce(c.key, f.key) AS key, coalesce(c.rule, f.rule) AS rule, status, times_seen, attempts, f.key IS NOT NULL AS seen, {EVENT} AS event FROM cases c FULL JOIN f ON c.key = f.key) SELECT key, rule, CASE WHEN event IN ('opened', 'reopened') THEN 'open' WHEN event = 'fixed' THEN 'fixed' ELSE status END AS status, coalesce(times_seen, 0) + CASE WHEN seen THEN 1 ELSE 0 END AS times_seen, CASE WHEN event IN ('opened', 'reopened') THEN 0 ELSE attempts END AS attempts FROM x")
@@ -144,17 +185,35 @@ def l12l(t):
     return ledger(t)[1].select("key", "rule", "event")
 
 
-@query("l13_ledger_counts", f"WITH {CASES} SELECT status, count(*) AS n, count(*) FILTER (WHERE attempts >= 2) AS exhausted FROM cases GROUP BY status")
-def l13(t):
-    own = t.events.where("event_id % 2 = 0 and user_id % 5 > 0").select("user_id").distinct()
+def case_rows(t):
     u = F.col("user_id")
-    return quality.ledger_counts(own.select(F.when(u % 3 == 0, "fixed").otherwise("open").alias("status"), (u % 3).alias("attempts")))
+    own = t.events.groupBy("user_id").agg(F.max("ts").alias("ts"))
+    status = F.when(u % 4 == 0, "fixed").when(u % 4 == 1, "open").when(u % 4 == 2, "in_progress").otherwise("escalated")
+    return own.select(u.alias("id"), status.alias("status"), F.when(u % 5 == 0, "critical").otherwise("warn").alias("severity"), (u % 3).alias("attempts"), F.when(u % 2 == 0, F.col("ts")).alias("notified_at"), F.col("ts").alias("resolved_at"))
+
+
+CASE_ROWS = "c AS (SELECT user_id AS id, CASE user_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'open' WHEN 2 THEN 'in_progress' ELSE 'escalated' END AS status, CASE WHEN user_id % 5 = 0 THEN 'critical' ELSE 'warn' END AS severity, user_id % 3 AS attempts, CASE WHEN user_id % 2 = 0 THEN max(ts) END AS notified_at, max(ts) AS resolved_at FROM events GROUP BY user_id)"
+
+
+@query("l13_ledger_counts", f"WITH {CASE_ROWS} SELECT status, count(*) AS n, count(*) FILTER (WHERE attempts >= 2) AS exhausted FROM c GROUP BY status")
+def l13(t):
+    return quality.ledger_counts(case_rows(t))
+
+
+@query("l13_worst_first", f"WITH {CASE_ROWS} SELECT id, status, severity FROM c ORDER BY CASE status WHEN 'escalated' THEN 0 WHEN 'open' THEN 1 WHEN 'in_progress' THEN 2 ELSE 3 END, CASE severity WHEN 'critical' THEN 0 ELSE 1 END, id DESC LIMIT 50")
+def l13w(t):
+    return quality.worst_first(case_rows(t)).select("id", "status", "severity")
 
 
-@query("g04_finding_diff", "WITH a AS (SELECT DISTINCT user_id AS key, event_type AS rule FROM events WHERE day(ts) = 3), b AS (SELECT DISTINCT user_id AS key, event_type AS rule FROM events WHERE day(ts) = 4) SELECT coalesce(a.key, b.key) AS key, coalesce(a.rule, b.rule) AS rule, CASE WHEN a.key IS NULL THEN 'fresh' WHEN b.key IS NOT NULL THEN 'kept' WHEN a.rule IN ('click', 'view') THEN 'resolved' ELSE 'unknown' END AS state FROM a FULL JOIN b ON a.key = b.key AND a.rule = b.rule")
+@query("l13_actions", f"WITH {CASE_ROWS}, a AS (SELECT id, CASE WHEN status IN ('open', 'in_progress') THEN CASE WHEN attempts < 2 THEN 'work' ELSE 'escalate' END WHEN status = 'escalated' AND notified_at IS NULL THEN 'tell' WHEN status = 'escalated' AND notified_at < TIMESTAMP '2024-02-05' - INTERVAL 7 DAY THEN 'remind' WHEN status = 'fixed' AND resolved_at > TIMESTAMP '2024-02-05' - INTERVAL 7 DAY THEN 'recent' END AS action FROM c) SELECT * FROM a WHERE action IS NOT NULL")
+def l13a(t):
+    return quality.ledger_actions(case_rows(t), F.to_timestamp(F.lit("2024-02-05")))
+
+
+@query("g04_finding_diff", "WITH a AS (SELECT DISTINCT user_id AS key, event_type AS rule FROM events WHERE day(ts) = 3), b AS (SELECT DISTINCT user_id AS key, event_type AS rule FROM events WHERE day(ts) = 4) SELECT coalesce(a.key, b.key) AS key, coalesce(a.rule, b.rule) AS rule, CASE WHEN a.key IS NULL THEN 'fresh' WHEN b.key IS NOT NULL THEN 'kept' WHEN a.rule = 'click' THEN 'resolved' ELSE 'unknown' END AS state FROM a FULL JOIN b ON a.key = b.key AND a.rule = b.rule")
 def g04(t):
     day = lambda n: t.events.where(F.dayofmonth("ts") == n).select(F.col("user_id").alias("key"), F.col("event_type").alias("rule")).distinct()
-    return sets.finding_diff(day(3), day(4), ["click", "view"])
+    return sets.finding_diff(day(3), day(4), ["click", "view"], ["view"])
 
 
 @query("l14_l16_checks", "SELECT ed_id, coalesce(direct_rank, 0) + coalesce(alt_rank, 0) = adv_rank AS adds_up, ev = 'doubles' AND dr = 'qualifying' AS invalid FROM v_snap")
@@ -182,9 +241,9 @@ def l19(t):
     return quality.sweep_status(e, rules, t.v_snap.where("adv_rank is not null").select("ed_id"))
 
 
-@query("l20_audit_levels", "WITH h AS (SELECT ent AS code, max(yr) AS season, arg_max(level, yr) AS level, ent % 4 = 0 AS heuristic FROM v_ed WHERE ent % 5 > 0 GROUP BY ent) SELECT e.ed_id, CASE WHEN e.ent % 11 = 0 THEN 'missing code' WHEN h.season IS NULL OR h.season <> e.yr THEN 'unverifiable' WHEN h.heuristic THEN CASE WHEN e.level LIKE 'ATP%' THEN 'confirmed' ELSE 'mismatch' END WHEN h.level = e.level THEN 'confirmed' ELSE 'mismatch' END AS verdict FROM v_ed e LEFT JOIN h ON h.code = CASE WHEN e.ent % 11 > 0 THEN e.ent END")
+@query("l20_audit_levels", "WITH h AS (SELECT ent AS code, max(yr) AS season, arg_max(level, yr) AS level, ent % 4 = 0 AS heuristic FROM v_ed GROUP BY ent) SELECT e.ed_id, CASE WHEN e.ent % 11 = 0 THEN 'missing code' WHEN h.season IS NULL OR h.season <> e.yr THEN 'unverifiable' WHEN h.heuristic THEN CASE WHEN e.level LIKE 'ATP%' THEN 'confirmed' ELSE 'mismatch' END WHEN h.level = e.level THEN 'confirmed' ELSE 'mismatch' END AS verdict FROM v_ed e LEFT JOIN h ON h.code = CASE WHEN e.ent % 11 > 0 THEN e.ent END")
 def l20(t):
-    h = t.v_ed.where("ent % 5 > 0").groupBy(F.col("ent").alias("code")).agg(F.max("yr").alias("season"), F.max_by("level", "yr").alias("level")).withColumn("heuristic", F.col("code") % 4 == 0)
+    h = t.v_ed.groupBy(F.col("ent").alias("code")).agg(F.max("yr").alias("season"), F.max_by("level", "yr").alias("level")).withColumn("heuristic", F.col("code") % 4 == 0)
     return quality.audit_levels(t.v_ed.withColumn("code", F.when(F.col("ent") % 11 > 0, F.col("ent"))), h)
 
 
@@ -248,11 +307,17 @@ def m06r(t):
     return merge.repoint(t.orders.select((F.col("o_custkey") % 100).alias("usr"), F.col("o_custkey").alias("ent")), mapping, "usr")
 
 
-@query("m07_refile_seasons", "WITH w AS (SELECT *, yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END AS season FROM v_ed) SELECT w.ed_id, w.season, CASE WHEN r.ed_id IS NULL THEN 'move' WHEN abs(w.start_date - r.start_date) < 14 THEN 'fold' ELSE 'split' END AS action, CASE WHEN abs(w.start_date - r.start_date) < 14 THEN r.ed_id END AS into_id FROM w LEFT JOIN v_ed r ON r.ent = w.ent AND r.yr = w.season WHERE w.season <> w.yr")
+@query("m07_refile_seasons", """WITH e AS (SELECT ed_id, concat('s', ent % 40, CASE WHEN ent % 3 > 0 THEN concat('-', ent % 3 + 1) ELSE '' END) AS slug, CASE WHEN month(start_date) = 12 AND ent % 2 = 0 THEN yr + 1 ELSE yr END AS yr, start_date, level FROM v_ed), w AS (SELECT *, year(start_date) + CASE WHEN start_date >= cast(date_trunc('week', make_date(year(start_date) + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END AS season FROM e), m AS (SELECT * FROM w WHERE season = yr - 1 AND level NOT LIKE 'ITF%'),
+r AS (SELECT slug, yr, arg_min(start_date, ed_id) AS d, min(ed_id) AS id FROM e GROUP BY 1, 2), f AS (SELECT m.ed_id, min(k) AS k FROM m, (VALUES (2), (3), (4)) s(k) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.slug = concat(m.slug, '-', k) AND r.yr = m.season) GROUP BY 1)
+SELECT m.ed_id, cast(m.season AS INTEGER) AS season, CASE WHEN r.id IS NULL THEN 'move' WHEN abs(m.start_date - r.d) < 14 THEN 'fold' WHEN f.k IS NOT NULL THEN 'split' ELSE 'conflict' END AS action, CASE WHEN r.id IS NULL THEN NULL WHEN abs(m.start_date - r.d) < 14 THEN cast(r.id AS VARCHAR) WHEN f.k IS NOT NULL THEN concat(m.slug, '-', f.k) END AS into_id FROM m LEFT JOIN r ON r.slug = m.slug AND r.yr = m.season LEFT JOIN f ON f.ed_id = m.ed_id""")
 def m07(t):
     from tideline.functions import dates
 
-    return merge.refile_seasons(t.v_ed, dates.season_of(F.col("start_date"))).withColumnRenamed("into", "into_id")
+    e = F.col("ent")
+    tail = F.when(e % 3 > 0, F.concat(F.lit("-"), (e % 3 + 1).cast("string"))).otherwise("")
+    late = (F.month("start_date") == 12) & (e % 2 == 0)
+    rows = t.v_ed.select("ed_id", F.concat(F.lit("s"), (e % 40).cast("string"), tail).alias("slug"), (F.col("yr") + F.when(late, 1).otherwise(0)).alias("yr"), "start_date", "level")
+    return merge.refile_seasons(rows, dates.season_of(F.col("start_date"))).withColumnRenamed("into", "into_id")
 
 
 @query("m08_distinct_slugs", "WITH o AS (SELECT o_orderkey AS ed_id, cast(year(o_orderdate) AS INTEGER) AS yr, cast(o_orderdate AS DATE) AS start_date, cast(o_custkey AS VARCHAR) AS slug FROM orders), g AS (SELECT *, CASE WHEN start_date - lag(start_date) OVER w >= 14 THEN 1 ELSE 0 END AS n FROM o WINDOW w AS (PARTITION BY slug, yr ORDER BY start_date, ed_id)), k AS (SELECT *, sum(n) OVER (PARTITION BY slug, yr ORDER BY start_date, ed_id) + 1 AS n2 FROM g) SELECT ed_id, CASE WHEN n2 = 1 THEN slug ELSE concat(slug, '-', n2) END AS new_slug FROM k")
@@ -291,11 +356,17 @@ def m14(t):
     return merge.clone_to_year(t.v_ed, 2001)
 
 
-@query("m15_upgrade_identity", "WITH r AS (SELECT ent AS code, arg_max(cast(ed_id AS VARCHAR), yr) AS name, arg_max(level, yr) AS level FROM v_ed GROUP BY ent) SELECT e.ed_id, coalesce(r.name, '-') AS name, CASE WHEN e.ed_id % 2 = 0 AND r.level LIKE 'ATP%' THEN r.level ELSE e.level END AS level FROM v_ed e LEFT JOIN r ON r.code = e.ent")
+@query("m13_apply_overrides", "SELECT ent, CASE WHEN ent % 50 = 7 THEN 'SET' ELSE country END AS country, CASE WHEN ent % 50 = 7 AND ent % 100 = 7 THEN 'Clay' ELSE surface END AS surface, ent % 50 = 7 AS rewritten FROM v_ent")
+def m13o(t):
+    o = t.v_ent.where("ent % 50 = 7").select("ent", F.lit("SET").alias("country"), F.when(F.col("ent") % 100 == 7, "Clay").alias("surface"))  # overrides are few
+    return merge.apply_overrides(t.v_ent.select("ent", "country", "surface"), o, "ent", ["country", "surface"])
+
+
+@query("m15_upgrade_identity", "WITH r AS (SELECT e.ent AS code, arg_max(cast(ed_id AS VARCHAR), yr) AS name, arg_max(e.level, yr) AS level, any_value(n.city) AS city, any_value(n.country) AS country FROM v_ed e JOIN v_ent n ON n.ent = e.ent GROUP BY e.ent) SELECT e.ed_id, coalesce(r.name, '-') AS name, coalesce(r.city, '?') AS city, r.country, CASE WHEN e.ed_id % 2 = 0 AND r.level LIKE 'ATP%' THEN r.level ELSE e.level END AS level FROM v_ed e LEFT JOIN r ON r.code = e.ent")
 def m15(t):
-    reg = t.v_ed.select(F.col("ent").alias("code"), F.col("ed_id").cast("string").alias("name"), "level", "yr")
-    rows = t.v_ed.select("ed_id", F.col("ent").alias("code"), F.lit("-").alias("name"), "level", (F.col("ed_id") % 2 == 0).alias("heuristic"))
-    return merge.upgrade_identity(rows, reg, "code").select("ed_id", "name", "level")
+    reg = t.v_ed.join(t.v_ent.drop("name"), "ent").select(F.col("ent").alias("code"), F.col("ed_id").cast("string").alias("name"), "city", "country", "level", "yr")
+    rows = t.v_ed.select("ed_id", F.col("ent").alias("code"), F.lit("-").alias("name"), F.lit("?").alias("city"), F.lit(None).cast("string").alias("country"), "level", (F.col("ed_id") % 2 == 0).alias("heuristic"))
+    return merge.upgrade_identity(rows, reg, "code").select("ed_id", "name", "city", "country", "level")
 
 
 @query("a10_change_set", f"WITH {TWO} SELECT coalesce(a.ed_id, b.ed_id) AS ed_id, CASE WHEN a.ed_id IS NULL THEN 'insert' WHEN b.ed_id IS NULL THEN 'delete' ELSE 'update' END AS op FROM a FULL JOIN b ON a.ed_id = b.ed_id WHERE a.ed_id IS NULL OR b.ed_id IS NULL OR a.direct_rank IS DISTINCT FROM b.direct_rank OR a.alt_rank IS DISTINCT FROM b.alt_rank")

@@ -43,10 +43,15 @@ def a04r(t):
     return readers.flatten_json(payloads(t), "payload", {"who": ["name", "player"], "rank": ["rank"]}, ["who", "rank"])[1].select("event_id", "reason")
 
 
-@query("a05_registry", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'cancelled' ELSE 'active' END AS status FROM nation")
+@query("a05_registry", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'cancelled' WHEN n_regionkey = 2 THEN 'moved' ELSE 'active' END AS status FROM nation")
 def a05(t):
-    rules = t.spark.createDataFrame([(1, "cancelled")], "n_regionkey int, status string")
-    return t.nation.join(F.broadcast(rules), "n_regionkey", "left").select("n_nationkey", F.coalesce("status", F.lit("active")).alias("status"))
+    path = new_path(t.spark, "registry")
+    for part, status in (("a", "planned"), ("b", "cancelled")):  # the later file wins
+        rows = t.region.where("r_regionkey = 1").select(F.col("r_regionkey").alias("key"), F.lit(f" {status} ").alias("status"))
+        extra = t.region.where("r_regionkey = 2").select(F.col("r_regionkey").alias("key"), F.lit("moved").alias("status"))
+        rows.unionByName(extra).unionByName(extra).coalesce(1).write.option("header", True).csv(f"{path}/{part}")
+    rules = readers.load_registry(t.spark, [f"{path}/a", f"{path}/b"], "key int, status string", ["key"])
+    return t.nation.join(rules, F.col("n_regionkey") == F.col("key"), "left").select("n_nationkey", F.coalesce("status", F.lit("active")).alias("status"))
 
 
 @query("a06_extract_records", r"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents) SELECT doc_id, cast(n AS INTEGER) AS line_no, regexp_extract(line, '^([A-Z][a-z]+) ([a-z]+)', 1) AS name, regexp_extract(line, '^([A-Z][a-z]+) ([a-z]+)', 2) AS code FROM l WHERE regexp_matches(line, '^([A-Z][a-z]+) ([a-z]+)')")

@@ -90,3 +90,18 @@ def load_rankings(spark: SparkSession, ranks: str, players: str) -> tuple[DataFr
 def write_scope(df: DataFrame, path: str, scope: list[str]) -> None:
     """Replace only the partitions (scopes) that ``df`` holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
+
+
+def load_registry(spark, paths: list[str], schema: str, keys: list[str]):
+    """A static registry (catalogue, aliases, overrides, cancelled rules) from CSV files as a dimension: quoted fields, trimmed, blank is null, one
+    row for each key (the last file and line win). Whether it is broadcast is left to its measured size."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    parts = None
+    for place, path in enumerate(paths):
+        raw = spark.read.csv(path, header=True, schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="")
+        one = raw.select("*", F.lit(place).alias("_p"), F.col("_metadata.file_name").alias("_f"), F.monotonically_increasing_id().alias("_n"))
+        parts = one if parts is None else parts.unionByName(one)
+    last = W.partitionBy(*keys).orderBy(F.col("_p").desc(), F.col("_f").desc(), F.col("_n").desc())
+    return parts.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_p", "_f", "_n").where(F.coalesce(*keys).isNotNull())

@@ -73,3 +73,9 @@ def movement_ledger(moves: DataFrame, keys: list[str], ts: str, delay: str = "60
     """Movements once by fingerprint; late ones within the watermark keep their event time."""
     fp = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), 256)
     return moves.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("fingerprint", fp).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+
+
+def failure_counters(checks: DataFrame, ts: str, width: str = "1 day", delay: str = "2 days") -> DataFrame:
+    """Checks and failures of each source by closed windows of event time. ``checks`` has src, failed."""
+    w = checks.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), "src")
+    return w.agg(F.count(F.lit(1)).alias("checks"), F.count(F.when(F.col("failed"), 1)).alias("failures")).select(F.col("w.start").alias("day"), "src", "checks", "failures")
