@@ -33,6 +33,107 @@ def test_distances_and_places(spark):
     assert keys[1:] == ["bogota", "tigre"] and keys[0].startswith("sandiego")
 
 
+def test_letters_with_marks_fold(spark):
+    for raw, key in (("Łódź", "lodz"), ("Đà Nẵng", "danang"), ("Székesfehérvár", "szekesfehervar"), ("Plzeň", "plzen"), ("Żory-Ostrów", "zoryostrow"), ("Hódmezővásárhely", "hodmezovasarhely"), ("Quảng Ngãi", "quangngai"), ("São Paulo", "saopaulo")):
+        assert one(spark, text.city_key(F.lit(raw))) == key
+
+
+def placed(spark, rows):
+    """Events (ed_id, level[, changes]) of one week in one place on clay."""
+    base = {"yr": 2026, "wk": 36, "lat": 41.9, "lon": 12.5, "surface": "Clay", "indoor": False, "draw_size": None}
+    full = [{**base, "ed_id": i, "level": lv, **dict(more[0] if more else {})} for i, lv, *more in rows]
+    return spark.createDataFrame(full, "ed_id long, level string, yr int, wk int, lat double, lon double, surface string, indoor boolean, draw_size int")
+
+
+def depths(df, discipline="singles"):
+    return {r.ed_id: round(r.depth, 6) for r in field.depth(df, discipline).collect()}
+
+
+def test_depth_counts_what_events_above_absorb(spark):
+    got = depths(placed(spark, [(1, "Challenger 75"), (2, "ATP 250"), (3, "Grand Slam"), (4, "Exhibition"), (5, "Grand Slam Qualifying")]))
+    assert got[1] == 25 + 26 + 148 and got[2] == 24 + 148 and got[3] == 104 and got[4] == 0 and got[5] == 104 + 148
+    two = depths(placed(spark, [(1, "Challenger 100"), (2, "Challenger 100"), (3, "Challenger 75"), (4, "ATP 1000"), (5, "ATP Finals")]))
+    assert two[1] == two[2] == 25 + 25 + 36 and two[3] == 25 + 25 + 25 + 36 and two[4] == 43 and two[5] == 0
+    later = depths(placed(spark, [(1, "Challenger 75", {"wk": 37}), (2, "Challenger 75", {"wk": 38}), (3, "Challenger 75", {"wk": 39}), (4, "Grand Slam")]))
+    assert (later[1], later[2], later[3]) == (25 + 74, 25 + 37, 25)
+    weights = depths(placed(spark, [(1, "Challenger 75"), (2, "Challenger 75", {"surface": "Grass"}), (3, "Challenger 75", {"indoor": True}), (4, "Challenger 75", {"draw_size": 48, "lat": None})]))
+    assert weights[1] == round(25 + 25 * 0.3 + 25 * 0.85, 6) and weights[2] == 25 + 2 * 25 * 0.3 and weights[4] == 41
+    pairs = depths(placed(spark, [(1, "Challenger 75"), (2, "ATP 500")]), "doubles")
+    assert pairs == {1: 14 + 16, 2: 14}
+
+
+def test_contributions_add_up_to_depth(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["Grand Slam", "ATP 1000", "ATP 250", "Challenger 125", "Challenger 75", "ITF M25", "Exhibition", "Grand Slam Qualifying"]
+    df = placed(spark, [(k, rng.choice(names), {"wk": rng.randint(30, 33), "lat": rng.choice([10.0, 11.5, 48.0, None]), "lon": float(rng.randint(0, 3)), "surface": rng.choice(["Clay", "Hard", "Grass", "Carpet"]), "indoor": rng.choice([None, True, False])}) for k in range(120)])
+    sums = {}
+    for r in field.contributions(df).collect():
+        sums[r.ed_id] = sums.get(r.ed_id, 0) + r.contribution
+    for r in field.depth(df).collect():
+        assert r.others == pytest.approx(sums.get(r.ed_id, 0), abs=1e-9)
+
+
+def test_deadlines_of_slams(spark):
+    e = spark.createDataFrame([(1, "Grand Slam", "2026-08-31"), (2, "Grand Slam Qualifying", "2026-08-24"), (3, "ATP 250", "2026-03-18"), (4, "ITF M25", "2026-01-15"), (5, "Exhibition", "2026-01-15")], "ed_id long, level string, d string").withColumn("start_date", F.to_date("d"))
+    got = {(r.ed_id, r.kind): r for r in field.deadlines(e).collect()}
+    assert {k for k, _ in got} == {1, 3, 4} and len(got) == 7
+    day = dt.date.fromisoformat
+    assert got[1, "main"].due == day("2026-07-20") and got[1, "main"].qualifying_due == day("2026-08-03") and got[1, "qualifying"].qualifying_due is None
+    assert got[3, "main"].due == day("2026-02-16") and got[3, "main"].due_at == dt.datetime(2026, 2, 16, 17) and got[1, "main"].due_at.hour == 16
+    assert got[4, "entry"].due_at == dt.datetime(2025, 12, 25, 14) and got[4, "entry"].time_note == "14:00 GMT (Thu)"
+
+
+def test_week_view_takes_the_nearest_week(spark):
+    df = placed(spark, [(1, "Challenger 75"), (2, "ATP 250"), (3, "Challenger 75", {"lat": -30.0, "lon": -60.0}), (4, "Challenger 75", {"wk": 30})])
+    cuts = spark.createDataFrame([(1, 300)], "ed_id long, last_cut int")
+    got = {r.ed_id: r for r in field.week_view(df, cuts, 2026, 35).collect()}
+    assert set(got) == {1, 2, 3} and {r.week for r in got.values()} == {36}
+    assert (got[1].places, got[1].rank, got[1].region, got[1].last_cut) == (52, 1, "Europe", 300) and got[2].rank == 2 and got[3].region == "South America"
+    assert got[1].reasons.startswith("absorption:2") and got[1].competing == 2 and got[2].competing == 0
+    assert field.nearest_week(df, 2026, 33) == 30 and field.nearest_week(df, 2030, 7) == 7
+
+
+def test_spread_joins_equal_plain_joins(spark):
+    from tideline.operators import spread
+
+    many = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(3000)] + [(None, -1)], "key int, row int")
+    few = spark.createDataFrame([(k, f"v{k}") for k in range(0, 3000, 2)] + [(1, "hot")], "key int, value string")
+    assert spread.hot_keys(many, ["key"]).count() == 1
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = spread.spread_join(many, few, ["key"], F.col("row"), how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "key", how).collect()))
+
+
+def test_links_have_the_components_of_all_edges(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, 2020, rng.randint(1, 6), rng.choice("ABCD"), "r", rng.choice(["Clay", "Hard"]), float(rng.randint(0, 4)), float(rng.randint(0, 4))) for k in range(150)]
+    e = spark.createDataFrame(rows, "ed_id long, yr int, wk int, country string, region string, surface string, lat double, lon double")
+    near = spark.createDataFrame([("A", "B"), ("B", "A"), ("C", "D"), ("D", "C")], "a string, b string")
+    whole = connected_components(joins.adjacency_edges(e, near, 250))
+    assert sorted(map(tuple, connected_components(joins.adjacency_links(e, near, 250)).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    with pytest.raises(RuntimeError):
+        connected_components(spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), max_rounds=1)
+
+
+def test_late_rows_within_the_watermark_count_and_later_ones_are_dropped(spark, tmp_path):
+    """Three files arrive one by one; event time decides, and what is older than the watermark at its arrival is left out."""
+    from tideline.streaming import jobs
+
+    day = lambda n, h=0: dt.datetime(2024, 1, n, h)
+    for k, rows in enumerate([[(day(1), "a", 1), (day(10), "a", 2)], [(day(9), "b", 3), (day(11), "b", 4)], [(day(2), "c", 5), (day(11, 5), "c", 6)]]):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, event_id long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("ts timestamp, event_type string, event_id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = {r.event_id for r in jobs.run_to_table(jobs.movement_ledger(stream, ["event_id"], "ts", "3 days"), "late-test").collect()}
+    assert got == {1, 2, 3, 4, 6}
+
+
 def test_mondays_and_seasons(spark):
     for day, monday in (("2026-03-16", "2026-03-16"), ("2026-03-18", "2026-03-16"), ("2026-03-15", "2026-03-09")):
         assert one(spark, dates.monday_of(F.lit(day).cast("date"))) == dt.date.fromisoformat(monday)
@@ -120,7 +221,10 @@ def test_joins_are_equi_joins(spark):
     e = spark.createDataFrame([(1, 2020, 3, 10.0, 20.0, "ATP 250", "Clay")], "ed_id long, yr int, wk int, lat double, lon double, level string, surface string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for df in (joins.near_in_time_space(e, e, ["yr"], "wk", [-1, 0, 1], 800), field.depth(e), field.drain(e)):
+        from tideline.plans import projection
+
+        o = e.selectExpr("*", "1L as ent", "'tour' as grp", "300 as cut")
+        for df in (joins.near_in_time_space(e, e, ["yr"], "wk", [-1, 0, 1], 800), field.depth(e), field.drain(e), projection.level_medians(o), projection.cohort_base(o), projection.season_drift(o), projection.regional_drift(o)):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     finally:
