@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, quality rules, exact dedup, n-gram Jaccard join, packing.
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``. Between stages the rows
-are written as Parquet in the shared folder and read again.
+are written as Parquet in the shared folder and read again. All stages read whole texts of any length, judge row by row (ids may
+repeat or be null), keep extra columns whatever their names, and turn an empty table into an empty one.
 """
 
 from __future__ import annotations
@@ -27,26 +28,31 @@ def _survivor(docs: DataFrame) -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts of no clear language. The classifier's sample comes from the stage's input."""
+    """Rejects texts without letters (null and empty ones too) and texts of no clear language; of two equally likely languages the
+    probability is at most a half, and exactly a half stays. Repeated rows share a fate. The classifier's sample comes from the
+    stage's input; without rows that have a language every text is rejected."""
     found = language_id.identify(docs, language_id.learn(docs), keep=tuple(docs.columns))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the base rule or the learned decision list rejects; the verdict is an expression over the row itself."""
+    """Rejects what the base rule or the learned decision list rejects; the verdict is an expression over the row itself. Null and
+    empty texts fail the base rule; repeated rows share a fate; rows without an id or a label are judged like any other."""
     rules = quality_rules.learn_from_labels(docs, read_table(spark, sf_dir, "labels"))
     return quality_rules.quality_rules(docs, rules, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: the smallest id, and of rows that repeat it one."""
+    """One row of each group of equal texts stays: the smallest id (a null one last), and of rows that repeat it one. Null text
+    equals empty text."""
     rows = _keyed(docs)
     judged = exact_dedup.exact_dedup(rows.select("text", _survivor(docs).alias("_key")), id="_key")
     return rows.join(judged.where("kept").select("_key._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies stays (5 words, similarity 0.8): the smallest id, and of rows that repeat it one."""
+    """One row of each component of near copies stays (5 words, similarity 0.8): the smallest id (a null one last), and of rows that
+    repeat it one. Texts without words have no copies and all stay."""
     rows = _keyed(docs)
     joined = jaccard_join.jaccard_join(rows, jaccard_join.Spec(k=5, num=4, den=5), id="_row").select("_row", "component_id")
     first = rows.select("_row", _survivor(docs).alias("_key")).join(joined, "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
@@ -54,6 +60,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length bucket, batch and slot of every row by its number of words (null text: 0). A text over the budget is a batch of its own;
+    repeated and null ids have slots of their own."""
     return packing.pack(docs, packing.word_count())
 
 
