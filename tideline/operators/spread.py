@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key with more than this share of the rows is hot, so at most 1 / HOT_SHARE keys are: the bound of the broadcast.
 HOT_SHARE = 0.001
@@ -18,9 +19,17 @@ def hot_keys(rows: DataFrame, on: list[str], share: float = HOT_SHARE, least: in
     line = max(share * (total or 0), least)
     if (most or 0) <= line:
         return None
-    hot = [tuple(r) for r in counts.where(F.col("_n") > line).collect()]  # at most 1 / share rows
-    parts = rows.sparkSession.createDataFrame(hot, rows.select(*on).schema.add("_n", "long"))
-    return parts.withColumn("_salts", F.ceil(F.col("_n") / line).cast("int")).drop("_n")
+    hot = counts.where(F.col("_n") > line).collect()  # at most 1 / share rows
+    kinds = rows.select(*on).schema.fields
+    salts = lambda n: F.lit(-(-n // max(1, int(line)))).cast("int").alias("_salts")
+    table = F.array(*(F.struct(*(_literal(r[f.name], f.dataType).alias(f.name) for f in kinds), salts(r["_n"])) for r in hot))
+    return rows.sparkSession.range(1).select(F.explode(table).alias("x")).select("x.*")
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    if value is not None and isinstance(kind, T.StructType):
+        return F.struct(*(_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields))
+    return F.lit(bytes(value) if isinstance(value, bytearray) else value).cast(kind)
 
 
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: Column, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
