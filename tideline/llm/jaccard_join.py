@@ -6,8 +6,9 @@
    ranges grows with the bytes of text.
 3. A set whose shared shingles could not reach the threshold is done. The others publish their rarest shingles (prefix
    filter in global frequency order: a linked pair must share one of them). The sets of a published shingle are a posting.
-4. Star rounds link sets cheaply: of the components that meet in a posting, a representative each is verified against a
-   few hubs, as long as that merges many. Postings of one component are done. Only verified links make components.
+4. A star round links sets cheaply: each set of a posting is verified against a few hubs, and takes the label of a hub that it
+   links to. Postings of one label are done. While a posting is too long for one task, further rounds verify a representative of
+   each component, as long as that merges many. Only verified links make components.
 5. The postings that are left get signature trees: inner nodes hold OR-combined token bitmaps, size ranges and ranges of
    components. A dual traversal of a tree with itself prunes node pairs by size, by the largest possible overlap (common bits
    and bit collisions) and where all sets are connected already. The upper levels of a long posting (size classes, then digits of a
@@ -54,7 +55,7 @@ class Spec:
     den: int = 5
     chunk_bytes: int = 4 << 20
     range_bytes: int = 16 << 20
-    leaf_sets: int = 1024
+    leaf_sets: int = 4096
     hubs: int = 3
     star_rounds: int = 8
 
@@ -225,7 +226,7 @@ def _still_open(postings: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def _star(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec, turn: int) -> tuple[DataFrame, int]:
-    """Verified links of the representatives of each posting's components with the posting's hubs, and the number of representatives."""
+    """Verified links of the representatives of each posting's components with the posting's hubs, and the number of pairs tried."""
     first = F.min_by(F.struct("set_id", "n"), F.xxhash64("set_id", F.lit(turn)))
     reps = materialise(postings.groupBy("key", "label").agg(first.alias("r")).select("key", "label", "r.set_id", "r.n"), "jaccard-reps") if turn else postings
     hub = lambda k: F.min_by(F.struct("set_id", "n", "label"), F.xxhash64("label", F.lit(turn * spec.hubs + k)))
@@ -233,7 +234,7 @@ def _star(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spe
     met = salted_join(reps, hubs, ["key"], F.col("set_id"), hot).select("set_id", "n", "label", F.explode("hubs").alias("h"))
     pairs = met.where((F.col("label") != F.col("h.label")) & _alike(F.col("n"), F.col("h.n"), spec)).select(F.col("h.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
     pairs = materialise(pairs, "jaccard-pairs")
-    return materialise(_verify(pairs, able, spec), "jaccard-links"), reps.select("set_id").distinct().count()
+    return materialise(_verify(pairs, able, spec), "jaccard-links"), pairs.count()
 
 
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -350,21 +351,20 @@ def _components(able: DataFrame, spec: Spec) -> DataFrame:
     hot = hot_keys(postings, ["key"])
     postings, links = _still_open(postings, hot), None
     for turn in range(spec.star_rounds):
-        found, reps = _star(postings, able, hot, spec, turn)
+        longest = postings.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        if not longest or (turn and longest <= spec.leaf_sets):
+            break
+        found, tried = _star(postings, able, hot, spec, turn)
         n = found.count()
         if n:
             links = found if links is None else links.unionByName(found)
-            labels = _labels(links)
+            # Sets that link to one hub are connected through it; that is all a label has to say here.
+            labels = _labels(links) if turn else found.groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("label"))
             postings = _still_open(postings.drop("label").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), hot)
-        if n * 4 <= reps:
+        if n * 4 <= tried:
             break
-    if not postings.isEmpty():
-        found = materialise(_verify(materialise(_traverse(postings, able, hot, spec), "jaccard-pairs"), able, spec), "jaccard-links")
-        if links is None or not found.isEmpty():
-            return _labels(found if links is None else links.unionByName(found))
-    elif links is None:
-        return able.select("set_id", F.col("set_id").alias("label")).where("false")
-    return labels
+    found = materialise(_verify(materialise(_traverse(postings, able, hot, spec), "jaccard-pairs"), able, spec), "jaccard-links")
+    return _labels(found if links is None else links.unionByName(found))
 
 
 def _labels(links: DataFrame) -> DataFrame:
