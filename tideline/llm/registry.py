@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, packing, quality_rules, warc
+from tideline.llm import byte_bpe, chat_format, exact_dedup, hard_negatives, jaccard_join, language_id, license_scan, line_dedup, lm_score, packing, quality_rules, source_audit, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_warc": warc.op9_warc,
         "op10_lm_score": lm_score.op10_lm_score,
+        "op11_source_audit": source_audit.op11_source_audit,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_license_scan": license_scan.op13_license_scan,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
+        "op11_source_audit": source_audit.ORACLE_SQL,
+        "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op13_license_scan": license_scan.ORACLE_SQL,
     }
