@@ -26,8 +26,12 @@ def normalize_key(c: Column) -> Column:
     return city_key(F.replace(c, F.lit("&"), F.lit("and")))
 
 
+#: Fixed value: a challenger's mark at the end of a name, with or without a number.
+CHALLENGER_TAIL = r"\s+ch(\s+\d+)?$"
+
+
 def strict_key(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(fold(c), r" ch [0-9]+$", ""), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.regexp_replace(fold(c), CHALLENGER_TAIL, ""), "[^a-z0-9]+", "")
 
 
 def base_key(c: Column) -> Column:
@@ -36,8 +40,8 @@ def base_key(c: Column) -> Column:
 
 def schedule_name_key(c: Column) -> Column:
     """Without a bracketed part, a challenger number, a trailing number or a trailing two-letter state."""
-    bare = F.regexp_replace(fold(c), r"\([^)]*\)", " ")
-    for pattern in (r" ch [0-9]+", r"[ ]+[0-9]+[ ]*$", r", [a-z][a-z]$"):
+    bare = F.regexp_replace(fold(c), r"\s*\([^)]*\)", "")
+    for pattern in (CHALLENGER_TAIL, r"\s+\d+$", r",\s*[a-z]{2}$"):
         bare = F.regexp_replace(bare, pattern, "")
     return F.regexp_replace(bare, "[^a-z0-9]+", "")
 

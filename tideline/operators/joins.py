@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text
 from tideline.functions.geo import haversine_km
+from tideline.operators.containment import contained_keys
+from tideline.storage import materialise
 
 
 def star(editions: DataFrame, entities: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -34,101 +36,85 @@ def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def best_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, score: Column, order: list[Column]) -> DataFrame:
-    """The best-scored row of ``right`` in the same block for each row of ``left``; null scores are no match."""
-    scored = left.join(right, block).withColumn("score", score).where("score is not null")
-    return pick(scored, [left_id], [F.col("score").desc(), *order])
-
-
-def mutual_best(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, score: Column) -> DataFrame:
-    """Best left row for each right row first, then the best of those for each left row."""
-    scored = left.join(right, block).withColumn("score", score).where("score is not null")
-    first = pick(scored, [right_id], [F.col("score").desc(), F.col(left_id)])
-    return pick(first, [left_id], [F.col("score").desc(), F.col(right_id)])
-
-
 #: Score of a match by strict slug, name and city within a week, then by base slug, name and city, then by
 #: containment of the same three within 120 days.
 LADDER = [100, 95, 90, 80, 78, 76, 70, 68, 66]
 FIELDS = ["slug", "name", "city"]
 
 
-def _ladder_keys(df: DataFrame, side: str) -> DataFrame:
-    """``df`` with every column under the prefix ``side`` and its strict and base keys; ``digits``: slug, name or city has one."""
-    keys = [text.strict_key(F.col(c)).alias(f"s_{c}") for c in FIELDS] + [text.base_key(F.col(c)).alias(f"b_{c}") for c in FIELDS]
-    named = F.col("slug").rlike("[0-9]") | F.col("name").rlike("[0-9]")
-    keyed = df.select("*", *keys, (named | F.col("city").rlike("[0-9]")).alias("digits"), named.alias("named"))
-    return keyed.select(*(F.col(c).alias(f"{side}_{c}") for c in keyed.columns))
+#: Fixed value: levels that a generic row may take over.
+EXACT_LEVEL = r"(?i)^challenger\s+(50|75|100|125|175)$"
+#: Days apart at most: of rows with a strict key in common, and of all others.
+NEAR_DAYS, FAR_DAYS = 7, 120
 
 
-def ladder_pairs(generic: DataFrame, exact: DataFrame) -> DataFrame:
-    """Candidate pairs of one year by the ladder, with ``rung`` (1 to 9: strict, base, containment of slug, name, city) and ``days``.
+def _ladder_side(df: DataFrame, side: str) -> DataFrame:
+    """``id, yr, day, digits, named, keys``, written: the strict and base keys of slug, name and city by kind (0 to 5); whether any of the three,
+    or slug or name, has a digit. The other side's rows have their name and ``updated`` too."""
+    keys = [text.strict_key(F.col(c)) for c in FIELDS] + [text.base_key(F.col(c)) for c in FIELDS]
+    has = lambda c: F.coalesce(F.col(c).rlike("[0-9]"), F.lit(False))
+    more = [F.col("name"), (F.col("updated") if "updated" in df.columns else F.lit(None).cast("timestamp")).alias("updated")] if side == "x" else []
+    rows = df.where(F.col("start_date").isNotNull()).select(F.col("ed_id").alias("id"), "yr", F.unix_date("start_date").alias("day"), (has("slug") | has("name") | has("city")).alias("digits"), (has("slug") | has("name")).alias("named"), F.array(*keys).alias("keys"), *more)
+    return materialise(rows.select("yr", "keys", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in ("yr", "keys"))), f"ladder-{side}")
 
-    Both tables have ed_id, yr, start_date, slug, name, city. Rows meet in equi-joins on a key of one field and its kind; where a key is
-    contained in another, its first five letters are among the other's.
+
+def ladder_pairs(generic: DataFrame, exact: DataFrame, strict_days: int = NEAR_DAYS) -> DataFrame:
+    """Pairs of generic rows (level Challenger) and held rows of an exact challenger level of one year by the ladder: a row for each
+    ``kind`` that fits (0 to 8: strict key within ``strict_days``, base key and containment within 120, each of slug, name, city), with
+    ``days`` and columns of both sides.
+
+    Both tables have ed_id, yr, start_date, level, slug, name, city; ``exact`` may have status and updated. Equal keys meet by kind, key
+    and a period as long as the kind's reach; contained ones through the index of rarest parts, on keys alone. Empty and null keys
+    match nothing.
     """
-    g, x = _ladder_keys(generic, "g"), _ladder_keys(exact, "x")
-    kinds = [(f"s_{c}", f"s:{c}") for c in FIELDS] + [(f"b_{c}", f"b:{c}") for c in FIELDS]
-    head = lambda k: F.substring(k, 1, 5)
-    grams = lambda k: F.when(F.length(k) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - 4), lambda i: F.substr(k, i, F.lit(5))))).otherwise(F.array().cast("array<string>"))
-
-    def keyed(df: DataFrame, side: str, whole: str, part: str) -> DataFrame:
-        """Rows of (yr, kind, key): own keys, the heads of base keys under ``whole`` and their five-letter parts under ``part``."""
-        tag = lambda name, k: F.struct(F.lit(name).alias("kind"), k.alias("key"))
-        same = F.array(*(tag(name, F.col(f"{side}_{c}")) for c, name in kinds))
-        base = [(c, F.col(f"{side}_b_{c}")) for c in FIELDS]
-        heads = F.array(*(tag(f"{whole}:{c}", F.when(F.length(k) >= 5, head(k))) for c, k in base))
-        parts = F.flatten(F.array(*(F.transform(grams(k), lambda p, c=c: tag(f"{part}:{c}", p)) for c, k in base)))
-        rows = df.withColumn("_k", F.explode(F.concat(same, heads, parts)))
-        return rows.select("*", F.col(f"{side}_yr").alias("_yr"), F.col("_k.kind").alias("_kind"), F.col("_k.key").alias("_key")).drop("_k").where("_key <> ''")
-
-    met = keyed(g, "g", "in_x", "in_g").join(keyed(x, "x", "in_g", "in_x"), ["_yr", "_kind", "_key"])
-    days = F.abs(F.datediff("x_start_date", "g_start_date"))
-    pairs = met.where((F.col("g_ed_id") != F.col("x_ed_id")) & (days <= 120)).drop("_yr", "_kind", "_key").dropDuplicates(["g_ed_id", "x_ed_id"])
-    no_digits = ~F.col("g_digits") & ~F.col("x_digits")
-    same = lambda k, c: F.col(f"g_{k}_{c}") == F.col(f"x_{k}_{c}")
-    rung = F.lit(None).cast("int")
-    tests = [(days <= 7) & same("s", c) & (no_digits if c == "city" else F.lit(True)) for c in FIELDS]
-    tests += [no_digits & same("b", c) for c in FIELDS] + [no_digits & text.contains_key(F.col(f"x_b_{c}"), F.col(f"g_b_{c}")) for c in FIELDS]
-    for k in range(len(tests), 0, -1):
-        rung = F.when(tests[k - 1], k).otherwise(rung)
-    return pairs.withColumn("days", days).withColumn("rung", rung)
+    held = exact.where(F.col("level").rlike(EXACT_LEVEL) & ((F.col("status") == "held") if "status" in exact.columns else F.lit(True)))
+    g, x = _ladder_side(generic.where("level = 'Challenger'"), "g"), _ladder_side(held, "x")
+    days = F.abs(F.col("x_day") - F.col("g_day"))
+    of = lambda df, side: df.select("yr", *(c for c in df.columns if c.startswith(side)), F.posexplode("keys").alias("kind", "key")).where("key <> ''")
+    reach = F.when(F.col("kind") < 3, strict_days + 1).otherwise(FAR_DAYS + 1)
+    period = lambda day: F.floor(F.col(day) / reach).cast("int")
+    a = of(g, "g").withColumn("period", F.explode(F.array(*(period("g_day") + k for k in (-1, 0, 1)))))
+    b = of(x, "x").withColumn("period", period("x_day"))
+    same = a.join(b, ["yr", "kind", "key", "period"]).drop("period", "key").where(days < reach)
+    base = lambda df, side: of(df, side).where("kind > 2").withColumn("kind", F.col("kind") + 3)
+    left, right = base(g, "g"), base(x, "x")
+    found = contained_keys(left, right, ["yr", "kind"])
+    inside = left.join(found.withColumnRenamed("left", "key"), ["yr", "kind", "key"]).drop("key").join(right.withColumnRenamed("key", "right"), ["yr", "kind", "right"]).drop("right").where(days <= FAR_DAYS)
+    return same.unionByName(inside).where("g_id <> x_id").withColumn("days", days)
 
 
 def ladder_match(generic: DataFrame, exact: DataFrame, by_score: bool = True) -> DataFrame:
     """The best exact row for each generic row: ``gid, rung, score, days`` and the exact row's columns with the prefix x_.
 
-    By score (name decides between equals), or for an overlay: strict keys of slug, name, city within a week, then base keys and containment
-    of rows whose slugs and names have no digits, by rung, distance and the newest ``x_updated``.
+    By score (the nearest, then the first name among equals), or for an overlay: rows that share a strict key of slug, name or city within a
+    week, or a base key or containment where no slug or name has a digit; by the first key in common, distance and the newest ``x_updated``.
     """
-    pairs = ladder_pairs(generic, exact)
+    pairs = ladder_pairs(generic, exact, NEAR_DAYS if by_score else FAR_DAYS)
     if by_score:
-        found = pairs.where("rung is not null")
-        order = [F.col("rung"), F.col("days"), F.col("x_name"), F.col("x_ed_id")]
+        order = [F.col("kind") + 1, F.col("days"), F.col("x_name"), F.col("x_id")]
+        best = _by_score(pairs).groupBy("g_id").agg(F.min(F.struct(*(c.alias(n) for c, n in zip(order, ("rung", "days", "name", "id"), strict=True)))).alias("b"))
     else:
-        near = F.col("days") <= 7
-        same = lambda k, c: F.col(f"g_{k}_{c}") == F.col(f"x_{k}_{c}")
-        strict = [same("s", c) for c in FIELDS]
-        loose = [same("b", c) for c in FIELDS]
-        inside = [text.contains_key(F.col(f"x_b_{c}"), F.col(f"g_b_{c}")) for c in FIELDS]
-        any_of = lambda tests: tests[0] | tests[1] | tests[2]
-        fits = (near & any_of(strict)) | (~F.col("g_named") & ~F.col("x_named") & (any_of(loose) | any_of(inside)))
-        step = F.lit(6)
-        for k, test in reversed(list(enumerate([*strict, *loose]))):
-            step = F.when(test, k).otherwise(step)
-        found = pairs.where(fits).withColumn("rung", step)
-        order = [F.col("rung"), F.col("days"), F.col("x_updated").desc_nulls_last(), F.col("x_ed_id")]
-    score = F.get(F.array(*map(F.lit, LADDER)), F.col("rung") - 1)
-    best = pick(found, ["g_ed_id"], order).withColumn("gid", F.col("g_ed_id")).withColumn("score", score)
-    return best.select("gid", "rung", "score", "days", *(f"x_{c}" for c in exact.columns))
+        fits = ((F.col("kind") < 3) & (F.col("days") <= NEAR_DAYS)) | ((F.col("kind") > 2) & ~F.col("g_named") & ~F.col("x_named"))
+        late = F.struct(F.col("x_updated").isNull().alias("none"), (-F.unix_micros(F.col("x_updated").cast("timestamp"))).alias("t"))
+        order = F.struct(F.least(F.min("kind"), F.lit(6)).alias("rung"), F.first("days").alias("days"), F.first(late).alias("late"), F.col("x_id").alias("id"))
+        fit = pairs.where(fits).groupBy("g_id", "x_id").agg(order.alias("b"))
+        best = fit.groupBy("g_id").agg(F.min("b").alias("b"))
+    score = F.get(F.array(*map(F.lit, LADDER)), F.col("b.rung") - 1)
+    chosen = best.select(F.col("g_id").alias("gid"), F.col("b.rung").alias("rung"), score.alias("score"), F.col("b.days").alias("days"), F.col("b.id").alias("x_ed_id"))
+    return chosen.join(exact.select(*(F.col(c).alias(f"x_{c}") for c in exact.columns)), "x_ed_id").select("gid", "rung", "score", "days", *(f"x_{c}" for c in exact.columns))
+
+
+def _by_score(pairs: DataFrame) -> DataFrame:
+    """The pairs whose kind scores: only strict slugs and names may have digits."""
+    return pairs.where((F.col("kind") < 2) | (~F.col("g_digits") & ~F.col("x_digits")))
 
 
 def mutual_ladder(generic: DataFrame, exact: DataFrame) -> DataFrame:
     """``gid, xid, score``: the best generic row for each exact row first, then the best of those for each generic row."""
-    score = F.get(F.array(*map(F.lit, LADDER)), F.col("rung") - 1)
-    pairs = ladder_pairs(generic, exact).where("rung is not null").select(F.col("g_ed_id").alias("gid"), F.col("x_ed_id").alias("xid"), score.alias("score"), "days")
-    first = pick(pairs, ["xid"], [F.col("score").desc(), F.col("days"), F.col("gid")])
-    return pick(first, ["gid"], [F.col("score").desc(), F.col("days"), F.col("xid")]).select("gid", "xid", "score")
+    scored = _by_score(ladder_pairs(generic, exact))
+    first = scored.groupBy("x_id").agg(F.min(F.struct(F.col("kind"), F.col("days"), F.col("g_id"))).alias("b"))
+    second = first.groupBy(F.col("b.g_id").alias("gid")).agg(F.min(F.struct(F.col("b.kind").alias("kind"), F.col("b.days").alias("days"), F.col("x_id"))).alias("b"))
+    return second.select("gid", F.col("b.x_id").alias("xid"), F.get(F.array(*map(F.lit, LADDER)), F.col("b.kind")).alias("score"))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, delta: Column, most: int) -> DataFrame:

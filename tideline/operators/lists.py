@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators.dominance import dominance_sum
 from tideline.operators.windows import prefix_sum
+from tideline.storage import materialise
 
 
 def snapshot_changes(df: DataFrame, key: str, content: str, order: list[str]) -> DataFrame:
@@ -21,33 +23,123 @@ def unique_snapshots(df: DataFrame, key: str, content: str, order: list[str]) ->
     return df.withColumn("_n", rn).where("_n = 1").drop("_n")
 
 
-def derive_state(moves: DataFrame, lists: list[str]) -> DataFrame:
-    """The last event of each player in (time, arrival) order decides; active alternates are numbered by player. A list of
-    any length is numbered by ranges of players."""
-    last = moves.groupBy(*lists, "player").agg(F.max_by("kind", F.struct("ts", "seq")).alias("kind"))
-    state = F.when(F.col("kind") == "withdrawal", "out").when(F.col("kind") == "promotion", "in").when(F.col("kind") == "alternate-withdrawal", "alternate out").otherwise("alternate")
-    s = last.withColumn("state", state).withColumn("_active", (F.col("state") == "alternate").cast("long"))
-    numbered = prefix_sum(s, lists, ["player"], "_active", "_n")
-    return numbered.select(*lists, "player", "kind", "state", F.when(F.col("_active") == 1, F.col("_n")).alias("queue"))
-
-
-def trajectory(moves: DataFrame, lists: list[str]) -> DataFrame:
-    """The number of players out after each movement, consecutive equal states collapsed. A player is out from a
-    withdrawal until the next other movement. A state differs from the one before where the movement changes it; a list's first
-    movement always counts."""
-    by_player = W.partitionBy(*lists, "player").orderBy("ts", "seq")
-    out = (F.col("kind") == "withdrawal").cast("int")
-    delta = moves.withColumn("_o", out).withColumn("_d", F.col("_o") - F.coalesce(F.lag("_o").over(by_player), F.lit(0)))
-    first = moves.groupBy(*lists).agg(F.min(F.struct("ts", "seq")).alias("_first"))
-    run = prefix_sum(delta, lists, ["ts", "seq"], "_d", "out").join(first, lists)
-    return run.where((F.col("_d") != 0) | (F.struct("ts", "seq") == F.col("_first"))).select(*lists, "seq", "out")
+#: Movements that take a player off a list, and the one that takes them in. ``reported-next`` only names a player.
+OUT_KINDS, IN_KIND, NEXT_KIND = ["withdrawal", "alternate-withdrawal"], "promotion", "reported-next"
+
+
+def last_movements(moves: DataFrame, lists: list[str]) -> DataFrame:
+    """``lists, player, kind, ts, seq``: the last movement of each player in (time, arrival) order, reports of who is next left out."""
+    real = moves.where(F.col("kind") != NEXT_KIND)
+    return real.groupBy(*lists, "player").agg(F.max(F.struct("ts", "seq", "kind")).alias("m")).select(*lists, "player", "m.kind", "m.ts", "m.seq")
+
+
+def derive_state(entries: DataFrame, moves: DataFrame, lists: list[str]) -> DataFrame:
+    """``lists, player, status, position, state, queue``: the standing of each entry after all movements.
+
+    ``entries`` is the snapshot (lists, player, status: accepted or alternate, position), which never changes. A player's last movement
+    decides: withdrawn, accepted (or accepted from the start), else alternate; active alternates are numbered in the order of their
+    first position. Movements of players that are not on the list do nothing here (``unmatched_movements``). A list of any
+    length is numbered by ranges.
+    """
+    last = last_movements(moves, lists).select(*lists, "player", "kind")
+    rows = entries.select(*lists, "player", "status", "position").join(last, [*lists, "player"], "left")
+    taken = (F.col("status") == "accepted") | F.col("kind").eqNullSafe(IN_KIND)
+    state = F.when(F.coalesce(F.col("kind").isin(OUT_KINDS), F.lit(False)), "withdrawn").when(taken, "accepted").otherwise("alternate")
+    # An accepted player who withdrew and came back is accepted; an alternate is active while neither out nor in.
+    s = rows.withColumn("state", state).withColumn("_active", (F.col("state") == "alternate").cast("long"))
+    numbered = prefix_sum(s, lists, ["position", "player"], "_active", "_n")
+    return numbered.select(*lists, "player", "status", "position", "state", F.when(F.col("_active") == 1, F.col("_n")).alias("queue"))
+
+
+def reported_next(moves: DataFrame, lists: list[str]) -> DataFrame:
+    """``lists, player``: whom the last report of each list names as next, on the list or not."""
+    return moves.where(F.col("kind") == NEXT_KIND).groupBy(*lists).agg(F.max_by("player", F.struct("ts", "seq")).alias("player"))
+
+
+def unmatched_movements(entries: DataFrame, moves: DataFrame, lists: list[str]) -> DataFrame:
+    """Movements and reports of players that the list does not have."""
+    return moves.join(entries.select(*lists, "player").distinct(), [*lists, "player"], "left_anti")
+
+
+def _numbered(moves: DataFrame, lists: list[str]) -> DataFrame:
+    """``lists, player, kind, step``: the movements of each list by their number, from 1, in (time, arrival) order."""
+    return prefix_sum(moves.withColumn("_one", F.lit(1).cast("long")), lists, ["ts", "seq"], "_one", "step").select(*lists, "player", "kind", "step")
+
+
+def _spans(entries: DataFrame, steps: DataFrame, lists: list[str]) -> DataFrame:
+    """``lists, player, status, place, waits, state, step, until``, written: the states of each entry (alternate, in or out) with their first step
+    and the first of the next; ``place`` numbers a list's entries and ``waits`` its alternates in the order of their positions.
+
+    No movement makes an alternate of a player again, so an entry has one span as an alternate at most, from step 0.
+    """
+    mine = [*lists, "player"]
+    e = entries.withColumn("_one", F.lit(1).cast("long")).withColumn("_alt", (F.col("status") == "alternate").cast("long"))
+    e = prefix_sum(prefix_sum(e, lists, ["position", "player"], "_one", "place"), lists, ["position", "player"], "_alt", "waits").select(*mine, "status", "place", "waits")
+    kind = F.col("kind")
+    start = e.select(*mine, "status", "place", "waits", F.lit(0).cast("long").alias("step"), F.when(F.col("status") == "accepted", "in").otherwise("alternate").alias("state"))
+    turned = steps.where(kind != NEXT_KIND).join(e, mine).select(*mine, "status", "place", "waits", "step", F.when(kind == IN_KIND, "in").otherwise("out").alias("state"))
+    w = W.partitionBy(*mine).orderBy("step")
+    changed = start.unionByName(turned).withColumn("_was", F.lag("state").over(w)).where(~F.col("_was").eqNullSafe(F.col("state")))
+    return materialise(changed.withColumn("until", F.lead("step").over(w)).drop("_was"), "spans")
+
+
+def _label(prefix: str, queue: Column) -> Column:
+    return F.when(F.col("state") == "alternate", F.concat(F.lit(f"{prefix} ALT "), queue.cast("string"))).when(F.col("state") == "out", "OUT").when(F.col("status") == "accepted", prefix).otherwise(f"{prefix} IN")
+
+
+def trajectory(entries: DataFrame, moves: DataFrame, lists: list[str], prefix: str = "MD") -> DataFrame:
+    """``lists, player, step, label``: the labels of each entry after every prefix of the list's movements, equal ones in a row once.
+
+    ``step`` numbers the movements of a list in (time, arrival) order, 0 being the snapshot. Labels: OUT; ``prefix`` for accepted entries; ``prefix``
+    IN for alternates that were taken in; ``prefix`` ALT n for the n-th active alternate. ``entries`` as for ``derive_state``.
+
+    A label changes with the player's own state, or when an alternate in front goes out or in. Departures meet the spans of waiting
+    entries by nodes of a binary tree over the steps, so pairs whose steps do not fit are never made, and no movement
+    meets an entry that it leaves alone because that one was gone before.
+    """
+    mine = [*lists, "player"]
+    steps = materialise(_numbered(moves, lists), "steps")
+    spans = _spans(entries, steps, lists)
+    top = int(steps.agg(F.max("step")).first()[0] or 0).bit_length()
+    waiting = spans.where("state = 'alternate'").withColumn("until", F.coalesce("until", F.lit(1 << top)))
+    gone = spans.where("state = 'alternate' and until is not null").select(*lists, F.col("place").alias("_place"), F.col("until").alias("step"))
+    # Steps 1 to until - 1 as nodes: on level k node n holds the steps from n * 2^k on; of a level at most the first and the last are needed.
+    first, end = "shiftright(1 + shiftleft(1L, k) - 1, k)", "shiftright(until, k)"
+    nodes = F.expr(f"""filter(flatten(transform(sequence(0, {top}), k -> if({first} < {end}, array(
+        if({first} % 2 = 1, named_struct('k', k, 'n', {first}), null), if({end} % 2 = 1, named_struct('k', k, 'n', {end} - 1), null)), array()))), x -> x is not null)""")
+    asked = waiting.select(*mine, "place", F.explode(F.array_distinct(nodes)).alias("x")).select(*mine, "place", "x.k", "x.n")
+    marks = gone.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("n", F.expr("shiftright(step, k)"))
+    passed = asked.join(marks, [*lists, "k", "n"]).where("_place < place").select(*mine, "step", F.lit(-1).cast("long").alias("v"))
+    every = passed.unionByName(waiting.select(*mine, "step", F.col("waits").alias("v")))
+    queue = every.withColumn("_q", F.sum("v").over(W.partitionBy(*mine).orderBy("step").rowsBetween(W.unboundedPreceding, 0)))
+    waits = queue.select(*mine, "step", F.lit("alternate").alias("state"), F.lit("alternate").alias("status"), "_q")
+    settled = spans.where("state <> 'alternate'").select(*mine, "step", "state", "status", F.lit(None).cast("long").alias("_q"))
+    return waits.unionByName(settled).select(*mine, "step", _label(prefix, F.col("_q")).alias("label"))
+
+
+def standing_at(entries: DataFrame, moves: DataFrame, lists: list[str], asked: DataFrame, prefix: str = "MD") -> DataFrame:
+    """``lists, player, at, label``: what an entry's label was after ``at`` movements of its list. ``asked`` has lists, player and at; players that
+    are not on the list have no row.
+
+    The alternates in front that had gone by then are counted by dominance: those of smaller place and smaller step. Neither the movements of
+    a list nor its entries are gone through for a question.
+    """
+    mine = [*lists, "player"]
+    spans = _spans(entries, _numbered(moves, lists), lists)
+    at = asked.select(*mine, "at").distinct()
+    held = at.join(spans, mine).where((F.col("step") <= F.col("at")) & (F.col("until").isNull() | (F.col("until") > F.col("at"))))
+    held = materialise(held.withColumn("id", F.monotonically_increasing_id()), "asked")
+    gone = spans.where("state = 'alternate' and until is not null").select(*lists, F.col("until").alias("step"), "place", F.lit(1).cast("long").alias("v"))
+    waiting = held.where("state = 'alternate'").select(*lists, (F.col("at") + 1).alias("step"), "place", "id")
+    ahead = dominance_sum(gone, waiting, lists, "step", "place", "v", "gone").select("id", "gone")
+    return held.join(ahead, "id", "left").select(*mine, "at", _label(prefix, F.col("waits") - F.col("gone")).alias("label"))
 
 
 def inherit_departures(qualifying: DataFrame, alternates: DataFrame, keys: list[str]) -> DataFrame:
-    """Qualifying rows take over a departure from the alternates; promoted alternates are added once."""
-    gone = alternates.where("state = 'alternate out'").select(*keys, F.lit(True).alias("departed"))
+    """Qualifying rows take over a departure from the alternates (``keys``, kind: their last movement); promoted alternates are added once."""
+    gone = alternates.where("kind = 'alternate-withdrawal'").select(*keys, F.lit(True).alias("departed"))
     base = qualifying.join(gone, keys, "left").select(*keys, F.coalesce("departed", F.lit(False)).alias("departed"), F.lit("qualifying").alias("origin"))
-    new = alternates.where("state = 'in'").join(qualifying, keys, "left_anti").select(*keys, F.lit(False).alias("departed"), F.lit("promoted").alias("origin")).distinct()
+    new = alternates.where(F.col("kind") == IN_KIND).join(qualifying, keys, "left_anti").select(*keys, F.lit(False).alias("departed"), F.lit("promoted").alias("origin")).distinct()
     return base.unionByName(new)
 
 

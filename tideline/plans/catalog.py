@@ -59,14 +59,15 @@ select c.ed_id, c.ent, c.yr, c.wk, c.start_date, c.level, c.indoor, c.draw_size,
 from {v_cal} c join {v_ent} n on n.ent = c.ent""",
     "v_named": """
 select e.ed_id, e.ent, e.yr, e.start_date, e.level, n.surface, e.updated,
-  concat('ev-', n.letters) as slug, concat(n.region, ' ', n.letters, case when e.ent % 4 = 0 then ' 2' else '' end) as name, n.town as city
+  concat('ev-', n.letters) as slug, concat(n.region, ' ', n.letters, case when e.ent % 4 = 0 then ' 2' else '' end) as name, n.town as city,
+  case when e.ed_id % 13 = 0 then 'not_held' else 'held' end as status
 from (select *, date_add(start_date, cast(ed_id % 9 as int)) as updated from {v_ed}) e
 join (select ent, region, surface, translate(cast(ent as varchar(20)), '0123456789', 'abcdefghij') as letters, translate(city, '0123456789', 'abcdefghij') as town from {v_ent}) n on n.ent = e.ent""",
     "v_generic": """
 select o.ed_id, o.ent, o.yr, o.start_date, 'Challenger' as level, n.surface, o.start_date as updated,
-  case o.ed_id % 6 when 0 then concat('ev-', n.letters) when 3 then concat('ev-', n.letters, ' ch 2') else concat('zz-', cast(o.ed_id as varchar(20))) end as slug,
-  case o.ed_id % 6 when 1 then concat(n.region, ' ', n.letters) when 4 then concat('the ', n.region, ' ', n.letters) else concat('zz ', translate(cast(o.ed_id as varchar(20)), '0123456789', 'abcdefghij')) end as name,
-  case o.ed_id % 6 when 2 then n.town else concat('yy ', translate(cast(o.ed_id as varchar(20)), '0123456789', 'abcdefghij')) end as city
+  case o.ed_id % 8 when 0 then concat('ev-', n.letters) when 3 then concat('ev-', n.letters, ' ch 2') when 5 then concat('grand-ev-', n.letters) else concat('zz-', translate(cast(o.ed_id as varchar(20)), '0123456789', 'abcdefghij')) end as slug,
+  case o.ed_id % 8 when 1 then concat(n.region, ' ', n.letters) when 4 then concat('the ', n.region, ' ', n.letters) else concat('zz ', translate(cast(o.ed_id as varchar(20)), '0123456789', 'abcdefghij')) end as name,
+  case o.ed_id % 8 when 2 then n.town when 6 then concat('greater ', n.town) else concat('yy ', translate(cast(o.ed_id as varchar(20)), '0123456789', 'abcdefghij')) end as city
 from (select o_orderkey as ed_id, o_custkey as ent, cast(year(o_orderdate) as int) as yr, cast(o_orderdate as date) as start_date from {orders}) o
 join (select ent, region, surface, translate(cast(ent as varchar(20)), '0123456789', 'abcdefghij') as letters, translate(city, '0123456789', 'abcdefghij') as town from {v_ent}) n on n.ent = o.ent
 left anti join {v_ed} e on e.ed_id = o.ed_id""",
@@ -74,6 +75,9 @@ left anti join {v_ed} e on e.ed_id = o.ed_id""",
 select event_id as seq, user_id % 20 as list, user_id as player, ts,
   case event_type when 'click' then 'withdrawal' when 'view' then 'promotion' when 'purchase' then 'alternate-withdrawal' else 'reported-next' end as kind, value
 from {events}""",
+    "v_entries": """
+select distinct user_id % 20 as list, user_id as player, case when user_id % 7 < 2 then 'accepted' else 'alternate' end as status, user_id * 37 % 1009 as position
+from {events} where user_id % 11 > 0""",
     "v_hash": """
 select user_id as src, event_id as seq, ts, concat(event_type, '|', cast(cast(floor(value / 50e0) as int) as varchar(10))) as content
 from {events}""",

@@ -276,12 +276,13 @@ def schedule(exact: DataFrame, generic: DataFrame, year: int) -> DataFrame:
     """The season's editions: ``ed_id, level, start_date, wk, overlaid``.
 
     ``exact`` and ``generic`` have ed_id, yr, start_date, level, surface, slug, name, city, updated. A generic row takes week, date and level of its
-    best exact match (``joins.match_ladder``); then one row is kept for a name (without brackets and numbers; ITF rows by their own
+    best exact match (``joins.ladder_match``); then one row is kept for a name (without brackets and numbers; ITF rows by their own
     slug) and calendar week, the one written last. The week is that of the date.
     """
     best = joins.ladder_match(generic, exact, by_score=False).select("gid", F.col("x_start_date").alias("_d"), F.col("x_level").alias("_l"))
     over = generic.join(best, generic["ed_id"] == best["gid"], "left").drop("gid")
-    every = over.unionByName(exact.withColumn("_d", F.lit(None).cast("date")).withColumn("_l", F.lit(None).cast("string")))
+    held = exact.where("status = 'held'").drop("status") if "status" in exact.columns else exact
+    every = over.unionByName(held.withColumn("_d", F.lit(None).cast("date")).withColumn("_l", F.lit(None).cast("string")))
     live = every.where((F.col("yr") == year) & dates.in_season(F.col("start_date"), F.lit(year), F.col("level")))
     itf = F.col("level").startswith("ITF")
     tagged = live.withColumn("_key", text.schedule_name_key(F.col("name"))).withColumn("_week", dates.monday_of(F.col("start_date"))).withColumn("_own", F.when(itf, F.col("slug")).otherwise(""))

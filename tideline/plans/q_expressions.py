@@ -26,20 +26,20 @@ def h01(t):
     return titles(t).select("doc_id", text.city_key(X()).alias("city_key"), text.normalize_key(X()).alias("norm_key"))
 
 
-NAMES = "(SELECT ent, concat(city, CASE WHEN ent % 3 = 0 THEN ' CH 75' WHEN ent % 3 = 1 THEN ' (Indoor), NJ' ELSE ' II' END) AS x FROM v_ent)"
+NAMES = "(SELECT ent, concat(city, CASE WHEN ent % 9 = 0 THEN ' ch' WHEN ent % 3 = 0 THEN ' CH 75' WHEN ent % 3 = 1 THEN ' (Indoor), NJ' ELSE ' II' END) AS x FROM v_ent)"
 
 
 def names(t):
-    tail = F.when(F.col("ent") % 3 == 0, " CH 75").when(F.col("ent") % 3 == 1, " (Indoor), NJ").otherwise(" II")
+    tail = F.when(F.col("ent") % 9 == 0, " ch").when(F.col("ent") % 3 == 0, " CH 75").when(F.col("ent") % 3 == 1, " (Indoor), NJ").otherwise(" II")
     return t.v_ent.select("ent", F.concat("city", tail).alias("x"))
 
 
 @query(
     "h02_h04_keys",
     rf"""WITH n AS (SELECT ent, {FOLD} AS x FROM {NAMES}),
-s AS (SELECT ent, x, regexp_replace(regexp_replace(x, ' ch [0-9]+$', ''), '[^a-z0-9]+', '', 'g') AS strict_key FROM n)
+s AS (SELECT ent, x, regexp_replace(regexp_replace(x, '\s+ch(\s+\d+)?$', ''), '[^a-z0-9]+', '', 'g') AS strict_key FROM n)
 SELECT ent, strict_key, regexp_replace(strict_key, '[0-9]+$', '') AS base_key,
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\([^)]*\)', ' ', 'g'), ' ch [0-9]+', '', 'g'), '[ ]+[0-9]+[ ]*$', '', 'g'), ', [a-z][a-z]$', '', 'g'), '[^a-z0-9]+', '', 'g') AS schedule_key,
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\s*\([^)]*\)', '', 'g'), '\s+ch(\s+\d+)?$', ''), '\s+\d+$', ''), ',\s*[a-z]{{2}}$', ''), '[^a-z0-9]+', '', 'g') AS schedule_key,
  regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(x, '\([^)]*\)', ' ', 'g')), ',[ ]*[a-z][a-z]$', '')), '[ ]+([0-9]+|i{{1,3}}|iv|v)$', ''), '[^a-z0-9]+', '', 'g') AS place_key
 FROM s""",
 )

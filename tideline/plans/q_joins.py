@@ -43,11 +43,11 @@ def generics(t):
 
 
 #: Strict and base keys of the three fields and whether any has a digit.
-_K = "regexp_replace(regexp_replace(lower({c}), ' ch [0-9]+$', ''), '[^a-z0-9]+', '', 'g') AS s_{c}, regexp_replace(regexp_replace(regexp_replace(lower({c}), ' ch [0-9]+$', ''), '[^a-z0-9]+', '', 'g'), '[0-9]+$', '') AS b_{c}"
+_K = r"regexp_replace(regexp_replace(lower({c}), '\s+ch(\s+\d+)?$', ''), '[^a-z0-9]+', '', 'g') AS s_{c}, regexp_replace(regexp_replace(regexp_replace(lower({c}), '\s+ch(\s+\d+)?$', ''), '[^a-z0-9]+', '', 'g'), '[0-9]+$', '') AS b_{c}"
 _KEYS = ", ".join(_K.format(c=c) for c in ("slug", "name", "city"))
 _IN = "(length(g.b_{c}) >= 5 AND length(x.b_{c}) >= 5 AND (contains(g.b_{c}, x.b_{c}) OR contains(x.b_{c}, g.b_{c})))"
-NAMED = f"""gk AS (SELECT *, regexp_matches(concat(slug, name), '[0-9]') AS named, regexp_matches(concat(slug, name, city), '[0-9]') AS digits, {_KEYS} FROM v_generic),
-xk AS (SELECT *, regexp_matches(concat(slug, name), '[0-9]') AS named, regexp_matches(concat(slug, name, city), '[0-9]') AS digits, {_KEYS} FROM v_named)"""
+NAMED = rf"""gk AS (SELECT *, regexp_matches(concat(slug, name), '[0-9]') AS named, regexp_matches(concat(slug, name, city), '[0-9]') AS digits, {_KEYS} FROM v_generic WHERE level = 'Challenger'),
+xk AS (SELECT *, regexp_matches(concat(slug, name), '[0-9]') AS named, regexp_matches(concat(slug, name, city), '[0-9]') AS digits, {_KEYS} FROM v_named WHERE status = 'held' AND regexp_matches(lower(level), '^challenger\s+(50|75|100|125|175)$'))"""
 PAIRS_OF = "FROM gk g JOIN xk x ON x.yr = g.yr AND x.ed_id <> g.ed_id AND x.start_date BETWEEN g.start_date - 120 AND g.start_date + 120"
 RUNG = f"""CASE WHEN abs(x.start_date - g.start_date) <= 7 AND x.s_slug = g.s_slug THEN 100 WHEN abs(x.start_date - g.start_date) <= 7 AND x.s_name = g.s_name THEN 95
  WHEN abs(x.start_date - g.start_date) <= 7 AND x.s_city = g.s_city AND NOT x.digits AND NOT g.digits THEN 90 WHEN x.digits OR g.digits THEN NULL WHEN x.b_slug = g.b_slug THEN 80 WHEN x.b_name = g.b_name THEN 78 WHEN x.b_city = g.b_city THEN 76

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.operators import lists
@@ -43,20 +44,50 @@ def n03(t):
     return got.groupBy("list", "player", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("n04_derive_state", "WITH l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2), s AS (SELECT *, CASE kind WHEN 'withdrawal' THEN 'out' WHEN 'promotion' THEN 'in' WHEN 'alternate-withdrawal' THEN 'alternate out' ELSE 'alternate' END AS state FROM l) SELECT list, player, kind, state, CASE WHEN state = 'alternate' THEN cast(sum(CASE WHEN state = 'alternate' THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY player ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS queue FROM s")
+#: Last movements, reports left out; the state of each entry. v_entries lacks some players, whose movements match nobody.
+LAST = "l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves WHERE kind <> 'reported-next' GROUP BY 1, 2)"
+STATE = f"{LAST}, s AS (SELECT e.*, CASE WHEN kind IN ('withdrawal', 'alternate-withdrawal') THEN 'withdrawn' WHEN status = 'accepted' OR kind = 'promotion' THEN 'accepted' ELSE 'alternate' END AS state FROM v_entries e LEFT JOIN l ON l.list = e.list AND l.player = e.player)"
+
+
+@query("n04_derive_state", f"WITH {STATE} SELECT *, CASE WHEN state = 'alternate' THEN cast(sum(CASE WHEN state = 'alternate' THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY position, player ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS queue FROM s")
 def n04(t):
-    return lists.derive_state(t.v_moves, ["list"])
+    return lists.derive_state(t.v_entries, t.v_moves, ["list"])
+
+
+@query("n04_reported_next", "SELECT list, arg_max(player, (ts, seq)) AS player FROM v_moves WHERE kind = 'reported-next' GROUP BY list")
+def n04r(t):
+    return lists.reported_next(t.v_moves, ["list"])
+
 
+@query("n04_unmatched", "SELECT list, seq, kind FROM v_moves m WHERE NOT EXISTS (SELECT 1 FROM v_entries e WHERE e.list = m.list AND e.player = m.player)")
+def n04u(t):
+    return lists.unmatched_movements(t.v_entries, t.v_moves, ["list"]).select("list", "seq", "kind")
 
-@query("n05_trajectory", "WITH d AS (SELECT *, CASE WHEN kind = 'withdrawal' THEN 1 ELSE 0 END AS o FROM v_moves), x AS (SELECT *, o - coalesce(lag(o) OVER (PARTITION BY list, player ORDER BY ts, seq), 0) AS dlt FROM d), r AS (SELECT *, sum(dlt) OVER (PARTITION BY list ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS out FROM x), p AS (SELECT *, lag(out) OVER (PARTITION BY list ORDER BY ts, seq) AS p FROM r) SELECT list, seq, cast(out AS BIGINT) AS out FROM p WHERE p IS DISTINCT FROM out")
+
+#: The label of every entry after every prefix of its list's movements, written from the rule: the state by the last movement up to the
+#: step, then the place among the alternates that are active there.
+LABELS = """m AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY ts, seq) AS step FROM v_moves), p AS (SELECT list, step FROM m UNION ALL SELECT DISTINCT list, 0 FROM v_entries),
+k AS (SELECT e.*, p.step, arg_max(m.kind, m.step) AS kind FROM v_entries e JOIN p ON p.list = e.list LEFT JOIN m ON m.list = e.list AND m.player = e.player AND m.step <= p.step AND m.kind <> 'reported-next' GROUP BY ALL),
+s AS (SELECT *, CASE WHEN kind IN ('withdrawal', 'alternate-withdrawal') THEN 'OUT' WHEN status = 'accepted' THEN 'MD' WHEN kind = 'promotion' THEN 'MD IN' END AS fixed FROM k),
+lb AS (SELECT list, player, step, coalesce(fixed, concat('MD ALT ', sum(CASE WHEN fixed IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY list, step ORDER BY position, player ROWS UNBOUNDED PRECEDING))) AS label FROM s)"""
+
+
+@query("n05_trajectory", f"WITH {LABELS} SELECT list, player, step, label FROM (SELECT *, lag(label) OVER (PARTITION BY list, player ORDER BY step) AS was FROM lb) WHERE was IS DISTINCT FROM label")
 def n05(t):
-    return lists.trajectory(t.v_moves, ["list"])
+    return lists.trajectory(t.v_entries, t.v_moves, ["list"])
+
+
+@query("n05_standing_at", f"WITH {LABELS} SELECT m.list, m.player, m.step AS at, label FROM m JOIN lb ON lb.list = m.list AND lb.player = m.player AND lb.step = m.step")
+def n05s(t):
+    """The label of each moved player right after the movement."""
+    steps = t.v_moves.withColumn("at", F.row_number().over(W.partitionBy("list").orderBy("ts", "seq")).cast("long"))
+    return lists.standing_at(t.v_entries, t.v_moves, ["list"], steps)
 
 
-@query("n06_inherit_departures", "WITH l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2), q AS (SELECT list, player FROM v_moves WHERE value > 50 GROUP BY 1, 2) SELECT q.list, q.player, coalesce(l.kind = 'alternate-withdrawal', false) AS departed, 'qualifying' AS origin FROM q LEFT JOIN l ON l.list = q.list AND l.player = q.player UNION ALL SELECT list, player, false, 'promoted' FROM l WHERE kind = 'promotion' AND NOT EXISTS (SELECT 1 FROM q WHERE q.list = l.list AND q.player = l.player)")
+@query("n06_inherit_departures", f"WITH {LAST}, q AS (SELECT list, player FROM v_moves WHERE value > 50 GROUP BY 1, 2) SELECT q.list, q.player, coalesce(l.kind = 'alternate-withdrawal', false) AS departed, 'qualifying' AS origin FROM q LEFT JOIN l ON l.list = q.list AND l.player = q.player UNION ALL SELECT list, player, false, 'promoted' FROM l WHERE kind = 'promotion' AND NOT EXISTS (SELECT 1 FROM q WHERE q.list = l.list AND q.player = l.player)")
 def n06(t):
     q = t.v_moves.where("value > 50").select("list", "player").distinct()
-    return lists.inherit_departures(q, lists.derive_state(t.v_moves, ["list"]), ["list", "player"])
+    return lists.inherit_departures(q, lists.last_movements(t.v_moves, ["list"]), ["list", "player"])
 
 
 @query("n07_due_sources", "WITH s AS (SELECT user_id AS src, max(ts) AS checked_at, count(*) FILTER (WHERE event_type = 'error') % 9 AS failures FROM events GROUP BY 1) SELECT src, failures FROM s WHERE checked_at + to_hours(cast(pow(2, least(failures, 6)) AS INTEGER)) <= TIMESTAMP '2024-01-30 18:00:00'")
@@ -123,11 +154,11 @@ def n08s(t):
     return t.spark.read.parquet(claims)
 
 
-@query("n11_late_movements", "SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves GROUP BY 1, 2")
+@query("n11_late_movements", f"WITH {STATE} SELECT list, player, state FROM s")
 def n11(t):
     """Movements come through the stream's ledger in the order of arrival; event time decides."""
     m = jobs.read_stream(t.spark, t.sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "withdrawal").when(F.col("event_type") == "view", "promotion").when(F.col("event_type") == "purchase", "alternate-withdrawal").otherwise("reported-next")
     moves = m.select(F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("list"), F.col("user_id").alias("player"), "ts", kind.alias("kind"))
     got = jobs.run_to_table(jobs.movement_ledger(moves, ["seq"], "ts"), "late")
-    return lists.derive_state(got, ["list"]).select("list", "player", "kind")
\ No newline at end of file
+    return lists.derive_state(t.v_entries, got, ["list"]).select("list", "player", "state")

@@ -247,8 +247,8 @@ def j35(t):
     return field.phase_and_label(t.v_ed.withColumn("end_date", F.lit(None).cast("date")), F.to_date(F.lit("1998-06-15"))).select("ed_id", "phase", "label")
 
 
-@query("j21_schedule", f"""WITH {OVERLAY}, a AS (SELECT g.*, b.x_start_date AS d2, b.x_level AS l2 FROM v_generic g LEFT JOIN best b ON b.gid = g.ed_id UNION ALL SELECT ed_id, ent, yr, start_date, level, surface, updated, slug, name, city, NULL, NULL FROM v_named),
-l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(name, ' [0-9]+$', ''), ', [a-z][a-z]$', ''), '[^a-z0-9]+', '', 'g') AS k FROM (SELECT * REPLACE (lower(name) AS name) FROM a) WHERE yr = 1997 AND (yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END = 1997 OR level LIKE 'ITF%')),
+@query("j21_schedule", rf"""WITH {OVERLAY}, a AS (SELECT g.*, b.x_start_date AS d2, b.x_level AS l2 FROM v_generic g LEFT JOIN best b ON b.gid = g.ed_id UNION ALL SELECT ed_id, ent, yr, start_date, level, surface, updated, slug, name, city, NULL, NULL FROM v_named WHERE status = 'held'),
+l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '\s+ch(\s+\d+)?$', ''), '\s+\d+$', ''), ',\s*[a-z]{{2}}$', ''), '[^a-z0-9]+', '', 'g') AS k FROM (SELECT * REPLACE (lower(name) AS name) FROM a) WHERE yr = 1997 AND (yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END = 1997 OR level LIKE 'ITF%')),
 o AS (SELECT *, row_number() OVER (PARTITION BY k, date_trunc('week', start_date), CASE WHEN level LIKE 'ITF%' THEN slug ELSE '' END ORDER BY updated DESC NULLS LAST, ed_id) AS rn FROM l)
 SELECT ed_id, coalesce(l2, level) AS level, coalesce(d2, start_date) AS start_date, cast(greatest(1, floor((coalesce(d2, start_date) - cast(date_trunc('week', DATE '1997-01-05') AS DATE)) / 7) + 1) AS INTEGER) AS wk, d2 IS NOT NULL AS overlaid FROM o WHERE rn = 1""")
 def j21(t):
