@@ -143,17 +143,52 @@ def inherit_departures(qualifying: DataFrame, alternates: DataFrame, keys: list[
     return base.unionByName(new)
 
 
-def due_sources(status: DataFrame, as_of: Column) -> DataFrame:
-    """Sources whose next check has come; failures push it out by doubling hours."""
-    wait = F.pow(F.lit(2), F.least("failures", F.lit(6))).cast("int")
-    nxt = F.col("checked_at") + F.make_interval(hours=wait)
-    return status.withColumn("next_check", nxt).where(F.col("next_check") <= as_of)
+#: Hours to the next check of a list whose event is at most so many days away, and of any other; days around today in which
+#: an event's list is checked at all.
+SOON_DAYS, SOON_HOURS, LATE_HOURS, CHECKED_DAYS = 21, 6, 24, (-2, 35)
+
+
+def next_check(start_date: Column, checked_at: Column) -> Column:
+    """When a list is to be checked again: the days to noon of its event's start are rounded up."""
+    days = F.ceil((F.unix_micros(start_date.cast("timestamp")) + 43_200_000_000 - F.unix_micros(checked_at)) / 86_400_000_000)
+    return checked_at + F.make_interval(hours=F.when(days <= SOON_DAYS, SOON_HOURS).otherwise(LATE_HOURS))
+
+
+def due_sources(sources: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """Active sources of held events around today whose next check has come or was never set, those first, then by time and start.
+
+    ``sources`` has active, held, start_date, next_check.
+    """
+    days = F.datediff("start_date", F.to_date(now))
+    due = sources.where(F.col("active") & F.col("held") & days.between(*CHECKED_DAYS) & (F.col("next_check").isNull() | (F.col("next_check") <= now)))
+    return due if limit is None else due.orderBy(F.col("next_check").asc_nulls_first(), "start_date", "src").limit(limit)
+
+
+def due_between(checks: DataFrame, until: Column) -> DataFrame:
+    """``src, due, failures``: checks (src, ts, failed, start_date) after which the next one fell due, up to ``until``, before another came."""
+    w = W.partitionBy("src").orderBy("ts")
+    good = F.coalesce(F.max(F.when(~F.col("failed"), F.col("_n"))).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    c = checks.withColumn("_n", F.row_number().over(w)).withColumn("failures", (F.col("_n") - good).cast("long")).withColumn("due", next_check(F.col("start_date"), F.col("ts").cast("timestamp")))
+    return c.withColumn("_next", F.lead(F.col("ts").cast("timestamp")).over(w)).where((F.col("due") < F.coalesce("_next", until))).select("src", "due", "failures")
 
 
 def claim_reminders(due: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
     return due.select(*keys).distinct().join(sent, keys, "left_anti")
 
 
+def claim_due(due: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """What is due and neither claimed nor sent: ``log`` has keys, state (claimed, sent, released) and at; its last entry of a key counts."""
+    open_ = log.groupBy(*keys).agg(F.max_by("state", "at").alias("state")).where("state <> 'released'")
+    return due.select(*keys).distinct().join(open_, keys, "left_anti")
+
+
+def settle(claims: DataFrame, outcomes: DataFrame, keys: list[str], receiver: str, at: int) -> DataFrame:
+    """``keys, state, at`` of a run's claims after sending: sent, or released where the receiver's message failed or has no outcome."""
+    ok = outcomes.groupBy(receiver).agg(F.bool_and("ok").alias("_ok"))
+    state = F.when(F.coalesce("_ok", F.lit(False)), "sent").otherwise("released")
+    return claims.join(ok, receiver, "left").select(*keys, state.alias("state"), F.lit(at).cast("long").alias("at"))
+
+
 def position_moves(snaps: DataFrame, key: str, snap: str, position: str) -> DataFrame:
     """Old and new position of each player between the latest two snapshots."""
     latest = snaps.select(snap).distinct().orderBy(F.col(snap).desc()).limit(2).withColumn("_k", F.row_number().over(W.orderBy(F.col(snap).desc())))

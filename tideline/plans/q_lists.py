@@ -90,10 +90,43 @@ def n06(t):
     return lists.inherit_departures(q, lists.last_movements(t.v_moves, ["list"]), ["list", "player"])
 
 
-@query("n07_due_sources", "WITH s AS (SELECT user_id AS src, max(ts) AS checked_at, count(*) FILTER (WHERE event_type = 'error') % 9 AS failures FROM events GROUP BY 1) SELECT src, failures FROM s WHERE checked_at + to_hours(cast(pow(2, least(failures, 6)) AS INTEGER)) <= TIMESTAMP '2024-01-30 18:00:00'")
+#: One list for each edition: when it was last checked (some never were), whether it is active and its event held.
+SOURCES = """src AS (SELECT ed_id AS src, start_date, ed_id % 17 > 0 AS active, ed_id % 13 > 0 AS held, CASE WHEN ed_id % 10 > 0 THEN TIMESTAMP '1998-06-15 09:30:00' - to_hours(cast(ed_id % 40 AS INTEGER)) END AS checked_at FROM v_ed),
+nx AS (SELECT *, checked_at + to_hours(CASE WHEN ceil((epoch(cast(start_date AS TIMESTAMP)) + 43200 - epoch(checked_at)) / 86400) <= 21 THEN 6 ELSE 24 END) AS next_check FROM src)"""
+
+
+def sources(t):
+    k = F.col("ed_id")
+    at = F.when(k % 10 > 0, F.to_timestamp(F.lit("1998-06-15 09:30:00")) - F.make_interval(hours=(k % 40).cast("int")))
+    s = t.v_ed.select(k.alias("src"), "start_date", (k % 17 > 0).alias("active"), (k % 13 > 0).alias("held"), at.alias("checked_at"))
+    return s.withColumn("next_check", lists.next_check(F.col("start_date"), F.col("checked_at")))
+
+
+@query("n07_due_sources", f"WITH {SOURCES} SELECT src, next_check FROM nx WHERE active AND held AND start_date - DATE '1998-06-15' BETWEEN -2 AND 35 AND (next_check IS NULL OR next_check <= TIMESTAMP '1998-06-15 10:00:00')")
 def n07(t):
-    s = t.events.groupBy(F.col("user_id").alias("src")).agg(F.max("ts").alias("checked_at"), (F.count(F.when(F.col("event_type") == "error", 1)) % 9).alias("failures"))
-    return lists.due_sources(s, F.to_timestamp(F.lit("2024-01-30 18:00:00"))).select("src", "failures")
+    got = lists.due_sources(sources(t), F.to_timestamp(F.lit("1998-06-15 10:00:00")))
+    return got.select("src", F.col("next_check").cast("timestamp_ntz").alias("next_check"))
+
+
+#: Every event of a user is a check of the user's list; a check that comes before the next one is due moves it.
+DUE = """c AS (SELECT user_id AS src, ts, event_type = 'error' AS failed, DATE '2024-01-20' + cast(user_id % 40 AS INTEGER) AS start_date, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+d AS (SELECT *, n - coalesce(max(CASE WHEN NOT failed THEN n END) OVER (PARTITION BY src ORDER BY ts), 0) AS failures, lead(ts) OVER (PARTITION BY src ORDER BY ts) AS nxt, ts + to_hours(CASE WHEN ceil((epoch_us(cast(start_date AS TIMESTAMP)) + 43200000000 - epoch_us(ts)) / 86400000000) <= 21 THEN 6 ELSE 24 END) AS due FROM c)"""
+
+
+def checks(df):
+    return df.select(F.col("user_id").alias("src"), "ts", (F.col("event_type") == "error").alias("failed"), F.date_add(F.lit("2024-01-20").cast("date"), (F.col("user_id") % 40).cast("int")).alias("start_date"))
+
+
+@query("n07_due_between", f"WITH {DUE} SELECT src, due, failures FROM d WHERE due < coalesce(nxt, TIMESTAMP '2024-01-30 12:00:00')")
+def n07b(t):
+    return lists.due_between(checks(t.events), F.to_timestamp(F.lit("2024-01-30 12:00:00"))).withColumn("due", F.col("due").cast("timestamp_ntz"))
+
+
+@query("n07_stream_due", f"WITH {DUE} SELECT src, due, failures FROM d WHERE due < coalesce(nxt, (SELECT max(ts) FROM events))")
+def n07st(t):
+    """Timers of the state fire when event time passes them; the stream's last event ends them."""
+    got = jobs.run_to_table(jobs.due_checks(checks(jobs.read_stream(t.spark, t.sf_dir, "events"))), "due-checks")
+    return got.select("src", F.timestamp_micros("due").cast("timestamp_ntz").alias("due"), "failures")
 
 
 @query("n08_claim_reminders", "SELECT DISTINCT user_id AS subscriber, concat(event_type, cast(cast(floor(value) AS INTEGER) AS VARCHAR)) AS deadline FROM events WHERE day(ts) > 20 EXCEPT SELECT user_id, concat(event_type, cast(cast(floor(value) AS INTEGER) AS VARCHAR)) FROM events WHERE day(ts) <= 20")
@@ -162,3 +195,46 @@ def n11(t):
     moves = m.select(F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("list"), F.col("user_id").alias("player"), "ts", kind.alias("kind"))
     got = jobs.run_to_table(jobs.movement_ledger(moves, ["seq"], "ts"), "late")
     return lists.derive_state(t.v_entries, got, ["list"]).select("list", "player", "state")
+
+
+@query("n04_stream_state", f"WITH {STATE} SELECT list, player, state, CASE WHEN state = 'alternate' THEN cast(sum(CASE WHEN state = 'alternate' THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY position, player ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS queue FROM s")
+def n04s(t):
+    """Snapshots and movements come as one stream, keyed by list; what it gave last is the standing."""
+    from tideline.storage import materialise
+
+    e = t.v_entries.select("list", "player", F.to_timestamp(F.lit("2024-01-01")).alias("ts"), "status", "position", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("seq"))
+    m = t.v_moves.select("list", "player", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("position"), "kind", "seq")
+    rows = materialise(e.unionByName(m), "list-rows")
+    stream = t.spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
+    return jobs.latest_standing(jobs.run_to_table(jobs.list_states(stream), "list-states"))[0]
+
+
+@query("n03_stream_disappearances", "WITH s AS (SELECT DISTINCT user_id % 20 AS list, cast(ts AS DATE) AS d, user_id AS player FROM events), o AS (SELECT list, d, lead(d) OVER (PARTITION BY list ORDER BY d) AS nxt FROM (SELECT DISTINCT list, d FROM s)) SELECT s.list, s.player, s.d AS from_snap, o.nxt AS to_snap FROM s JOIN o ON o.list = s.list AND o.d = s.d WHERE o.nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s x WHERE x.list = s.list AND x.d = o.nxt AND x.player = s.player)")
+def n03ds(t):
+    from tideline.storage import new_path
+
+    snaps = jobs.read_stream(t.spark, t.sf_dir, "events").select((F.col("user_id") % 20).alias("list"), F.to_date("ts").alias("d"), F.col("user_id").alias("player"))
+    store = new_path(t.spark, "disappearances")
+    jobs.disappearance_stream(snaps, store, ["list"], "d", "player", new_path(t.spark, "ckpt-disappearances")).awaitTermination()
+    return t.spark.read.parquet(f"{store}/ledger").select("list", "player", "from_snap", "to_snap")
+
+
+@query("n08_two_phase", """WITH d AS (SELECT DISTINCT user_id AS subscriber, event_type AS deadline, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END AS run FROM events),
+c0 AS (SELECT subscriber, deadline FROM d WHERE run = 0), s0 AS (SELECT * FROM c0 WHERE subscriber % 3 <> 0),
+c1 AS (SELECT subscriber, deadline FROM d WHERE run = 1 EXCEPT SELECT * FROM s0), s1 AS (SELECT * FROM c1 WHERE subscriber % 3 <> 1),
+c2 AS (SELECT subscriber, deadline FROM d WHERE run = 2 EXCEPT SELECT * FROM s0 EXCEPT SELECT * FROM s1)
+SELECT *, 0 AS run, CASE WHEN subscriber % 3 = 0 THEN 'released' ELSE 'sent' END AS state FROM c0 UNION ALL SELECT *, 1, CASE WHEN subscriber % 3 = 1 THEN 'released' ELSE 'sent' END FROM c1 UNION ALL SELECT *, 2, CASE WHEN subscriber % 3 = 2 THEN 'released' ELSE 'sent' END FROM c2""")
+def n08t(t):
+    """Three runs over the month; in each the messages to a third of the subscribers fail, and their claims come back."""
+    keys = ["subscriber", "deadline"]
+    day = F.dayofmonth("ts")
+    run = F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
+    due = t.events.select(F.col("user_id").alias("subscriber"), F.col("event_type").alias("deadline"), run.alias("run")).distinct()
+    log, out = due.select(*keys, F.lit("").alias("state"), F.lit(0).cast("long").alias("at")).where("false"), []
+    for k in range(3):
+        claims = lists.claim_due(due.where(F.col("run") == k), log, keys)
+        outcome = claims.select("subscriber", (F.col("subscriber") % 3 != k).alias("ok")).distinct()
+        result = lists.settle(claims, outcome, keys, "subscriber", k)
+        log = log.unionByName(result)
+        out.append(result.select(*keys, F.lit(k).alias("run"), "state"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
