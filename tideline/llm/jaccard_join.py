@@ -12,8 +12,9 @@
 5. The postings that are left get signature trees: inner nodes hold OR-combined token bitmaps, size ranges and ranges of
    components. A dual traversal of a tree with itself prunes node pairs by size, by the largest possible overlap (common bits
    and bit collisions) and where all sets are connected already. The upper levels of a long posting (size classes, then digits of a
-   hash, down to ``leaf_sets``) are traversed as Spark joins, the rest of each surviving pair of subtrees in one task. The
-   pairs of sets that are left are verified with the shingles.
+   hash, down to ``leaf_sets``) are traversed as Spark joins, the rest of each surviving pair of subtrees in one task. Of the
+   pairs of sets that are left, the likeliest of each two components are verified first, with the shingles; then the trees are traversed
+   once more with the components that this gave, and every pair that is left is verified.
 
 The join is exact up to 48-bit hash collisions inside one pair of sets (below 1e-9 for texts of 500 words).
 """
@@ -47,7 +48,7 @@ class Spec:
     """Shingles of ``k`` words; linked when the Jaccard similarity is at least ``num / den``.
 
     The rest shapes the plan only: text bytes of a chunk and of a hash range, sets of a tree's leaf, hubs of a star round
-    and the largest number of such rounds.
+    and the largest number of such rounds, and pairs of two components of a posting that are verified before all others.
     """
 
     k: int = 5
@@ -58,6 +59,7 @@ class Spec:
     leaf_sets: int = 4096
     hubs: int = 3
     star_rounds: int = 8
+    likeliest: int = 3
 
 
 _MAPPED = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("toks", pa.binary()), ("ords", pa.binary()), ("meta", pa.binary()), ("docs", pa.list_(pa.int64()))])
@@ -280,9 +282,20 @@ def tree_pairs(left: list[tuple], right: list[tuple] | None, spec: Spec) -> tupl
     return (i[i != j], j[i != j]) if own else (i, j)
 
 
-def _leaf_pairs(spec: Spec):
+def _likeliest(a: np.ndarray, b: np.ndarray, common: np.ndarray, best: int) -> np.ndarray:
+    """The places of the ``best`` pairs of each two labels with the most bits in common."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((-common, high, low))
+    x, y = low[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)])
+    rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return order[rank < best]
+
+
+def _leaf_pairs(spec: Spec, best: int | None):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """The pairs that are left of each ``unit`` of the table: one posting (side 0) or two subtrees (sides 1 and 2)."""
+        """The pairs that are left of each ``unit`` of the table: one posting (side 0) or two subtrees (sides 1 and 2); the likeliest
+        ``best`` of each two components, or all."""
         column = lambda c: table[c].to_numpy()
         unit, side, n, clash, label = (column(c) for c in ("unit", "side", "n", "clash", "lab"))
         sig = table["sig"].combine_chunks().flatten().to_numpy().view(U64).reshape(-1, WORDS)
@@ -294,15 +307,21 @@ def _leaf_pairs(spec: Spec):
             for a, b in ((0, None), (1, 2)):
                 if trees[a] is not None and (b is None or trees[b] is not None):
                     i, j = tree_pairs(trees[a], None if b is None else trees[b], spec)
-                    for x, y in zip(parts[a][i].tolist(), parts[a if b is None else b][j].tolist(), strict=True):
+                    i, j = parts[a][i], parts[a if b is None else b][j]
+                    if best is not None and len(i) > best:
+                        common = np.concatenate([np.bitwise_count(sig[i[k : k + 8192]] & sig[j[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192)])
+                        some = _likeliest(label[i], label[j], common, best)
+                        i, j = i[some], j[some]
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
                         out.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table([[a for a, _ in out], [b for _, b in out]], schema=_PAIR)
 
     return run
 
 
-def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec) -> DataFrame:
-    """``a, b``: the pairs of sets of different components that the dual traversal of the postings' trees leaves."""
+def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec, best: int | None) -> DataFrame:
+    """``a, b``: the pairs of sets of different components that the dual traversal of the postings' trees leaves; of a posting or of two
+    subtrees the likeliest ``best`` of each two components, or all."""
     count = postings.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     main = count.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
     cls = F.floor(F.log(F.col("n").cast("double") + 1e-9) / math.log(spec.den / spec.num)).cast("int")
@@ -342,7 +361,7 @@ def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec:
     full = units.join(able.select("set_id", "sig", "clash"), "set_id").withColumn("lab", F.xxhash64("label"))
     buckets = max(1, postings.count() // 4096)
     dealt = full.withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets))).select("bucket", "unit", "side", "set_id", "n", "lab", "clash", "sig").repartition(min(buckets, 100_000), "bucket")
-    return dealt.groupBy("bucket").applyInArrow(_leaf_pairs(spec), "a binary, b binary").distinct()
+    return dealt.groupBy("bucket").applyInArrow(_leaf_pairs(spec, best), "a binary, b binary").distinct()
 
 
 def _components(able: DataFrame, spec: Spec) -> DataFrame:
@@ -350,21 +369,25 @@ def _components(able: DataFrame, spec: Spec) -> DataFrame:
     postings = materialise(able.select(F.explode("keys").alias("key"), "set_id", "n", F.col("set_id").alias("label")), "jaccard-postings")
     hot = hot_keys(postings, ["key"])
     postings, links = _still_open(postings, hot), None
+    merged = lambda labels: _still_open(postings.drop("label").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), hot)
     for turn in range(spec.star_rounds):
         longest = postings.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        if not longest or (turn and longest <= spec.leaf_sets):
+        if not longest or (turn > 1 and longest <= spec.leaf_sets):
             break
         found, tried = _star(postings, able, hot, spec, turn)
         n = found.count()
         if n:
             links = found if links is None else links.unionByName(found)
-            # Sets that link to one hub are connected through it; that is all a label has to say here.
-            labels = _labels(links) if turn else found.groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("label"))
-            postings = _still_open(postings.drop("label").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), hot)
+            postings = merged(_labels(links))
         if n * 4 <= tried:
             break
-    found = materialise(_verify(materialise(_traverse(postings, able, hot, spec), "jaccard-pairs"), able, spec), "jaccard-links")
-    return _labels(found if links is None else links.unionByName(found))
+    for best in (spec.likeliest, None):
+        # One link joins two components, so the likeliest pairs come first; what they join needs no others.
+        found = materialise(_verify(materialise(_traverse(postings, able, hot, spec, best), "jaccard-pairs"), able, spec), "jaccard-links")
+        links = found if links is None else links.unionByName(found)
+        if best is not None:
+            postings = merged(_labels(links))
+    return _labels(links)
 
 
 def _labels(links: DataFrame) -> DataFrame:
