@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, geo, levels, text
-from tideline.operators import aggregates, chains, joins, merge, quality, windows
+from tideline.operators import aggregates, chains, joins, merge, quality, ranks, windows
 from tideline.operators.graph import connected_components
 from tideline.plans import field
 from tideline.sources import readers
@@ -202,7 +202,7 @@ def test_ledger_transitions(spark):
 
 def test_cohort_score_ties_half_and_small_cohorts(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 2, 4, 5, 6, 7, 8)] + [("b", 1)], "c string, v int")
-    got = {(r.c, r.v): r.score for r in windows.cohort_score(df, "c", "v").collect()}
+    got = {(r.c, r.v): r.score for r in ranks.cohort_score(df, "c", "v").collect()}
     assert got["a", 1] == 100 * 7.5 / 8 and got["a", 2] == 100 * 6 / 8 and got["b", 1] is None
 
 

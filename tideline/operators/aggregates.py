@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators import ranks
+from tideline.operators.ranks import nearest_quantiles  # noqa: F401
+
 
 def pivot_facts(df: DataFrame, key: str, value: str) -> DataFrame:
     """One column for each event and draw, their number and whether any value is missing."""
@@ -24,25 +27,11 @@ def summary_stats(df: DataFrame, by: list[str], x: str, baseline: str) -> DataFr
     return df.groupBy(*by).agg(F.count(x).alias("n"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.avg(err).alias("mae"))
 
 
-def nearest_quantiles(df: DataFrame, by: list[str], x: str, ps: dict[str, float]) -> DataFrame:
-    """The element at index least(n - 1, floor(p n)) of the sorted values; not interpolated."""
-    w = W.partitionBy(*by)
-    ranked = df.where(F.col(x).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(x)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * p)), F.col(x)))
-    return ranked.groupBy(*by).agg(*(at(p).alias(name) for name, p in ps.items()))
-
-
-def average_rank(x: str, by: list[str]) -> Column:
-    """Ranks where ties share the mean of their places."""
-    w = W.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(W.partitionBy(*by, x)) - 1) / 2
-
-
 def correlation(df: DataFrame, by: list[str], x: str, y: str, method: str = "pearson") -> DataFrame:
     """Pearson, or Spearman with tie-averaged ranks; null for fewer than two rows or no variance."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if method == "spearman":
-        both = both.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
+        both = ranks.with_average_rank(ranks.with_average_rank(both, by, x, "_x"), by, y, "_y")
     else:
         both = both.withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double"))
     r = F.when((F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), F.corr("_x", "_y"))
@@ -98,6 +87,13 @@ def binned(df: DataFrame, x: str, y: str, width: float, min_n: int, by: list[str
     return df.groupBy(*(by or []), bin.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.median(y).alias("median"), F.stddev_samp(y).alias("sd")).where(F.col("n") >= min_n)
 
 
+def binned_spread(df: DataFrame, x: str, y: str, width: float, min_n: int, by: list[str]) -> DataFrame:
+    """``by, bins, spread``: the mean deviation inside the bins of at least ``min_n`` rows over the deviation of all rows; null if that is 0."""
+    inside = binned(df, x, y, width, min_n, by).groupBy(*by).agg(F.count(F.lit(1)).alias("bins"), F.avg("sd").alias("_in"))
+    whole = df.groupBy(*by).agg(F.stddev_samp(y).alias("_all"))
+    return inside.join(whole, by).select(*by, "bins", F.when(F.col("_all") > 0, F.col("_in") / F.col("_all")).alias("spread"))
+
+
 def error_metrics(pred: str, base: str, actual: str) -> list[Column]:
     """Mean absolute error, bias and win rate against a baseline (ties half)."""
     e, b = F.abs(F.col(pred) - F.col(actual)), F.abs(F.col(base) - F.col(actual))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text
 from tideline.functions.geo import haversine_km
+from tideline.operators import windows
 from tideline.operators.containment import contained_keys
 from tideline.storage import materialise
 
@@ -31,9 +32,7 @@ def exists_any(left: DataFrame, right: DataFrame, on: list[str], anti: bool = Fa
     return left.join(right, on, "left_anti" if anti else "left_semi")
 
 
-def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``."""
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+pick = windows.latest_per_key
 
 
 #: Score of a match by strict slug, name and city within a week, then by base slug, name and city, then by
@@ -125,17 +124,27 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: st
 
 
 def prior_reference(df: DataFrame, refs: DataFrame, on: list[str], key: str, max_weeks: int = 2) -> DataFrame:
-    """Most similar week of an earlier year, newest first among equals. ``refs`` has ref_yr, ref_wk and ref_cut."""
-    near = df.join(refs, on).where((F.col("ref_yr") < F.col("yr")) & (F.abs(F.col("ref_wk") - F.col("wk")) <= max_weeks) & F.col("ref_cut").isNotNull())
-    return pick(near, [key], [F.abs(F.col("ref_wk") - F.col("wk")), F.col("ref_yr").desc(), F.col("ref_id")])
+    """Most similar week of an earlier year, newest first among equals. ``refs`` has ref_yr, ref_wk, ref_id and ref_cut.
+
+    A week's reference holds for the years after its own until the next one's, so each of the five weeks around a row is looked up by its year:
+    no pairs of rows and references of the same ``on`` are made.
+    """
+    best = refs.where(F.col("ref_cut").isNotNull()).groupBy(*on, "ref_wk", "ref_yr").agg(F.min(F.struct("ref_id", "ref_cut")).alias("_r"))
+    last = df.agg(F.max("yr").alias("y")).scalar()
+    until = F.coalesce(F.lead("ref_yr").over(W.partitionBy(*on, "ref_wk").orderBy("ref_yr")), last)
+    held = best.withColumn("_until", until).where(F.col("ref_yr") < F.col("_until")).withColumn("yr", F.explode(F.sequence(F.col("ref_yr") + 1, F.col("_until")))).select(*on, "ref_wk", "ref_yr", "yr", "_r.ref_id", "_r.ref_cut")
+    asked = df.withColumn("_off", F.explode(F.sequence(F.lit(-max_weeks), F.lit(max_weeks)))).withColumn("ref_wk", F.col("wk") + F.col("_off"))
+    near = asked.join(held, [*on, "ref_wk", "yr"])
+    return pick(near, [key], [F.abs("_off"), F.col("ref_yr").desc(), F.col("ref_id")]).drop("_off")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], t_left: str, t_right: str, values: list[str]) -> DataFrame:
-    """The latest row of ``right`` at or before each row of ``left``: one union and one window, no range join."""
-    lefts = left.withColumn("_t", F.col(t_left)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(F.struct(t_right, *values)).schema[0].dataType))
+    """The latest row of ``right`` at or before each row of ``left``: one union whose values are carried forward by ranges of (by, time), so
+    that a key of any length is spread over tasks."""
+    kind = right.select(F.struct(t_right, *values)).schema[0].dataType
+    lefts = left.withColumn("_t", F.col(t_left)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(kind))
     rights = right.select(*by, F.col(t_right).alias("_t"), F.lit(0).alias("_side"), F.struct(t_right, *values).alias("_v"))
-    w = W.partitionBy(*by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_got", F.last("_v", ignorenulls=True).over(w))
+    both = windows.carry_forward(lefts.unionByName(rights, allowMissingColumns=True), by, ["_t", "_side"], "_v", "_got")
     return both.where("_side = 1").select(*left.columns, *(F.col(f"_got.{c}").alias(f"asof_{c}") for c in [t_right, *values]))
 
 
@@ -200,8 +209,16 @@ def adjacency_links(events: DataFrame, neighbours: DataFrame, radius_km: float =
     return pairs.unionByName(firsts.join(some, "first").select(F.col("ed_id").alias("src"), F.col("other").alias("dst")))
 
 
-def nearest_point(df: DataFrame, points: DataFrame, key: str, cap_km: float, degrees: float = 3.0) -> DataFrame:
-    """The nearest point within ``cap_km``, by grid cells: a point is copied to the cells around its own that it can reach."""
+def nearest_point(df: DataFrame, points: DataFrame, key: str, cap_km: float, degrees: float = 3.0, overrides: DataFrame | None = None, name: str = "city") -> DataFrame:
+    """The point that ``overrides`` (``name``, point; one row for a name) gives a row's name, else the nearest one within ``cap_km``; a row
+    without either goes. ``km`` is null for a point given.
+
+    By grid cells: a point is copied to the cells around its own that it can reach.
+    """
+    given = None
+    if overrides is not None:
+        given = df.join(overrides, name).withColumn("km", F.lit(None).cast("double"))
+        df = df.join(overrides, name, "left_anti")
     rows = math.ceil(cap_km / (111.0 * degrees))
     wide = F.ceil(F.lit(cap_km) / (F.lit(111.0 * degrees) * F.greatest(F.cos(F.radians(F.least(F.abs(F.col("p_lat")) + cap_km / 111.0, F.lit(89.0)))), F.lit(0.02)))).cast("int")
     cols = int(360 / degrees)
@@ -210,7 +227,8 @@ def nearest_point(df: DataFrame, points: DataFrame, key: str, cap_km: float, deg
     copies = copies.withColumn("_row", p_row + F.col("_dr")).withColumn("_col", F.pmod(p_col + F.col("_dc"), F.lit(cols))).drop("_dr", "_dc").distinct()
     row, col = _cells(F.col("lat"), F.col("lon"), degrees)
     near = df.withColumn("_row", row).withColumn("_col", col).join(copies, ["_row", "_col"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
-    return pick(near.where(F.col("km") < cap_km), [key], [F.col("km"), F.col("point")])
+    found = pick(near.where(F.col("km") < cap_km), [key], [F.col("km"), F.col("point")])
+    return found if given is None else found.select(*given.columns).unionByName(given)
 
 
 def token_match(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.operators.joins import pick
 from tideline.storage import materialise
 
 
 def dedupe_latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
-    return pick(df, keys, [F.col(order).desc_nulls_last(), F.col(tie)])
+    return latest_per_key(df, keys, [F.col(order).desc_nulls_last(), F.col(tie)])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return pick(df, keys, order)
+    """The first row of each key in ``order``."""
+    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
 def yoy_flags(df: DataFrame, key: str, period: str, columns: list[str]) -> DataFrame:
@@ -24,14 +24,6 @@ def yoy_flags(df: DataFrame, key: str, period: str, columns: list[str]) -> DataF
     return df.select("*", *(F.col(c).eqNullSafe(F.lead(c).over(w)).alias(f"same_{c}") for c in columns), F.lead(period).over(w).alias("older"))
 
 
-def cohort_score(df: DataFrame, cohort: str, value: str, min_n: int = 8) -> DataFrame:
-    """Share of the cohort that a value beats (lower is stronger), ties half; null for small cohorts."""
-    n = F.count(value).over(W.partitionBy(cohort))
-    same = F.count(value).over(W.partitionBy(cohort, value))
-    above = n - (F.rank().over(W.partitionBy(cohort).orderBy(value)) - 1) - same
-    return df.where(F.col(value).isNotNull()).select("*", F.when(n >= min_n, 100 * (above + same / 2) / n).alias("score"))
-
-
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """``df`` with the running sum of ``value`` within ``keys`` in ``order``, this row included.
 
@@ -46,9 +38,24 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out
     return rows.withColumn("_own", own).join(totals, [*keys, "_shard"]).withColumn(out, F.col("_own") + F.col("_offset")).drop("_own", "_offset", "_shard")
 
 
-def requeue(df: DataFrame, lists: list[str], active: Column, order: list[Column]) -> DataFrame:
-    """Positions among the active rows; null for inactive ones."""
-    return df.withColumn("_a", active).withColumn("queue", F.when(F.col("_a"), F.sum(F.col("_a").cast("int")).over(W.partitionBy(*lists).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))).drop("_a")
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, current: bool = True) -> DataFrame:
+    """``df`` with the last value of ``value`` that is not null within ``keys`` in ``order``, this row's included (or, without ``current``, left out).
+
+    Rows are dealt by ranges of (keys, order) and written; each range looks back over its own rows, and takes the last value of the ranges before
+    where it has none. So no task holds a whole key, however long. ``order`` should tell rows of a key apart.
+    """
+    rows = materialise(df.repartitionByRange(*keys, *order).withColumn("_shard", F.spark_partition_id()), "carry-forward")
+    known = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_shard").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    before = W.partitionBy(*keys).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
+    shards = rows.select(*keys, "_shard").distinct().join(known, [*keys, "_shard"], "left").select(*keys, "_shard", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    own = F.last(value, ignorenulls=True).over(W.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if current else -1))
+    return rows.withColumn("_own", own).join(shards, [*keys, "_shard"], "left").withColumn(out, F.coalesce("_own", "_before.v")).drop("_own", "_before", "_shard")
+
+
+def requeue(df: DataFrame, lists: list[str], active: Column, order: list[str]) -> DataFrame:
+    """Positions among the active rows; null for inactive ones. A list is numbered by ranges, however long."""
+    numbered = prefix_sum(df.withColumn("_a", active.cast("long")), lists, order, "_a", "_n")
+    return numbered.withColumn("queue", F.when(F.col("_a") == 1, F.col("_n"))).drop("_a", "_n")
 
 
 def prior_history(df: DataFrame, keys: list[str], period: str, value: str, gap: int = 2) -> DataFrame:
@@ -69,10 +76,10 @@ def visible_pairs(targets: DataFrame, obs: DataFrame, on: list[str], horizon: in
     return targets.join(o, cond)
 
 
-def repeated_value(df: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
-    """Rows whose value equals that of exactly one period before."""
-    prev = df.select(*keys, (F.col(period) + 1).alias(period), F.col(value).alias("_v"))
-    return df.join(prev, [*keys, period]).where(F.col(value) == F.col("_v")).drop("_v")
+def repeated_value(df: DataFrame, keys: list[str], period: str, values: list[str]) -> DataFrame:
+    """Rows whose values all equal those of exactly one period before; a null equals nothing."""
+    prev = df.select(*keys, (F.col(period) + 1).alias(period), *values)
+    return df.join(prev.distinct(), [*keys, period, *values], "left_semi")
 
 
 def history_outlier(df: DataFrame, key: list[str], period: str, value: str, factor: float = 2.5, min_n: int = 2) -> DataFrame:
@@ -84,8 +91,7 @@ def history_outlier(df: DataFrame, key: list[str], period: str, value: str, fact
 
 def changed_since_last(df: DataFrame, key: str, period: str, value: str) -> DataFrame:
     """Rows whose value differs from the last known earlier one."""
-    w = W.partitionBy(key).orderBy(period).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("last_known", F.last(value, ignorenulls=True).over(w)).where(F.col("last_known") != F.col(value))
+    return carry_forward(df, [key], [period], value, "last_known", current=False).where(F.col("last_known") != F.col(value))
 
 
 def latest_two(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:

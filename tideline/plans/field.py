@@ -255,12 +255,32 @@ def coverage_totals(expected: DataFrame, present: DataFrame, editions: DataFrame
 
 
 def phase_and_label(df: DataFrame, as_of: Column) -> DataFrame:
-    """Past, current or upcoming (undated: upcoming) and a relative label in days, weeks, months or years."""
-    end = F.coalesce("end_date", F.date_add("start_date", 6))
-    phase = F.when(F.col("start_date").isNull(), "upcoming").when(end < as_of, "past").when(F.col("start_date") <= as_of, "current").otherwise("upcoming")
-    days = F.abs(F.datediff("start_date", as_of))
-    label = F.when(days < 7, F.concat(days.cast("string"), F.lit(" d"))).when(days < 56, F.concat(F.floor(days / 7).cast("string"), F.lit(" w"))).when(days < 730, F.concat(F.floor(days / 30).cast("string"), F.lit(" mo"))).otherwise(F.concat(F.floor(days / 365).cast("string"), F.lit(" y")))
-    return df.withColumn("phase", phase).withColumn("label", label)
+    """``phase`` (past, current, upcoming; undated rows are upcoming), a relative ``label``, and ``phase_no`` and ``place``, by which rows are shown:
+    current and upcoming ones from the first start on (undated last), past ones from the last.
+
+    An event without an end lasts a week. Weeks run from Monday, so "next week" is the next one of the calendar.
+    """
+    last = F.coalesce("end_date", F.date_add("start_date", 6))
+    start = F.col("start_date")
+    phase = F.when(start.isNull() | last.isNull(), "upcoming").when(last < as_of, "past").when(start <= as_of, "current").otherwise("upcoming")
+    week = lambda d: F.floor((F.unix_date(d) + 3) / 7)
+    rounded = lambda x: F.floor(x + 0.5).cast("long")
+    counted = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+    days, weeks, ago = F.datediff(start, as_of), week(start) - week(as_of), F.datediff(as_of, last)
+    soon = F.when(days == 1, "Starts tomorrow").otherwise(F.concat(F.lit("Starts in "), days.cast("string"), F.lit(" days")))
+    ahead = F.when(weeks == 0, soon).when(weeks == 1, "Next week").when(weeks < 9, F.concat(F.lit("In "), weeks.cast("string"), F.lit(" weeks"))).otherwise(F.concat(F.lit("In "), counted(rounded(days / 30), "month")))
+    years = F.greatest(F.lit(1), rounded(ago / 365))
+    back = (
+        F.when(ago < 8, "Last week").when(ago < 60, F.concat(rounded(ago / 7).cast("string"), F.lit(" weeks ago"))).when(ago < 330, F.concat(counted(rounded(ago / 30), "month"), F.lit(" ago")))
+        .when(years == 1, "Last year").otherwise(F.concat(years.cast("string"), F.lit(" years ago")))
+    )
+    tagged = df.withColumn("phase", phase)
+    is_ = lambda name: F.col("phase") == name
+    label = F.when(start.isNull(), "Dates TBD").when(is_("current"), "This week").when(is_("upcoming"), ahead).otherwise(back)
+    number = F.when(is_("current"), 0).when(is_("upcoming"), 1).otherwise(2)
+    day = F.unix_date(start)
+    place = F.when(is_("past"), -day).otherwise(F.coalesce(day, F.lit(1 << 30)))
+    return tagged.withColumn("label", label).withColumn("phase_no", number).withColumn("place", place)
 
 
 def fill_from_siblings(df: DataFrame, key: str, id: str, column: str, overrides: DataFrame) -> DataFrame:

@@ -96,15 +96,26 @@ def cohort_base(obs: DataFrame, km: float = 3000) -> DataFrame:
     return base.select("ed_id", F.coalesce("close", "every").alias("cohort"))
 
 
-def supply(events: DataFrame, km: float = 3000) -> DataFrame:
-    """``ed_id, supply``: regional weight of the calendar in the week and its neighbours against last season's, each plus 1."""
+def supply_signals(events: DataFrame, km: float = 3000) -> DataFrame:
+    """``ed_id, supply, runup``: regional weight of the calendar against last season's, each plus 1: of the week and its neighbours, and of the
+    neighbourhoods of the weeks two and three before. Null for events without a place.
+
+    Of the weeks before, the second and third lie in both neighbourhoods and count twice.
+    """
     spot = ["yr", "wk", "lat", "lon"]
-    e = events.groupBy(*spot).agg(F.sum(levels.supply_weight(F.col("level"))).alias("w"))
-    sums = lambda other, name: joins.near_in_time_space(e.drop("w"), other, ["yr"], "wk", [-1, 0, 1], km).groupBy(*spot).agg(F.sum("r_w").alias(name))
-    now, was = sums(e, "now"), sums(e.withColumn("yr", F.col("yr") + 1), "was")
-    both = e.drop("w").join(now, spot, "left").join(was, spot, "left")
-    ratio = (F.coalesce("now", F.lit(0.0)) + 1) / (F.coalesce("was", F.lit(0.0)) + 1)
-    return events.select("ed_id", *spot).join(both, spot, "left").select("ed_id", ratio.alias("supply"))
+    e = events.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(*spot).agg(F.sum(levels.supply_weight(F.col("level"))).alias("w"))
+    times = F.when((F.col("wk") - F.col("r_wk")).isin(2, 3), 2).otherwise(1)
+    near = lambda other: joins.near_in_time_space(e.drop("w"), other, ["yr"], "wk", [-4, -3, -2, -1, 0, 1], km)
+    mass = lambda low, high, n: F.coalesce(F.sum(F.when((F.col("r_wk") - F.col("wk")).between(low, high), F.col("r_w") * n)), F.lit(0.0))
+    sums = lambda other, name: near(other).groupBy(*spot).agg(mass(-1, 1, 1).alias(f"same_{name}"), mass(-4, -1, times).alias(f"run_{name}"))
+    both = sums(e, "now").join(sums(e.withColumn("yr", F.col("yr") + 1), "was"), spot, "left")
+    ratio = lambda kind: (F.col(f"{kind}_now") + 1) / (F.coalesce(f"{kind}_was", F.lit(0.0)) + 1)
+    return events.select("ed_id", *spot).join(both, spot, "left").select("ed_id", ratio("same").alias("supply"), ratio("run").alias("runup"))
+
+
+def supply(events: DataFrame, km: float = 3000) -> DataFrame:
+    """``ed_id, supply``: the signal of the same week."""
+    return supply_signals(events, km).select("ed_id", "supply")
 
 
 def _band(grp: Column, draw: str) -> Column:

@@ -71,6 +71,11 @@ def d09(t):
     return r6(ag.binned(yoy(t), "prev", "cut", 10, 5), "sd")
 
 
+@query("d09_binned_spread", f"WITH y AS {YOY}, b AS (SELECT dr, floor(prev / 10) AS bin, stddev_samp(cut) AS sd FROM y GROUP BY 1, 2 HAVING count(*) >= 5), t AS (SELECT dr, stddev_samp(cut) AS sd FROM y GROUP BY 1) SELECT b.dr, count(*) AS bins, round(avg(b.sd) / any_value(t.sd), 6) AS spread FROM b JOIN t ON t.dr = b.dr GROUP BY b.dr")
+def d09s(t):
+    return r6(ag.binned_spread(yoy(t), "prev", "cut", 10, 5, ["dr"]), "spread")
+
+
 @query("d10_d11_slice_summary", f"SELECT dr, ev, level, cast(grouping_id(dr, ev, level) AS BIGINT) AS slice, count(*) AS n, round(avg(abs(prev - cut)), 6) AS mae, round(avg(abs(300 - cut)), 6) AS base_mae, round(avg(prev - cut), 6) AS bias, round(avg(CASE WHEN abs(prev - cut) < abs(300 - cut) THEN 1 WHEN abs(prev - cut) = abs(300 - cut) THEN 0.5 ELSE 0 END), 6) AS win_rate FROM {YOY} GROUP BY GROUPING SETS ((), (dr), (ev, dr), (level))")
 def d10(t):
     y = yoy(t).withColumn("base", F.lit(300))

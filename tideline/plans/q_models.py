@@ -58,9 +58,12 @@ def j04(t):
 WEIGHT = "CASE WHEN level LIKE 'ATP%' THEN 2e0 WHEN level LIKE 'Ch%' THEN 1e0 ELSE 0.5e0 END"
 
 
-@query("j05_supply", f"WITH e AS (SELECT *, {WEIGHT} AS w FROM {PLACED}), n AS (SELECT a.ed_id, sum(b.w) AS now FROM e a JOIN e b ON b.yr = a.yr AND abs(b.wk - a.wk) <= 1 AND {HAV.format(a='a', b='b')} <= 3000 GROUP BY 1), p AS (SELECT a.ed_id, sum(b.w) AS was FROM e a JOIN e b ON b.yr = a.yr - 1 AND abs(b.wk - a.wk) <= 1 AND {HAV.format(a='a', b='b')} <= 3000 GROUP BY 1) SELECT e.ed_id, round((coalesce(now, 0) + 1) / (coalesce(was, 0) + 1), 6) AS supply FROM e LEFT JOIN n USING (ed_id) LEFT JOIN p USING (ed_id)")
+_MASS = "SELECT a.ed_id, sum(CASE WHEN abs(b.wk - a.wk) <= 1 THEN b.w ELSE 0 END) AS same, sum(CASE WHEN abs(b.wk - a.wk + 2) <= 1 THEN b.w ELSE 0 END) + sum(CASE WHEN abs(b.wk - a.wk + 3) <= 1 THEN b.w ELSE 0 END) AS run FROM e a JOIN e b ON b.yr = a.yr - {back} AND b.wk BETWEEN a.wk - 4 AND a.wk + 1 AND {hav} <= 3000 GROUP BY 1"
+
+
+@query("j05_supply", f"WITH e AS (SELECT *, {WEIGHT} AS w FROM {PLACED}), n AS ({_MASS.format(back=0, hav=HAV.format(a='a', b='b'))}), p AS ({_MASS.format(back=1, hav=HAV.format(a='a', b='b'))}) SELECT e.ed_id, round((coalesce(n.same, 0) + 1) / (coalesce(p.same, 0) + 1), 6) AS supply, round((coalesce(n.run, 0) + 1) / (coalesce(p.run, 0) + 1), 6) AS runup FROM e LEFT JOIN n USING (ed_id) LEFT JOIN p USING (ed_id)")
 def j05(t):
-    return r6(projection.supply(t.v_ed.join(t.v_ent, "ent")), "supply")
+    return r6(projection.supply_signals(t.v_ed.join(t.v_ent, "ent")), "supply", "runup")
 
 
 PREDICT = f"""{OBS}, {RATIO}, {LM}, {TIER}, {DRIFT}, {REGION}, {COHORT},
@@ -242,9 +245,22 @@ def j33(t):
     return field.fill_from_siblings(b, "city", "ent", "country", t.v_ent.where("ent % 97 = 0").select("ent", F.lit("SET").alias("country")))
 
 
-@query("j35_phase_and_label", "WITH d AS (SELECT ed_id, start_date, abs(start_date - DATE '1998-06-15') AS n FROM v_ed) SELECT ed_id, CASE WHEN start_date + 6 < DATE '1998-06-15' THEN 'past' WHEN start_date <= DATE '1998-06-15' THEN 'current' ELSE 'upcoming' END AS phase, CASE WHEN n < 7 THEN concat(n, ' d') WHEN n < 56 THEN concat(n // 7, ' w') WHEN n < 730 THEN concat(n // 30, ' mo') ELSE concat(n // 365, ' y') END AS label FROM d")
+#: Saved events around the middle of June 1998: some without dates, some with an end of their own.
+SAVED = "(SELECT ed_id, CASE WHEN ed_id % 41 > 0 THEN start_date END AS start_date, CASE WHEN ed_id % 10 = 0 THEN start_date + 13 END AS end_date FROM v_ed)"
+J35 = f"""WITH d AS (SELECT ed_id, start_date, coalesce(end_date, start_date + 6) AS last, DATE '1998-06-16' AS t FROM {SAVED}), p AS (SELECT *, CASE WHEN start_date IS NULL THEN 'upcoming' WHEN last < t THEN 'past' WHEN start_date <= t THEN 'current' ELSE 'upcoming' END AS phase,
+ start_date - t AS days, (date_diff('day', DATE '1969-12-29', start_date)) // 7 - (date_diff('day', DATE '1969-12-29', t)) // 7 AS weeks, t - last AS ago FROM d)
+SELECT ed_id, phase, CASE WHEN start_date IS NULL THEN 'Dates TBD' WHEN phase = 'current' THEN 'This week'
+ WHEN phase = 'upcoming' THEN CASE WHEN weeks = 0 AND days = 1 THEN 'Starts tomorrow' WHEN weeks = 0 THEN concat('Starts in ', days, ' days') WHEN weeks = 1 THEN 'Next week' WHEN weeks < 9 THEN concat('In ', weeks, ' weeks') WHEN cast(floor(days / 30 + 0.5) AS INTEGER) = 1 THEN 'In 1 month' ELSE concat('In ', cast(floor(days / 30 + 0.5) AS INTEGER), ' months') END
+ WHEN ago < 8 THEN 'Last week' WHEN ago < 60 THEN concat(cast(floor(ago / 7 + 0.5) AS INTEGER), ' weeks ago') WHEN ago < 330 THEN CASE WHEN cast(floor(ago / 30 + 0.5) AS INTEGER) = 1 THEN '1 month ago' ELSE concat(cast(floor(ago / 30 + 0.5) AS INTEGER), ' months ago') END
+ WHEN floor(ago / 365 + 0.5) <= 1 THEN 'Last year' ELSE concat(cast(floor(ago / 365 + 0.5) AS INTEGER), ' years ago') END AS label,
+ CASE phase WHEN 'current' THEN 0 WHEN 'upcoming' THEN 1 ELSE 2 END AS phase_no, cast(CASE WHEN start_date IS NULL THEN 1073741824 WHEN phase = 'past' THEN -epoch(start_date) / 86400 ELSE epoch(start_date) / 86400 END AS INTEGER) AS place FROM p"""
+
+
+@query("j35_phase_and_label", J35)
 def j35(t):
-    return field.phase_and_label(t.v_ed.withColumn("end_date", F.lit(None).cast("date")), F.to_date(F.lit("1998-06-15"))).select("ed_id", "phase", "label")
+    k = F.col("ed_id")
+    saved = t.v_ed.select("ed_id", F.when(k % 41 > 0, F.col("start_date")).alias("start_date"), F.when(k % 10 == 0, F.date_add("start_date", 13)).alias("end_date"))
+    return field.phase_and_label(saved, F.to_date(F.lit("1998-06-16"))).select("ed_id", "phase", "label", "phase_no", "place")
 
 
 @query("j21_schedule", rf"""WITH {OVERLAY}, a AS (SELECT g.*, b.x_start_date AS d2, b.x_level AS l2 FROM v_generic g LEFT JOIN best b ON b.gid = g.ed_id UNION ALL SELECT ed_id, ent, yr, start_date, level, surface, updated, slug, name, city, NULL, NULL FROM v_named WHERE status = 'held'),

@@ -91,6 +91,17 @@ def a11(t):
     return readers.fill_down(lines, "doc_id", line.startswith("The"), F.nullif(F.regexp_extract(line, "([a-z]{9,})", 1), F.lit("")), F.when(line == "", "empty")).drop("line")
 
 
+@query("a11_unique_lines", "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents), s AS (SELECT *, sum(CASE WHEN starts_with(line, 'The') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l), c AS (SELECT *, last_value(nullif(regexp_extract(line, '([a-z]{9,})', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id, sec ORDER BY n ROWS UNBOUNDED PRECEDING) AS context, regexp_replace(translate(substring(line, 1, 12), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '', 'g') AS name_key FROM s) SELECT doc_id, context, name_key, cast(min(n) AS INTEGER) AS line_no FROM c WHERE line <> '' GROUP BY ALL")
+def a11u(t):
+    """Lines by (document, context, name): the first of equal ones."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    line = F.col("line")
+    filled = readers.fill_down(lines, "doc_id", line.startswith("The"), F.nullif(F.regexp_extract(line, "([a-z]{9,})", 1), F.lit("")), F.when(line == "", "empty"))
+    low = F.translate(F.substring("line", 1, 12), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    named = filled.withColumn("name_key", F.regexp_replace(low, "[^a-z0-9]+", ""))
+    return readers.unique_lines(named, "doc_id", ["context", "name_key"]).select("doc_id", "context", "name_key", "line_no")
+
+
 @query("a12_validate_rows", "SELECT o_orderkey, CASE WHEN NOT o_totalprice > 50000 THEN 'price' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status' END AS reason FROM orders WHERE NOT (o_totalprice > 50000 AND o_orderstatus IN ('F', 'O'))")
 def a12(t):
     _, bad = readers.validate_rows(t.orders, [("price", F.col("o_totalprice") > 50000), ("status", F.col("o_orderstatus").isin("F", "O"))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.operators import ranks
 from tideline.operators import windows as wi
 from tideline.plans.catalog import query
 from tideline.plans.q_aggregates import r6
@@ -32,12 +33,12 @@ def e04(t):
 
 @query("e05_cohort_score", f"WITH s AS {SM}, c AS (SELECT level, cut, count(*) AS k FROM s GROUP BY 1, 2) SELECT s.ed_id, round(100 * (sum(CASE WHEN c.cut > s.cut THEN k ELSE 0 END) + sum(CASE WHEN c.cut = s.cut THEN k ELSE 0 END) / 2) / sum(k), 6) AS score FROM s JOIN c ON c.level = s.level GROUP BY s.ed_id")
 def e05(t):
-    return r6(wi.cohort_score(sm(t), "level", "cut").select("ed_id", "score"), "score")
+    return r6(ranks.cohort_score(sm(t), "level", "cut").select("ed_id", "score"), "score")
 
 
 @query("e06_requeue", "SELECT ed_id, CASE WHEN price > 100000 THEN sum(CASE WHEN price > 100000 THEN 1 ELSE 0 END) OVER (PARTITION BY yr, wk ORDER BY start_date, ed_id ROWS UNBOUNDED PRECEDING) END::BIGINT AS queue FROM v_ed")
 def e06(t):
-    return wi.requeue(t.v_ed, ["yr", "wk"], F.col("price") > 100000, [F.col("start_date"), F.col("ed_id")]).select("ed_id", "queue")
+    return wi.requeue(t.v_ed, ["yr", "wk"], F.col("price") > 100000, ["start_date", "ed_id"]).select("ed_id", "queue")
 
 
 @query("e07_prior_history", f"WITH s AS {SM} SELECT a.ed_id, cast(count(b.cut) AS INTEGER) AS prior_n, median(b.cut) AS prior_median FROM s a LEFT JOIN s b ON a.ent = b.ent AND b.yr < a.yr - 1 GROUP BY a.ed_id")
@@ -50,10 +51,14 @@ def e08(t):
     return wi.visible_pairs(sm(t), sm(t), ["yr", "level", "country"], 2).groupBy("ed_id").agg(F.count(F.lit(1)).alias("n"), F.median("o_cut").alias("med"))
 
 
-@query("e09_repeated_value", "SELECT a.ed_id, a.ev, a.dr, a.lv FROM (SELECT *, cut // 50 AS lv FROM v_obs) a JOIN (SELECT *, cut // 50 AS lv FROM v_obs) b ON a.ent = b.ent AND a.ev = b.ev AND a.dr = b.dr AND b.yr = a.yr - 1 AND a.lv = b.lv")
+#: A player's name for each cut: the same one may come back a year later, or another with the same rank.
+NAMED_CUTS = "(SELECT ed_id, ent, ev, dr, yr, cut // 50 AS lv, concat('p', (ent + ed_id % 2) % 5) AS name FROM v_obs)"
+
+
+@query("e09_repeated_value", f"SELECT ed_id, ev, dr, lv, name FROM (SELECT *, lag(lv) OVER w AS plv, lag(name) OVER w AS pname, lag(yr) OVER w AS pyr FROM {NAMED_CUTS} WINDOW w AS (PARTITION BY ent, ev, dr ORDER BY yr)) WHERE pyr = yr - 1 AND plv = lv AND pname = name")
 def e09(t):
-    o = t.v_obs.withColumn("lv", F.floor(F.col("cut") / 50).cast("int"))
-    return wi.repeated_value(o, ["ent", "ev", "dr"], "yr", "lv").select("ed_id", "ev", "dr", "lv")
+    o = t.v_obs.withColumn("lv", F.floor(F.col("cut") / 50).cast("int")).withColumn("name", F.concat(F.lit("p"), ((F.col("ent") + F.col("ed_id") % 2) % 5).cast("string")))
+    return wi.repeated_value(o, ["ent", "ev", "dr"], "yr", ["lv", "name"]).select("ed_id", "ev", "dr", "lv", "name")
 
 
 @query("e10_history_outlier", f"WITH s AS {SM}, h AS (SELECT a.ed_id, a.cut, count(b.cut) AS n, median(b.cut) AS m FROM s a JOIN s b ON a.ent = b.ent AND b.yr < a.yr GROUP BY 1, 2) SELECT ed_id, cut, m AS prior_median FROM h WHERE n >= 2 AND (cut > 2.5 * m OR cut < m / 2.5)")

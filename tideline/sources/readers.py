@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import text
+from tideline.operators import windows
 
 
 def load_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -66,12 +67,17 @@ def latest_code(df: DataFrame, key: str, code: str, newest: str) -> DataFrame:
 
 
 def fill_down(lines: DataFrame, doc: str, section: Column, carried: Column, skip: Column) -> DataFrame:
-    """Context of a line table: a section line resets, a carried value holds until replaced; skipped lines have a reason."""
-    w = W.partitionBy(doc).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    tagged = lines.withColumn("_head", section).withColumn("_v", carried)
-    tagged = tagged.withColumn("section_no", F.sum(F.col("_head").cast("int")).over(w))
-    inner = W.partitionBy(doc, "section_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    return tagged.withColumn("context", F.last("_v", ignorenulls=True).over(inner)).withColumn("skipped", skip).drop("_head", "_v")
+    """Context of a line table: a section line resets, a carried value holds until replaced; skipped lines have a reason. Sections are
+    numbered and values carried by ranges of lines, so one long document is the work of several tasks."""
+    tagged = lines.withColumn("_head", F.coalesce(section, F.lit(False)).cast("long")).withColumn("_v", carried)
+    numbered = windows.prefix_sum(tagged, [doc], ["line_no"], "_head", "section_no")
+    return windows.carry_forward(numbered, [doc, "section_no"], ["line_no"], "_v", "context").withColumn("skipped", skip).drop("_head", "_v")
+
+
+def unique_lines(lines: DataFrame, doc: str, keys: list[str]) -> DataFrame:
+    """Lines that are not skipped, once for each of ``keys`` (season, name key, date): the first of a document stays. Null keys are equal."""
+    first = lines.where("skipped is null").withColumn("_row", F.struct(*lines.columns))
+    return first.groupBy(doc, *keys).agg(F.min_by("_row", "line_no").alias("_row")).select("_row.*")
 
 
 def validate_rows(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
