@@ -214,11 +214,16 @@ def classify_notes(df: DataFrame, note: Column, players: DataFrame) -> DataFrame
     from tideline.operators.joins import match_names
 
     n = F.lower(note)
-    kind = F.when(n.rlike("alternate"), "q_alt_to_q").when(n.rlike("main draw"), "q_to_md").otherwise("q_withdrawal")
+    kind = F.when(n.rlike("alternate"), "q_alt_to_q").when(n.rlike("main draw|mdwc"), "q_to_md").otherwise("q_withdrawal")
     tagged = match_names(df.withColumn("kind", kind), players)
     return tagged.withColumn("q_spots_delta", F.when(F.col("kind") == "q_alt_to_q", 0).otherwise(1)).withColumn("who", F.coalesce(F.col("player").cast("string"), F.col("printed"))).withColumn("resolved", F.col("player").isNotNull())
 
 
+def open_places(notes: DataFrame, lists: list[str], order: list[str]) -> DataFrame:
+    """``notes`` (``classify_notes``) with ``open``: the places of the qualifying draw that are open after each note of its list."""
+    return prefix_sum(notes, lists, order, "q_spots_delta", "open")
+
+
 def check_outcomes(status: DataFrame, checks: DataFrame) -> DataFrame:
     """``src, checked_at, failures`` after the checks (src, ts, failed): failures in a row since the last success, on top of those before."""
     last_good = checks.where("not failed").groupBy("src").agg(F.max("ts").alias("good"))

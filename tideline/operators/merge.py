@@ -156,6 +156,23 @@ def upgrade_identity(rows: DataFrame, registry: DataFrame, code: str) -> DataFra
     return both.select(*(c for c in rows.columns if c not in (*facts, "level")), *(F.coalesce(F.col(f"_n.{c}"), F.col(c)).alias(c) for c in facts), level.alias("level"))
 
 
+def recompute_weeks(editions: DataFrame) -> DataFrame:
+    """``editions`` (yr, start_date, level, wk) with the week made anew from the date where the edition lies in its season; others keep theirs."""
+    from tideline.functions import dates
+
+    fits = F.col("start_date").isNotNull() & dates.in_season(F.col("start_date"), F.col("yr"), F.col("level"))
+    return editions.withColumn("wk", F.when(F.coalesce(fits, F.lit(False)), dates.season_week(F.col("start_date"), F.col("yr"))).otherwise(F.col("wk")))
+
+
+def clean_names(entities: DataFrame, columns: tuple[str, ...] = ("name", "city")) -> DataFrame:
+    """The rows that have a challenger's mark (with or without a number, in any case) at the end of one of ``columns``, without it."""
+    marked = F.lit(False)
+    for c in columns:
+        marked = marked | F.coalesce(F.col(c).rlike(r"(?i)\s+ch(\s+\d+)?$"), F.lit(False))
+    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+[Cc][Hh](\s+\d+)?$", ""))
+    return entities.where(marked).withColumns({c: clean(c) for c in columns})
+
+
 def change_set(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """What a writer would do: insert, update or delete, one row each (a dry run)."""
     from tideline.operators.sets import snapshot_diff

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions import cuts, dates, levels, text
 from tideline.operators import windows
+from tideline.operators.containment import contains_any
 from tideline.operators.joins import pick
+from tideline.storage import materialise
 
 
 def same_week_duplicates(df: DataFrame, week: list[str], keys: list[str]) -> DataFrame:
@@ -85,10 +87,15 @@ def due_draws(editions: DataFrame, grace: int = 3, lead: int = 0) -> DataFrame:
     return rows.unionByName(alone).join(start, "ed_id").select("ed_id", "draw", "closed", F.greatest(F.date_add("closed", grace), F.date_sub("start_date", lead)).alias("due"))
 
 
+#: The largest rank that a cut can have.
+MAX_CUT = {"singles": 2500, "doubles": 6000}
+
+
 def audit(editions: DataFrame, snaps: DataFrame, as_of: Column, weeks: int = 2) -> DataFrame:
-    """``rule, severity, ed_id``. Editions have ed_id, ent, yr, wk, level, surface, start_date, end_date; snaps ed_id, ev, dr, direct_rank, byes, written.
+    """``rule, severity, ed_id``. Editions have ed_id, ent, yr, wk, level, surface, start_date, end_date; snaps ed_id, ev, dr, direct_rank, byes, written
+    and, where known, adv_rank and onsite_rank.
 
-    C1 impossible ranks, C2 qualifying better than main, C7 stored week, C9 cut far from the event's own history, C10 changed surface, C12
+    C1 impossible ranks (of doubles the advanced and on-site ones too; ITF is not tracked), C2 qualifying better than main, C7 stored week, C9 cut far from the event's own history, C10 changed surface, C12
     start after Tuesday or a length outside 0 to 13 days (1000s exempt). Coverage of covered draws that are due: A1 nothing at all
     (from last week to the end of the window), then, for events of the next 60 days that A1 does not name, A2 singles main, A3 doubles
     and A4 qualifying (both with a singles main cut); A5 a cut last written before its list closed. S1 counts the due draws of the
@@ -96,8 +103,12 @@ def audit(editions: DataFrame, snaps: DataFrame, as_of: Column, weeks: int = 2)
     """
     find = lambda df, rule, sev: df.select(F.lit(rule).alias("rule"), F.lit(sev).alias("severity"), "ed_id").distinct()
     tour = ~levels.category(F.col("level")).eqNullSafe(F.lit("itf")) & levels.category(F.col("level")).isNotNull()
+    editions, snaps = materialise(editions, "audited-editions"), materialise(snaps, "audited-snaps")  # every check reads them
     s = snaps.join(editions.select("ed_id", "level"), "ed_id")
-    c1 = s.where((F.col("direct_rank") < cuts.min_plausible(F.col("level"), F.col("ev"), F.col("dr"))) | (F.col("direct_rank") > 2500))
+    doubles = F.col("ev") == "doubles"
+    ranks = F.array(F.col("direct_rank"), *(F.when(doubles, F.col(c)) for c in ("adv_rank", "onsite_rank") if c in snaps.columns))
+    least, most = cuts.min_plausible(F.col("level"), F.col("ev"), F.col("dr")), F.when(doubles, MAX_CUT["doubles"]).otherwise(MAX_CUT["singles"])
+    c1 = s.where(~levels.category(F.col("level")).eqNullSafe(F.lit("itf")) & F.exists(ranks, lambda v: (v < least) | (v > most)))
     sides = lambda d: F.max(F.when((F.col("ev") == "singles") & (F.col("dr") == d), F.col("direct_rank")))
     c2 = s.where(tour).groupBy("ed_id").agg(sides("main").alias("m"), sides("qualifying").alias("q")).where("q < m")
     c7 = editions.where(~F.col("wk").eqNullSafe(dates.season_week(F.col("start_date"), F.col("yr"))))
@@ -112,7 +123,8 @@ def audit(editions: DataFrame, snaps: DataFrame, as_of: Column, weeks: int = 2)
     week = dates.monday_of(as_of)
     draw = F.concat_ws("-", "ev", "dr")
     have = snaps.where("direct_rank is not null or byes is not null").select("ed_id", draw.alias("draw"), "written")
-    due = due_draws(editions).join(editions.select("ed_id", "start_date"), "ed_id").join(have.groupBy("ed_id", "draw").agg(F.max("written").alias("written"), F.lit(True).alias("has")), ["ed_id", "draw"], "left")
+    due = due_draws(editions.where(F.col("start_date") >= F.date_sub(week, 7))).join(editions.select("ed_id", "start_date"), "ed_id").join(have.groupBy("ed_id", "draw").agg(F.max("written").alias("written"), F.lit(True).alias("has")), ["ed_id", "draw"], "left")
+    due = materialise(due, "audited-draws")
     over, missing = F.col("due") < as_of, F.col("has").isNull()
     recent = F.col("start_date") >= F.date_sub(week, 7)
     ends = F.date_add(week, 7 * weeks)
@@ -147,11 +159,12 @@ def liveness(events: DataFrame, by: str, ts: str, as_of: Column) -> DataFrame:
 
 
 def forward_gaps(editions: DataFrame, as_of: Column, weeks: int = 8, few: int = 4) -> DataFrame:
-    """The next weeks without (critical) or with few (warn) events."""
+    """The next weeks without (critical) or with few (warn) events; weeks from 18 December on are thin by nature and only empty ones count."""
     spine = editions.sparkSession.range(weeks).select(F.expr("cast(id as int)").alias("k")).withColumn("week", F.date_add(dates.monday_of(as_of), F.col("k") * 7))
     n = editions.groupBy(dates.monday_of(F.col("start_date")).alias("week")).agg(F.count(F.lit(1)).alias("n"))
     got = spine.join(n, "week", "left").select("week", F.coalesce("n", F.lit(0)).alias("n"))
-    return got.withColumn("severity", F.when(F.col("n") == 0, "critical").when(F.col("n") < few, "warn").otherwise("ok"))
+    holiday = (F.month("week") == 12) & (F.dayofmonth("week") >= 18)
+    return got.withColumn("severity", F.when(F.col("n") == 0, "critical").when((F.col("n") < few) & ~holiday, "warn").otherwise("ok"))
 
 
 #: States of a case that is not closed.
@@ -211,30 +224,66 @@ def adds_up(df: DataFrame, parts: list[str], total: str) -> Column:
     return out == F.col(total)
 
 
+#: The only level with doubles qualifying, and the exhibitions whose rows are no events.
+DOUBLES_QUALIFYING_LEVEL, EXHIBITIONS = "ATP 500", ["united-cup"]
+
+
+def invalid_combos(snaps: DataFrame, editions: DataFrame, exhibitions: list[str] | None = None) -> DataFrame:
+    """``ed_id, problem``: editions with doubles qualifying outside the one level that has it, and rows of exhibitions, by the start of the slug or the
+    whole name. ``editions`` has ed_id, level, slug, name; ``snaps`` ed_id, ev, dr."""
+    bad = snaps.where("ev = 'doubles' and dr = 'qualifying'").join(editions.where(F.col("level") != DOUBLES_QUALIFYING_LEVEL), "ed_id").select("ed_id", F.lit("doubles qualifying").alias("problem"))
+    shown = F.lit(False)
+    for slug in exhibitions or EXHIBITIONS:
+        shown = shown | F.col("slug").startswith(slug) | (F.trim(F.regexp_replace(text.fold(F.col("name")), "[^a-z0-9]+", " ")) == slug.replace("-", " "))
+    return bad.distinct().unionByName(editions.where(shown).select("ed_id", F.lit("exhibition").alias("problem")))
+
+
 def wrong_source_year(pairs: DataFrame) -> DataFrame:
     """Of two equal rows of consecutive years: keep the one whose URL has its year; neither: drop both; both: keep both."""
     verdict = F.when(F.col("ok_old") & F.col("ok_new"), "keep both").when(F.col("ok_old"), "drop new").when(F.col("ok_new"), "drop old").otherwise("drop both")
     return pairs.withColumn("verdict", verdict)
 
 
-def sweep_status(editions: DataFrame, rules: DataFrame, cut_ids: DataFrame) -> DataFrame:
-    """not_held by rule (pattern and year) unless the edition has cuts; editions with cuts are restored."""
-    hit = editions.join(F.broadcast(rules), (editions["yr"] == rules["year"]) & F.expr("slug like pattern"), "left_semi").select("ed_id", F.lit(True).alias("_hit"))
-    c = cut_ids.select("ed_id", F.lit(True).alias("_cut")).distinct()
-    both = editions.join(hit, "ed_id", "left").join(c, "ed_id", "left")
-    return both.select("ed_id", F.when(F.col("_cut"), "held").when(F.col("_hit"), "not_held").otherwise(F.col("status")).alias("status"))
+#: Where the official calendar comes from; such rows are right before any cut arrives.
+OFFICIAL_SOURCE, OFFICIAL_URLS = "atp_official_calendar_pdf", ["atppz.com", "/calendar-pdfs/"]
+
+
+def sweep_status(editions: DataFrame, canonical: DataFrame, season: int, discontinued: DataFrame, cancelled: DataFrame, cut_ids: DataFrame) -> DataFrame:
+    """``ed_id, status, reason``: the status of each edition after the sweeps, in their order.
+
+    stale: held rows of ``season`` whose slug is not canonical, without cuts, not ITF and not of the official calendar. discontinued: held rows, not ITF,
+    of a year after ``final_year`` whose slug or name contains the rule's ``pattern``. cancelled: the same for the rule's ``year``, in the city too.
+    Cuts do not protect from these two. restored: rows that were not held before but have cuts are held again.
+
+    ``editions`` has ed_id, yr, level, slug, name, city, status, source, source_url. Patterns find their rows through the letters they are
+    made of, ignoring case; no row is compared with every rule.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    e = editions.join(canonical.select("slug", F.lit(True).alias("_known")).distinct(), "slug", "left").join(cut_ids.select("ed_id", F.lit(True).alias("_cuts")).distinct(), "ed_id", "left")
+    e = materialise(e.withColumn("_itf", low("level").startswith("itf")), "sweep")
+    official = F.coalesce(F.col("source") == OFFICIAL_SOURCE, F.lit(False))
+    for part in OFFICIAL_URLS:
+        official = official | F.contains(low("source_url"), F.lit(part))
+    live = e.where((F.col("status") == "held") & ~F.col("_itf"))
+    gone = contains_any(live, ["slug", "name"], discontinued, "pattern").where(F.col("yr") > F.col("final_year")).select("ed_id", F.lit(True).alias("_gone")).distinct()
+    off = contains_any(live, ["slug", "name", "city"], cancelled, "pattern").where(F.col("yr") == F.col("year")).select("ed_id", F.lit(True).alias("_off")).distinct()
+    both = e.join(gone, "ed_id", "left").join(off, "ed_id", "left")
+    held = F.col("status") == "held"
+    stale = held & (F.col("yr") == season) & F.col("_known").isNull() & ~F.col("_itf") & F.col("_cuts").isNull() & ~official
+    reason = F.when(stale, "stale").when(held & F.col("_gone"), "discontinued").when(held & F.col("_off"), "cancelled").when((F.col("status") == "not_held") & F.col("_cuts"), "restored")
+    status = F.when(reason == "restored", "held").when(reason.isNotNull(), "not_held").otherwise(F.col("status"))
+    return both.select("ed_id", status.alias("status"), reason.alias("reason"))
 
 
 def audit_levels(editions: DataFrame, headers: DataFrame) -> DataFrame:
-    """confirmed, mismatch, unverifiable (no header of that season) or missing code; a heuristic header only
-    contradicts a level that is not a tour level."""
-    h = headers.select("code", F.col("level").alias("_l"), F.col("season").alias("_s"), "heuristic")
-    tour = F.col("level").startswith("ATP")
-    verdict = (
-        F.when(F.col("code").isNull(), "missing code").when(F.col("_s").isNull() | (F.col("_s") != F.col("yr")), "unverifiable")
-        .when(F.col("heuristic"), F.when(tour, "confirmed").otherwise("mismatch")).when(F.col("_l") == F.col("level"), "confirmed").otherwise("mismatch")
-    )
-    return editions.join(h, "code", "left").select("ed_id", verdict.alias("verdict"))
+    """``ed_id, verdict``: missing code, unverifiable (no header of the edition's code and season), confirmed or mismatch. A heuristic header only
+    contradicts a level that is no tour level; another must give the level exactly. ``headers`` has code, season, level, heuristic, one row
+    for a code and season."""
+    h = headers.select("code", F.col("season").alias("yr"), F.col("level").alias("_l"), "heuristic")
+    tour = F.col("level").rlike(r"^ATP [0-9]+")
+    right = F.when(F.col("heuristic"), tour).otherwise(F.col("_l") == F.col("level"))
+    verdict = F.when(F.col("code").isNull(), "missing code").when(F.col("_l").isNull(), "unverifiable").when(right, "confirmed").otherwise("mismatch")
+    return editions.join(h, ["code", "yr"], "left").select("ed_id", verdict.alias("verdict"))
 
 
 def completeness_gate(df: DataFrame, batch: str, group: str, least: int) -> DataFrame:

@@ -153,13 +153,18 @@ def n10(t):
     return lists.position_moves(s, "user_id", "d", "pos")
 
 
-@query("n12_classify_notes", "WITH p AS (SELECT concat('n', c_custkey % 700) AS k, c_custkey AS player FROM customer), m AS (SELECT k, count(*) AS n, min(player) AS player FROM p GROUP BY 1) SELECT event_id, CASE event_type WHEN 'click' THEN 'q_alt_to_q' WHEN 'view' THEN 'q_to_md' ELSE 'q_withdrawal' END AS kind, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS q_spots_delta, CASE WHEN m.n = 1 THEN cast(m.player AS VARCHAR) ELSE concat('N', user_id) END AS who, coalesce(m.n = 1, false) AS resolved FROM events LEFT JOIN m ON m.k = concat('n', user_id)")
+#: A third of the names are shared by two players, and some notes name nobody known.
+NOTED = """p AS (SELECT concat('n', CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 1 ELSE c_custkey END) AS k, c_custkey AS player FROM customer), m AS (SELECT k, count(*) AS n, min(player) AS player FROM p GROUP BY 1),
+nt AS (SELECT event_id, ts, user_id, user_id % 20 AS list, CASE event_type WHEN 'click' THEN 'q_alt_to_q' WHEN 'view' THEN 'q_to_md' WHEN 'signup' THEN 'q_to_md' ELSE 'q_withdrawal' END AS kind FROM events)"""
+
+
+@query("n12_classify_notes", f"WITH {NOTED} SELECT event_id, kind, CASE WHEN kind = 'q_alt_to_q' THEN 0 ELSE 1 END AS q_spots_delta, CASE WHEN m.n = 1 THEN cast(m.player AS VARCHAR) ELSE concat('N', user_id) END AS who, coalesce(m.n = 1, false) AS resolved, cast(sum(CASE WHEN kind = 'q_alt_to_q' THEN 0 ELSE 1 END) OVER (PARTITION BY list ORDER BY ts, event_id) AS BIGINT) AS open FROM nt LEFT JOIN m ON m.k = concat('n', user_id)")
 def n12(t):
-    note = F.when(F.col("event_type") == "click", "Alternate used").when(F.col("event_type") == "view", "moved to Main Draw").otherwise("injury")
-    u = F.col("user_id").cast("string")
-    rows = t.events.select("event_id", "event_type", F.concat(F.lit("n"), u).alias("name_key"), F.concat(F.lit("N"), u).alias("printed"))
-    players = t.customer.select(F.concat(F.lit("n"), (F.col("c_custkey") % 700).cast("string")).alias("name_key"), F.col("c_custkey").alias("player"))
-    return lists.classify_notes(rows, note, players).select("event_id", "kind", "q_spots_delta", "who", "resolved")
+    note = F.when(F.col("event_type") == "click", "Alternate used").when(F.col("event_type") == "view", "moved to Main Draw").when(F.col("event_type") == "signup", "MDWC").otherwise("injury")
+    u, c = F.col("user_id").cast("string"), F.col("c_custkey")
+    rows = t.events.select("event_id", "ts", (F.col("user_id") % 20).alias("list"), "event_type", F.concat(F.lit("n"), u).alias("name_key"), F.concat(F.lit("N"), u).alias("printed"))
+    players = t.customer.select(F.concat(F.lit("n"), F.when(c % 3 == 0, c - 1).otherwise(c).cast("string")).alias("name_key"), c.alias("player"))
+    return lists.open_places(lists.classify_notes(rows, note, players), ["list"], ["ts", "event_id"]).select("event_id", "kind", "q_spots_delta", "who", "resolved", "open")
 
 
 @query("n03_disappearances", "WITH s AS (SELECT DISTINCT user_id % 20 AS list, cast(ts AS DATE) AS d, user_id AS player FROM events), o AS (SELECT list, d, lead(d) OVER (PARTITION BY list ORDER BY d) AS nxt FROM (SELECT DISTINCT list, d FROM s)) SELECT s.list, s.player, s.d AS from_snap, o.nxt AS to_snap, 'removed_unknown' AS kind FROM s JOIN o ON o.list = s.list AND o.d = s.d WHERE o.nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s x WHERE x.list = s.list AND x.d = o.nxt AND x.player = s.player)")

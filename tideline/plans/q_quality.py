@@ -92,22 +92,24 @@ def l03(t):
     return quality.code_winners(d, t.v_ed, ["NATION_3 3"])
 
 
-@query("l04_blocked_merges", """WITH l AS (SELECT ent, list(DISTINCT CASE WHEN level LIKE 'Ch%' THEN 'challenger' WHEN level LIKE 'ATP%' THEN 'atp' ELSE 'other' END) AS kinds FROM v_ed GROUP BY 1), e AS (SELECT n.ent, city, CASE WHEN n.ent % 7 > 0 THEN country END AS country, CASE WHEN n.ent % 2 = 0 THEN concat(replace(city, ' ', '-'), ', NJ') ELSE slug END AS name, lower(city) AS k, CASE WHEN n.ent % 2 = 0 THEN lower(city) ELSE replace(replace(slug, '-', ' '), '_', ' ') END AS nk, kinds FROM v_ent n JOIN l ON l.ent = n.ent)
-SELECT c.ent AS canonical, g.ent AS ghost, CASE WHEN g.country IS NOT NULL AND g.country IS DISTINCT FROM c.country THEN 'country' WHEN replace(g.nk, '_', ' ') <> replace(c.nk, '_', ' ') AND replace(g.nk, '_', ' ') <> replace(c.k, '_', ' ') THEN 'name' WHEN NOT ((list_contains(g.kinds, 'challenger') AND list_contains(c.kinds, 'challenger') AND NOT list_contains(c.kinds, 'atp')) OR (list_contains(g.kinds, 'atp') AND list_contains(c.kinds, 'atp') AND NOT list_contains(c.kinds, 'challenger'))) THEN 'level' END AS blocked FROM e c JOIN e g ON g.city = c.city AND c.ent % 5 = 0 AND g.ent % 5 > 0""")
+@query("l04_blocked_merges", """WITH l AS (SELECT ent, list(DISTINCT CASE WHEN level LIKE 'Ch%' THEN 'challenger' WHEN level LIKE 'ATP%' THEN 'atp' ELSE 'other' END) AS kinds FROM v_ed GROUP BY 1), e AS (SELECT n.ent, city, CASE WHEN n.ent % 7 > 0 THEN CASE WHEN n.ent % 9 = 0 THEN region ELSE country END END AS country, CASE WHEN n.ent % 3 > 0 THEN concat(replace(city, ' ', '-'), ', NJ') ELSE slug END AS name, lower(city) AS k, CASE WHEN n.ent % 3 > 0 THEN lower(city) ELSE replace(replace(slug, '-', ' '), '_', ' ') END AS nk, kinds FROM v_ent n JOIN l ON l.ent = n.ent)
+SELECT c.ent AS canonical, g.ent AS ghost, CASE WHEN g.country IS NOT NULL AND g.country IS DISTINCT FROM c.country THEN 'country' WHEN replace(g.nk, '_', ' ') <> replace(c.nk, '_', ' ') AND replace(g.nk, '_', ' ') <> replace(c.k, '_', ' ') THEN 'name' WHEN NOT ((list_contains(g.kinds, 'challenger') AND list_contains(c.kinds, 'challenger') AND NOT list_contains(c.kinds, 'atp')) OR (list_contains(g.kinds, 'atp') AND list_contains(c.kinds, 'atp') AND NOT list_contains(c.kinds, 'challenger'))) THEN 'level' END AS blocked FROM e c JOIN e g ON g.city = c.city AND c.ent // 40 % 2 = 0 AND g.ent // 40 % 2 = 1""")
 def l04(t):
     kind = F.when(F.col("level").startswith("Ch"), "challenger").when(F.col("level").startswith("ATP"), "atp").otherwise("other")
     kinds = t.v_ed.groupBy("ent").agg(F.collect_set(kind).alias("kinds"))
-    name = F.when(F.col("ent") % 2 == 0, F.concat(F.replace("city", F.lit(" "), F.lit("-")), F.lit(", NJ"))).otherwise(F.col("slug"))
-    e = t.v_ent.select("ent", "city", F.when(F.col("ent") % 7 > 0, F.col("country")).alias("country"), name.alias("name")).join(kinds, "ent")
+    name = F.when(F.col("ent") % 3 > 0, F.concat(F.replace("city", F.lit(" "), F.lit("-")), F.lit(", NJ"))).otherwise(F.col("slug"))
+    e = t.v_ent.select("ent", "city", F.when(F.col("ent") % 7 > 0, F.when(F.col("ent") % 9 == 0, F.col("region")).otherwise(F.col("country"))).alias("country"), name.alias("name")).join(kinds, "ent")
     side = lambda s: e.select(F.col("city").alias("block"), *(F.col(c).alias(f"{c}_{s}") for c in e.columns))
-    pairs = side("c").where("ent_c % 5 = 0").join(side("g").where("ent_g % 5 > 0"), "block")
+    half = lambda c: F.floor(F.col(c) / 40) % 2  # noqa: E731  (a city's entities in turn)
+    pairs = side("c").where(half("ent_c") == 0).join(side("g").where(half("ent_g") == 1), "block")
     return quality.blocked_merges(pairs).select(F.col("ent_c").alias("canonical"), F.col("ent_g").alias("ghost"), "blocked")
 
 
 #: The audit's tables: editions with a few wrong weeks, changed surfaces and lengths, snapshots with the day they were written.
 _TOUR = "(level LIKE 'ATP%' OR level LIKE 'Ch%' OR level LIKE 'Grand%')"
 AUDIT = f"""e AS (SELECT c.ed_id, c.ent, c.yr, c.level, c.start_date, CASE WHEN c.ed_id % 71 = 0 THEN c.wk + 1 ELSE c.wk END AS wk, CASE WHEN c.ed_id % 53 = 0 THEN 'Clay Indoor' ELSE n.surface END AS surface, c.start_date + CASE WHEN c.ed_id % 31 = 0 THEN 20 WHEN c.ed_id % 29 = 0 THEN -1 ELSE 6 END AS end_date FROM v_cal c JOIN v_ent n ON n.ent = c.ent),
-sn AS (SELECT s.*, e.start_date - cast(s.ed_id % 60 AS INTEGER) AS written FROM v_snap s JOIN e ON e.ed_id = s.ed_id WHERE s.ed_id % 3 > 0 OR s.ev = 'singles'),
+sn AS (SELECT s.* REPLACE (CASE WHEN s.ed_id % 211 = 0 THEN direct_rank * 20 ELSE direct_rank END AS direct_rank), CASE WHEN ev = 'doubles' AND s.ed_id % 9 = 0 THEN direct_rank * 15 END AS onsite_rank, e.start_date - cast(s.ed_id % 60 AS INTEGER) AS written FROM v_snap s JOIN e ON e.ed_id = s.ed_id WHERE s.ed_id % 3 > 0 OR s.ev = 'singles'),
+cc AS (SELECT ed_id, level, ev, dr, unnest([direct_rank, CASE WHEN ev = 'doubles' THEN adv_rank END, CASE WHEN ev = 'doubles' THEN onsite_rank END]) AS v FROM (SELECT sn.*, level FROM sn JOIN e ON e.ed_id = sn.ed_id WHERE level NOT LIKE 'ITF%')),
 dl AS (SELECT ed_id, start_date, CASE kind WHEN 'main' THEN 'singles-main' WHEN 'qualifying' THEN 'singles-qualifying' ELSE 'doubles-main' END AS draw, monday - days AS closed FROM (SELECT *, cast(date_trunc('week', start_date) AS DATE) AS monday, CASE WHEN level = 'Grand Slam' THEN 'slam' WHEN level LIKE 'ATP%' THEN 'tour' WHEN level LIKE 'Ch%' THEN 'challenger' END AS category FROM e) JOIN (VALUES ('tour','main',28),('tour','qualifying',21),('tour','doubles',14),('challenger','main',21),('challenger','qualifying',19),('challenger','doubles',7),('slam','main',42),('slam','doubles',14)) AS r(cat, kind, days) ON cat = category
   UNION ALL SELECT ed_id, start_date, 'singles-qualifying', cast(date_trunc('week', start_date) AS DATE) - 21 FROM e WHERE level = 'Grand Slam Qualifying'),
 hv AS (SELECT ed_id, concat(ev, '-', dr) AS draw, max(written) AS written FROM sn WHERE direct_rank IS NOT NULL OR byes IS NOT NULL GROUP BY 1, 2),
@@ -116,7 +118,7 @@ ct AS (SELECT e.*, direct_rank FROM e JOIN sn ON sn.ed_id = e.ed_id AND ev = 'si
 a1 AS (SELECT ed_id FROM du WHERE start_date < DATE '1998-06-29' GROUP BY 1 HAVING bool_or(late) AND NOT EXISTS (SELECT 1 FROM hv WHERE hv.ed_id = du.ed_id)),
 op AS (SELECT * FROM du WHERE start_date < DATE '1998-08-14' AND late AND NOT has AND ed_id NOT IN (SELECT ed_id FROM a1)),
 sf AS (SELECT *, regexp_replace(lower(surface), 'indoor|outdoor|[^a-z]', '', 'g') AS bare FROM e WHERE {_TOUR}),
-findings AS (SELECT DISTINCT 'C1' AS rule, 'critical' AS severity, ed_id FROM (SELECT sn.*, level FROM sn JOIN e ON e.ed_id = sn.ed_id) WHERE direct_rank < CASE WHEN dr = 'qualifying' THEN 30 WHEN level LIKE '%Slam%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 30 END WHEN level LIKE '%1000%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 25 END WHEN level LIKE '%500%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 15 END WHEN level LIKE '%250%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 10 END WHEN level LIKE 'Ch%' THEN 50 ELSE 5 END OR direct_rank > 2500
+findings AS (SELECT DISTINCT 'C1' AS rule, 'critical' AS severity, ed_id FROM cc WHERE v < CASE WHEN dr = 'qualifying' THEN 30 WHEN level LIKE '%Slam%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 30 END WHEN level LIKE '%1000%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 25 END WHEN level LIKE '%500%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 15 END WHEN level LIKE '%250%' THEN CASE WHEN ev = 'doubles' THEN 20 ELSE 10 END WHEN level LIKE 'Ch%' THEN 50 ELSE 5 END OR v > CASE WHEN ev = 'doubles' THEN 6000 ELSE 2500 END
 UNION ALL SELECT 'C2', 'critical', ed_id FROM (SELECT sn.* FROM sn JOIN e ON e.ed_id = sn.ed_id WHERE {_TOUR}) GROUP BY ed_id HAVING max(direct_rank) FILTER (WHERE dr = 'qualifying') < max(direct_rank) FILTER (WHERE ev = 'singles' AND dr = 'main')
 UNION ALL SELECT 'C7', 'warn', ed_id FROM e WHERE ed_id % 71 = 0
 UNION ALL SELECT 'C9', 'warn', a.ed_id FROM ct a JOIN ct b ON b.ent = a.ent AND b.level = a.level AND b.yr < a.yr GROUP BY a.ed_id, a.direct_rank HAVING count(*) >= 2 AND (a.direct_rank > 2.5 * median(b.direct_rank) OR a.direct_rank < median(b.direct_rank) / 2.5)
@@ -135,6 +137,7 @@ def findings(t):
     extra = F.when(k % 31 == 0, 20).when(k % 29 == 0, -1).otherwise(6)
     e = t.v_cal.join(t.v_ent.select("ent", "surface"), "ent").select("ed_id", "ent", "yr", "level", "start_date", (F.col("wk") + F.when(k % 71 == 0, 1).otherwise(0)).alias("wk"), F.when(k % 53 == 0, "Clay Indoor").otherwise(F.col("surface")).alias("surface"), F.date_add("start_date", extra).alias("end_date"))
     s = t.v_snap.where("ed_id % 3 > 0 or ev = 'singles'").join(e.select("ed_id", "start_date"), "ed_id").withColumn("written", F.date_sub("start_date", (k % 60).cast("int"))).drop("start_date")
+    s = s.withColumn("onsite_rank", F.when((F.col("ev") == "doubles") & (k % 9 == 0), F.col("direct_rank") * 15)).withColumn("direct_rank", F.when(k % 211 == 0, F.col("direct_rank") * 20).otherwise(F.col("direct_rank")))
     return quality.audit(e, s, F.to_date(F.lit("1998-06-17")))
 
 
@@ -159,6 +162,11 @@ def l08g(t):
     return quality.forward_gaps(t.v_ed, F.to_date(F.lit("2001-06-27")), 8, 25)
 
 
+@query("l08_holiday_weeks", "SELECT w AS week, count(ed_id) AS n, CASE WHEN count(ed_id) = 0 THEN 'critical' WHEN count(ed_id) < 100000 AND NOT (month(w) = 12 AND day(w) >= 18) THEN 'warn' ELSE 'ok' END AS severity FROM (SELECT cast(DATE '1997-12-08' + cast(7 * k AS INTEGER) AS DATE) AS w FROM range(0, 8) r(k)) LEFT JOIN v_ed ON cast(date_trunc('week', start_date) AS DATE) = w GROUP BY 1")
+def l08h(t):
+    return quality.forward_gaps(t.v_ed, F.to_date(F.lit("1997-12-10")), 8, 100_000)
+
+
 #: Cases of the users' first kinds of event; findings of the users seen in the last third of the month (a later run).
 CASES = "own AS (SELECT user_id, min(event_type) AS rule, max(day(ts)) AS last_day FROM events GROUP BY 1), cases AS (SELECT user_id AS key, rule, CASE user_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'open' WHEN 2 THEN 'in_progress' ELSE 'escalated' END AS status, user_id % 4 AS times_seen, user_id % 3 AS attempts FROM own WHERE rule <> 'view'), f AS (SELECT user_id AS key, rule FROM own WHERE last_day >= 28), v AS (SELECT user_id AS key FROM own WHERE last_day < 25)"
 
@@ -216,9 +224,21 @@ def g04(t):
     return sets.finding_diff(day(3), day(4), ["click", "view"], ["view"])
 
 
-@query("l14_l16_checks", "SELECT ed_id, coalesce(direct_rank, 0) + coalesce(alt_rank, 0) = adv_rank AS adds_up, ev = 'doubles' AND dr = 'qualifying' AS invalid FROM v_snap")
+@query("l14_adds_up", "SELECT ed_id, coalesce(direct_rank, 0) + coalesce(alt_rank, 0) = adv_rank AS adds_up FROM v_snap")
 def l14(t):
-    return t.v_snap.select("ed_id", quality.adds_up(t.v_snap, ["direct_rank", "alt_rank"], "adv_rank").alias("adds_up"), ((F.col("ev") == "doubles") & (F.col("dr") == "qualifying")).alias("invalid"))
+    return t.v_snap.select("ed_id", quality.adds_up(t.v_snap, ["direct_rank", "alt_rank"], "adv_rank").alias("adds_up"))
+
+
+#: Every nineteenth edition's doubles row says qualifying; some entities are exhibitions, by slug or by name.
+SHOWS = "(SELECT c.ed_id, c.level, CASE WHEN n.ent % 50 = 0 THEN concat('united-cup-', n.ent) ELSE n.slug END AS slug, CASE WHEN n.ent % 50 = 1 THEN 'United  Cup' WHEN n.ent % 50 = 2 THEN 'Disunited Cup' ELSE n.name END AS name FROM v_cal c JOIN v_ent n ON n.ent = c.ent)"
+
+
+@query("l16_invalid_combos", f"SELECT DISTINCT s.ed_id, 'doubles qualifying' AS problem FROM v_snap s JOIN {SHOWS} c ON c.ed_id = s.ed_id WHERE s.ev = 'doubles' AND s.ed_id % 19 = 0 AND level <> 'ATP 500' UNION ALL SELECT ed_id, 'exhibition' FROM {SHOWS} WHERE slug LIKE 'united-cup%' OR name = 'United  Cup'")
+def l16(t):
+    k = F.col("ent") % 50
+    e = t.v_cal.join(t.v_ent, "ent").select("ed_id", "level", F.when(k == 0, F.concat(F.lit("united-cup-"), F.col("ent").cast("string"))).otherwise(F.col("slug")).alias("slug"), F.when(k == 1, "United  Cup").when(k == 2, "Disunited Cup").otherwise(F.col("name")).alias("name"))
+    s = t.v_snap.withColumn("dr", F.when((F.col("ev") == "doubles") & (F.col("ed_id") % 19 == 0), "qualifying").otherwise(F.col("dr")))
+    return quality.invalid_combos(s, e)
 
 
 @query("l17_wrong_source_year", "SELECT a.ed_id, CASE WHEN a.ed_id % 2 = 0 AND b.ed_id % 2 = 0 THEN 'keep both' WHEN b.ed_id % 2 = 0 THEN 'drop new' WHEN a.ed_id % 2 = 0 THEN 'drop old' ELSE 'drop both' END AS verdict FROM v_ed a JOIN v_ed b ON a.ent = b.ent AND b.yr = a.yr - 1 AND a.level = b.level")
@@ -234,16 +254,32 @@ def l18(t):
     return t.events.select("event_id", got.alias("reread"), "user_id").where(F.coalesce("reread", F.lit(-1)) != F.col("user_id") % 10).select("event_id", "reread")
 
 
-@query("l19_sweep_status", "SELECT e.ed_id, CASE WHEN EXISTS (SELECT 1 FROM v_snap s WHERE s.ed_id = e.ed_id AND s.adv_rank IS NOT NULL) THEN 'held' WHEN (yr = 1996 AND slug LIKE '%-1%') OR (yr = 1997 AND slug LIKE '%-2%') THEN 'not_held' ELSE 'held?' END AS status FROM v_ed e JOIN v_ent n ON n.ent = e.ent")
+#: Editions with the sources and states of the sweeps: two in eleven are of the official calendar (by source, or by URL alone), one in ten not held.
+SWEPT = """sw AS (SELECT c.ed_id, c.yr, c.level, n.slug, n.name, n.city, CASE WHEN c.ed_id % 10 = 0 THEN 'not_held' ELSE 'held' END AS status, CASE WHEN c.ed_id % 11 = 0 THEN 'atp_official_calendar_pdf' ELSE 'import' END AS source, CASE WHEN c.ed_id % 11 = 1 THEN concat('https://x/Calendar-PDFs/', c.yr) WHEN c.ed_id % 11 = 2 THEN 'https://y/page' END AS source_url,
+ EXISTS (SELECT 1 FROM v_snap s WHERE s.ed_id = c.ed_id AND s.adv_rank IS NOT NULL) AS cuts, n.ent % 3 = 0 AS known FROM v_cal c JOIN v_ent n ON n.ent = c.ent),
+dr AS (SELECT concat(n_name, '-1') AS pattern, 1993 + n_nationkey % 4 AS final_year FROM nation WHERE n_regionkey = 1), cr AS (SELECT n_name AS pattern, 1994 + n_nationkey % 4 AS year FROM nation WHERE n_regionkey = 2 UNION ALL SELECT concat(n_name, ' 17'), 1996 FROM nation)"""
+
+
+@query("l19_sweep_status", f"""WITH {SWEPT}, r AS (SELECT *, CASE WHEN status = 'held' AND yr = 1997 AND NOT known AND level NOT ILIKE 'ITF%' AND NOT cuts AND source <> 'atp_official_calendar_pdf' AND coalesce(source_url, '') NOT ILIKE '%atppz.com%' AND coalesce(source_url, '') NOT ILIKE '%/calendar-pdfs/%' THEN 'stale'
+ WHEN status = 'held' AND level NOT ILIKE 'ITF%' AND EXISTS (SELECT 1 FROM dr WHERE sw.yr > dr.final_year AND (contains(lower(sw.slug), lower(dr.pattern)) OR contains(lower(sw.name), lower(dr.pattern)))) THEN 'discontinued'
+ WHEN status = 'held' AND level NOT ILIKE 'ITF%' AND EXISTS (SELECT 1 FROM cr WHERE sw.yr = cr.year AND (contains(lower(sw.slug), lower(cr.pattern)) OR contains(lower(sw.name), lower(cr.pattern)) OR contains(lower(sw.city), lower(cr.pattern)))) THEN 'cancelled' WHEN status = 'not_held' AND cuts THEN 'restored' END AS reason FROM sw)
+SELECT ed_id, CASE WHEN reason = 'restored' THEN 'held' WHEN reason IS NOT NULL THEN 'not_held' ELSE status END AS status, reason FROM r""")
 def l19(t):
-    rules = t.spark.createDataFrame([(1996, "%-1%"), (1997, "%-2%")], "year int, pattern string")
-    e = t.v_ed.join(t.v_ent.select("ent", "slug"), "ent").withColumn("status", F.lit("held?"))
-    return quality.sweep_status(e, rules, t.v_snap.where("adv_rank is not null").select("ed_id"))
+    k, n = F.col("ed_id"), F.col("n_nationkey")
+    url = F.when(k % 11 == 1, F.concat(F.lit("https://x/Calendar-PDFs/"), F.col("yr").cast("string"))).when(k % 11 == 2, "https://y/page")
+    e = t.v_cal.join(t.v_ent, "ent").select("ed_id", "yr", "level", "slug", "name", "city", F.when(k % 10 == 0, "not_held").otherwise("held").alias("status"), F.when(k % 11 == 0, "atp_official_calendar_pdf").otherwise("import").alias("source"), url.alias("source_url"))
+    gone = t.nation.where("n_regionkey = 1").select(F.concat("n_name", F.lit("-1")).alias("pattern"), (n % 4 + 1993).alias("final_year"))
+    off = t.nation.where("n_regionkey = 2").select(F.col("n_name").alias("pattern"), (n % 4 + 1994).alias("year")).unionByName(t.nation.select(F.concat("n_name", F.lit(" 17")).alias("pattern"), F.lit(1996).cast("bigint").alias("year")))
+    return quality.sweep_status(e, t.v_ent.where("ent % 3 = 0").select("slug"), 1997, gone, off, t.v_snap.where("adv_rank is not null").select("ed_id"))
+
 
+#: Headers of several seasons of a code, some with another level, a few codes without any.
+HEADERS = "h AS (SELECT ent AS code, yr AS season, CASE WHEN ed_id % 7 = 0 THEN 'Challenger 50' ELSE level END AS level, ent % 4 = 0 AS heuristic FROM v_ed WHERE (ent + yr) % 3 > 0)"
 
-@query("l20_audit_levels", "WITH h AS (SELECT ent AS code, max(yr) AS season, arg_max(level, yr) AS level, ent % 4 = 0 AS heuristic FROM v_ed GROUP BY ent) SELECT e.ed_id, CASE WHEN e.ent % 11 = 0 THEN 'missing code' WHEN h.season IS NULL OR h.season <> e.yr THEN 'unverifiable' WHEN h.heuristic THEN CASE WHEN e.level LIKE 'ATP%' THEN 'confirmed' ELSE 'mismatch' END WHEN h.level = e.level THEN 'confirmed' ELSE 'mismatch' END AS verdict FROM v_ed e LEFT JOIN h ON h.code = CASE WHEN e.ent % 11 > 0 THEN e.ent END")
+
+@query("l20_audit_levels", f"WITH {HEADERS} SELECT e.ed_id, CASE WHEN e.ent % 11 = 0 THEN 'missing code' WHEN h.code IS NULL THEN 'unverifiable' WHEN h.heuristic THEN CASE WHEN regexp_matches(e.level, '^ATP [0-9]+') THEN 'confirmed' ELSE 'mismatch' END WHEN h.level = e.level THEN 'confirmed' ELSE 'mismatch' END AS verdict FROM v_ed e LEFT JOIN h ON h.code = e.ent AND h.season = e.yr AND e.ent % 11 > 0")
 def l20(t):
-    h = t.v_ed.groupBy(F.col("ent").alias("code")).agg(F.max("yr").alias("season"), F.max_by("level", "yr").alias("level")).withColumn("heuristic", F.col("code") % 4 == 0)
+    h = t.v_ed.where("(ent + yr) % 3 > 0").select(F.col("ent").alias("code"), F.col("yr").alias("season"), F.when(F.col("ed_id") % 7 == 0, "Challenger 50").otherwise(F.col("level")).alias("level"), (F.col("ent") % 4 == 0).alias("heuristic"))
     return quality.audit_levels(t.v_ed.withColumn("code", F.when(F.col("ent") % 11 > 0, F.col("ent"))), h)
 
 
@@ -332,11 +368,17 @@ def m09(t):
     return merge.copy_facts(t.v_snap, a.join(b, "ent").select("src", "dst"))
 
 
-@query("m11_recompute_weeks", "SELECT ed_id, greatest(1, cast(floor((start_date - cast(date_trunc('week', make_date(yr, 1, 5)) AS DATE)) / 7) AS INTEGER) + 1) AS wk FROM v_ed")
+@query("m11_recompute_weeks", "SELECT ed_id, CASE WHEN yr + CASE WHEN start_date >= cast(date_trunc('week', make_date(yr + 1, 1, 5)) AS DATE) - 7 THEN 1 ELSE 0 END = yr OR level LIKE 'ITF%' THEN greatest(1, cast(floor((start_date - cast(date_trunc('week', make_date(yr, 1, 5)) AS DATE)) / 7) AS INTEGER) + 1) ELSE wk END AS wk FROM (SELECT *  REPLACE (wk + 1 AS wk) FROM v_ed)")
 def m11(t):
-    from tideline.functions import dates
+    """Stored weeks are one off; those of editions in their season are made anew."""
+    return merge.recompute_weeks(t.v_ed.withColumn("wk", F.col("wk") + 1)).select("ed_id", "wk")
+
 
-    return t.v_ed.select("ed_id", dates.season_week(F.col("start_date"), F.col("yr")).alias("wk"))
+@query("m11_clean_names", r"SELECT ent, trim(regexp_replace(name, '\s+[Cc][Hh](\s+\d+)?$', '')) AS name, trim(regexp_replace(city, '\s+[Cc][Hh](\s+\d+)?$', '')) AS city FROM (SELECT ent, concat(name, CASE ent % 4 WHEN 0 THEN ' CH 2' WHEN 1 THEN ' ch' ELSE '' END) AS name, concat(city, CASE ent % 3 WHEN 0 THEN ' Ch 75' WHEN 1 THEN ' Church 2' ELSE '' END) AS city FROM v_ent) WHERE regexp_matches(name, '(?i)\s+ch(\s+\d+)?$') OR regexp_matches(city, '(?i)\s+ch(\s+\d+)?$')")
+def m11n(t):
+    k = F.col("ent")
+    e = t.v_ent.select("ent", F.concat("name", F.when(k % 4 == 0, " CH 2").when(k % 4 == 1, " ch").otherwise("")).alias("name"), F.concat("city", F.when(k % 3 == 0, " Ch 75").when(k % 3 == 1, " Church 2").otherwise("")).alias("city"))
+    return merge.clean_names(e)
 
 
 @query("m12_announce_new", "SELECT DISTINCT o_custkey AS ent, false AS baseline FROM orders WHERE year(o_orderdate) = 1997 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) < 1997)")
