@@ -108,7 +108,7 @@ def l04(t):
 #: The audit's tables: editions with a few wrong weeks, changed surfaces and lengths, snapshots with the day they were written.
 _TOUR = "(level LIKE 'ATP%' OR level LIKE 'Ch%' OR level LIKE 'Grand%')"
 AUDIT = f"""e AS (SELECT c.ed_id, c.ent, c.yr, c.level, c.start_date, CASE WHEN c.ed_id % 71 = 0 THEN c.wk + 1 ELSE c.wk END AS wk, CASE WHEN c.ed_id % 53 = 0 THEN 'Clay Indoor' ELSE n.surface END AS surface, c.start_date + CASE WHEN c.ed_id % 31 = 0 THEN 20 WHEN c.ed_id % 29 = 0 THEN -1 ELSE 6 END AS end_date FROM v_cal c JOIN v_ent n ON n.ent = c.ent),
-sn AS (SELECT s.* REPLACE (CASE WHEN s.ed_id % 211 = 0 THEN direct_rank * 20 ELSE direct_rank END AS direct_rank), CASE WHEN ev = 'doubles' AND s.ed_id % 9 = 0 THEN direct_rank * 15 END AS onsite_rank, e.start_date - cast(s.ed_id % 60 AS INTEGER) AS written FROM v_snap s JOIN e ON e.ed_id = s.ed_id WHERE s.ed_id % 3 > 0 OR s.ev = 'singles'),
+sn AS (SELECT s.* REPLACE (CASE WHEN s.ed_id % 211 = 0 THEN direct_rank * 20 WHEN s.ed_id % 29 = 0 AND dr = 'qualifying' THEN direct_rank // 2 ELSE direct_rank END AS direct_rank), CASE WHEN ev = 'doubles' AND s.ed_id % 9 = 0 THEN direct_rank * 15 END AS onsite_rank, e.start_date - cast(s.ed_id % 60 AS INTEGER) AS written FROM v_snap s JOIN e ON e.ed_id = s.ed_id WHERE (s.ed_id % 3 > 0 OR s.ev = 'singles') AND s.ed_id % 7 > 0 AND (s.ed_id % 5 > 0 OR s.dr = 'main')),
 cc AS (SELECT ed_id, level, ev, dr, unnest([direct_rank, CASE WHEN ev = 'doubles' THEN adv_rank END, CASE WHEN ev = 'doubles' THEN onsite_rank END]) AS v FROM (SELECT sn.*, level FROM sn JOIN e ON e.ed_id = sn.ed_id WHERE level NOT LIKE 'ITF%')),
 dl AS (SELECT ed_id, start_date, CASE kind WHEN 'main' THEN 'singles-main' WHEN 'qualifying' THEN 'singles-qualifying' ELSE 'doubles-main' END AS draw, monday - days AS closed FROM (SELECT *, cast(date_trunc('week', start_date) AS DATE) AS monday, CASE WHEN level = 'Grand Slam' THEN 'slam' WHEN level LIKE 'ATP%' THEN 'tour' WHEN level LIKE 'Ch%' THEN 'challenger' END AS category FROM e) JOIN (VALUES ('tour','main',28),('tour','qualifying',21),('tour','doubles',14),('challenger','main',21),('challenger','qualifying',19),('challenger','doubles',7),('slam','main',42),('slam','doubles',14)) AS r(cat, kind, days) ON cat = category
   UNION ALL SELECT ed_id, start_date, 'singles-qualifying', cast(date_trunc('week', start_date) AS DATE) - 21 FROM e WHERE level = 'Grand Slam Qualifying'),
@@ -136,8 +136,8 @@ def findings(t):
     k = F.col("ed_id")
     extra = F.when(k % 31 == 0, 20).when(k % 29 == 0, -1).otherwise(6)
     e = t.v_cal.join(t.v_ent.select("ent", "surface"), "ent").select("ed_id", "ent", "yr", "level", "start_date", (F.col("wk") + F.when(k % 71 == 0, 1).otherwise(0)).alias("wk"), F.when(k % 53 == 0, "Clay Indoor").otherwise(F.col("surface")).alias("surface"), F.date_add("start_date", extra).alias("end_date"))
-    s = t.v_snap.where("ed_id % 3 > 0 or ev = 'singles'").join(e.select("ed_id", "start_date"), "ed_id").withColumn("written", F.date_sub("start_date", (k % 60).cast("int"))).drop("start_date")
-    s = s.withColumn("onsite_rank", F.when((F.col("ev") == "doubles") & (k % 9 == 0), F.col("direct_rank") * 15)).withColumn("direct_rank", F.when(k % 211 == 0, F.col("direct_rank") * 20).otherwise(F.col("direct_rank")))
+    s = t.v_snap.where("(ed_id % 3 > 0 or ev = 'singles') and ed_id % 7 > 0 and (ed_id % 5 > 0 or dr = 'main')").join(e.select("ed_id", "start_date"), "ed_id").withColumn("written", F.date_sub("start_date", (k % 60).cast("int"))).drop("start_date")
+    s = s.withColumn("onsite_rank", F.when((F.col("ev") == "doubles") & (k % 9 == 0), F.col("direct_rank") * 15)).withColumn("direct_rank", F.when(k % 211 == 0, F.col("direct_rank") * 20).when((k % 29 == 0) & (F.col("dr") == "qualifying"), F.floor(F.col("direct_rank") / 2).cast("int")).otherwise(F.col("direct_rank")))
     return quality.audit(e, s, F.to_date(F.lit("1998-06-17")))
 
 
@@ -167,17 +167,17 @@ def l08h(t):
     return quality.forward_gaps(t.v_ed, F.to_date(F.lit("1997-12-10")), 8, 100_000)
 
 
-#: Cases of the users' first kinds of event; findings of the users seen in the last third of the month (a later run).
-CASES = "own AS (SELECT user_id, min(event_type) AS rule, max(day(ts)) AS last_day FROM events GROUP BY 1), cases AS (SELECT user_id AS key, rule, CASE user_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'open' WHEN 2 THEN 'in_progress' ELSE 'escalated' END AS status, user_id % 4 AS times_seen, user_id % 3 AS attempts FROM own WHERE rule <> 'view'), f AS (SELECT user_id AS key, rule FROM own WHERE last_day >= 28), v AS (SELECT user_id AS key FROM own WHERE last_day < 25)"
+#: Cases of the users' first kinds of event; findings and verified keys of a later run by a number of the user.
+CASES = "own AS (SELECT user_id, arg_min(event_type, ts) AS rule, user_id * 7 % 31 AS last_day FROM events GROUP BY 1), cases AS (SELECT user_id AS key, rule, CASE user_id % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'open' WHEN 2 THEN 'in_progress' ELSE 'escalated' END AS status, user_id % 4 AS times_seen, user_id % 3 AS attempts FROM own WHERE rule <> 'view'), f AS (SELECT user_id AS key, rule FROM own WHERE last_day >= 20), v AS (SELECT user_id AS key FROM own WHERE last_day < 10)"
 
 
 def ledger(t):
-    own = t.events.groupBy("user_id").agg(F.min("event_type").alias("rule"), F.max(F.dayofmonth("ts")).alias("last_day"))
+    own = t.events.groupBy("user_id").agg(F.min_by("event_type", "ts").alias("rule"), (F.col("user_id") * 7 % 31).alias("last_day"))
     u = F.col("user_id")
     status = F.when(u % 4 == 0, "fixed").when(u % 4 == 1, "open").when(u % 4 == 2, "in_progress").otherwise("escalated")
     cases = own.where("rule <> 'view'").select(u.alias("key"), "rule", status.alias("status"), (u % 4).alias("times_seen"), (u % 3).alias("attempts"))
-    f = own.where("last_day >= 28").select(u.alias("key"), "rule")
-    return quality.sync_ledger(cases, f, ["click"], F.to_timestamp(F.lit("2024-02-01")), own.where("last_day < 25").select(u.alias("key")))
+    f = own.where("last_day >= 20").select(u.alias("key"), "rule")
+    return quality.sync_ledger(cases, f, ["click"], F.to_timestamp(F.lit("2024-02-01")), own.where("last_day < 10").select(u.alias("key")))
 
 
 EVENT = "CASE WHEN c.key IS NULL THEN 'opened' WHEN f.key IS NOT NULL AND status = 'fixed' THEN 'reopened' WHEN f.key IS NOT NULL THEN 'seen' WHEN status <> 'fixed' AND (c.rule = 'click' OR c.key IN (SELECT key FROM v)) THEN 'fixed' END"
@@ -362,7 +362,7 @@ def m08(t):
     return merge.distinct_slugs(o, "slug").select("ed_id", "new_slug")
 
 
-@query("m09_copy_facts", "WITH p AS (SELECT a.ed_id AS src, b.ed_id AS dst FROM v_ed a JOIN v_ed b ON a.ent = b.ent AND a.yr = 1996 AND b.yr = 1997), m AS (SELECT p.dst AS ed_id, x.ev, x.dr, x.direct_rank, true AS moved FROM p JOIN v_snap x ON x.ed_id = p.src) SELECT ed_id, ev, dr, CASE WHEN m.moved THEN m.direct_rank ELSE s.direct_rank END AS direct_rank FROM v_snap s FULL JOIN m USING (ed_id, ev, dr)")
+@query("m09_copy_facts", "WITH e AS (SELECT ed_id, ent, yr FROM v_ed), s AS (SELECT ed_id, ev, dr, direct_rank FROM v_snap), p AS (SELECT ent, max(ed_id) FILTER (WHERE yr = 1996) AS src, max(ed_id) FILTER (WHERE yr = 1997) AS dst FROM e GROUP BY ent), k AS (SELECT ed_id, ev, dr, direct_rank, 0 AS moved FROM s UNION ALL SELECT p.dst, s.ev, s.dr, s.direct_rank, 1 FROM s JOIN p ON p.src = s.ed_id WHERE p.dst IS NOT NULL) SELECT ed_id, ev, dr, direct_rank FROM k QUALIFY row_number() OVER (PARTITION BY ed_id, ev, dr ORDER BY moved DESC) = 1")
 def m09(t):
     a, b = t.v_ed.where("yr = 1996").select("ent", F.col("ed_id").alias("src")), t.v_ed.where("yr = 1997").select("ent", F.col("ed_id").alias("dst"))
     return merge.copy_facts(t.v_snap, a.join(b, "ent").select("src", "dst"))
@@ -381,6 +381,13 @@ def m11n(t):
     return merge.clean_names(e)
 
 
+@query("m12_first_run", "SELECT DISTINCT o_custkey AS ent, true AS baseline FROM orders")
+def m12f(t):
+    """Nothing was known before: everything is the baseline and nothing is announced as new."""
+    every = t.orders.select(F.col("o_custkey").alias("ent")).distinct()
+    return merge.announce_new(every, every.where("false"), "ent")
+
+
 @query("m12_announce_new", "SELECT DISTINCT o_custkey AS ent, false AS baseline FROM orders WHERE year(o_orderdate) = 1997 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) < 1997)")
 def m12(t):
     at = lambda c: t.orders.where(c).select(F.col("o_custkey").alias("ent")).distinct()
