@@ -67,15 +67,6 @@ def prior_history(df: DataFrame, keys: list[str], period: str, value: str, gap:
     return past.withColumn("prior_n", n).withColumn("prior_median", F.when(n > 0, mid)).drop("_p")
 
 
-def visible_pairs(targets: DataFrame, obs: DataFrame, on: list[str], horizon: int) -> DataFrame:
-    """Observations of the same season in weeks before (week - horizon), strictly. Columns of ``obs`` have the prefix o_."""
-    o = obs.select(*(F.col(c).alias(f"o_{c}") for c in obs.columns))
-    cond = F.col("o_wk") < F.col("wk") - horizon
-    for c in on:
-        cond = cond & (F.col(c) == F.col(f"o_{c}"))
-    return targets.join(o, cond)
-
-
 def repeated_value(df: DataFrame, keys: list[str], period: str, values: list[str]) -> DataFrame:
     """Rows whose values all equal those of exactly one period before; a null equals nothing."""
     prev = df.select(*keys, (F.col(period) + 1).alias(period), *values)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import levels
 from tideline.functions.geo import clamp, winsorize
-from tideline.operators import aggregates, joins, merge, windows
+from tideline.operators import aggregates, joins, merge, ranks, windows
 from tideline.storage import materialise
 
 #: Fixed values by draw: weight of the last season, shrinkage to the cohort, half-width of the band by tier.
@@ -53,13 +53,13 @@ def tier_change_factor(targets: DataFrame, obs: DataFrame) -> DataFrame:
 
 def season_drift(obs: DataFrame, horizons: list[int] | None = None) -> DataFrame:
     """For each (horizon, grp, yr, wk): the clamped median ratio of the season's weeks strictly before wk - horizon; 1 below 8
-    rows. Distinct weeks are joined, not targets: a ratio goes to the later weeks of its season. Without ``horizons`` there
+    rows. Distinct weeks are asked, and a ratio is stored by ranges of weeks, not copied to the later ones. Without ``horizons`` there
     is one, 0, and no such column."""
-    r = ratios(obs).select("grp", "yr", F.col("wk").alias("_w"), "ratio")
     keys = obs.select("grp", "yr", "wk").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons or [0]))))
-    seen = keys.join(r, ["grp", "yr"]).where(F.col("_w") < F.col("wk") - F.col("horizon"))
-    med = seen.groupBy("horizon", "grp", "yr", "wk").agg(F.median("ratio").alias("m"), F.count(F.lit(1)).alias("n"))
-    out = keys.join(med, ["horizon", "grp", "yr", "wk"], "left").select("horizon", "grp", "yr", "wk", F.when(F.col("n") >= 8, clamp(F.col("m"), 0.6, 1.6)).otherwise(1.0).alias("drift"))
+    before = keys.withColumn("at", F.col("wk") - F.col("horizon"))
+    med = ranks.prefix_medians(ratios(obs).select("grp", "yr", F.col("wk").alias("at"), "ratio"), before, ["grp", "yr"], "at", "ratio")
+    drift = F.when(F.col("n") >= 8, clamp(F.col("median"), 0.6, 1.6)).otherwise(1.0)
+    out = before.join(med, ["grp", "yr", "at"], "left").select("horizon", "grp", "yr", "wk", drift.alias("drift"))
     return out if horizons else out.drop("horizon")
 
 

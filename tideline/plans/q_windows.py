@@ -48,7 +48,9 @@ def e07(t):
 
 @query("e08_visible_pairs", f"WITH s AS {SM} SELECT a.ed_id, count(*) AS n, median(b.cut) AS med FROM s a JOIN s b ON a.yr = b.yr AND a.level = b.level AND a.country = b.country AND b.wk < a.wk - 2 GROUP BY a.ed_id")
 def e08(t):
-    return wi.visible_pairs(sm(t), sm(t), ["yr", "level", "country"], 2).groupBy("ed_id").agg(F.count(F.lit(1)).alias("n"), F.median("o_cut").alias("med"))
+    on = ["yr", "level", "country"]
+    asked = sm(t).select("ed_id", *on, (F.col("wk") - 2).alias("wk"))
+    return asked.join(ranks.prefix_medians(sm(t), asked, on, "wk", "cut"), [*on, "wk"]).select("ed_id", "n", F.col("median").alias("med"))
 
 
 #: A player's name for each cut: the same one may come back a year later, or another with the same rank.
