@@ -329,6 +329,9 @@ def test_packing_takes_ids_of_a_tokenizer(spark):
 
     df = spark.createDataFrame([(k, "héllo wörld " * (k % 7)) for k in range(40)], "doc_id long, text string")
     encoded = byte_bpe.encode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    alone = byte_bpe.with_ids(df.unionByName(spark.createDataFrame([(None, None), (99, "")], df.schema)), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    want = [(r.doc_id, r.ids) for r in encoded.select("doc_id", "ids").collect()]
+    assert sorted(((r.doc_id, r.ids) for r in alone.collect()), key=str) == sorted([*want, (None, []), (99, [])], key=str)
     got = packing.padded_batches(encoded, F.col("ids"), pad_id=-1, token_budget=64, buckets=3).collect()
     back = {d: [i for i in x if i >= 0] for r in got for d, x in zip(r.doc_ids, r.input_ids, strict=True)}
     bpe = byte_bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)

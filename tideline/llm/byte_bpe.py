@@ -13,6 +13,7 @@ import base64
 import functools
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +88,29 @@ def load(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+@functools.cache
+def load_ids(path: str, pattern: str):
+    """An encoder of the same rank file that gives ids alone, several times as fast as the one with offsets."""
+    import tiktoken
+
+    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``id, ids``: the ids alone, the same as ``encode`` gives. Null text is empty; a row for each row, whatever its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load_ids(path, pattern).encode_ordinary
+        for b in _slices(batches):
+            rows = [array("i", encode(t)) for t in _texts(b, text)]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(id), lists], ["id", "ids"])
+
+    kind = docs.schema[id].dataType.simpleString()
+    return docs.select(id, text).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id)
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.llm import byte_bpe
 from tideline.llm.common import lower_ascii, words
 from tideline.storage import materialise, read_table
 
@@ -118,8 +119,16 @@ def word_ids(text: str = "text") -> Column:
     return F.transform(words(lower_ascii(F.col(text))), lambda w: (F.pmod(F.xxhash64(w), F.lit((1 << 31) - 2)) + 1).cast("int"))
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``padded_batches`` of the ids that a public vocabulary gives the texts."""
+    import public_tokenizers
+
+    encoded = byte_bpe.with_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return padded_batches(encoded, F.col("ids"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The padded batches with a digest of their matrices (row by row, ids joined by commas)."""
-    made = padded_batches(read_table(spark, sf_dir, "documents"), word_ids())
+    made = packed_texts(read_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.array_join(F.transform("input_ids", lambda r: F.array_join(r.cast("array<string>"), ",")), "\n"), 256)
     return made.select("bucket", "batch", "pad_to", "n_docs", "n_tokens", "n_padding", "doc_ids", digest.alias("ids_sha256"))
