@@ -216,7 +216,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     best = materialise(_fill(rows.withColumn("part", F.col("label")), anchors, shares, positives, True), "positives")
 
     score = F.col("score")
-    bounds = F.struct(F.col("other").alias("win"), F.expr(f"(score * {low} + 99) div 100").alias("low"), F.expr(f"(score * {high}) div 100").alias("high"))
+    bounds = F.struct(F.col("other").alias("win"), F.expr(f"(cast(score as decimal(20, 0)) * {low} + 99) div 100").alias("low"), F.expr(f"(cast(score as decimal(20, 0)) * {high}) div 100").alias("high"))
     asked = best.where(score >= 0).select(F.col("anchor").alias("id"), bounds.alias("w")).groupBy("id").agg(F.array_sort(F.collect_list("w")).alias("wins"), F.min("w.low").alias("_low"), F.min("w.high").alias("_high"))
     targets = rows.where(is_anchor).join(asked, "id").withColumn("part", F.lit(0).cast("long"))
     steps = [F.col("_low") + (F.col("_high") - F.col("_low")) * share for share in (0.6,)] + [F.col("_low")]
