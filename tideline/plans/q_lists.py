@@ -46,12 +46,14 @@ def n03(t):
 
 #: Last movements, reports left out; the state of each entry. v_entries lacks some players, whose movements match nobody.
 LAST = "l AS (SELECT list, player, arg_max(kind, (ts, seq)) AS kind FROM v_moves WHERE kind <> 'reported-next' GROUP BY 1, 2)"
-STATE = f"{LAST}, s AS (SELECT e.*, CASE WHEN kind IN ('withdrawal', 'alternate-withdrawal') THEN 'withdrawn' WHEN status = 'accepted' OR kind = 'promotion' THEN 'accepted' ELSE 'alternate' END AS state FROM v_entries e LEFT JOIN l ON l.list = e.list AND l.player = e.player)"
+#: Standings are those of the first afternoon: later every alternate has moved.
+EARLY = "ts < timestamp '2024-01-01 18:00:00'"
+STATE = f"{LAST.replace('WHERE', 'WHERE ' + EARLY + ' AND')}, s AS (SELECT e.*, CASE WHEN kind IN ('withdrawal', 'alternate-withdrawal') THEN 'withdrawn' WHEN status = 'accepted' OR kind = 'promotion' THEN 'accepted' ELSE 'alternate' END AS state FROM v_entries e LEFT JOIN l ON l.list = e.list AND l.player = e.player)"
 
 
 @query("n04_derive_state", f"WITH {STATE} SELECT *, CASE WHEN state = 'alternate' THEN cast(sum(CASE WHEN state = 'alternate' THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY position, player ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS queue FROM s")
 def n04(t):
-    return lists.derive_state(t.v_entries, t.v_moves, ["list"])
+    return lists.derive_state(t.v_entries, t.v_moves.where(EARLY), ["list"])
 
 
 @query("n04_reported_next", "SELECT list, arg_max(player, (ts, seq)) AS player FROM v_moves WHERE kind = 'reported-next' GROUP BY list")
@@ -199,7 +201,7 @@ def n11(t):
     kind = F.when(F.col("event_type") == "click", "withdrawal").when(F.col("event_type") == "view", "promotion").when(F.col("event_type") == "purchase", "alternate-withdrawal").otherwise("reported-next")
     moves = m.select(F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("list"), F.col("user_id").alias("player"), "ts", kind.alias("kind"))
     got = jobs.run_to_table(jobs.movement_ledger(moves, ["seq"], "ts"), "late")
-    return lists.derive_state(t.v_entries, got, ["list"]).select("list", "player", "state")
+    return lists.derive_state(t.v_entries, got.where(EARLY), ["list"]).select("list", "player", "state")
 
 
 @query("n04_stream_state", f"WITH {STATE} SELECT list, player, state, CASE WHEN state = 'alternate' THEN cast(sum(CASE WHEN state = 'alternate' THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY position, player ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS queue FROM s")
@@ -208,7 +210,7 @@ def n04s(t):
     from tideline.storage import materialise
 
     e = t.v_entries.select("list", "player", F.to_timestamp(F.lit("2024-01-01")).alias("ts"), "status", "position", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("seq"))
-    m = t.v_moves.select("list", "player", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("position"), "kind", "seq")
+    m = t.v_moves.where(EARLY).select("list", "player", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("position"), "kind", "seq")
     rows = materialise(e.unionByName(m), "list-rows")
     stream = t.spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     return jobs.latest_standing(jobs.run_to_table(jobs.list_states(stream), "list-states"))[0]
