@@ -153,10 +153,16 @@ def predict_horizons(obs: DataFrame, draw: str, horizons: list[int], supply_powe
 
 
 def backtest(obs: DataFrame, draw: str, horizons: list[int]) -> DataFrame:
-    """Error, baseline error, win rate and coverage by horizon and group, walk-forward over every observation."""
+    """Error, baseline error, win rate and coverage by horizon, by group and by season, walk-forward over every observation."""
     out = predict_horizons(obs, draw, horizons)
     inside = F.avg((F.col("actual").between(F.col("low"), F.col("high"))).cast("int")).alias("coverage")
-    return aggregates.slice_summary(out.where("pred is not null"), [["horizon"], ["horizon", "grp"]], [*aggregates.error_metrics("pred", "last", "actual"), inside])
+    return aggregates.slice_summary(out.where("pred is not null"), [["horizon"], ["horizon", "grp"], ["horizon", "yr"]], [*aggregates.error_metrics("pred", "last", "actual"), inside])
+
+
+def error_quantiles(obs: DataFrame, draw: str, horizons: list[int], ps: dict[str, float]) -> DataFrame:
+    """``horizon, grp`` and the absolute error at each share of ``ps``, not interpolated."""
+    out = predict_horizons(obs, draw, horizons).where("pred is not null and actual is not null")
+    return ranks.nearest_quantiles(out.withColumn("e", F.abs(F.col("pred") - F.col("actual"))), ["horizon", "grp"], "e", ps)
 
 
 def grid_search(preds: DataFrame, factors: DataFrame, grid: list[float]) -> DataFrame:

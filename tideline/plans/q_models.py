@@ -84,14 +84,34 @@ def j06(t):
 METRICS = "count(abs(pred - actual)) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(avg(abs(last - actual)), 6) AS base_mae, round(avg(pred - actual), 6) AS bias, round(avg(CASE WHEN abs(pred - actual) < abs(last - actual) THEN 1 WHEN abs(pred - actual) = abs(last - actual) THEN 0.5 WHEN abs(pred - actual) > abs(last - actual) THEN 0 END), 6) AS win_rate"
 
 
-@query("j09_backtest", f"WITH {PREDICT} SELECT grp, 0 AS horizon, cast(grouping_id(grp) * 2 AS BIGINT) AS slice, {METRICS}, round(avg(CASE WHEN actual BETWEEN low AND high THEN 1 ELSE 0 END), 6) AS coverage FROM preds WHERE pred IS NOT NULL GROUP BY GROUPING SETS ((), (grp))")
+def predict_sql(horizon: int) -> str:
+    """The predictions when the last ``horizon`` weeks are not known yet."""
+    later = PREDICT.replace("r.wk < k.wk", f"r.wk < k.wk - {horizon}")
+    return later.replace("r.wk BETWEEN t.wk - 3 AND t.wk - 1", f"r.wk BETWEEN t.wk - {horizon + 3} AND t.wk - {horizon + 1}")
+
+
+def backtest_sql(horizon: int) -> str:
+    slices = "cast(CASE grouping_id(grp, yr) WHEN 3 THEN 5 WHEN 1 THEN 1 ELSE 4 END AS BIGINT)"
+    return f"WITH {predict_sql(horizon)} SELECT grp, yr, {horizon} AS horizon, {slices} AS slice, {METRICS}, round(avg(CASE WHEN actual BETWEEN low AND high THEN 1 ELSE 0 END), 6) AS coverage FROM preds WHERE pred IS NOT NULL GROUP BY GROUPING SETS ((), (grp), (yr))"
+
+
+@query("j09_backtest", backtest_sql(0))
 def j09(t):
     return r6(projection.backtest(obs(t), "ms", [0]), "mae", "base_mae", "bias", "win_rate", "coverage")
 
 
-@query("j09_backtest_horizons")
+@query("j09_backtest_horizons", " UNION ALL ".join(f"SELECT * FROM ({backtest_sql(h)})" for h in (0, 4, 10)))
 def j09h(t):
-    return r6(projection.backtest(obs(t), "ms", [0, 4, 12]), "mae", "base_mae", "bias", "win_rate", "coverage")
+    return r6(projection.backtest(obs(t), "ms", [0, 4, 10]), "mae", "base_mae", "bias", "win_rate", "coverage")
+
+
+_ERRORS = " UNION ALL ".join(f"SELECT {h} AS horizon, grp, e FROM (WITH {predict_sql(h)} SELECT grp, abs(pred - actual) AS e FROM preds WHERE pred IS NOT NULL AND actual IS NOT NULL)" for h in (0, 4))
+_AT = "max(e) FILTER (WHERE i = least(n - 1, cast(floor(n * {p}) AS BIGINT))) AS {name}"
+
+
+@query("j09_error_quantiles", f"SELECT horizon, grp, {_AT.format(p='0.5e0', name='p50')}, {_AT.format(p='0.75e0', name='p75')}, {_AT.format(p='0.9e0', name='p90')} FROM (SELECT *, row_number() OVER (PARTITION BY horizon, grp ORDER BY e) - 1 AS i, count(*) OVER (PARTITION BY horizon, grp) AS n FROM ({_ERRORS})) GROUP BY horizon, grp")
+def j09q(t):
+    return projection.error_quantiles(obs(t), "ms", [0, 4], {"p50": 0.5, "p75": 0.75, "p90": 0.9})
 
 
 @query("j10_grid_search", f"WITH {PREDICT}, f AS (SELECT ed_id, drift AS a, regional AS b FROM w), s AS (SELECT p.x, q.y, avg(abs(actual - pred * pow(a, p.x) * pow(b, q.y))) AS mae FROM preds JOIN f USING (ed_id), (VALUES (-0.75e0), (-0.5e0), (-0.25e0), (0e0), (0.25e0), (0.5e0), (0.75e0)) p(x), (VALUES (-0.75e0), (-0.5e0), (-0.25e0), (0e0), (0.25e0), (0.5e0), (0.75e0)) q(y) WHERE pred IS NOT NULL GROUP BY 1, 2) SELECT x, y, round(mae, 6) AS mae FROM s")
@@ -101,9 +121,17 @@ def j10(t):
     return r6(projection.grid_search(projection.predict(o).where("pred is not null"), f, [-0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75]), "mae")
 
 
-@query("j11_report", f"WITH {PREDICT} SELECT grp, yr, cast(grouping_id(grp, yr) AS BIGINT) AS slice, {METRICS} FROM preds WHERE pred IS NOT NULL AND last IS NOT NULL GROUP BY GROUPING SETS ((), (grp), (yr))")
+@query("j11_report", f"WITH {PREDICT} SELECT grp, method, yr, cast(grouping_id(grp, method, yr) AS BIGINT) AS slice, {METRICS} FROM preds WHERE pred IS NOT NULL AND last IS NOT NULL GROUP BY GROUPING SETS ((), (grp), (yr), (method))")
 def j11(t):
-    return r6(projection.report(projection.predict(obs(t)), [[], ["grp"], ["yr"]]), "mae", "base_mae", "bias", "win_rate")
+    return r6(projection.report(projection.predict(obs(t)), [[], ["grp"], ["yr"], ["method"]]), "mae", "base_mae", "bias", "win_rate")
+
+
+@query("j11_worst", f"WITH {PREDICT} SELECT ed_id, pred, actual, abs(pred - actual) AS miss FROM preds WHERE pred IS NOT NULL AND last IS NOT NULL ORDER BY miss DESC, ed_id LIMIT 25")
+def j11w(t):
+    from tideline.operators import sorting
+
+    p = projection.predict(obs(t)).where("pred is not null and last is not null").withColumn("miss", F.abs(F.col("pred") - F.col("actual")))
+    return sorting.top_n(p.select("ed_id", "pred", "actual", "miss"), [F.col("miss").desc(), F.col("ed_id")], 25)
 
 
 @query("j07_upcoming", "SELECT ed_id, cast(ceil((start_date - DATE '1997-03-03') / 7) AS INTEGER) AS horizon, CASE WHEN level = 'Grand Slam Qualifying' THEN 'qs' WHEN level = 'Grand Slam' THEN 'ms,md' ELSE 'ms,qs,md' END AS draws FROM v_cal WHERE start_date BETWEEN DATE '1997-03-03' AND DATE '1997-03-03' + 28")
