@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,7 +260,7 @@ def tree_pairs(left: list[tuple], right: list[tuple] | None, spec: Spec) -> tupl
     right = left if own else right
     depth = max(len(left), len(right)) - 1
     at = lambda tree, level: tree[min(level, len(tree) - 1)]
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    i, j = np.zeros(1, np.int32), np.zeros(1, np.int32)
     for level in range(depth, -1, -1):
         p, q = at(left, level), at(right, level)
         ok = (p[2][i] * spec.den >= spec.num * q[1][j]) & (q[2][j] * spec.den >= spec.num * p[1][i])
@@ -271,7 +272,7 @@ def tree_pairs(left: list[tuple], right: list[tuple] | None, spec: Spec) -> tupl
             ok[x] = most * (spec.num + spec.den) >= spec.num * (p[1][i[x]] + q[1][j[x]])
         i, j = i[ok], j[ok]
         if level:
-            f = np.arange(FAN)
+            f = np.arange(FAN, dtype=np.int32)
             split = lambda v, tree: (v[:, None] * FAN + f) if level < len(tree) else v[:, None]  # noqa: E731, B023
             x, y = split(i, left), split(j, right)
             i, j = np.repeat(x, y.shape[1], axis=1).reshape(-1), np.tile(y, (1, x.shape[1])).reshape(-1)
@@ -299,8 +300,12 @@ def _leaf_pairs(spec: Spec, best: int | None):
         column = lambda c: table[c].to_numpy()
         unit, side, n, clash, label = (column(c) for c in ("unit", "side", "n", "clash", "lab"))
         sig = table["sig"].combine_chunks().flatten().to_numpy().view(U64).reshape(-1, WORDS)
-        ids, order = table["set_id"].to_pylist(), np.lexsort((n, label, unit))
-        out: set[tuple[bytes, bytes]] = set()
+        coded = table["set_id"].combine_chunks().dictionary_encode()
+        ranked = pc.array_sort_indices(coded.dictionary)
+        names, place = coded.dictionary.take(ranked), np.empty(len(ranked), np.int64)
+        place[ranked.to_numpy()] = np.arange(len(ranked))
+        code, order = place[coded.indices.to_numpy()], np.lexsort((n, label, unit))
+        out = [np.zeros(0, np.int64)]  # pairs as numbers, the smaller id first
         for rows in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
             parts = [rows[side[rows] == k] for k in (0, 1, 2)]
             trees = [_lower_levels(sig[r], n[r], clash[r], label[r]) if len(r) else None for r in parts]
@@ -309,12 +314,15 @@ def _leaf_pairs(spec: Spec, best: int | None):
                     i, j = tree_pairs(trees[a], None if b is None else trees[b], spec)
                     i, j = parts[a][i], parts[a if b is None else b][j]
                     if best is not None and len(i) > best:
-                        common = np.concatenate([np.bitwise_count(sig[i[k : k + 8192]] & sig[j[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192)])
+                        common = np.concatenate([np.bitwise_count(sig[i[k : k + 8192]] & sig[j[k : k + 8192]]).sum(axis=1, dtype=np.int32) for k in range(0, len(i), 8192)])
                         some = _likeliest(label[i], label[j], common, best)
                         i, j = i[some], j[some]
-                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                        out.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        return pa.table([[a for a, _ in out], [b for _, b in out]], schema=_PAIR)
+                    x, y = code[i], code[j]
+                    out.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
+            if sum(map(len, out[1:])) > max(len(out[0]), 1 << 20):
+                out = [np.unique(np.concatenate(out))]
+        keys = np.unique(np.concatenate(out))
+        return pa.table([names.take(pa.array(keys // max(1, len(names)))), names.take(pa.array(keys % max(1, len(names))))], schema=_PAIR)
 
     return run
 
