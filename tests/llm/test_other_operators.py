@@ -250,8 +250,9 @@ def test_pipeline_equals_its_parts(spark, sf_dir):
         kept = spark.createDataFrame(out.collect(), docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     ids = {r.doc_id for r in kept.collect()}
-    of = lambda df: sorted(d for r in df.select("doc_ids").collect() for d in r.doc_ids)
+    of = lambda df: sorted(r.doc_id for r in df.collect())
     assert of(packed) == sorted(ids) == of(corpus_pipeline.run(spark, sf_dir))
+    assert packed.agg(F.min("n_tokens")).first()[0] >= 50  # tokens, of texts of 50 words or more
     assert 0.6 * docs.count() < len(ids) < docs.count()
 
 

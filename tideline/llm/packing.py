@@ -119,12 +119,16 @@ def word_ids(text: str = "text") -> Column:
     return F.transform(words(lower_ascii(F.col(text))), lambda w: (F.pmod(F.xxhash64(w), F.lit((1 << 31) - 2)) + 1).cast("int"))
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """``padded_batches`` of the ids that a public vocabulary gives the texts."""
+def token_ids(docs: DataFrame) -> DataFrame:
+    """``doc_id, ids``: the ids that a public vocabulary gives the texts, a row for each row of ``docs``."""
     import public_tokenizers
 
-    encoded = byte_bpe.with_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return padded_batches(encoded, F.col("ids"))
+    return byte_bpe.with_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``padded_batches`` of the vocabulary's ids."""
+    return padded_batches(token_ids(docs), F.col("ids"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
