@@ -60,10 +60,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The padded batches of the texts' token ids (null text: no ids): ``bucket, batch, pad_to, n_docs, n_tokens, n_padding, doc_ids,
-    input_ids``. A text over the budget is a batch of its own; repeated and null ids have rows of their own in a batch; an empty table
-    gives no batches; extra columns are ignored, whatever their names."""
-    return packing.packed_texts(docs)
+    """Length bucket, batch and slot of every row by its number of tokens of a public vocabulary (null text: 0): ``doc_id, n_tokens, bucket,
+    pad_to, batch, slot``. A text over the budget is a batch of its own; repeated and null ids have slots of their own; an empty
+    table gives an empty result; extra columns are ignored, whatever their names."""
+    return packing.pack(packing.token_ids(docs), F.size("ids"))
 
 
 STAGES = [("language_id", language), ("quality_rules", quality), ("exact_dedup", exact), ("jaccard_join", near), ("packing", pack)]
