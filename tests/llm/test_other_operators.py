@@ -3,6 +3,7 @@
 import gzip
 import io
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +55,38 @@ def test_bpe_frames(spark):
     assert sorted(r.end_offset for r in byte_bpe.round_trip(df, path, P.PATTERN).collect()) == [0, 0, 0, 7, 100_000]
 
 
+@needs_vocabularies
+@pytest.mark.parametrize("room", [0, 100_000, 25_000_000])
+def test_bpe_by_words_equals_tiktoken(spark, room):
+    """Words are encoded once, and alike in every text: every kind of space, contractions, letters beside punctuation, forgotten words."""
+    import hashlib
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ref, bpe = byte_bpe.load_ids(path, P.PATTERN), byte_bpe.load(path, P.PATTERN)
+    rng = np.random.default_rng(5)
+    letters = [*"abcdeth in on\n é日😀🏽 .,!#09''-(ÿſØ×÷ʼ\u0301\u0558\x1c\x1f\u200b\ufeff\x00", *byte_bpe.SPACES, "'s", "'ll", "don't,", " the", " of,", "\r\n"]
+    texts = ["", " ", "\n\n  a", "a  ", "  ", "x" * 5000, "x,'s", "x's, it's.", "-,-a,b", "a" + " " * 300 + "b"]
+    texts += ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(1000)]
+    words = byte_bpe.Words(bpe, room)
+    for _ in range(2):
+        for k in range(0, len(texts), 64):
+            for t, (shown, end) in zip(texts[k : k + 64], words.encode_ends(texts[k : k + 64]), strict=True):
+                assert shown == ",".join(map(str, ref.encode_ordinary(t))) and end == len(t)
+    asked = []
+    words = byte_bpe.Words(bpe)
+    words.bpe = type("Counting", (), {"encode_offsets": lambda self, x: asked.extend(x) or bpe.encode_offsets(x)})()
+    words.encode_ends(["a bc bc, bc"] * 50)
+    words.encode_ends(["d bc bc, bc"])
+    assert "".join(sorted(asked)) == " bc,ad"  # each word went to the library once
+    if room:
+        return
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (5, "x, y")], "doc_id long, text string")
+    rows = [Counter(map(tuple, byte_bpe.round_trip(df, path, P.PATTERN, by_words=w).collect())) for w in (False, True)]
+    assert rows[0] == rows[1] and rows[0].total() == len(texts) + 2
+    assert {r[4] for r in rows[1]} == {hashlib.sha256(t.encode()).hexdigest() for t in [*texts, "x, y"]}
+    assert byte_bpe.round_trip(df.where("false"), path, P.PATTERN, by_words=True).count() == 0
+
+
 def test_language_id_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = registry.queries()["op7_language_id"](spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
