@@ -327,7 +327,7 @@ def _leaf_pairs(spec: Spec, best: int | None):
     return run
 
 
-def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec, best: int | None) -> DataFrame:
+def _traverse(postings: DataFrame, able: DataFrame, hot: DataFrame | None, spec: Spec, best: int | None = None) -> DataFrame:
     """``a, b``: the pairs of sets of different components that the dual traversal of the postings' trees leaves; of a posting or of two
     subtrees the likeliest ``best`` of each two components, or all."""
     count = postings.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
