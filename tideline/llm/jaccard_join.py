@@ -40,6 +40,8 @@ U64 = np.uint64
 TOKEN_BITS = 48
 #: Words of a set's bitmap (4,096 bits) and of the folded ones (1,024 bits) of the upper nodes.
 WORDS, UPPER = 64, 16
+#: Bytes of text that a task hashes at once (about 35 bytes of memory for each), and slices in which it counts a hash range.
+HASH_BYTES, SLICES = 1 << 19, 16
 #: Bits of a hash for one step down the upper tree, and children of a node below.
 STEP, FAN = 4, 16
 
@@ -72,7 +74,22 @@ _SETS_SQL = "set_id binary, n bigint, docs array<bigint>, toks array<bigint>, ke
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(owner, token, size)``: distinct tokens sorted by owner and token, and the exact set size of each text."""
+    """``(owner, token, size)``: distinct tokens sorted by owner and token, and the exact set size of each text.
+
+    Texts are hashed piece by piece; a text longer than ``HASH_BYTES`` is a piece of its own.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    parts, at = [_piece_sets(texts.slice(0, 0), k)], 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASH_BYTES, side="right")))
+        own, tok, sizes = _piece_sets(texts.slice(at, stop - at), k)
+        parts.append((own + at, tok, sizes))
+        at = stop
+    own, tok, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return own, tok, sizes
+
+
+def _piece_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = nt.hash_words(texts)
     owner, h = nt.shingles(words, k)
     packed = np.unique((owner.astype(U64) << U64(TOKEN_BITS)) | (h >> U64(64 - TOKEN_BITS)))
@@ -136,26 +153,40 @@ def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return table.select(["part", "toks", "ords"]).append_column("dfs", pa.nulls(len(table), pa.binary())).append_column("meta", table["meta"]).append_column("docs", table["docs"]).cast(_COUNTED)
     parts = table["part"].to_numpy()
     toks = [nt.unpack_sorted(x) for x in table["toks"].to_pylist()]
+    ords = [nt.unpack_planes(x).astype(np.int32) for x in table["ords"].to_pylist()]
+    low, high = min(int(t[0]) for t in toks), max(int(t[-1]) for t in toks) + 1
+    bounds = np.array([low + (high - low) * i // SLICES for i in range(SLICES + 1)], dtype=U64)
+    cuts = [np.searchsorted(t, bounds) for t in toks]
+    held: list[list[tuple]] = [[] for _ in toks]
+    for i in range(SLICES):
+        _count_slice([t[c[i] : c[i + 1]] for t, c in zip(toks, cuts, strict=True)], [o[c[i] : c[i + 1]] for o, c in zip(ords, cuts, strict=True)], held)
+    rows = [
+        {"part": int(part), "toks": nt.pack_sorted(tok), "ords": nt.pack_planes(own), "dfs": nt.pack_planes(df)}
+        for part, pieces in zip(parts, held, strict=True)
+        if pieces
+        for tok, own, df in [map(np.concatenate, zip(*pieces, strict=True))]
+    ]
+    return pa.Table.from_pylist(rows, _COUNTED)
+
+
+def _count_slice(toks: list[np.ndarray], ords: list[np.ndarray], held: list[list[tuple]]) -> None:
+    """Appends the shingles, owners and counts of a slice that occur in two sets or more to what is held of their chunks."""
     which = np.repeat(np.arange(len(toks), dtype=np.int32), [len(t) for t in toks])
     tok = np.concatenate(toks)
     order = np.argsort(tok, kind="stable")
     tok = tok[order]
-    edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])[: len(tok)])
     runs = np.diff(np.append(edge, len(tok)))
     df = np.repeat(runs, runs)
     keep = df > 1
-    tok, df, order = tok[keep], np.minimum(df[keep], 65_535), order[keep]
-    ords = np.concatenate([nt.unpack_planes(x) for x in table["ords"].to_pylist()])[order]
-    which = which[order]
+    tok, df, order = tok[keep], np.minimum(df[keep], 65_535).astype(np.int32), order[keep]
+    ords, which = np.concatenate(ords)[order], which[order]
     back = np.argsort(which, kind="stable")
     tok, df, ords = tok[back], df[back], ords[back]
-    cuts = np.searchsorted(which[back], np.arange(len(parts) + 1))
-    rows = [
-        {"part": int(parts[i]), "toks": nt.pack_sorted(tok[a:b]), "ords": nt.pack_planes(ords[a:b]), "dfs": nt.pack_planes(df[a:b])}
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-        if b > a
-    ]
-    return pa.Table.from_pylist(rows, _COUNTED)
+    cuts = np.searchsorted(which[back], np.arange(len(toks) + 1))
+    for pieces, a, b in zip(held, cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            pieces.append((tok[a:b], ords[a:b], df[a:b]))
 
 
 def _assemble(spec: Spec):

@@ -25,6 +25,8 @@ FEATURE_BITS = 16
 SPACE = 32
 #: Brings the inputs of the classifier to the order of 1.
 SCALE = 10.0
+#: Characters that a task holds as arrays at once (about 75 bytes for each); a longer text is held alone.
+AT_ONCE = 1 << 17
 
 
 @cache
@@ -64,7 +66,7 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def predict(self, texts: list[str], max_chars: int = 1 << 20) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str], max_chars: int = AT_ONCE) -> tuple[list[str], np.ndarray]:
         """The most probable language and its calibrated probability; ``und`` and 0 for texts without letters."""
         names, scores, at = [], [], 0
         sizes = np.cumsum([len(t) + 1 for t in texts])
@@ -95,7 +97,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << FEATURE_BITS, dtype=np.int64), 0
-        for batch in nt.chunks(batches, text, 1 << 20):
+        for batch in nt.chunks(batches, text, AT_ONCE):
             hashed, bounds, _ = grams([t or "" for t in batch.column(text).to_pylist()])
             seen = np.zeros(1 << FEATURE_BITS, dtype=bool)
             for a, b in bounds.T:
