@@ -37,3 +37,32 @@ def copies(folder):
 def test_search_rounds_distances_as_sql_does(spark, folder):
     made = folder(customer="SELECT * REPLACE (CAST(c_nationkey % 2 AS INTEGER) AS c_nationkey, c_custkey % 60 / 8 AS c_acctbal) FROM {t}")
     check_equal(spark, engine(made), made, "b09_search")
+
+
+def test_members_of_chains_are_those_of_all_edges(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tideline.operators import chains, joins
+    from tideline.operators.graph import connected_components
+
+    rng = random.Random(3)
+    at = lambda: float(rng.randint(0, 4)) if rng.random() < 0.9 else None
+    rows = [(k, 2020 + k % 2, rng.randint(1, 9), rng.choice(["A", "B", "C", "D", None]), rng.choice("rq"), rng.choice(["Clay", "Hard"]), at(), at()) for k in range(150)]
+    e = spark.createDataFrame(rows, "ed_id long, yr int, wk int, country string, region string, surface string, lat double, lon double")
+    near = spark.createDataFrame([("A", "B"), ("B", "A"), ("C", "D")], "a string, b string")
+    whole = connected_components(joins.adjacency_edges(e, near, 250))
+    got = chains.chain_members(e, near, 250)
+    assert sorted(map(tuple, got.select("ed_id", "chain").collect())) == sorted(map(tuple, whole.collect()))
+    assert got.where(F.col("lat").isNull()).count() > 0
+    assert sorted(map(str, got.drop("chain").collect())) == sorted(map(str, e.join(whole.select(F.col("node").alias("ed_id")), "ed_id").select(got.drop("chain").columns).collect()))
+
+
+def test_links_grow_with_weeks_and_not_with_pairs(spark):
+    """400 events of 40 places in a week and country: all pairs would be 160,000 for two weeks."""
+    from tideline.operators import joins
+
+    e = spark.range(2000).selectExpr("id as ed_id", "2020 as yr", "cast(id % 5 + 1 as int) as wk", "'A' as country", "'r' as region", "'Clay' as surface", "cast(id % 40 as double) as lat", "1D as lon")
+    none = spark.createDataFrame([], "a string, b string")
+    assert joins.adjacency_links(e, none).count() == 4 + 2000

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import chains, joins, merge, quality, sets
-from tideline.operators.graph import connected_components
+from tideline.operators import chains, merge, quality, sets
 from tideline.plans.catalog import query
 from tideline.plans.q_expressions import HAV, MINP
 from tideline.plans.q_joins import CHAIN, EDGES, LADDER, PLACED, chain_events, country_pairs
@@ -15,7 +14,7 @@ REACH = "both_ AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach(n
 
 @query("k00_connected_components", f"WITH RECURSIVE e AS ({EDGES}), {REACH} SELECT node, component FROM comp")
 def k00(t):
-    return connected_components(joins.adjacency_edges(chain_events(t), country_pairs(t)))
+    return chains.chain_members(chain_events(t), country_pairs(t)).select(F.col("ed_id").alias("node"), F.col("chain").alias("component"))
 
 
 @query("k01_chains", f"""WITH RECURSIVE e AS ({EDGES}), {REACH}, m AS (SELECT c.component AS chain, v.* FROM comp c JOIN {CHAIN} v ON v.ed_id = c.node),
@@ -35,8 +34,7 @@ h AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM m WINDOW w AS
 c AS (SELECT chain, country, min(wk * 1000000000::BIGINT + ed_id) AS k FROM m GROUP BY 1, 2), cc AS (SELECT chain, string_agg(country, ',' ORDER BY k) AS countries FROM c GROUP BY chain)
 SELECT chain, cast(max(wk) - min(wk) + 1 AS INTEGER) AS weeks, count(*) AS stops, countries, round(max(km), 5) AS max_hop FROM p JOIN cc USING (chain) GROUP BY chain, countries""")
 def d22(t):
-    e = chain_events(t)
-    members = e.join(connected_components(joins.adjacency_edges(e, country_pairs(t))).select(F.col("node").alias("ed_id"), F.col("component").alias("chain")), "ed_id")
+    members = chains.chain_members(chain_events(t), country_pairs(t))
     return chains.chain_summary(members, ["chain"]).withColumn("max_hop", F.round("max_hop", 5))
 
 
@@ -442,5 +440,4 @@ g AS (SELECT chain, yr, CASE WHEN count(*) OVER (PARTITION BY yr, label) > 1 THE
 SELECT chain, CASE WHEN k > 1 THEN concat(label, ' #', k) ELSE label END AS label FROM h""")
 def k01l(t):
     e = t.v_ed.join(t.v_ent, "ent").select("ed_id", "yr", "wk", "country", "region", "surface", "lat", "lon", "start_date")
-    comp = connected_components(joins.adjacency_edges(e.drop("start_date"), country_pairs(t))).select(F.col("node").alias("ed_id"), F.col("component").alias("chain"))
-    return chains.chain_labels(e.join(comp, "ed_id"))
+    return chains.chain_labels(chains.chain_members(e, country_pairs(t)))
