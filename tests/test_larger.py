@@ -66,3 +66,12 @@ def test_links_grow_with_weeks_and_not_with_pairs(spark):
     e = spark.range(2000).selectExpr("id as ed_id", "2020 as yr", "cast(id % 5 + 1 as int) as wk", "'A' as country", "'r' as region", "'Clay' as surface", "cast(id % 40 as double) as lat", "1D as lon")
     none = spark.createDataFrame([], "a string, b string")
     assert joins.adjacency_links(e, none).count() == 4 + 2000
+
+
+@pytest.mark.parametrize("name", ["d22_chain_summary"])
+def test_chains_are_found_without_pairs_of_events(spark, copies, monkeypatch, name):
+    from tideline.operators import joins
+
+    monkeypatch.setattr(joins, "adjacency_edges", None)
+    made = copies(3)
+    check_equal(spark, engine(made), made, name)
