@@ -68,7 +68,7 @@ def test_links_grow_with_weeks_and_not_with_pairs(spark):
     assert joins.adjacency_links(e, none).count() == 4 + 2000
 
 
-@pytest.mark.parametrize("name", ["d22_chain_summary"])
+@pytest.mark.parametrize("name", ["d22_chain_summary", "k01_chain_labels"])
 def test_chains_are_found_without_pairs_of_events(spark, copies, monkeypatch, name):
     from tideline.operators import joins
 
