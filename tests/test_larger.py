@@ -104,3 +104,42 @@ def test_clusters_are_those_of_all_near_pairs(spark, monkeypatch):
     monkeypatch.setattr(chains, "connected_components", lambda links, *a: (sizes.append(links.count()), real(links, *a))[1])
     assert {r.ed_id: r.cluster for r in chains.cluster_within(e, ["yr"], "wk", 900).collect()} == {k: find(k) for k in root}
     assert sizes[0] < 400
+
+
+def test_near_medians_equal_brute_force(spark, monkeypatch):
+    import math
+    import random
+    from statistics import median
+
+    from tideline.operators import nearby
+
+    rng = random.Random(9)
+    place = lambda: (rng.choice([None, 10.0, 20.5, 31.0, -40.0]), rng.choice([-179.0, 179.0, 0.0, 12.5]))
+    spots = list({("gh"[k % 2], k % 20, *place()) for k in range(200)})
+    values = [("gh"[k % 2], rng.randint(-3, 21), *place(), rng.choice([None, *map(float, range(40))]), rng.randint(1, 3)) for k in range(900)]
+
+    def km(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1.0, math.sqrt(h)))
+
+    windows, want = {0: [-1, 0, 1], 7: [-4]}, {}
+    for g, t, lat, lon in spots:
+        for name, offsets in windows.items():
+            got = [x for h, u, la, lo, x, f in values for _ in range(f) if h == g and u - t in offsets and x is not None and None not in (la, lat) and km((lat, lon), (la, lo)) <= 3000]
+            if got:
+                want[name, g, t, lat, lon] = (median(got), len(got))
+    s = spark.createDataFrame(spots, "g string, t int, lat double, lon double")
+    v = spark.createDataFrame(values, "g string, t int, lat double, lon double, x double, f int")
+    for held in (nearby.HELD, 1):  # 1: chunks of a spot, distances found anew
+        monkeypatch.setattr(nearby, "HELD", held)
+        found = nearby.near_medians(s, v, ["g"], "t", windows, 3000).collect()
+        assert {(r.window, r.g, r.t, r.lat, r.lon): (r.median, r.n) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("name", ["j06_predict"])
+def test_predictions_make_no_pairs_of_places(spark, copies, monkeypatch, name):
+    from tideline.operators import joins
+
+    monkeypatch.setattr(joins, "near_in_time_space", None)
+    made = copies(3)
+    check_equal(spark, engine(made), made, name)

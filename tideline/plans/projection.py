@@ -8,11 +8,12 @@ share their factors, so that pairs are of distinct places and not of targets.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import levels
 from tideline.functions.geo import clamp, winsorize
-from tideline.operators import aggregates, joins, merge, ranks, windows
+from tideline.operators import aggregates, joins, merge, nearby, ranks, windows
 from tideline.storage import materialise
 
 #: Fixed values by draw: weight of the last season, shrinkage to the cohort, half-width of the band by tier.
@@ -44,7 +45,7 @@ def level_medians(obs: DataFrame) -> DataFrame:
 
 def tier_change_factor(targets: DataFrame, obs: DataFrame) -> DataFrame:
     """``targets`` (last_level, level, yr) with the clamped ratio of the two levels' medians; 1 if same or thin."""
-    m = level_medians(obs)
+    m = materialise(level_medians(obs), "level-medians")  # a few rows, read twice
     a = m.select(F.col("level").alias("last_level"), "yr", F.col("med").alias("_from"))
     b = m.select("level", "yr", F.col("med").alias("_to"))
     factor = F.when(F.col("last_level").isNull() | (F.col("last_level") == F.col("level")) | F.col("_from").isNull() | F.col("_to").isNull(), 1.0).otherwise(clamp(F.col("_to") / F.col("_from"), 0.55, 1.8))
@@ -55,45 +56,69 @@ def season_drift(obs: DataFrame, horizons: list[int] | None = None) -> DataFrame
     """For each (horizon, grp, yr, wk): the clamped median ratio of the season's weeks strictly before wk - horizon; 1 below 8
     rows. Distinct weeks are asked, and a ratio is stored by ranges of weeks, not copied to the later ones. Without ``horizons`` there
     is one, 0, and no such column."""
-    keys = obs.select("grp", "yr", "wk").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons or [0]))))
+    out = _season(obs, ratios(obs), horizons or [0])
+    return out if horizons else out.drop("horizon")
+
+
+def _season(obs: DataFrame, rated: DataFrame, horizons: list[int]) -> DataFrame:
+    keys = obs.select("grp", "yr", "wk").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
     before = keys.withColumn("at", F.col("wk") - F.col("horizon"))
-    med = ranks.prefix_medians(ratios(obs).select("grp", "yr", F.col("wk").alias("at"), "ratio"), before, ["grp", "yr"], "at", "ratio")
+    med = ranks.prefix_medians(rated.select("grp", "yr", F.col("wk").alias("at"), "ratio"), before, ["grp", "yr"], "at", "ratio")
     drift = F.when(F.col("n") >= 8, clamp(F.col("median"), 0.6, 1.6)).otherwise(1.0)
-    out = before.join(med, ["grp", "yr", "at"], "left").select("horizon", "grp", "yr", "wk", drift.alias("drift"))
-    return out if horizons else out.drop("horizon")
+    return before.join(med, ["grp", "yr", "at"], "left").select("horizon", "grp", "yr", "wk", drift.alias("drift"))
 
 
 #: What tells targets apart in space and time: factors are computed once for each and joined back.
 SPOT = ["grp", "yr", "wk", "lat", "lon"]
+#: Fixed value: how far regional ratios and cohorts reach.
+NEAR_KM = 3000
+
+
+def _with_spots(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their spot (null coordinates are alike); null without one."""
+    s = spots.select(*(F.col(c).alias(f"_s_{c}") if c in SPOT else F.col(c) for c in spots.columns))
+    return rows.join(s, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) if c in ("lat", "lon") else F.col(c) == F.col(f"_s_{c}") for c in SPOT], "left").drop(*(f"_s_{c}" for c in SPOT))
+
 
+def _regional(spots: DataFrame, rated: DataFrame, horizons: list[int], km: float) -> DataFrame:
+    """``SPOT, near``: the clamped median by horizon, for the spots with three ratios (SPOT, ratio) or more around."""
+    windows = {h: [-k - h for k in (1, 2, 3)] for h in horizons}
+    med = nearby.near_medians(spots, rated.select(*SPOT, F.col("ratio").alias("x"), F.lit(1).alias("f")), ["grp", "yr"], "wk", windows, km)
+    return med.where("n >= 3").select(*SPOT, F.col("window").alias("k"), clamp(F.col("median"), 0.6, 1.6).alias("near"))
 
-def regional_drift(obs: DataFrame, horizons: list[int] | None = None, km: float = 3000) -> DataFrame:
+
+def _by_spot(near: DataFrame) -> DataFrame:
+    """``SPOT, near``: a map from k."""
+    return near.groupBy(*SPOT).agg(F.map_from_entries(F.collect_list(F.struct("k", "near"))).alias("near"))
+
+
+def regional_drift(obs: DataFrame, horizons: list[int] | None = None, km: float = NEAR_KM) -> DataFrame:
     """``horizon, ed_id, regional``: the same over events within ``km`` in the three weeks before; 1 below 3 rows."""
     every = horizons or [0]
-    r = ratios(obs).select(*SPOT, "ratio")
-    near = joins.near_in_time_space(obs.select(*SPOT).distinct(), r, ["grp", "yr"], "wk", sorted({-k - h for h in every for k in (1, 2, 3)}), km)
-    gap = F.col("wk") - F.col("r_wk")
-    at = near.withColumn("horizon", F.explode(F.filter(F.array(*map(F.lit, every)), lambda h: (gap > h) & (gap <= h + 3))))
-    med = at.groupBy("horizon", *SPOT).agg(F.median("r_ratio").alias("m"), F.count(F.lit(1)).alias("n"))
-    targets = obs.select("ed_id", *SPOT).withColumn("horizon", F.explode(F.array(*map(F.lit, every))))
-    out = targets.join(med, ["horizon", *SPOT], "left").select("horizon", "ed_id", F.when(F.col("n") >= 3, clamp(F.col("m"), 0.6, 1.6)).otherwise(1.0).alias("regional"))
+    o = materialise(obs.select("ed_id", "ent", *SPOT, "cut"), "regional-observations")  # read for spots, ratios and targets
+    near = _by_spot(_regional(o.select(*SPOT).distinct(), ratios(o), every, km))
+    out = _with_spots(o, near).withColumn("horizon", F.explode(F.array(*map(F.lit, every)))).select("horizon", "ed_id", F.coalesce(F.try_element_at("near", F.col("horizon")), F.lit(1.0)).alias("regional"))
     return out if horizons else out.drop("horizon")
 
 
-def cohort_base(obs: DataFrame, km: float = 3000) -> DataFrame:
+def _cohorts(obs: DataFrame, km: float) -> tuple[DataFrame, DataFrame]:
+    """``grp, yr, wk, every``: last season's median within two weeks, of three cuts or more; and ``SPOT, k (-1), near``: that of the near ones."""
+    last = obs.where("cut is not null").select("grp", (F.col("yr") + 1).alias("yr"), "wk", "lat", "lon", "cut")
+    weeks = last.groupBy("grp", "yr", "wk", "cut").agg(F.count(F.lit(1)).alias("f")).withColumn("wk", F.explode(F.array(*(F.col("wk") + k for k in range(-2, 3)))))
+    every = weeks.groupBy("grp", "yr", "wk").agg(F.percentile("cut", F.lit(0.5), F.col("f")).alias("every"), F.sum("f").alias("n")).where("n >= 3")
+    near = nearby.near_medians(obs.select(*SPOT).distinct(), last.select(*SPOT, F.col("cut").alias("x"), F.lit(1).alias("f")), ["grp", "yr"], "wk", {-1: [-2, -1, 0, 1, 2]}, km)
+    return every.drop("n"), near.where("n >= 3").select(*SPOT, F.col("window").alias("k"), F.col("median").alias("near"))
+
+
+def cohort_base(obs: DataFrame, km: float = NEAR_KM) -> DataFrame:
     """``ed_id, cohort``: last season's median of the same group within two weeks, of the near ones if there are three.
 
     The median of all is one for each (group, season, week); near ones are looked for by place. Cuts are counted by value.
     """
-    last = obs.where("cut is not null").select("grp", (F.col("yr") + 1).alias("yr"), "wk", "lat", "lon", "cut").groupBy("grp", "yr", "wk", "lat", "lon", "cut").agg(F.count(F.lit(1)).alias("f"))
-    weeks = last.groupBy("grp", "yr", "wk", "cut").agg(F.sum("f").alias("f")).withColumn("wk", F.explode(F.array(*(F.col("wk") + k for k in range(-2, 3)))))
-    half = F.lit(0.5)
-    every = weeks.groupBy("grp", "yr", "wk").agg(F.percentile("cut", half, F.col("f")).alias("every"), F.sum("f").alias("n")).where("n >= 3")
-    spots = obs.select(*SPOT).distinct()
-    near = joins.near_in_time_space(spots, last, ["grp", "yr"], "wk", [-2, -1, 0, 1, 2], km)
-    close = near.groupBy(*SPOT).agg(F.percentile("r_cut", half, F.col("r_f")).alias("close"), F.sum("r_f").alias("k")).where("k >= 3")
-    base = obs.select("ed_id", *SPOT).join(every, ["grp", "yr", "wk"]).join(close, SPOT, "left")
-    return base.select("ed_id", F.coalesce("close", "every").alias("cohort"))
+    o = materialise(obs.select("ed_id", *SPOT, "cut"), "cohort-observations")
+    every, near = _cohorts(o, km)
+    base = _with_spots(o.join(materialise(every, "cohort-weeks"), ["grp", "yr", "wk"]), near.drop("k"))
+    return base.select("ed_id", F.coalesce("near", "every").alias("cohort"))
 
 
 def supply_signals(events: DataFrame, km: float = 3000) -> DataFrame:
@@ -130,15 +155,26 @@ def predict(obs: DataFrame, draw: str = "ms", horizon: int = 0, supply_power: fl
     return predict_horizons(obs, draw, [horizon], supply_power, events).drop("horizon")
 
 
-def predict_horizons(obs: DataFrame, draw: str, horizons: list[int], supply_power: float = 0.0, events: DataFrame | None = None) -> DataFrame:
-    """``predict`` for several horizons in one pass, with the column ``horizon``; only the drifts depend on it."""
-    o = materialise(with_group(obs), "observations")  # every factor reads it
-    past = windows.prior_history(o, ["ent"], "yr", "cut").select("ed_id", "prior_n", "prior_median")
-    t = joins.prior_period(o, ["ent"], "yr", "cut", "last").join(past, "ed_id")
-    back = lambda years, column, name: o.select("ent", (F.col("yr") + years).alias("yr"), F.col(column).alias(name))
-    t = t.join(back(2, "cut", "before"), ["ent", "yr"], "left").join(back(1, "level", "last_level"), ["ent", "yr"], "left")
-    t = tier_change_factor(t, o).join(cohort_base(o), "ed_id", "left")
-    t = t.join(season_drift(o, horizons), ["grp", "yr", "wk"]).join(regional_drift(o, horizons), ["horizon", "ed_id"])
+def predict_horizons(obs: DataFrame, draw: str, horizons: list[int], supply_power: float = 0.0, events: DataFrame | None = None, factors: bool = False) -> DataFrame:
+    """``predict`` for several horizons in one pass, with the column ``horizon``; only the drifts depend on it. With ``factors`` there are
+    the columns drift and regional too.
+
+    An entity has one observation a season. Its earlier ones come from one window; what depends on the week or the place is written as
+    tables by week and by spot, so that the last plan is a scan with four joins.
+    """
+    o = materialise(with_group(obs), "observations")
+    w = W.partitionBy("ent").orderBy("yr")
+    ago = lambda column, years, name: F.last(column).over(w.rangeBetween(-years, -years)).alias(name)
+    past = windows.prior_history(o, ["ent"], "yr", "cut").select("*", ago("cut", 1, "last"), ago("cut", 2, "before"), ago("level", 1, "last_level"))
+    t = materialise(past, "histories")
+    rated = t.where("cut is not null and last is not null").select(*SPOT, (F.col("cut") / F.col("last")).alias("ratio"))
+    every, close = _cohorts(t, NEAR_KM)
+    near = materialise(_by_spot(close.unionByName(_regional(t.select(*SPOT).distinct(), rated, horizons, NEAR_KM))), "spot-factors")
+    drifts = _season(t, rated, horizons).groupBy("grp", "yr", "wk").agg(F.map_from_entries(F.collect_list(F.struct("horizon", "drift"))).alias("drifts"))
+    weekly = materialise(drifts.join(every, ["grp", "yr", "wk"], "left"), "week-factors")
+    t = _with_spots(tier_change_factor(t, t).join(weekly, ["grp", "yr", "wk"]), near).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    t = t.withColumn("cohort", F.coalesce(F.try_element_at("near", F.lit(-1)), "every"))
+    t = t.withColumn("drift", F.try_element_at("drifts", F.col("horizon"))).withColumn("regional", F.coalesce(F.try_element_at("near", F.col("horizon")), F.lit(1.0)))
     if supply_power:
         t = t.join(supply(events), "ed_id", "left")
     last = F.when(F.col("prior_n") >= 2, winsorize(F.col("last").cast("double"), F.col("prior_median"), 1.75)).otherwise(F.col("last").cast("double"))
@@ -149,7 +185,7 @@ def predict_horizons(obs: DataFrame, draw: str, horizons: list[int], supply_powe
     pred = F.greatest(F.lit(3), F.floor(moved + 0.5)).cast("int")
     width = _band(F.col("grp"), draw) * F.when(own.isNull(), 1.3).otherwise(1.0)
     out = t.withColumn("pred", F.when(base.isNotNull(), pred)).withColumn("_w", width).withColumn("method", F.when(base.isNull(), None).when(own.isNull(), "cohort").otherwise("history"))
-    return out.select("horizon", "ed_id", "grp", "yr", F.col("cut").alias("actual"), "last", "pred", F.greatest(F.lit(1), F.floor(F.col("pred") * (1 - F.col("_w")) + 0.5).cast("int")).alias("low"), F.floor(F.col("pred") * (1 + F.col("_w")) + 0.5).cast("int").alias("high"), "method")
+    return out.select("horizon", "ed_id", "grp", "yr", F.col("cut").alias("actual"), "last", "pred", F.greatest(F.lit(1), F.floor(F.col("pred") * (1 - F.col("_w")) + 0.5).cast("int")).alias("low"), F.floor(F.col("pred") * (1 + F.col("_w")) + 0.5).cast("int").alias("high"), "method", *(["drift", "regional"] if factors else []))
 
 
 def backtest(obs: DataFrame, draw: str, horizons: list[int]) -> DataFrame:
@@ -165,11 +201,13 @@ def error_quantiles(obs: DataFrame, draw: str, horizons: list[int], ps: dict[str
     return ranks.nearest_quantiles(out.withColumn("e", F.abs(F.col("pred") - F.col("actual"))), ["horizon", "grp"], "e", ps)
 
 
-def grid_search(preds: DataFrame, factors: DataFrame, grid: list[float]) -> DataFrame:
-    """Mean absolute error of pred * a^x * b^y for each (x, y); the smallest first, then the smallest powers."""
+def grid_search(preds: DataFrame, factors: DataFrame | None, grid: list[float]) -> DataFrame:
+    """Mean absolute error of pred * a^x * b^y for each (x, y); the smallest first, then the smallest powers. a and b are columns of
+    ``factors`` (by ed_id), or of ``preds`` itself without it."""
     points = preds.sparkSession.createDataFrame([(float(x), float(y)) for x in grid for y in grid], "x double, y double")
     err = F.abs(F.col("actual") - F.col("pred") * F.pow("a", F.col("x")) * F.pow("b", F.col("y")))
-    return preds.join(factors, "ed_id").crossJoin(F.broadcast(points)).groupBy("x", "y").agg(F.avg(err).alias("mae")).orderBy("mae", "x", "y")
+    rows = preds if factors is None else preds.join(factors, "ed_id")
+    return rows.crossJoin(F.broadcast(points)).groupBy("x", "y").agg(F.avg(err).alias("mae")).orderBy("mae", "x", "y")
 
 
 #: The draw that each key of BLEND stands for.
@@ -199,6 +237,7 @@ def job(editions: DataFrame, obs: DataFrame, stored: DataFrame, as_of: Column, w
         rows = seen.unionByName(targets.select(*columns, F.lit(None).cast(seen.schema["cut"].dataType).alias("cut")))
         got = predict(rows, draw).join(targets.select("ed_id", "horizon"), "ed_id").where("pred is not null")
         one = got.select("ed_id", F.lit(ev).alias("ev"), F.lit(dr).alias("dr"), "horizon", "pred", "low", "high", "method", now.alias("predicted_at"))
+        one = materialise(one, "draw-predictions")  # the upcoming editions' rows
         out = one if out is None else out.unionByName(one)
     return merge.upsert(stored, out, ["ed_id", "ev", "dr", "horizon"], "incoming_wins")
 
