@@ -143,3 +143,11 @@ def test_predictions_make_no_pairs_of_places(spark, copies, monkeypatch, name):
     monkeypatch.setattr(joins, "near_in_time_space", None)
     made = copies(3)
     check_equal(spark, engine(made), made, name)
+
+
+@pytest.mark.parametrize("name", ["j09_backtest_horizons"])
+def test_plans_that_the_driver_holds_stay_small(spark, name):
+    from tideline.plans import registry
+
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("\n") < 150, plan.count("\n")
