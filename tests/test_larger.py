@@ -145,7 +145,7 @@ def test_predictions_make_no_pairs_of_places(spark, copies, monkeypatch, name):
     check_equal(spark, engine(made), made, name)
 
 
-@pytest.mark.parametrize("name", ["j09_backtest_horizons", "j10_grid_search"])
+@pytest.mark.parametrize("name", ["j09_backtest_horizons", "j10_grid_search", "j07_prediction_job"])
 def test_plans_that_the_driver_holds_stay_small(spark, name):
     from tideline.plans import registry
 
