@@ -136,7 +136,7 @@ def test_near_medians_equal_brute_force(spark, monkeypatch):
         assert {(r.window, r.g, r.t, r.lat, r.lon): (r.median, r.n) for r in found} == want and len(found) == len(want)
 
 
-@pytest.mark.parametrize("name", ["j06_predict", "j11_report", "j11_worst", "j09_backtest", "j09_error_quantiles", "j04_cohort_base"])
+@pytest.mark.parametrize("name", ["j06_predict", "j11_report", "j11_worst", "j09_backtest", "j09_error_quantiles", "j04_cohort_base", "j03_regional_drift"])
 def test_predictions_make_no_pairs_of_places(spark, copies, monkeypatch, name):
     from tideline.operators import joins
 
