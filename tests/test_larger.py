@@ -151,3 +151,16 @@ def test_plans_that_the_driver_holds_stay_small(spark, name):
 
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert plan.count("\n") < 150, plan.count("\n")
+
+
+@pytest.mark.parametrize("name", ["j14_validation_changes"])
+def test_validation_reads_editions_once(spark, name, monkeypatch):
+    """The view of editions is made once, and depth makes no rows for pairs of groups."""
+    from tideline.plans import catalog, registry
+
+    made = []
+    real = catalog.Tables.__getattr__
+    monkeypatch.setattr(catalog.Tables, "__getattr__", lambda self, view: (made.append(view), real(self, view))[1])
+    df = registry.queries()[name](spark, SF)
+    assert made.count("v_ed") == 1
+    assert df._jdf.queryExecution().analyzed().toString().count("\n") < 150
