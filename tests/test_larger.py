@@ -153,7 +153,7 @@ def test_plans_that_the_driver_holds_stay_small(spark, name):
     assert plan.count("\n") < 150, plan.count("\n")
 
 
-@pytest.mark.parametrize("name", ["j14_validation_changes", "j14_validation_order", "j14_validation_coverage", "j14_validation_held_out", "j14_validation_rank", "j14_validation_curve"])
+@pytest.mark.parametrize("name", ["j14_validation_changes", "j14_validation_order", "j14_validation_coverage", "j14_validation_held_out", "j14_validation_rank", "j14_validation_curve", "j14_validation_restructured"])
 def test_validation_reads_editions_once(spark, name, monkeypatch):
     """The view of editions is made once, and depth makes no rows for pairs of groups."""
     from tideline.plans import catalog, registry
