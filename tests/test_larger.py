@@ -176,3 +176,14 @@ def test_drain_compares_spots_and_not_events(spark, copies, monkeypatch, name):
     check_equal(spark, engine(made), made, name)
     for side in seen[0]:
         assert side.count() == side.select("yr", "wk", "lat", "lon").distinct().count()
+
+
+def test_names_are_matched_once_however_often_they_occur(spark):
+    from tideline.operators import joins
+
+    left = spark.createDataFrame([(k, n) for k, n in enumerate(["red bolt", "bolt red", "red", None, "el ring"] * 30)], "a int, name string")
+    right = spark.createDataFrame([(k, n) for k, n in enumerate(["new red bolt", "red", None, "Ring El", "bolt"] * 20)], "b int, name string")
+    names = joins.matching_names(left.selectExpr("name as x"), right.selectExpr("name as y"))
+    assert sorted(map(tuple, names.collect())) == [("bolt red", "new red bolt"), ("el ring", "Ring El"), ("red", "red"), ("red bolt", "new red bolt")]
+    got = joins.token_match(left, right, "name", "name")
+    assert got.columns == ["a", "name", "r_b", "r_name"] and got.count() == 4 * 30 * 20 == got.distinct().count()
