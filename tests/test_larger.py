@@ -187,3 +187,16 @@ def test_names_are_matched_once_however_often_they_occur(spark):
     assert sorted(map(tuple, names.collect())) == [("bolt red", "new red bolt"), ("el ring", "Ring El"), ("red", "red"), ("red bolt", "new red bolt")]
     got = joins.token_match(left, right, "name", "name")
     assert got.columns == ["a", "name", "r_b", "r_name"] and got.count() == 4 * 30 * 20 == got.distinct().count()
+
+
+def test_a_strict_key_stands_first_at_any_distance(spark):
+    """As in SQL: the same slug 50 days away before the same name 5 days away; with a number in the slug it is no match."""
+    from tideline.operators import joins
+
+    kind = "ed_id long, yr int, start_date string, level string, slug string, name string, city string"
+    dated = lambda rows: spark.createDataFrame(rows, kind).selectExpr("ed_id", "yr", "cast(start_date as date) as start_date", "level", "slug", "name", "city")
+    generic = dated([(1, 2020, "2020-03-01", "Challenger", "ev-abcde", "North qqqqq", "aa"), (2, 2020, "2020-03-01", "Challenger", "ev-vwxyz-3", "South rrrrr", "bb"), (3, 2020, "2020-03-01", "Challenger", "s", "t", "77")])
+    exact = dated([(10, 2020, "2020-04-20", "Challenger 75", "ev-abcde", "zz", "cc"), (11, 2020, "2020-03-06", "Challenger 75", "yy", "north qqqqq", "dd"), (12, 2020, "2020-04-20", "Challenger 75", "ev-vwxyz-3", "ww", "ee"),
+                   (13, 2020, "2020-03-06", "Challenger 75", "vv", "uu", "77"), (14, 2020, "2020-03-09", "Challenger 75", "rr", "qq", "77")])
+    got = {r.gid: (r.x_ed_id, r.rung) for r in joins.ladder_match(generic, exact, by_score=False).collect()}
+    assert got == {1: (10, 0), 3: (13, 2)}
